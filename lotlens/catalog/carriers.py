@@ -36,16 +36,16 @@ FROM {lineitem}
 carrier("overrides", """
 SELECT l_suppkey AS lot_id,
  concat_ws('-', l_orderkey, l_linenumber, l_partkey, CAST(floor(l_extendedprice*100+0.5) AS BIGINT)) AS bulb_id,
- CASE WHEN l_orderkey % 3 = 0 THEN 'farmer' ELSE 'officer' END AS by,
+ CASE WHEN l_orderkey % 3 = 0 THEN 'farmer' ELSE 'officer' END AS who,
  CASE WHEN l_orderkey % 3 = 0 THEN 'contest' ELSE 'override' END AS kind,
- CASE WHEN l_orderkey % 3 = 1 THEN 'GRADE_A' WHEN l_orderkey % 3 = 2 THEN 'REJECT' END AS to,
+ CASE WHEN l_orderkey % 3 = 1 THEN 'GRADE_A' WHEN l_orderkey % 3 = 2 THEN 'REJECT' END AS to_bucket,
  CASE WHEN l_orderkey % 2 = 0 THEN 'VISUAL_REINSPECTION' ELSE 'MASK_MISSED_DEFECT' END AS reason,
  CAST(l_linenumber AS BIGINT) AS seq, l_shipdate AS at
 FROM {lineitem} WHERE l_partkey % 37 = 0
 UNION ALL
 SELECT l_suppkey AS lot_id,
  concat_ws('-', l_orderkey, l_linenumber, l_partkey, CAST(floor(l_extendedprice*100+0.5) AS BIGINT)) AS bulb_id,
- 'officer' AS by, 'override' AS kind, CASE WHEN l_orderkey % 5 = 0 THEN CAST(NULL AS STRING) ELSE 'URS' END AS to,
+ 'officer' AS who, 'override' AS kind, CASE WHEN l_orderkey % 5 = 0 THEN CAST(NULL AS STRING) ELSE 'URS' END AS to_bucket,
  'SIZE_MEASURED_WRONG' AS reason, CAST(l_linenumber + 10 AS BIGINT) AS seq, l_shipdate AS at
 FROM {lineitem} WHERE l_partkey % 74 = 0
 """)

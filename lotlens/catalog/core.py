@@ -81,4 +81,7 @@ def oracle_text(sql: str) -> str:
     visit(sql)
     plain = lambda s: _NAME.sub(r"\1", s).replace("{{", "{").replace("}}", "}")
     ctes = ",\n".join(f"{n} AS (\n{plain(SHARED.get(n) or CARRIERS[n])}\n)" for n in order)
-    return (f"WITH {ctes}\n" if ctes else "") + plain(sql.strip())
+    body = plain(sql.strip())
+    if ctes and body.upper().startswith("WITH "):
+        body = f"SELECT * FROM ({body}) AS q"
+    return (f"WITH {ctes}\n" if ctes else "") + body

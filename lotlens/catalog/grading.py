@@ -57,25 +57,28 @@ SELECT b.lot_id, b.bulb_id, b.tray, b.look, b.w, p.pack_id,
 FROM {bulbs} b CROSS JOIN {packs} p JOIN {o_first} f ON f.lot_id=b.lot_id AND f.bulb_id=b.bulb_id AND f.pack_id=p.pack_id
 LEFT JOIN {o_decided} d ON d.lot_id=b.lot_id AND d.bulb_id=b.bulb_id AND d.pack_id=p.pack_id AND d.stage=f.at_stage
 """)
-shared("o_reasons", """
-SELECT v.lot_id, v.bulb_id, v.pack_id, v.bucket,
- CASE WHEN v.conf < v.min_conf THEN 'LOW_CONFIDENCE_' || v.conf || '_LT_' || v.min_conf
-  ELSE coalesce(array_to_string(list_transform(list_filter(flatten(list(
-    CASE WHEN s.stage = 0 AND v.at_stage IS DISTINCT FROM 0 THEN NULL
-         WHEN v.at_stage IS NULL OR s.stage < v.at_stage THEN coalesce(s.fails, [])
-         WHEN s.stage = v.at_stage AND v.bucket='REJECT' THEN coalesce(s.fails, [])
-         WHEN s.stage = v.at_stage AND v.bucket='REFER' THEN coalesce(s.borders, []) END ORDER BY s.stage)), x -> x IS NOT NULL), x -> x), '|'), '') END AS codes,
- CASE WHEN v.conf < v.min_conf THEN '' ELSE coalesce(array_to_string(flatten(list(CASE WHEN v.at_stage IS NULL OR s.stage <= v.at_stage THEN coalesce(s.nas, []) END ORDER BY s.stage)), '|'), '') END AS notes
+shared("o_reason_lists", """
+SELECT v.lot_id, v.bulb_id, v.pack_id, v.bucket, v.conf, v.min_conf, v.at_stage,
+ coalesce(flatten(list(CASE WHEN s.stage = 0 AND v.at_stage IS DISTINCT FROM 0 THEN []
+   WHEN v.at_stage IS NULL OR s.stage < v.at_stage THEN coalesce(s.fails, [])
+   WHEN s.stage = v.at_stage AND v.bucket='REJECT' THEN coalesce(s.fails, [])
+   WHEN s.stage = v.at_stage AND v.bucket='REFER' THEN coalesce(s.borders, []) ELSE [] END ORDER BY s.stage)), []) AS cl,
+ coalesce(flatten(list(CASE WHEN v.at_stage IS NULL OR s.stage <= v.at_stage THEN coalesce(s.nas, []) ELSE [] END ORDER BY s.stage)), []) AS nl
 FROM {o_verdicts} v JOIN {o_stages} s ON s.lot_id=v.lot_id AND s.bulb_id=v.bulb_id AND s.pack_id=v.pack_id
 GROUP BY v.lot_id, v.bulb_id, v.pack_id, v.bucket, v.conf, v.min_conf, v.at_stage
 """)
+shared("o_reasons", """
+SELECT lot_id, bulb_id, pack_id, bucket, CASE WHEN conf < min_conf THEN 'LOW_CONFIDENCE_' || conf || '_LT_' || min_conf
+  WHEN at_stage IS NULL THEN array_to_string(list_filter(cl, lambda x, i: list_position(cl, x) = i), '|') ELSE array_to_string(cl, '|') END AS codes,
+ CASE WHEN conf < min_conf THEN '' ELSE array_to_string(nl, '|') END AS notes FROM {o_reason_lists}
+""")
 shared("o_last", """
-SELECT lot_id, bulb_id, kind, by, to, reason FROM (SELECT *, row_number() OVER (PARTITION BY lot_id, bulb_id ORDER BY seq DESC) AS k FROM {overrides}) WHERE k = 1
+SELECT lot_id, bulb_id, kind, who, to_bucket, reason FROM (SELECT *, row_number() OVER (PARTITION BY lot_id, bulb_id ORDER BY seq DESC) AS k FROM {overrides}) WHERE k = 1
 """)
 shared("o_final", """
 SELECT v.lot_id, v.bulb_id, v.tray, v.look, v.w, v.pack_id, v.bucket AS ai,
- CASE WHEN o.kind IS NULL THEN v.bucket WHEN o.kind = 'contest' THEN 'REFER' ELSE coalesce(o.to, v.bucket) END AS bucket,
- CASE WHEN o.kind IS NOT NULL THEN o.by || ':' || o.kind || ':' || o.reason END AS actor
+ CASE WHEN o.kind IS NULL THEN v.bucket WHEN o.kind = 'contest' THEN 'REFER' ELSE coalesce(o.to_bucket, v.bucket) END AS bucket,
+ CASE WHEN o.kind IS NOT NULL THEN o.who || ':' || o.kind || ':' || o.reason END AS actor
 FROM {o_verdicts} v LEFT JOIN {o_last} o ON o.lot_id=v.lot_id AND o.bulb_id=v.bulb_id
 """)
 
@@ -147,7 +150,7 @@ SELECT *, CASE WHEN rs > refer_share_max OR (sprt_decision='SAMPLE_MORE' AND n_t
 FROM (SELECT *, CASE WHEN llr >= upper THEN 'REJECT_LOT' WHEN llr <= lower THEN 'ACCEPT_LOT' ELSE 'SAMPLE_MORE' END AS sprt_decision,
  (n/n_trays)*(rate*l1 + (1-rate)*l0)/d AS drift
 FROM (SELECT *, (bad*l1 + (n-bad)*l0)/d AS llr, least(0.999, greatest(0.001, bad/greatest(1,n))) AS rate
-FROM (SELECT t.lot_id, t.pack_id, count(*) AS n_trays, max(n_looks) AS n_looks, CAST(sum(n) AS BIGINT) AS n, sum(c_f)/sum(n) AS rs,
+FROM (SELECT t.lot_id, t.pack_id, count(*) AS n_trays, max(n_looks) AS n_looks, CAST(sum(t.n) AS BIGINT) AS n, sum(c_f)/sum(t.n) AS rs,
   sum(CASE WHEN p.bad = 'REJECT' THEN c_r ELSE c_u + c_r END) AS bad, any_value(p.max_trays) AS max_trays, any_value(p.refer_share_max) AS refer_share_max,
   any_value(ln((1-beta)/alpha)) AS upper, any_value(ln(beta/(1-alpha))) AS lower, any_value(ln(p1/p0)) AS l1, any_value(ln((1-p1)/(1-p0))) AS l0,
   greatest(1, any_value(s.deff)) AS d
@@ -224,7 +227,7 @@ def _(t):
 @query("R04_time_travel", """SELECT lot_id, pack_id, max(CASE WHEN bucket='GRADE_A' THEN est END) AS grade_a, max(CASE WHEN bucket='PROCURED' THEN est END) AS procured
 FROM (SELECT *, floor(100*p*100+0.5)/100 AS est FROM {o_shares_h}) WHERE basis='weight' GROUP BY lot_id, pack_id""")
 def _(t):
-    s = L.lot_shares(L.lot_totals(G.graded_trays(t("bulbs"), P.PACKS, t("overrides")), P.PACKS)).where(F.col("basis") == "weight")
+    s = L.lot_shares(G.graded_trays(t("bulbs"), P.PACKS, t("overrides")), P.PACKS).where(F.col("basis") == "weight")
     return s.groupBy("lot_id", "pack_id").agg(F.max(F.when(F.col("bucket") == "GRADE_A", F.col("est"))).alias("grade_a"),
                                               F.max(F.when(F.col("bucket") == "PROCURED", F.col("est"))).alias("procured"))
 
@@ -262,9 +265,10 @@ def _(t):
 @query("P27_reason_code", """SELECT code, count(*) AS n FROM {o_outcomes} WHERE outcome IN ('fail','borderline') AND pack_id='in-psf-2026-06-relaxed-b' GROUP BY code""")
 def _(t):
     pack = P.pack_by_id("in-psf-2026-06-relaxed-b")
-    os_ = [R._Outcome(r, pack) for _, _, rules in pack.stages() for r in rules]
-    codes = [F.when(o.fail, R.reason_code(o)).when(o.border, R.reason_code(o, True)) for o in os_]
-    return (t("bulbs").select(F.explode(F.array_compact(F.array(*codes))).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")))
+    b = R.with_margins(t("bulbs"), [pack])
+    os_ = [R.Outcome(r, pack) for _, _, rules in pack.stages() for r in rules]
+    codes = ", ".join(f"CASE WHEN {o.fail} THEN {o.code()} WHEN {o.border} THEN {o.code(True)} END" for o in os_)
+    return b.selectExpr(f"explode(array_compact(array({codes}))) AS code").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("P03_size_of", """SELECT CAST(p.size_metric AS VARCHAR) AS metric, lot_id, CAST(sum(CASE p.size_metric WHEN 'min_feret' THEN size_min WHEN 'max_feret' THEN size_max
@@ -293,13 +297,13 @@ def _(t):
 
 @query("A03_lot_shares", "SELECT lot_id, pack_id, basis, bucket, n_trays, CAST(n AS DOUBLE) AS n, floor(p*1e6+0.5)/1e6 AS p, floor(100*p*100+0.5)/100 AS est FROM {o_shares}")
 def _(t):
-    s = L.lot_shares(L.lot_totals(G.graded_trays(t("bulbs")), P.PACKS))
+    s = L.lot_shares(G.graded_trays(t("bulbs")), P.PACKS)
     return s.select("lot_id", "pack_id", "basis", "bucket", "n_trays", "n", r6("p").alias("p"), "est")
 
 
 @query("A04_design_effect", "SELECT lot_id, pack_id, basis, bucket, floor(deff*1e6+0.5)/1e6 AS deff FROM {o_shares}")
 def _(t):
-    s = L.lot_shares(L.lot_totals(G.graded_trays(t("bulbs")), P.PACKS))
+    s = L.lot_shares(G.graded_trays(t("bulbs")), P.PACKS)
     return s.select("lot_id", "pack_id", "basis", "bucket", r6("deff").alias("deff"))
 
 
@@ -319,7 +323,7 @@ def _(t):
 
 @query("A07_jeffreys")
 def _(t):
-    s = L.with_jeffreys(L.lot_shares(L.lot_totals(G.graded_trays(t("bulbs")), P.PACKS)))
+    s = L.with_jeffreys(L.lot_shares(G.graded_trays(t("bulbs")), P.PACKS))
     return s.select("lot_id", "pack_id", "basis", "bucket", "est", "bayes_lo", "bayes_hi")
 
 

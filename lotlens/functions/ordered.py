@@ -22,9 +22,10 @@ def _keys(by: Sequence[str]) -> list[str]:
 def with_slices(df: DataFrame, order: str, slices: int = SLICES) -> DataFrame:
     """Add ``_slice``: the number of approximate quantile cuts of ``order`` at or below the row's value."""
     probs = [i / slices for i in range(1, slices)]
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, 10000).alias("_cuts")).scalar()
     value = F.col(order).cast("double")
-    return df.withColumn("_slice", F.coalesce(F.size(F.filter(cuts, lambda c: c <= value)), F.lit(0)))
+    cuts = df.agg(F.percentile_approx(value, probs, 10000).alias("_cuts")).scalar()
+    passed = " + ".join(f"IF(_cuts[{i}] <= CAST({order} AS DOUBLE), 1, 0)" for i in range(slices - 1))
+    return df.select("*", cuts.alias("_cuts")).selectExpr(*df.columns, f"{passed} AS _slice")
 
 
 def _join_offsets(df: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -27,13 +27,12 @@ ROW_TRAYS = 64
 
 def look_aggregates(verdicts: DataFrame, multiplicity: str | None = None) -> DataFrame:
     """Per lot, pack, tray, look: items and weight, in total and per bucket. ``multiplicity`` holds +1/-1 corrections."""
-    k = F.col(multiplicity) if multiplicity else F.lit(1)
-    w = F.col("w").cast("bigint") * k
-    aggs = [F.sum(k).cast("bigint").alias("n"), F.sum(w).alias("w")]
+    k = multiplicity or "1"
+    w = f"CAST(w AS BIGINT) * {k}" if multiplicity else "CAST(w AS BIGINT)"
+    aggs = [F.expr(f"sum(CAST({k} AS BIGINT)) AS n"), F.expr(f"sum({w}) AS w")]
     for b, s in SHORT.items():
-        hit = F.col("bucket") == b
-        aggs += [F.sum(F.when(hit, k).otherwise(0)).cast("bigint").alias(f"c_{s}"),
-                 F.sum(F.when(hit, w).otherwise(0)).alias(f"w_{s}")]
+        aggs += [F.expr(f"sum(IF(bucket = '{b}', CAST({k} AS BIGINT), 0L)) AS c_{s}"),
+                 F.expr(f"sum(IF(bucket = '{b}', {w}, 0L)) AS w_{s}")]
     return verdicts.groupBy("lot_id", "pack_id", "tray", "look").agg(*aggs)
 
 
@@ -51,49 +50,51 @@ def merge_looks(looks: DataFrame, mode: str = "max_nonA") -> DataFrame:
     return looks.groupBy(*keys).agg(best, n_looks).select(*keys, "best.*", "n_looks")
 
 
-def _by_pack(packs: Sequence[Pack], value) -> Column:
-    out = None
-    for p in packs:
-        v = value(p)
-        out = F.when(F.col("pack_id") == p.id, v) if out is None else out.when(F.col("pack_id") == p.id, v)
-    return out
+def _by_pack(packs: Sequence[Pack], value) -> str:
+    """CASE over pack_id giving ``value(pack)``."""
+    return "CASE pack_id " + " ".join(f"WHEN '{p.id}' THEN {value(p)}" for p in packs) + " END"
 
 
 def add_pack_sums(trays: DataFrame, packs: Sequence[Pack]) -> DataFrame:
     """Procured and "bad" tallies, which depend on the pack."""
-    total = lambda prefix, ids: sum((F.col(f"{prefix}_{SHORT[b]}") for b in ids), F.lit(0))
-    return trays.select("*", _by_pack(packs, lambda p: total("c", p.procured)).alias("c_p"),
-                        _by_pack(packs, lambda p: total("w", p.procured)).alias("w_p"),
-                        _by_pack(packs, lambda p: total("c", p.bad)).alias("bad"))
+    total = lambda prefix, ids: " + ".join(f"{prefix}_{SHORT[b]}" for b in ids)
+    return trays.selectExpr("*", _by_pack(packs, lambda p: total("c", p.procured)) + " AS c_p",
+                            _by_pack(packs, lambda p: total("w", p.procured)) + " AS w_p",
+                            _by_pack(packs, lambda p: total("c", p.bad)) + " AS bad")
 
 
 SELECTORS = [*[("count", b, f"c_{s}", "n") for b, s in SHORT.items()], ("count", "PROCURED", "c_p", "n"),
              *[("weight", b, f"w_{s}", "w") for b, s in SHORT.items()], ("weight", "PROCURED", "w_p", "w")]
 
 
+def selected(trays: DataFrame, packs: Sequence[Pack]) -> DataFrame:
+    """Trays in long form: one row per tray and share, with amount x out of m (count or weight) and items n."""
+    rows = ", ".join(f"named_struct('basis', '{basis}', 'bucket', '{b}', 'x', CAST({x} AS DOUBLE), 'm', CAST({n} AS DOUBLE))"
+                     for basis, b, x, n in SELECTORS)
+    return (add_pack_sums(trays, packs).selectExpr("lot_id", "pack_id", "tray", "CAST(n AS DOUBLE) AS n", f"inline(array({rows}))"))
+
+
+def lot_shares(trays: DataFrame, packs: Sequence[Pack]) -> DataFrame:
+    """One row per lot, pack, basis (count / weight) and bucket with share p and its design effect."""
+    sums = selected(trays, packs).groupBy("lot_id", "pack_id", "basis", "bucket").agg(
+        F.count(F.lit(1)).alias("n_trays"), F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("m").alias("total"),
+        F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("m")).alias("xm"),
+        F.sum(F.col("m") * F.col("m")).alias("mm"))
+    p = F.when(F.col("total") > 0, F.col("x") / F.col("total")).otherwise(F.lit(0.0))
+    return (sums.withColumn("deff", cluster_deff("n_trays", "total", "x", "xx", "xm", "mm")).withColumn("p", p)
+            .withColumn("est", percent("p")).drop("xx", "xm", "mm"))
+
+
 def lot_totals(trays: DataFrame, packs: Sequence[Pack]) -> DataFrame:
-    """Wide sums per (lot, pack): totals, cross moments for the design effects, tray and look counts."""
+    """Sums per (lot, pack) behind the lot decision, with the Grade-A design effect by count."""
     t = add_pack_sums(trays, packs)
     d = lambda c: F.col(c).cast("double")
-    aggs = [F.count(F.lit(1)).alias("n_trays"), F.max("n_looks").alias("n_looks"), F.sum("n").alias("n"),
-            F.sum("w").alias("w"), F.sum(d("n") * d("n")).alias("nn_n"), F.sum(d("w") * d("w")).alias("nn_w"),
-            F.sum(half_up(d("bad"))).alias("bad"), F.sum(half_up(d("n"))).alias("n_round")]
-    for _, _, x, n in SELECTORS:
-        aggs += [F.sum(x).alias(x), F.sum(d(x) * d(x)).alias(f"xx_{x}"), F.sum(d(x) * d(n)).alias(f"xn_{x}")]
-    out = t.groupBy("lot_id", "pack_id").agg(*aggs)
-    return out.withColumn("deff_a", cluster_deff("n_trays", "n", "c_a", "xx_c_a", "xn_c_a", "nn_n"))
-
-
-def lot_shares(totals: DataFrame) -> DataFrame:
-    """Long form: one row per lot, pack, basis (count / weight) and bucket with share p and its design effect."""
-    rows = [F.struct(F.lit(basis).alias("basis"), F.lit(b).alias("bucket"), F.col(x).cast("double").alias("x"),
-                     F.col(n).cast("double").alias("total"),
-                     cluster_deff("n_trays", n, x, f"xx_{x}", f"xn_{x}", f"nn_{n}").alias("deff"))
-            for basis, b, x, n in SELECTORS]
-    out = totals.select("lot_id", "pack_id", "n_trays", F.col("n").cast("double").alias("n"),
-                        F.explode(F.array(*rows)).alias("_s")).select("lot_id", "pack_id", "n_trays", "n", "_s.*")
-    return (out.withColumn("p", F.when(F.col("total") > 0, F.col("x") / F.col("total")).otherwise(F.lit(0.0)))
-            .withColumn("est", percent("p")))
+    out = t.groupBy("lot_id", "pack_id").agg(
+        F.count(F.lit(1)).alias("n_trays"), F.max("n_looks").alias("n_looks"), F.sum("n").alias("n"),
+        F.sum("c_a").alias("c_a"), F.sum("c_f").alias("c_f"), F.sum(half_up(d("bad"))).alias("bad"),
+        F.sum(half_up(d("n"))).alias("n_round"), F.sum(d("c_a") * d("c_a")).alias("_xx"),
+        F.sum(d("c_a") * d("n")).alias("_xn"), F.sum(d("n") * d("n")).alias("_nn"))
+    return out.withColumn("deff_a", cluster_deff("n_trays", "n", "c_a", "_xx", "_xn", "_nn")).drop("_xx", "_xn", "_nn")
 
 
 # ---- bootstrap -----------------------------------------------------------------------------------------
@@ -104,11 +105,9 @@ def lot_seed(lot_id="lot_id", sampling_seed: str | None = None, prefix: str = "l
     return F.coalesce(F.col(sampling_seed), own) if sampling_seed else own
 
 
-def draw(seed: Column, rep: Column, j: Column, m: Column) -> Column:
+def draw_sql(seed: str, rep: str, j: str, m: str) -> str:
     """Tray position 0..m-1 of draw j in replicate rep: 32 bits of an md5 counter block, four draws per block."""
-    block = F.md5(F.concat_ws("|", seed, rep.cast("string"), F.floor(j / 4).cast("string")))
-    word = F.substring(block, F.lit(1) + (j % 4) * 8, F.lit(8))
-    return F.conv(word, 16, 10).cast("bigint") % m
+    return (f"CAST(conv(substr(md5(concat_ws('|', {seed}, {rep}, {j} DIV 4)), 1 + 8 * ({j} % 4), 8), 16, 10) AS BIGINT) % {m}")
 
 
 def quantile_positions(b: int, level: float) -> tuple[int, int]:
@@ -120,14 +119,12 @@ def quantile_positions(b: int, level: float) -> tuple[int, int]:
 _BOOT = ["n", "w", *dict.fromkeys(x for _, _, x, _ in SELECTORS)]
 
 
-def _bounds(replicates: dict[str, Column], b: int, level: float) -> list[Column]:
+def _bounds_sql(prefix: str, b: int, level: float) -> str:
+    """inline(...) of the ordered replicates' two quantiles for every share; replicates are arrays ``<prefix><column>``."""
     lo, hi = quantile_positions(b, level)
-    rows = []
-    for basis, bucket, x, _ in SELECTORS:
-        ordered = F.array_sort(replicates[x])
-        rows.append(F.struct(F.lit(basis).alias("basis"), F.lit(bucket).alias("bucket"),
-                             F.element_at(ordered, lo + 1).alias("lo"), F.element_at(ordered, hi + 1).alias("hi")))
-    return rows
+    rows = ", ".join(f"named_struct('basis', '{basis}', 'bucket', '{bucket}', 'lo', array_sort({prefix}{x})[{lo}], "
+                     f"'hi', array_sort({prefix}{x})[{hi}])" for basis, bucket, x, _ in SELECTORS)
+    return f"inline(array({rows}))"
 
 
 def cluster_bootstrap(trays: DataFrame, packs: Sequence[Pack], b: int = 2000, level: float = 0.95, seed: Column | None = None,
@@ -140,7 +137,7 @@ def cluster_bootstrap(trays: DataFrame, packs: Sequence[Pack], b: int = 2000, le
     """
     t = add_pack_sums(trays, packs)
     sizes = t.groupBy("lot_id", "pack_id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= min_trays)
-    fields = F.struct("tray", *[F.col(c).cast("double").alias(c) for c in _BOOT])
+    fields = F.expr("struct(tray, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _BOOT) + ")")
     small = (t.join(sizes.where(F.col("m") <= row_trays), ["lot_id", "pack_id"]).groupBy("lot_id", "pack_id", "m")
              .agg(F.array_sort(F.collect_list(fields)).alias("trays")))
     narrow = _row_bootstrap(small, b, level, seed)
@@ -148,46 +145,36 @@ def cluster_bootstrap(trays: DataFrame, packs: Sequence[Pack], b: int = 2000, le
     return narrow.unionByName(wide)
 
 
-def _ratios(sums: dict[str, Column]) -> list[Column]:
-    return [F.when(sums[n] > 0, sums[x] / sums[n]).otherwise(F.lit(0.0)).alias(x) for _, _, x, n in SELECTORS]
+def _ratios_sql(prefix: str) -> list[tuple[str, str]]:
+    return [(x, f"IF({prefix}{n} > 0, {prefix}{x} / {prefix}{n}, 0.0D)") for _, _, x, n in SELECTORS]
 
 
 def _row_bootstrap(small: DataFrame, b: int, level: float, seed: Column | None) -> DataFrame:
-    s = seed if seed is not None else lot_seed()
-    base = small.withColumn("_seed", s)
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in _BOOT])
-
-    def replicate(rep):
-        positions = F.transform(F.sequence(F.lit(0), F.col("m").cast("int") - 1),
-                                lambda j: draw(F.col("_seed"), rep, j, F.col("m")).cast("int"))
-        return F.aggregate(
-            positions, zero,
-            lambda acc, i: F.struct(*[(acc[c] + F.get(F.col("trays"), i)[c]).alias(c) for c in _BOOT]),
-            lambda acc: F.struct(*_ratios({c: acc[c] for c in _BOOT})))
-
-    reps = base.select("lot_id", "pack_id", F.transform(F.sequence(F.lit(0), F.lit(b - 1)), replicate).alias("_r"))
-    arrays = {x: F.col("_r")[x] for _, _, x, _ in SELECTORS}
-    out = reps.select("lot_id", "pack_id", F.explode(F.array(*_bounds(arrays, b, level))).alias("_b"))
-    return out.select("lot_id", "pack_id", "_b.*")
+    """Resample inside the lot row: replicates, draws and sums are higher-order functions over the tray array."""
+    base = small.withColumn("_seed", seed if seed is not None else lot_seed())
+    picks = f"transform(sequence(0, CAST(m AS INT) - 1), j -> trays[CAST({draw_sql('_seed', 'rep', 'j', 'm')} AS INT)])"
+    zero = "named_struct(" + ", ".join(f"'{c}', 0.0D" for c in _BOOT) + ")"
+    add = "named_struct(" + ", ".join(f"'{c}', acc.{c} + t.{c}" for c in _BOOT) + ")"
+    done = "named_struct(" + ", ".join(f"'{x}', {e}" for x, e in _ratios_sql("acc.")) + ")"
+    replicate = f"aggregate({picks}, {zero}, (acc, t) -> {add}, acc -> {done})"
+    reps = base.selectExpr("lot_id", "pack_id", f"transform(sequence(0, {b - 1}), rep -> {replicate}) AS _r")
+    return reps.selectExpr("lot_id", "pack_id", _bounds_sql("_r.", b, level))
 
 
 def _joined_bootstrap(t: DataFrame, b: int, level: float, seed: Column | None) -> DataFrame:
-    s = seed if seed is not None else lot_seed()
     indexed = row_index(t, "tray", ["lot_id", "pack_id"], "_i").withColumn("_i", F.col("_i") - 1)
-    lots = t.select("lot_id", "pack_id", "m").distinct().withColumn("_seed", s)
-    reps = (lots.select("*", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("rep"))
-            .repartition("lot_id", "pack_id", "rep"))
-    draws = (reps.select("lot_id", "pack_id", "m", "_seed", "rep", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)).alias("j"))
-             .select("lot_id", "pack_id", "rep", draw(F.col("_seed"), F.col("rep"), F.col("j"), F.col("m")).alias("_i")))
+    lots = t.select("lot_id", "pack_id", "m").distinct().withColumn("_seed", seed if seed is not None else lot_seed())
+    reps = lots.selectExpr("*", f"explode(sequence(0, {b - 1})) AS rep").repartition("lot_id", "pack_id", "rep")
+    draws = (reps.selectExpr("lot_id", "pack_id", "m", "_seed", "rep", "explode(sequence(0, CAST(m AS INT) - 1)) AS j")
+             .selectExpr("lot_id", "pack_id", "rep", draw_sql("_seed", "rep", "j", "m") + " AS _i"))
     # Only how often each tray was drawn in a replicate matters.
     hits = draws.groupBy("lot_id", "pack_id", "_i", "rep").agg(F.count(F.lit(1)).alias("k"))
     joined = hits.join(indexed.select("lot_id", "pack_id", "_i", *_BOOT), ["lot_id", "pack_id", "_i"])
-    sums = joined.groupBy("lot_id", "pack_id", "rep").agg(*[F.sum(F.col(c).cast("double") * F.col("k")).alias(c) for c in _BOOT])
-    shares = sums.select("lot_id", "pack_id", *_ratios({c: F.col(c) for c in _BOOT}))
+    sums = joined.groupBy("lot_id", "pack_id", "rep").agg(*[F.expr(f"sum(CAST({c} AS DOUBLE) * k) AS {c}") for c in _BOOT])
+    shares = sums.selectExpr("lot_id", "pack_id", *[f"{e} AS {x}" for x, e in _ratios_sql("")])
     # Exactly b numbers per lot and share.
-    lists = shares.groupBy("lot_id", "pack_id").agg(*[F.collect_list(x).alias(x) for _, _, x, _ in SELECTORS])
-    out = lists.select("lot_id", "pack_id", F.explode(F.array(*_bounds({x: F.col(x) for _, _, x, _ in SELECTORS}, b, level))).alias("_b"))
-    return out.select("lot_id", "pack_id", "_b.*")
+    lists = shares.groupBy("lot_id", "pack_id").agg(*[F.expr(f"collect_list({x}) AS {x}") for _, _, x, _ in SELECTORS])
+    return lists.selectExpr("lot_id", "pack_id", _bounds_sql("", b, level))
 
 
 def lot_intervals(shares: DataFrame, bootstrap: DataFrame) -> DataFrame:
@@ -214,7 +201,7 @@ def sprt(totals: DataFrame, packs: Sequence[Pack], deff: str = "deff_a") -> Data
 
     Adds llr, upper and lower limits, decision and the expected number of further trays (-1: never).
     """
-    per = lambda f: _by_pack(packs, lambda p: F.lit(float(f(p))))
+    per = lambda f: F.expr(_by_pack(packs, lambda p: f"{float(f(p))!r}D"))
     upper = per(lambda p: math.log((1 - p.beta) / p.alpha))
     lower = per(lambda p: math.log(p.beta / (1 - p.alpha)))
     l1 = per(lambda p: math.log(p.p1 / p.p0))
@@ -234,8 +221,8 @@ def sprt(totals: DataFrame, packs: Sequence[Pack], deff: str = "deff_a") -> Data
 def lot_decision(tested: DataFrame, packs: Sequence[Pack]) -> DataFrame:
     """Final decision: too many referred items or an undecided test at the tray cap goes to a human."""
     refer = F.when(F.col("n") > 0, F.col("c_f") / F.col("n")).otherwise(F.lit(0.0))
-    cap = _by_pack(packs, lambda p: F.lit(p.max_trays))
-    top = _by_pack(packs, lambda p: F.lit(float(p.refer_share_max)))
+    cap = F.expr(_by_pack(packs, lambda p: p.max_trays))
+    top = F.expr(_by_pack(packs, lambda p: f"{p.refer_share_max}D"))
     human = (refer > top) | ((F.col("sprt_decision") == "SAMPLE_MORE") & (F.col("n_trays") >= cap))
     return (tested.withColumn("refer_share", percent(refer))
             .withColumn("decision", F.when(human, "REFER_TO_HUMAN").otherwise(F.col("sprt_decision"))))

@@ -7,7 +7,6 @@ table joined to unpivoted measures (for many packs, or packs kept as data).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,121 +34,142 @@ def fraction_sd(value: Column, fsd: Column) -> Column:
     return fsd * 2.0 * F.sqrt(p * (F.lit(1.0) - p))
 
 
-def measure(m: str, size_metric: str) -> tuple[Column, Column]:
-    """(integer value, standard deviation) of a measure."""
-    if m == "size":
-        return size_of(size_metric).cast("int"), F.col("size_sd").cast("double")
-    if m in SHAPES:
-        return F.col(SHAPE_COLUMNS[m]).cast("int"), F.lit(0.0)
-    return F.col(m).cast("int"), fraction_sd(F.col(m), F.col("fsd"))
+def _margin_name(m: str, pack: Pack) -> str:
+    return f"_m_{m}_{round(pack.k_sigma * 1000)}"
 
 
-def _holds(value: Column, op: str, limit: int) -> Column:
-    return {"<=": value <= limit, "<": value < limit, ">=": value >= limit, ">": value > limit,
-            "==": value == limit}[op]
+def _value_name(m: str, pack: Pack) -> str:
+    return f"_v_size_{pack.size_metric}" if m == "size" else f"_v_{m}"
 
 
-class _Outcome:
-    """fail / borderline / not-assessed conditions of one compiled rule."""
+_SIZE_SQL = {"min_feret": "size_min", "max_feret": "size_max",
+             "mean_feret": "CAST(floor((size_min + size_max) / 2.0D + 0.5D) AS INT)"}
 
-    def __init__(self, rule: Rule, pack: Pack):
-        value, sd = measure(rule.measure, pack.size_metric)
-        margin = F.lit(0) if rule.op == "==" or rule.measure in SHAPES else half_up(sd * F.lit(pack.k_sigma)).cast("int")
-        low, high = _holds(value - margin, rule.op, rule.limit), _holds(value + margin, rule.op, rule.limit)
-        known = value.isNotNull()
-        self.rule, self.value = rule, value
-        self.missing = value.isNull()
-        self.fail = known & ~low & ~high
-        self.border = known & (low != high)
 
-    def refers(self) -> Column:
-        return (self.border | self.missing) if self.rule.na == "refer" else self.border
+def with_margins(bulbs: DataFrame, packs: Sequence[Pack]) -> DataFrame:
+    """Add, once per bulb, the integer values and k-sigma margins that the compiled rules compare."""
+    extra: dict[str, str] = {}
+    for p in packs:
+        for _, _, rules in p.stages():
+            for r in rules:
+                v = _value_name(r.measure, p)
+                if r.measure in SHAPES:
+                    extra[v] = f"CAST({SHAPE_COLUMNS[r.measure]} AS INT)"
+                    continue
+                if r.measure == "size":
+                    extra[v], sd = f"CAST({_SIZE_SQL[p.size_metric]} AS INT)", "size_sd"
+                else:
+                    share = f"least(1.0D, greatest(0.0D, {r.measure} / 1000.0D))"
+                    extra[v], sd = f"CAST({r.measure} AS INT)", f"fsd * 2.0D * sqrt({share} * (1.0D - {share}))"
+                extra[_margin_name(r.measure, p)] = f"CAST(floor({sd} * {p.k_sigma}D + 0.5D) AS INT)"
+    return bulbs.selectExpr("*", *[f"{e} AS {n}" for n, e in extra.items()])
 
 
-def _any(conditions: list[Column]) -> Column:
-    return F.coalesce(reduce(lambda a, b: a | b, conditions), F.lit(False)) if conditions else F.lit(False)
+class Outcome:
+    """Conditions of one compiled rule, as SQL text over the columns of ``with_margins``.
 
+    A rule passes only if it holds at both ends of value +/- margin and fails only if it holds at neither; with one
+    ordered comparison that is a single test against the far or the near end.
+    """
 
-def bucket_case(pack: Pack) -> Column:
-    """One pack compiled to a CASE giving the bucket of a bulb."""
-    out = F.when(F.col("conf") < pack.min_conf, "REFER")
-    reject = [_Outcome(r, pack) for r in pack.reject_rules]
-    out = out.when(_any([o.fail for o in reject]), "REJECT").when(_any([o.refers() for o in reject]), "REFER")
+    def __init__(self, rule: Rule, pack: Pack):
+        v = _value_name(rule.measure, pack)
+        exact = rule.op == "==" or rule.measure in SHAPES
+        m = "" if exact else _margin_name(rule.measure, pack)
+        low, high, lim = (v, v, rule.limit) if exact else (f"{v} - {m}", f"{v} + {m}", rule.limit)
+        self.rule, self.value, self.missing = rule, v, f"{v} IS NULL"
+        passed, fail = {
+            "<=": (f"{high} <= {lim}", f"{low} > {lim}"), "<": (f"{high} < {lim}", f"{low} >= {lim}"),
+            ">=": (f"{low} >= {lim}", f"{high} < {lim}"), ">": (f"{low} > {lim}", f"{high} <= {lim}"),
+            "==": (f"{v} = {lim}", f"{v} <> {lim}"),
+        }[rule.op]
+        self.fail = f"({v} IS NOT NULL AND {fail})"
+        self.border = f"({v} IS NOT NULL AND NOT ({passed}) AND NOT ({fail}))"
+        self.refers = f"({self.border} OR {self.missing})" if rule.na == "refer" else self.border
+
+    def shown(self, x: str) -> str:
+        m = self.rule.measure
+        if m in SHAPES:
+            return f"IF({x} <> 0, 'YES', 'NO')"
+        unit = "MM" if m == "size" else "PCT"
+        return f"concat({x} DIV 10, IF({x} % 10 = 0, '', concat('.', {x} % 10)), '{unit}')"
+
+    def code(self, borderline: bool = False) -> str:
+        """Machine-readable reason, e.g. SIZE_41.3MM_LT_45MM; whole numbers print without decimals."""
+        lead = "BORDERLINE_" if borderline else ""
+        return (f"concat('{lead}{self.rule.measure.upper()}_', {self.shown(self.value)}, '_{OP_WORD[self.rule.op]}_', "
+                f"{self.shown(str(self.rule.limit))})")
+
+    def note(self) -> str:
+        return f"'NOT_ASSESSED_{self.rule.measure.upper()}'"
+
+
+def _any(conditions: list[str]) -> str:
+    return "(" + " OR ".join(conditions or ["false"]) + ")"
+
+
+def bucket_case(pack: Pack) -> str:
+    """One pack compiled to a CASE giving the bucket of a bulb (needs the columns of ``with_margins``)."""
+    reject = [Outcome(r, pack) for r in pack.reject_rules]
+    whens = [f"WHEN conf < {pack.min_conf} THEN 'REFER'", f"WHEN {_any([o.fail for o in reject])} THEN 'REJECT'",
+             f"WHEN {_any([o.refers for o in reject])} THEN 'REFER'"]
     for b in pack.buckets:
-        rules = [_Outcome(r, pack) for r in b.rules]
-        clean = ~_any([o.fail for o in rules])
-        out = out.when(clean & _any([o.refers() for o in rules]), "REFER").when(clean, b.id)
-    return out.otherwise("REJECT")
-
-
-def _tenths(x: Column) -> Column:
-    whole, rest = F.floor(x / 10).cast("string"), (x % 10).cast("string")
-    return F.when(x % 10 == 0, whole).otherwise(F.concat(whole, F.lit("."), rest))
+        rules = [Outcome(r, pack) for r in b.rules]
+        fails, refers = _any([o.fail for o in rules]), _any([o.refers for o in rules])
+        whens.append(f"WHEN NOT {fails} THEN IF({refers}, 'REFER', '{b.id}')")
+    return f"CASE {' '.join(whens)} ELSE 'REJECT' END"
 
 
-def _shown(m: str, x: Column) -> Column:
-    if m == "size":
-        return F.concat(_tenths(x), F.lit("MM"))
-    if m in SHAPES:
-        return F.when(x != 0, "YES").otherwise("NO")
-    return F.concat(_tenths(x), F.lit("PCT"))
+_EMPTY = "CAST(array() AS ARRAY<STRING>)"
 
 
-def reason_code(o: _Outcome, borderline: bool = False) -> Column:
-    """Machine-readable reason, e.g. SIZE_41.3MM_LT_45MM; whole numbers print without decimals."""
-    m = o.rule.measure
-    lead = "BORDERLINE_" if borderline else ""
-    return F.concat(F.lit(f"{lead}{m.upper()}_"), _shown(m, o.value), F.lit(f"_{OP_WORD[o.rule.op]}_"),
-                    _shown(m, F.lit(o.rule.limit)))
+def _texts(pairs: list[tuple[str, str]]) -> str:
+    return f"array_compact(array({', '.join(f'IF({c}, {t}, NULL)' for c, t in pairs)}))" if pairs else _EMPTY
 
 
-def _codes(pairs: list[tuple[Column, Column]]) -> Column:
-    if not pairs:
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(cond, code) for cond, code in pairs]))
+def verdict_struct(pack: Pack) -> str:
+    """bucket, codes and notes of a bulb under one pack.
 
+    Codes follow the deciding stage; notes accumulate over every stage that was looked at.
+    """
+    def stage(rules):
+        os_ = [Outcome(r, pack) for r in rules]
+        borders = [(o.refers, f"IF({o.missing}, {o.note()}, {o.code(True)})" if o.rule.na == "refer" else o.code(True)) for o in os_]
+        return (_any([o.fail for o in os_]), _any([o.refers for o in os_]), _texts([(o.fail, o.code()) for o in os_]),
+                _texts(borders), _texts([(o.missing, o.note()) for o in os_]))
+
+    row = lambda bucket, codes, notes: f"named_struct('bucket', '{bucket}', 'codes', {codes}, 'notes', array_distinct({notes}))"
+    low = f"array(concat('LOW_CONFIDENCE_', conf, '_LT_{pack.min_conf}'))"
+    whens = [f"WHEN conf < {pack.min_conf} THEN {row('REFER', low, _EMPTY)}"]
+    fail, refer, fails, borders, seen = stage(pack.reject_rules)
+    whens += [f"WHEN {fail} THEN {row('REJECT', fails, seen)}", f"WHEN {refer} THEN {row('REFER', borders, seen)}"]
+    why: list[str] = []
+    for b in pack.buckets:
+        fail, refer, fails, borders, notes = stage(b.rules)
+        seen = f"concat({seen}, {notes})"
+        earlier = f"concat({', '.join(why)})" if why else _EMPTY
+        whens += [f"WHEN NOT {fail} AND {refer} THEN {row('REFER', f'concat({earlier}, {borders})', seen)}",
+                  f"WHEN NOT {fail} THEN {row(b.id, earlier, seen)}"]
+        why.append(fails)
+    final = f"array_distinct(concat({', '.join(why)}))" if why else _EMPTY
+    return f"CASE {' '.join(whens)} ELSE {row('REJECT', final, seen)} END"
 
-def verdict_struct(pack: Pack) -> Column:
-    """bucket, codes and notes of a bulb under one pack."""
-    empty = F.array().cast("array<string>")
-
-    def parts(rules: Sequence[Rule]):
-        os_ = [_Outcome(r, pack) for r in rules]
-        fails = _codes([(o.fail, reason_code(o)) for o in os_])
-        borders = _codes([(o.border, reason_code(o, True)) for o in os_]
-                         if all(o.rule.na != "refer" for o in os_) else
-                         [(o.refers(), F.when(o.missing, F.lit(f"NOT_ASSESSED_{o.rule.measure.upper()}"))
-                           .otherwise(reason_code(o, True))) for o in os_])
-        notes = _codes([(o.missing, F.lit(f"NOT_ASSESSED_{o.rule.measure.upper()}")) for o in os_])
-        return _any([o.fail for o in os_]), _any([o.refers() for o in os_]), fails, borders, notes
-
-    def row(bucket, codes, notes):
-        return F.struct(F.lit(bucket).alias("bucket"), codes.alias("codes"), F.array_distinct(notes).alias("notes"))
 
-    low = F.concat(F.lit("LOW_CONFIDENCE_"), F.col("conf").cast("string"), F.lit(f"_LT_{pack.min_conf}"))
-    out = F.when(F.col("conf") < pack.min_conf, row("REFER", F.array(low), empty))
-    fail, border, fails, borders, seen = parts(pack.reject_rules)
-    out = out.when(fail, row("REJECT", fails, seen)).when(border, row("REFER", borders, seen))
-    why = empty
-    for b in pack.buckets:
-        fail, border, fails, borders, notes = parts(b.rules)
-        seen = F.concat(seen, notes)
-        out = out.when(~fail & border, row("REFER", F.concat(why, borders), seen)).when(~fail, row(b.id, why, seen))
-        why = F.concat(why, fails)
-    return out.otherwise(row("REJECT", F.array_distinct(why), seen))
+def _per_pack(bulbs: DataFrame, packs: Sequence[Pack], keep: Sequence[str], value) -> DataFrame:
+    """One row per bulb and pack with ``value(pack)``. One scan, no join, no shuffle."""
+    rows = ", ".join(f"named_struct('pack_id', '{p.id}', 'v', {value(p)})" for p in packs)
+    return with_margins(bulbs, packs).selectExpr(*keep, f"explode(array({rows})) AS _v")
 
 
-def bucket_verdicts(bulbs: DataFrame, packs: Sequence[Pack], keep: Sequence[str] = ("lot_id", "bulb_id", "tray",
-                                                                                      "look", "w")) -> DataFrame:
-    """Each bulb under each pack: keep..., pack_id, bucket. One scan, no shuffle."""
-    graded = F.explode(F.array(*[F.struct(F.lit(p.id).alias("pack_id"), bucket_case(p).alias("bucket")) for p in packs]))
-    return bulbs.select(*keep, graded.alias("_v")).select(*keep, "_v.pack_id", "_v.bucket")
+def bucket_verdicts(bulbs: DataFrame, packs: Sequence[Pack],
+                    keep: Sequence[str] = ("lot_id", "bulb_id", "tray", "look", "w")) -> DataFrame:
+    """Bucket of each bulb under each pack: keep..., pack_id, bucket."""
+    return _per_pack(bulbs, packs, keep, bucket_case).selectExpr(*keep, "_v.pack_id", "_v.v AS bucket")
 
 
 def adjudicate(bulbs: DataFrame, packs: Sequence[Pack], keep: Sequence[str] = ("lot_id", "bulb_id")) -> DataFrame:
-    """Each bulb under each pack with its reasons: keep..., pack_id, bucket, codes, notes."""
-    graded = F.explode(F.array(*[F.struct(F.lit(p.id).alias("pack_id"), verdict_struct(p).alias("v")) for p in packs]))
-    return bulbs.select(*keep, graded.alias("_v")).select(*keep, "_v.pack_id", "_v.v.*")
+    """Bucket with its reasons of each bulb under each pack: keep..., pack_id, bucket, codes, notes."""
+    return _per_pack(bulbs, packs, keep, verdict_struct).selectExpr(*keep, "_v.pack_id", "_v.v.*")
 
 
 # ---- rule-table form -----------------------------------------------------------------------------------
@@ -210,22 +230,22 @@ def verdicts_from_outcomes(outcomes: DataFrame, bulbs: DataFrame, packs: DataFra
 def latest_actions(overrides: DataFrame) -> DataFrame:
     """The last recorded action per bulb, by sequence number and not by time."""
     return (overrides.groupBy("lot_id", "bulb_id")
-            .agg(F.max_by(F.struct("kind", "by", "to", "reason"), "seq").alias("act"))
+            .agg(F.max_by(F.struct("kind", "who", "to_bucket", "reason"), "seq").alias("act"))
             .select("lot_id", "bulb_id", "act.*"))
 
 
 def final_bucket(ai: Column) -> Column:
-    """Bucket after the latest action (columns kind, to); the AI bucket itself is kept beside it."""
+    """Bucket after the latest action (columns kind, to_bucket); the AI bucket itself is kept beside it."""
     return (F.when(F.col("kind").isNull(), ai).when(F.col("kind") == "contest", "REFER")
-            .otherwise(F.coalesce(F.col("to"), ai)))
+            .otherwise(F.coalesce(F.col("to_bucket"), ai)))
 
 
 def apply_overrides(verdicts: DataFrame, overrides: DataFrame) -> DataFrame:
     """verdict rows plus ai, final and actor ("who:kind:reason", NULL when untouched)."""
     joined = verdicts.join(latest_actions(overrides), ["lot_id", "bulb_id"], "left")
-    actor = F.when(F.col("kind").isNotNull(), F.concat_ws(":", "by", "kind", "reason"))
+    actor = F.when(F.col("kind").isNotNull(), F.concat_ws(":", "who", "kind", "reason"))
     return (joined.withColumn("final", final_bucket(F.col("bucket"))).withColumn("actor", actor)
-            .withColumnRenamed("bucket", "ai").drop("kind", "by", "to", "reason"))
+            .withColumnRenamed("bucket", "ai").drop("kind", "who", "to_bucket", "reason"))
 
 
 def verdict_changes(bulbs: DataFrame, packs: Sequence[Pack], overrides: DataFrame) -> DataFrame:
@@ -235,7 +255,7 @@ def verdict_changes(bulbs: DataFrame, packs: Sequence[Pack], overrides: DataFram
     it is shuffled; bulbs nobody touched never move.
     """
     touched = bulbs.join(latest_actions(overrides), ["lot_id", "bulb_id"])
-    graded = bucket_verdicts(touched, packs, ("lot_id", "bulb_id", "tray", "look", "w", "kind", "to"))
+    graded = bucket_verdicts(touched, packs, ("lot_id", "bulb_id", "tray", "look", "w", "kind", "to_bucket"))
     final = final_bucket(F.col("bucket"))
     pair = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(-1).alias("k")),
                    F.struct(final.alias("bucket"), F.lit(1).alias("k")))
@@ -253,7 +273,8 @@ def pack_in_force(lots: DataFrame, packs: Sequence[Pack], purchase_date: str = "
     day = F.date_format(F.col(purchase_date), "yyyy-MM-dd")
     live = F.filter(rows, lambda p: (p["effective_from"] <= day)
                     & (day <= F.coalesce(p["effective_to"], F.lit("9999-12-31"))))
-    return lots.select("*", F.explode(live).alias("_p")).select(*lots.columns, "_p.pack_id")
+    keep = [c for c in lots.columns if c != "pack_id"]
+    return lots.select(*keep, F.explode(live).alias("_p")).select(*keep, "_p.pack_id")
 
 
 def pack_limits(pack_rules: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def lot_results(trays: DataFrame, packs: Sequence[Pack] = PACKS, b: int | None =
     """(share intervals, decisions) of every lot under every pack."""
     totals = L.lot_totals(trays, packs)
     reps = b or packs[0].bootstrap_b
-    intervals = L.lot_intervals(L.lot_shares(totals), L.cluster_bootstrap(trays, packs, reps))
+    intervals = L.lot_intervals(L.lot_shares(trays, packs), L.cluster_bootstrap(trays, packs, reps))
     return intervals, L.lot_decision(L.sprt(totals, packs), packs)
 
 
@@ -47,7 +47,7 @@ def grade_lots(bulbs: DataFrame, packs: Sequence[Pack] = PACKS, overrides: DataF
 
 def graded_bucket_table(bulbs: DataFrame, pack: Pack) -> DataFrame:
     """The smallest useful result: items and estimated shares per lot and bucket under one pack."""
-    shares = L.lot_shares(L.lot_totals(graded_trays(bulbs, [pack]), [pack]))
+    shares = L.lot_shares(graded_trays(bulbs, [pack]), [pack])
     by = shares.where(F.col("bucket") != "PROCURED").groupBy("lot_id", "bucket")
     pick = lambda basis, c: F.max(F.when(F.col("basis") == basis, F.col(c)))
     return by.agg(pick("count", "x").cast("bigint").alias("n"), pick("count", "est").alias("est_by_count"),
