@@ -129,3 +129,40 @@ SELECT id, centre_id, lot_ref, farmer_name, officer_name, created_at, n_looks, n
  CASE WHEN id % 31 = 0 THEN {_GENESIS} ELSE {_LAG.format('row_hash')} END AS prev_hash
 FROM {{ledger_h3}}
 """)
+
+# Raw perception output, one row per item of a photo (capture); floats before quantisation.
+carrier("raw_items", """
+SELECT concat(CAST(l_suppkey AS STRING), '-', CAST(l_orderkey AS STRING)) AS capture_id, l_suppkey AS lot_id,
+ CAST(1 + l_orderkey % 4 AS INT) AS tray, CAST(1 + l_orderkey % 2 AS INT) AS look,
+ CAST(DATE '2026-05-01' + CAST(l_orderkey % 97 AS INT) AS TIMESTAMP) AS at,
+ CAST(row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1 AS INT) AS pos,
+ 20.3 + l_quantity * 1.07 AS min_mm, 20.3 + l_quantity * 1.07 + l_tax * 100.0 AS max_mm, l_discount * 10.0 AS sd_mm,
+ CAST(l_partkey % 100 AS DOUBLE) / 400.0 AS blackening_share, CAST(l_partkey % 37 AS DOUBLE) / 1000.0 AS rot_share,
+ l_discount / 3.0 AS sunburn_share, l_tax * 1.7 AS spots_share, CASE WHEN l_partkey % 29 = 0 THEN CAST(0.7 AS DOUBLE) ELSE CAST(l_partkey % 9 AS DOUBLE) / 1000.0 END AS sprouting_share,
+ CAST(l_orderkey % 11 AS DOUBLE) / 60.0 AS peeled_share, CAST(NULL AS DOUBLE) AS cut_share, CAST(0.025 AS DOUBLE) AS fsd,
+ CAST(0.95 AS DOUBLE) - l_discount AS conf, l_quantity * 140.3 AS weight_g, l_quantity * 25.1 AS weight_sd_g,
+ CAST(200 + l_partkey % 1500 AS INT) AS area_px, CAST(55 + l_orderkey % 45 AS DOUBLE) / 100.0 AS solidity, CAST(1.0 AS DOUBLE) + l_quantity / 20.0 AS aspect,
+ CAST(l_partkey % 20 AS DOUBLE) / 100.0 AS neck_share, l_partkey % 23 = 0 AS edge, CAST(l_orderkey % 200 AS INT) AS n_ref,
+ CASE l_suppkey % 4 WHEN 0 THEN 'aruco' WHEN 1 THEN 'a4' WHEN 2 THEN 'coin' ELSE 'intrinsics' END AS tier,
+ CAST(0.1 AS DOUBLE) + l_discount AS mm_per_px, CASE WHEN l_orderkey % 10 = 0 THEN CAST(0 AS DOUBLE) ELSE 350.0 + l_tax * 1000.0 END AS cam_mm, CAST(40 AS DOUBLE) AS cam_sd_mm,
+ CAST(l_partkey % 101 AS DOUBLE) / 100.0 AS p1, CASE WHEN l_partkey % 23 = 0 THEN 'edge' WHEN l_partkey % 31 = 0 THEN 'shape' END AS excluded
+FROM {lineitem}
+""")
+
+# Frame statistics of live scans.
+carrier("frames", """
+SELECT event_id, user_id, ts, CASE WHEN event_id % 9 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(event_id % 40 AS DOUBLE) - 20.0 END AS beta, CAST(event_id % 30 AS DOUBLE) - 15.0 AS gamma,
+ CAST(event_id % 20 AS DOUBLE) AS tilt, 30.0 + floor(value*100) % 100 AS sharp, CAST(10 + event_id % 90 AS DOUBLE) AS light, CAST(event_id % 16 AS DOUBLE) / 100.0 AS clipped,
+ event_id % 13 <> 0 AS target_found, CAST(event_id % 5 AS INT) AS n_items,
+ CASE WHEN event_id % 50 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(event_id % 256 AS DOUBLE) END AS brightness, floor(value*100) % 60 / 1.0 AS sharpness
+FROM {events}
+""")
+
+# Submitted record fields with junk in them.
+carrier("submissions", """
+SELECT conv_id, turn, concat(CASE WHEN conv_id % 3 = 0 THEN ' ' ELSE '' END, role, chr(7), CASE WHEN turn % 2 = 0 THEN chr(9) ELSE chr(127) END, CAST(conv_id AS STRING), chr(31), ' ') AS name,
+ text,
+ CASE CAST(conv_id % 6 AS INT) WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN '' WHEN 2 THEN 'yesterday' WHEN 3 THEN '2026-05-10 08:00:00' WHEN 4 THEN '2026-05-12 09:30:00' ELSE '2025-01-01 00:00:00' END AS client_at,
+ CASE CAST(turn % 5 AS INT) WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN ' ' WHEN 2 THEN concat(CAST(conv_id AS STRING), '.25') WHEN 3 THEN 'north' ELSE 'Infinity' END AS lat
+FROM {conversations}
+""")

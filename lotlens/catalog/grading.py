@@ -329,13 +329,13 @@ def _(t):
 
 @query("A08_cluster_bootstrap", "SELECT lot_id, pack_id, basis, bucket, floor(lo*1e6+0.5)/1e6 AS lo, floor(hi*1e6+0.5)/1e6 AS hi FROM {o_boot}")
 def _(t):
-    b = L.cluster_bootstrap(G.graded_trays(t("bulbs")), P.PACKS, B_SMALL)
+    b = L.cluster_bootstrap(L.reusable(G.graded_trays(t("bulbs"))), P.PACKS, B_SMALL)
     return b.select("lot_id", "pack_id", "basis", "bucket", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
 @query("A08_cluster_bootstrap_joined", "SELECT lot_id, pack_id, basis, bucket, floor(lo*1e6+0.5)/1e6 AS lo, floor(hi*1e6+0.5)/1e6 AS hi FROM {o_boot}")
 def _(t):
-    b = L.cluster_bootstrap(G.graded_trays(t("bulbs")), P.PACKS, B_SMALL, row_trays=4)
+    b = L.cluster_bootstrap(L.reusable(G.graded_trays(t("bulbs"))), P.PACKS, B_SMALL, row_trays=4)
     return b.select("lot_id", "pack_id", "basis", "bucket", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 

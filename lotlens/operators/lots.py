@@ -50,6 +50,15 @@ def merge_looks(looks: DataFrame, mode: str = "max_nonA") -> DataFrame:
     return looks.groupBy(*keys).agg(best, n_looks).select(*keys, "best.*", "n_looks")
 
 
+def reusable(trays: DataFrame) -> DataFrame:
+    """The same trays behind an exchange keyed on every column.
+
+    Several consumers follow (sizes, sums, resampling) and each would otherwise prune the item-level aggregate
+    differently and run it again; with every column a key, the exchange is identical for all and is reused.
+    """
+    return trays.distinct()
+
+
 def _by_pack(packs: Sequence[Pack], value) -> str:
     """CASE over pack_id giving ``value(pack)``."""
     return "CASE pack_id " + " ".join(f"WHEN '{p.id}' THEN {value(p)}" for p in packs) + " END"

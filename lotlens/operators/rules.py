@@ -6,6 +6,7 @@ table joined to unpivoted measures (for many packs, or packs kept as data).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -108,15 +109,39 @@ def _any(conditions: list[str]) -> str:
     return "(" + " OR ".join(conditions or ["false"]) + ")"
 
 
+def _stage_name(rules: Sequence[Rule], pack: Pack) -> str:
+    """Column holding the status of a rule list; packs that share a list share the column."""
+    body = "|".join(f"{r.measure}{r.op}{r.limit}{r.na}" for r in rules) + f"|{pack.size_metric}|{pack.k_sigma}"
+    return "_s_" + hashlib.md5(body.encode()).hexdigest()[:10]
+
+
+def with_stages(bulbs: DataFrame, packs: Sequence[Pack]) -> DataFrame:
+    """Add one status per distinct rule list: 2 some rule fails, 1 none fails but some is borderline, 0 all pass.
+
+    Rules and lists shared between packs are evaluated once per bulb, which also keeps the generated code small.
+    """
+    rules: dict[str, str] = {}
+    stages: dict[str, str] = {}
+    for p in packs:
+        for _, _, specs in p.stages():
+            names = []
+            for r in specs:
+                o = Outcome(r, p)
+                name = "_o_" + hashlib.md5((o.fail + o.refers).encode()).hexdigest()[:10]
+                rules[name] = f"CASE WHEN {o.fail} THEN 2 WHEN {o.refers} THEN 1 ELSE 0 END"
+                names.append(name)
+            stages[_stage_name(specs, p)] = (f"greatest({', '.join(names)})" if len(names) > 1 else (names or ["0"])[0])
+    base = with_margins(bulbs, packs).selectExpr(*bulbs.columns, *[f"{e} AS {n}" for n, e in rules.items()])
+    return base.selectExpr(*bulbs.columns, *[f"{e} AS {n}" for n, e in stages.items()])
+
+
 def bucket_case(pack: Pack) -> str:
-    """One pack compiled to a CASE giving the bucket of a bulb (needs the columns of ``with_margins``)."""
-    reject = [Outcome(r, pack) for r in pack.reject_rules]
-    whens = [f"WHEN conf < {pack.min_conf} THEN 'REFER'", f"WHEN {_any([o.fail for o in reject])} THEN 'REJECT'",
-             f"WHEN {_any([o.refers for o in reject])} THEN 'REFER'"]
+    """One pack compiled to a CASE giving the bucket of a bulb (needs the columns of ``with_stages``)."""
+    reject = _stage_name(pack.reject_rules, pack)
+    whens = [f"WHEN conf < {pack.min_conf} THEN 'REFER'", f"WHEN {reject} = 2 THEN 'REJECT'", f"WHEN {reject} = 1 THEN 'REFER'"]
     for b in pack.buckets:
-        rules = [Outcome(r, pack) for r in b.rules]
-        fails, refers = _any([o.fail for o in rules]), _any([o.refers for o in rules])
-        whens.append(f"WHEN NOT {fails} THEN IF({refers}, 'REFER', '{b.id}')")
+        s = _stage_name(b.rules, pack)
+        whens += [f"WHEN {s} = 0 THEN '{b.id}'", f"WHEN {s} = 1 THEN 'REFER'"]
     return f"CASE {' '.join(whens)} ELSE 'REJECT' END"
 
 
@@ -158,18 +183,18 @@ def verdict_struct(pack: Pack) -> str:
 def _per_pack(bulbs: DataFrame, packs: Sequence[Pack], keep: Sequence[str], value) -> DataFrame:
     """One row per bulb and pack with ``value(pack)``. One scan, no join, no shuffle."""
     rows = ", ".join(f"named_struct('pack_id', '{p.id}', 'v', {value(p)})" for p in packs)
-    return with_margins(bulbs, packs).selectExpr(*keep, f"explode(array({rows})) AS _v")
+    return bulbs.selectExpr(*keep, f"explode(array({rows})) AS _v")
 
 
 def bucket_verdicts(bulbs: DataFrame, packs: Sequence[Pack],
                     keep: Sequence[str] = ("lot_id", "bulb_id", "tray", "look", "w")) -> DataFrame:
     """Bucket of each bulb under each pack: keep..., pack_id, bucket."""
-    return _per_pack(bulbs, packs, keep, bucket_case).selectExpr(*keep, "_v.pack_id", "_v.v AS bucket")
+    return _per_pack(with_stages(bulbs, packs), packs, keep, bucket_case).selectExpr(*keep, "_v.pack_id", "_v.v AS bucket")
 
 
 def adjudicate(bulbs: DataFrame, packs: Sequence[Pack], keep: Sequence[str] = ("lot_id", "bulb_id")) -> DataFrame:
     """Bucket with its reasons of each bulb under each pack: keep..., pack_id, bucket, codes, notes."""
-    return _per_pack(bulbs, packs, keep, verdict_struct).selectExpr(*keep, "_v.pack_id", "_v.v.*")
+    return _per_pack(with_margins(bulbs, packs), packs, keep, verdict_struct).selectExpr(*keep, "_v.pack_id", "_v.v.*")
 
 
 # ---- rule-table form -----------------------------------------------------------------------------------

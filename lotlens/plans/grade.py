@@ -29,6 +29,7 @@ def graded_trays(bulbs: DataFrame, packs: Sequence[Pack] = PACKS, overrides: Dat
 
 def lot_results(trays: DataFrame, packs: Sequence[Pack] = PACKS, b: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(share intervals, decisions) of every lot under every pack."""
+    trays = L.reusable(trays)
     totals = L.lot_totals(trays, packs)
     reps = b or packs[0].bootstrap_b
     intervals = L.lot_intervals(L.lot_shares(trays, packs), L.cluster_bootstrap(trays, packs, reps))

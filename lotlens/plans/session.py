@@ -13,6 +13,8 @@ def local_session(name: str = "lotlens", cpus: int | str | None = None, partitio
     spark = (SparkSession.builder.master(f"local[{n}]").appName(name)
              .config("spark.sql.shuffle.partitions", str(partitions or 8))
              .config("spark.sql.adaptive.enabled", "true")
+             # Rule packs compile to wide expressions; above this size the JVM would interpret the fused method.
+             .config("spark.sql.codegen.hugeMethodLimit", "8000")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", memory)
              .config("spark.ui.enabled", "false")
