@@ -134,7 +134,7 @@ FROM {{ledger_h3}}
 carrier("raw_items", """
 SELECT concat(CAST(l_suppkey AS STRING), '-', CAST(l_orderkey AS STRING)) AS capture_id, l_suppkey AS lot_id,
  CAST(1 + l_orderkey % 4 AS INT) AS tray, CAST(1 + l_orderkey % 2 AS INT) AS look,
- CAST(DATE '2026-05-01' + CAST(l_orderkey % 97 AS INT) AS TIMESTAMP) AS at,
+ CAST(DATE '2026-05-01' + CAST(l_orderkey % 97 AS INT) AS TIMESTAMP) AS shot_at,
  CAST(row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1 AS INT) AS pos,
  20.3 + l_quantity * 1.07 AS min_mm, 20.3 + l_quantity * 1.07 + l_tax * 100.0 AS max_mm, l_discount * 10.0 AS sd_mm,
  CAST(l_partkey % 100 AS DOUBLE) / 400.0 AS blackening_share, CAST(l_partkey % 37 AS DOUBLE) / 1000.0 AS rot_share,
@@ -166,3 +166,117 @@ SELECT conv_id, turn, concat(CASE WHEN conv_id % 3 = 0 THEN ' ' ELSE '' END, rol
  CASE CAST(turn % 5 AS INT) WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN ' ' WHEN 2 THEN concat(CAST(conv_id AS STRING), '.25') WHEN 3 THEN 'north' ELSE 'Infinity' END AS lat
 FROM {conversations}
 """)
+
+# ---- receipts, logs, corrections --------------------------------------------------------------------------
+carrier("users", """
+SELECT * FROM (VALUES ('u0', 'supervisor', true), ('u1', 'officer', true), ('u2', 'officer', true), ('u3', 'auditor', true), ('u4', 'officer', false),
+ ('u5', 'supervisor', true), ('u6', 'officer', true), ('u7', 'auditor', false)) AS t(user_id, role, active)
+""")
+carrier("receipts_base", """
+SELECT o_orderkey AS receipt_no, sha256(concat('receipt ', CAST(o_orderkey AS STRING))) AS hash, o_custkey AS lot_id, concat('centre ', CAST(o_custkey % 12 AS STRING)) AS centre,
+ o_custkey % 7 AS device, o_orderdate AS issued_at, CASE WHEN p.pack_hash IS NULL THEN 'unknown' ELSE p.pack_hash END AS pack_hash, coalesce(p.pack_id, 'house-rules') AS pack_id,
+ o_orderkey % 4 AS n_actions, o_orderkey % 3 AS n_overrides, concat('u', CAST(o_orderkey % 9 AS STRING)) AS issuer_id, 100 + o_custkey % 500 AS n_bulbs,
+ CASE o_orderkey % 4 WHEN 0 THEN 'aruco' WHEN 1 THEN 'a4' WHEN 2 THEN 'coin' ELSE 'intrinsics' END AS tier,
+ floor(o_totalprice) % 8000 / 100 AS grade_a, floor(o_totalprice) % 2000 / 100 AS refer, floor(o_totalprice) % 9000 / 100 AS procured,
+ CASE o_orderkey % 5 WHEN 0 THEN 'REFER_TO_HUMAN' WHEN 1 THEN 'ACCEPT_LOT' WHEN 2 THEN 'REJECT_LOT' ELSE 'SAMPLE_MORE' END AS decision, o_custkey % 12 = 3 AS demo,
+ row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS rev0
+FROM {orders} LEFT JOIN {packs} p ON p.pack_ord = o_orderkey % 6
+""")
+carrier("receipts", """
+SELECT receipt_no, hash, lot_id, centre, device, issued_at, pack_hash, pack_id, n_actions, n_overrides, issuer_id, n_bulbs, tier, grade_a, refer, procured, decision, demo,
+ CASE WHEN receipt_no % 61 = 0 THEN rev0 + 1 ELSE rev0 END AS rev,
+ CASE WHEN receipt_no % 41 = 0 THEN sha256('forged') ELSE lag(hash) OVER (PARTITION BY lot_id ORDER BY rev0) END AS parent,
+ CASE WHEN receipt_no % 43 = 0 THEN sha256('lost') ELSE lag(hash) OVER (PARTITION BY device ORDER BY receipt_no) END AS prev
+FROM {receipts_base}
+""")
+carrier("log_leaves", """
+SELECT o_custkey % 3 AS log, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderdate, o_orderkey) - 1 AS idx,
+ sha256(concat('receipt ', CAST(o_orderkey AS STRING))) AS cert_hash, o_orderdate AS logged_at FROM {orders}
+""")
+carrier("tree_heads", """
+SELECT log, max(idx) + 1 AS size, max(logged_at) AS published_at FROM {log_leaves} GROUP BY log, extract(year FROM logged_at), extract(month FROM logged_at)
+""")
+carrier("corrections", """
+SELECT l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 AS correction_id, concat(CAST(l_suppkey AS STRING), '-', CAST(l_orderkey AS STRING)) AS capture_id,
+ CAST(l_linenumber % 3 AS INT) AS pos, CASE l_orderkey % 4 WHEN 0 THEN 'REJECT' WHEN 1 THEN 'GRADE_A' WHEN 2 THEN 'URS' ELSE 'REFER' END AS to_bucket, 'VISUAL_REINSPECTION' AS reason
+FROM {lineitem} WHERE l_partkey % 5 = 0
+""")
+carrier("capture_meta", """
+SELECT capture_id, min(lot_id) AS lot_id, min(tray) AS tray, min(look) AS look, min(shot_at) AS shot_at, sha256(capture_id) AS image_hash FROM {raw_items} GROUP BY capture_id
+""")
+carrier("lot_truth", """
+SELECT c_custkey AS lot_id, 40.0 + c_acctbal / 100.0 + 12.0 AS grade_a_kg, 20.0 + c_custkey % 17 AS urs_kg, 10.0 + c_custkey % 9 AS reject_kg FROM {customer} WHERE c_custkey % 10 <> 0
+""")
+carrier("size_truth", """
+SELECT capture_id, pos + 1 AS bulb_no, min_mm * 0.98 + 0.4 AS min_equatorial_mm, max_mm * 0.97 + 0.7 AS max_equatorial_mm, tier FROM {raw_items} WHERE excluded IS NULL
+""")
+carrier("located_items", """
+SELECT capture_id, pos, min_mm, max_mm, tier, floor(weight_g * 13) % 1000 / 1.0 AS x, floor(min_mm * 37) % 700 / 1.0 AS y, min_mm * 4.0 AS h FROM {raw_items} WHERE excluded IS NULL
+""")
+
+# ---- raters, models, photos, boxes -------------------------------------------------------------------------
+_RATED = """SELECT o_orderkey AS item, '{r}' AS rater, CASE WHEN o_orderkey * {m} % 11 < 7 THEN substr('ABRQ', CAST(1 + o_orderkey % 4 AS INT), 1) ELSE substr('ABRQ', CAST(1 + o_custkey * {m} % 4 AS INT), 1) END AS grade
+FROM {orders}"""
+carrier("ratings_all", " UNION ALL ".join(_RATED.replace("{r}", f"r{i}").replace("{m}", str(3 * i + 1)) for i in (1, 2, 3)))
+carrier("ratings", "SELECT * FROM {ratings_all} WHERE NOT (rater = 'r1' AND item % 17 = 3) AND NOT (rater = 'r3' AND item % 29 = 1)")
+carrier("model_grades", "SELECT o_orderkey AS item, CASE WHEN o_orderkey % 7 < 5 THEN substr('ABRQ', CAST(1 + o_orderkey % 4 AS INT), 1) ELSE 'B' END AS grade FROM {orders} WHERE o_orderkey % 19 <> 2")
+carrier("size_pairs", """
+SELECT l_orderkey AS id, 20.0 + l_quantity AS method_mm, 20.0 + l_quantity * 0.98 + l_discount * 10.0 AS ref_mm, CASE l_suppkey % 4 WHEN 0 THEN 'aruco' WHEN 1 THEN 'a4' WHEN 2 THEN 'coin' ELSE 'intrinsics' END AS tier,
+ 0.0005 * power(20.0 + l_quantity, 3) * (1.0 + l_tax) AS weight_g FROM {lineitem}
+""")
+carrier("photos", """
+SELECT o_orderkey AS id, CAST(o_orderkey % 2 AS INT) AS label, CASE WHEN o_custkey % 2 = 0 THEN 'red' ELSE 'white' END AS variety, CASE WHEN o_custkey % 3 = 0 THEN 'single' ELSE 'multiple' END AS qty,
+ CASE CAST(floor(o_orderkey / 25) AS BIGINT) % 5 WHEN 0 THEN 'tune' WHEN 4 THEN 'holdout' ELSE 'train' END AS split,
+ (floor(o_totalprice) % 700 + 300 * (o_orderkey % 2)) / 1000.0 AS score, (floor(o_totalprice * 7) % 700 + 250 * (o_orderkey % 2)) / 1000.0 AS score_new,
+ CAST(5 + o_custkey % 40 AS INT) AS n_items, CAST(200 + floor(o_totalprice) % 900 AS DOUBLE) AS ms
+FROM {orders}
+""")
+carrier("crops", """
+SELECT l_orderkey AS image_id, CAST(l_orderkey % 2 AS INT) AS label, CASE WHEN l_orderkey % 3 = 0 THEN 'single' ELSE 'multiple' END AS qty, CASE WHEN l_orderkey % 4 < 2 THEN 'red' ELSE 'white' END AS variety,
+ CASE CAST(floor(l_orderkey / 25) AS BIGINT) % 5 WHEN 0 THEN 'tune' WHEN 4 THEN 'holdout' ELSE 'train' END AS split,
+ concat_ws('-', l_orderkey, l_linenumber, l_partkey, CAST(floor(l_extendedprice*100+0.5) AS BIGINT)) AS crop_id, CAST(100 + l_partkey % 3000 AS INT) AS area_px, (l_partkey % 800 + 200 * (l_orderkey % 2)) / 1000.0 AS score
+FROM {lineitem}
+""")
+carrier("conf_pairs", "SELECT CAST(l_partkey % 101 AS DOUBLE) / 100.0 AS conf, CASE WHEN l_orderkey * 31 % 100 < l_partkey % 101 * 0.8 + 10 THEN 1 ELSE 0 END AS correct FROM {lineitem}")
+carrier("tray_truth", """
+SELECT concat(CAST(l_suppkey AS STRING), '/', CAST(l_orderkey % 5 AS STRING)) AS tray_id, CASE WHEN min(l_suppkey) % 4 = 0 THEN 'single' ELSE 'mixed' END AS composition, count(*) AS n_total,
+ sum(CASE WHEN l_quantity >= 40 THEN 1 ELSE 0 END) AS n_grade_a, sum(CASE WHEN l_partkey % 12 = 7 THEN 1 ELSE 0 END) AS n_rotten, sum(CASE WHEN l_partkey % 12 = 8 THEN 1 ELSE 0 END) AS n_sprouted,
+ sum(CASE WHEN l_partkey % 12 = 9 THEN 1 ELSE 0 END) AS n_smut, sum(CASE WHEN l_partkey % 12 = 10 THEN 1 ELSE 0 END) AS n_damaged, sum(CASE WHEN l_partkey % 12 = 11 THEN 1 ELSE 0 END) AS n_doubles,
+ sum(CASE WHEN l_quantity >= 40 AND l_linenumber % 2 = 0 THEN 1 ELSE 0 END) AS look1_a, sum(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END) AS look1_n,
+ sum(CASE WHEN l_partkey % 12 >= 7 AND l_linenumber % 4 = 0 THEN 1 ELSE 0 END) AS look1, CASE WHEN l_orderkey % 5 = 4 THEN CAST(NULL AS BIGINT) ELSE sum(CASE WHEN l_partkey % 12 >= 7 AND l_linenumber % 3 = 0 THEN 1 ELSE 0 END) END AS look2
+FROM {lineitem} GROUP BY l_suppkey, l_orderkey % 5
+""")
+carrier("tray_estimates", """
+SELECT tray_id, 100.0 * n_grade_a / n_total AS true_a, 100.0 * (n_rotten + n_sprouted + n_smut + n_damaged + n_doubles) / n_total AS true_d,
+ 100.0 * look1_a / greatest(1, look1_n) AS a1, 100.0 * look1 / n_total AS d1, CASE WHEN look2 IS NOT NULL THEN 100.0 * n_grade_a / n_total + 1.5 END AS a2, 100.0 * look2 / n_total AS d2 FROM {tray_truth}
+""")
+carrier("images", """
+SELECT o_orderkey AS image_id, CASE CAST(floor(o_orderkey / 25) AS BIGINT) % 5 WHEN 0 THEN 'valid' WHEN 4 THEN 'test' ELSE 'train' END AS split, concat('f', CAST(o_custkey % 3 AS STRING)) AS folder,
+ substr(md5(CAST(CASE WHEN o_orderkey % 50 = 7 THEN o_orderkey % 1000 ELSE o_orderkey + 100000 END AS STRING)), 1, 16) AS hash, o_orderdate AS taken_at FROM {orders}
+""")
+carrier("boxes", """
+SELECT l_orderkey AS image_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, CAST(floor(l_extendedprice*100+0.5) AS BIGINT)) AS gt_id, CAST(l_partkey % 7 AS INT) AS cls,
+ CASE CAST(floor(l_orderkey / 25) AS BIGINT) % 5 WHEN 0 THEN 'valid' WHEN 4 THEN 'test' ELSE 'train' END AS split,
+ CAST(5 + l_partkey % 80 AS DOUBLE) / 100.0 AS x0, CAST(5 + l_suppkey % 70 AS DOUBLE) / 100.0 AS y0, CAST(5 + l_partkey % 80 AS DOUBLE) / 100.0 + 0.01 + l_quantity / 300.0 AS x1, CAST(5 + l_suppkey % 70 AS DOUBLE) / 100.0 + 0.02 + l_quantity / 280.0 AS y1
+FROM {lineitem}
+""")
+carrier("detections", """
+SELECT image_id, concat('p-', gt_id) AS pred_id, cls, x0 + jitter AS x0, y0 AS y0, x1 + jitter AS x1, y1 + jitter / 2 AS y1, conf FROM (
+SELECT b.*, CAST(length(gt_id) * 7 % 13 AS DOUBLE) / 400.0 AS jitter, CAST(image_id * 17 % 97 AS DOUBLE) / 97.0 AS conf FROM {boxes} b WHERE image_id % 31 <> 0) d
+""")
+# 64-bit picture hashes: groups of eight parts share all but a bit or two, and some are exact copies.
+carrier("picture_hashes", """
+SELECT p_partkey AS id, CASE CAST(floor(p_partkey / 25) AS BIGINT) % 5 WHEN 0 THEN 'valid' WHEN 4 THEN 'test' ELSE 'train' END AS split,
+ concat(substr(base, 1, CAST(p_size % 15 AS INT)), CASE WHEN p_partkey % 3 = 0 THEN substr(base, CAST(p_size % 15 + 1 AS INT), 1) ELSE substr('1032547698badcfe', CAST(position(substr(base, CAST(p_size % 15 + 1 AS INT), 1) IN '0123456789abcdef') AS INT), 1) END, substr(base, CAST(p_size % 15 + 2 AS INT))) AS hash
+FROM (SELECT p_partkey, p_size, substr(md5(CAST(CAST(floor(p_partkey / 8) AS BIGINT) AS STRING)), 1, 16) AS base FROM {part}) q
+""")
+carrier("perturbed", """
+SELECT id, k AS perturbation, CAST(greatest(0, n_items - CAST(id % 3 AS INT)) AS INT) AS n_items, score * f AS score FROM (
+ SELECT p.*, 'dark' AS k, CAST(0.93 AS DOUBLE) AS f FROM {photos} p UNION ALL SELECT p.*, 'warm' AS k, CAST(1.21 AS DOUBLE) AS f FROM {photos} p) q
+""")
+# ---- event streams ------------------------------------------------------------------------------------------
+carrier("scans", """
+SELECT event_id, user_id AS key, ts, event_type <> 'error' AS pass, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'sharp' ELSE 'glare' END END AS gate,
+ event_type = 'purchase' AS shot, event_type = 'signup' AS press FROM {events}
+""")
+carrier("auth_events", "SELECT event_id, user_id, ts, event_type = 'error' OR event_id % 2 = 0 AS failed FROM {events}")

@@ -30,14 +30,14 @@ ITEM_KEY = ["capture_id", "pos"]
 def captures(t):
     """Nested captures as stored: one row per photo with its items in order."""
     raw = t("raw_items")
-    body = [c for c in raw.columns if c not in ("capture_id", "lot_id", "tray", "look", "at", "pos")]
-    nested = raw.groupBy("capture_id", "lot_id", "tray", "look", "at").agg(F.array_sort(F.collect_list(F.struct("pos", *body))).alias("bulbs"))
+    body = [c for c in raw.columns if c not in ("capture_id", "lot_id", "tray", "look", "shot_at", "pos")]
+    nested = raw.groupBy("capture_id", "lot_id", "tray", "look", "shot_at").agg(F.array_sort(F.collect_list(F.struct("pos", *body))).alias("bulbs"))
     return nested.withColumn("bulbs", F.transform("bulbs", lambda b: b.dropFields("pos")))
 
 
-@query("P01_usable_bulbs", """SELECT lot_id, 'b' || (row_number() OVER (PARTITION BY lot_id ORDER BY at, capture_id, pos) - 1) AS bulb_id, capture_id, pos FROM {raw_items} WHERE excluded IS NULL""")
+@query("P01_usable_bulbs", """SELECT lot_id, 'b' || (row_number() OVER (PARTITION BY lot_id ORDER BY shot_at, capture_id, pos) - 1) AS bulb_id, capture_id, pos FROM {raw_items} WHERE excluded IS NULL""")
 def _(t):
-    return M.usable_bulbs(captures(t)).select("lot_id", "bulb_id", "capture_id", "pos")
+    return M.usable_bulbs(captures(t), "shot_at").select("lot_id", "bulb_id", "capture_id", "pos")
 
 
 _Q = lambda c, k: f"CAST(floor({c}*{k}.0+0.5) AS INT)"
@@ -211,10 +211,10 @@ def _(t):
     return m.select("conv_id", "turn", F.size("m").alias("n_rows"), F.get("m", F.lit(0))["path"].alias("path"))
 
 
-@query("P25_bulb_snapshot", "SELECT id, lot_id, look_index, class AS cls, confidence, diameter_mm, size_grade, decision, disputed FROM {o_obs} WHERE lot_id = 7")
+@query("P25_bulb_snapshot", "SELECT id, lot_id, look_index, class AS cls, confidence, diameter_mm, size_grade, decision, disputed FROM {o_obs}")
 def _(t):
     b = K.classified(t("observations")).drop("cls").withColumnRenamed("class", "cls")
-    return X.bulb_snapshot(b, 7)
+    return X.bulb_snapshot(b)
 
 
 @query("P30_certifiable", """SELECT id, CASE scale_source WHEN 'homography' THEN 1.0::DOUBLE WHEN 'single_marker' THEN 0.7::DOUBLE ELSE 0.25::DOUBLE END AS scale_confidence, calibrated AND scale_source <> 'mat_edge' AS certifiable FROM {ledger_base}""")

@@ -122,6 +122,6 @@ def parse_manifest(text) -> Column:
 SNAPSHOT_COLUMNS = ("id", "lot_id", "look_index", "cls", "confidence", "diameter_mm", "size_grade", "decision", "disputed")
 
 
-def bulb_snapshot(bulbs: DataFrame, lot_id) -> DataFrame:
-    """The public columns of one lot's items."""
-    return bulbs.where(F.col("lot_id") == lot_id).select(*SNAPSHOT_COLUMNS)
+def bulb_snapshot(bulbs: DataFrame, lot_id=None) -> DataFrame:
+    """The public columns of one lot's items, or of every lot."""
+    return (bulbs if lot_id is None else bulbs.where(F.col("lot_id") == lot_id)).select(*SNAPSHOT_COLUMNS)
