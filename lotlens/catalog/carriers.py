@@ -227,14 +227,14 @@ SELECT l_orderkey AS id, 20.0 + l_quantity AS method_mm, 20.0 + l_quantity * 0.9
 carrier("photos", """
 SELECT o_orderkey AS id, CAST(o_orderkey % 2 AS INT) AS label, CASE WHEN o_custkey % 2 = 0 THEN 'red' ELSE 'white' END AS variety, CASE WHEN o_custkey % 3 = 0 THEN 'single' ELSE 'multiple' END AS qty,
  CASE CAST(floor(o_orderkey / 25) AS BIGINT) % 5 WHEN 0 THEN 'tune' WHEN 4 THEN 'holdout' ELSE 'train' END AS split,
- (floor(o_totalprice) % 700 + 300 * (o_orderkey % 2)) / 1000.0 AS score, (floor(o_totalprice * 7) % 700 + 250 * (o_orderkey % 2)) / 1000.0 AS score_new,
+ CAST(floor(o_totalprice) % 700 + 300 * (o_orderkey % 2) AS DOUBLE) / 1000 AS score, CAST(floor(o_totalprice * 7) % 700 + 250 * (o_orderkey % 2) AS DOUBLE) / 1000 AS score_new,
  CAST(5 + o_custkey % 40 AS INT) AS n_items, CAST(200 + floor(o_totalprice) % 900 AS DOUBLE) AS ms
 FROM {orders}
 """)
 carrier("crops", """
 SELECT l_orderkey AS image_id, CAST(l_orderkey % 2 AS INT) AS label, CASE WHEN l_orderkey % 3 = 0 THEN 'single' ELSE 'multiple' END AS qty, CASE WHEN l_orderkey % 4 < 2 THEN 'red' ELSE 'white' END AS variety,
  CASE CAST(floor(l_orderkey / 25) AS BIGINT) % 5 WHEN 0 THEN 'tune' WHEN 4 THEN 'holdout' ELSE 'train' END AS split,
- concat_ws('-', l_orderkey, l_linenumber, l_partkey, CAST(floor(l_extendedprice*100+0.5) AS BIGINT)) AS crop_id, CAST(100 + l_partkey % 3000 AS INT) AS area_px, (l_partkey % 800 + 200 * (l_orderkey % 2)) / 1000.0 AS score
+ concat_ws('-', l_orderkey, l_linenumber, l_partkey, CAST(floor(l_extendedprice*100+0.5) AS BIGINT)) AS crop_id, CAST(100 + l_partkey % 3000 AS INT) AS area_px, CAST(l_partkey % 800 + 200 * (l_orderkey % 2) AS DOUBLE) / 1000 AS score
 FROM {lineitem}
 """)
 carrier("conf_pairs", "SELECT CAST(l_partkey % 101 AS DOUBLE) / 100.0 AS conf, CASE WHEN l_orderkey * 31 % 100 < l_partkey % 101 * 0.8 + 10 THEN 1 ELSE 0 END AS correct FROM {lineitem}")

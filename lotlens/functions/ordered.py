@@ -22,9 +22,11 @@ def _keys(by: Sequence[str]) -> list[str]:
 def with_slices(df: DataFrame, order: str, slices: int = SLICES) -> DataFrame:
     """Add ``_slice``: the number of approximate quantile cuts of ``order`` at or below the row's value."""
     probs = [i / slices for i in range(1, slices)]
-    value = F.col(order).cast("double")
+    # Zone-less timestamps have no numeric cast of their own.
+    number = f"CAST(CAST({order} AS TIMESTAMP) AS DOUBLE)" if df.schema[order].dataType.typeName() in ("timestamp_ntz", "date") else f"CAST({order} AS DOUBLE)"
+    value = F.expr(number)
     cuts = df.agg(F.percentile_approx(value, probs, 10000).alias("_cuts")).scalar()
-    passed = " + ".join(f"IF(_cuts[{i}] <= CAST({order} AS DOUBLE), 1, 0)" for i in range(slices - 1))
+    passed = " + ".join(f"IF(_cuts[{i}] <= {number}, 1, 0)" for i in range(slices - 1))
     return df.select("*", cuts.alias("_cuts")).selectExpr(*df.columns, f"{passed} AS _slice")
 
 
