@@ -252,7 +252,7 @@ SELECT tray_id, 100.0 * n_grade_a / n_total AS true_a, 100.0 * (n_rotten + n_spr
 """)
 carrier("images", """
 SELECT o_orderkey AS image_id, CASE CAST(floor(o_orderkey / 25) AS BIGINT) % 5 WHEN 0 THEN 'valid' WHEN 4 THEN 'test' ELSE 'train' END AS split, concat('f', CAST(o_custkey % 3 AS STRING)) AS folder,
- substr(md5(CAST(CASE WHEN o_orderkey % 50 = 7 THEN o_orderkey % 1000 ELSE o_orderkey + 100000 END AS STRING)), 1, 16) AS hash, o_orderdate AS taken_at FROM {orders}
+ substr(md5(CAST(CASE WHEN o_orderkey % 50 = 7 THEN o_orderkey % 1030 ELSE o_orderkey + 100000 END AS STRING)), 1, 16) AS hash, o_orderdate AS taken_at FROM {orders}
 """)
 carrier("boxes", """
 SELECT l_orderkey AS image_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, CAST(floor(l_extendedprice*100+0.5) AS BIGINT)) AS gt_id, CAST(l_partkey % 7 AS INT) AS cls,
