@@ -154,9 +154,9 @@ def pack_rules_table(spark: SparkSession, packs: tuple[Pack, ...] = PACKS) -> Da
     return spark.sql(pack_rules_values_sql(packs))
 
 
-def read_rule_packs(spark: SparkSession, path: str) -> DataFrame:
-    """Pack JSON documents (one per file) as a nested table."""
-    return spark.read.schema(schema.PACK).option("recursiveFileLookup", True).option("multiLine", True).json(path)
+def read_rule_packs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Pack JSON documents (one per file, or one per line) as a nested table."""
+    return spark.read.schema(schema.PACK).option("recursiveFileLookup", True).option("multiLine", not lines).json(path)
 
 
 def explode_pack_rules(packs: DataFrame) -> DataFrame:
