@@ -55,7 +55,7 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         if name not in self._seen:
             if name in TABLES:
-                df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+                df = self._spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
             else:
                 sql = CARRIERS[name]
                 df = self.spark.sql(sql, **{n: self(n) for n in dict.fromkeys(_NAME.findall(sql))})
@@ -63,6 +63,15 @@ class Tables:
         return self._seen[name]
 
 
+    def _spread(self, df: DataFrame, worth: int = 2 << 20) -> DataFrame:
+        """Spread a file of few row groups over the cores; tables with enough splits are left alone."""
+        cores = self.spark.sparkContext.defaultParallelism
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        if int(size) < worth or df.rdd.getNumPartitions() >= cores:
+            return df
+        return df.repartition(cores, df.columns[0])
+
+
 def oracle_text(sql: str) -> str:
     """SQL twin with the CTEs it needs, dependencies first."""
     order: list[str] = []

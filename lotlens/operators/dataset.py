@@ -134,17 +134,19 @@ def near_duplicates(hashes: DataFrame, distance: int = 5, blocks: int = 8) -> Da
     width, share = 64 // blocks // 4, blocks - distance
     h = hashes.select("hash").distinct()
     parts = [f"substr(hash, {1 + i * width}, {width})" for i in range(blocks)]
-    keys = ", ".join(f"named_struct('c', {n}, 'k', concat({', '.join(parts[i] for i in combo)}))" for n, combo in enumerate(combinations(range(blocks), share)))
-    k = h.selectExpr("hash", "CAST(conv(substr(hash, 1, 8), 16, 10) AS BIGINT) AS hi", "CAST(conv(substr(hash, 9, 8), 16, 10) AS BIGINT) AS lo", f"inline(array({keys}))")
-    a = k.selectExpr("c", "k", "hash AS a", "hi AS ahi", "lo AS alo")
+    keys = ", ".join(f"named_struct('c', {n}, 'last', {combo[-1]}, 'k', concat({', '.join(parts[i] for i in combo)}))"
+                     for n, combo in enumerate(combinations(range(blocks), share)))
+    words = "CAST(conv(substr(hash, 1, 8), 16, 10) AS BIGINT) AS hi", "CAST(conv(substr(hash, 9, 8), 16, 10) AS BIGINT) AS lo"
+    k = h.selectExpr("hash", *words).selectExpr("hash", "hi", "lo", f"inline(array({keys}))")
+    a = k.selectExpr("c", "k", "last", "hash AS a", "hi AS ahi", "lo AS alo")
     b = k.selectExpr("c", "k", "hash AS b", "hi AS bhi", "lo AS blo")
-    d = a.join(b, ["c", "k"]).where("a < b").withColumn("distance", F.expr("bit_count(ahi ^ bhi) + bit_count(alo ^ blo)")).where(F.col("distance") <= distance)
-    # Ordinal of the first block combination the pair agrees on.
-    agree = ", ".join(f"substr(a, {1 + i * width}, {width}) = substr(b, {1 + i * width}, {width})" for i in range(blocks))
-    same = d.selectExpr("*", f"slice(filter(sequence(0, {blocks - 1}), i -> array({agree})[i]), 1, {share}) AS first")
-    order = {combo: n for n, combo in enumerate(combinations(range(blocks), share))}
-    table = ", ".join(f"'{'-'.join(map(str, c))}', {n}" for c, n in order.items())
-    return same.where(F.expr(f"map({table})[array_join(transform(first, i -> CAST(i AS STRING)), '-')] = c")).select("a", "b", "distance")
+    d = a.join(b, ["c", "k"]).where("a < b").selectExpr("a", "b", "last", "ahi ^ bhi AS xh", "alo ^ blo AS xl")
+    d = d.withColumn("distance", F.expr("CAST(bit_count(xh) + bit_count(xl) AS INT)")).where(F.col("distance") <= distance)
+    # Under the first combination a pair shares, exactly share - 1 earlier blocks agree before the combination's last one.
+    bits = 64 // blocks
+    word = lambda i: ("xh", 32 - bits * (i + 1)) if i < blocks // 2 else ("xl", 32 - bits * (i + 1 - blocks // 2))
+    agree = " + ".join(f"IF({i} < last AND (shiftright({word(i)[0]}, {word(i)[1]}) & {2**bits - 1}) = 0, 1, 0)" for i in range(blocks - 1))
+    return d.where(F.expr(f"{agree} = {share - 1}")).select("a", "b", "distance")
 
 
 def class_balance(boxes: DataFrame, minimum: int = 150) -> DataFrame:

@@ -160,7 +160,9 @@ def _ratios_sql(prefix: str) -> list[tuple[str, str]]:
 
 def _row_bootstrap(small: DataFrame, b: int, level: float, seed: Column | None) -> DataFrame:
     """Resample inside the lot row: replicates, draws and sums are higher-order functions over the tray array."""
-    base = small.withColumn("_seed", seed if seed is not None else lot_seed())
+    # Few bytes but much work per row: fix the task count, or adaptive execution would merge it all into one task.
+    tasks = int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = small.repartition(tasks, "lot_id", "pack_id").withColumn("_seed", seed if seed is not None else lot_seed())
     picks = f"transform(sequence(0, CAST(m AS INT) - 1), j -> trays[CAST({draw_sql('_seed', 'rep', 'j', 'm')} AS INT)])"
     zero = "named_struct(" + ", ".join(f"'{c}', 0.0D" for c in _BOOT) + ")"
     add = "named_struct(" + ", ".join(f"'{c}', acc.{c} + t.{c}" for c in _BOOT) + ")"

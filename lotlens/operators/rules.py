@@ -152,32 +152,49 @@ def _texts(pairs: list[tuple[str, str]]) -> str:
     return f"array_compact(array({', '.join(f'IF({c}, {t}, NULL)' for c, t in pairs)}))" if pairs else _EMPTY
 
 
-def verdict_struct(pack: Pack) -> str:
-    """bucket, codes and notes of a bulb under one pack.
+def with_reasons(bulbs: DataFrame, packs: Sequence[Pack]) -> DataFrame:
+    """Add, per distinct rule list, its status and the reason texts behind it.
 
-    Codes follow the deciding stage; notes accumulate over every stage that was looked at.
+    The texts are built once per list however many packs use it, and only for items that fail or refer on it.
     """
-    def stage(rules):
-        os_ = [Outcome(r, pack) for r in rules]
+    lists: dict[str, tuple[Sequence[Rule], Pack]] = {}
+    for p in packs:
+        for _, _, specs in p.stages():
+            lists.setdefault(_stage_name(specs, p), (specs, p))
+    status, texts = {}, {}
+    for name, (specs, p) in lists.items():
+        os_ = [Outcome(r, p) for r in specs]
+        fails = " OR ".join(o.fail for o in os_) or "false"
+        refers = " OR ".join(o.refers for o in os_) or "false"
+        missing = " OR ".join(o.missing for o in os_) or "false"
+        status[name] = f"CASE WHEN {fails} THEN 2 WHEN {refers} THEN 1 ELSE 0 END"
         borders = [(o.refers, f"IF({o.missing}, {o.note()}, {o.code(True)})" if o.rule.na == "refer" else o.code(True)) for o in os_]
-        return (_any([o.fail for o in os_]), _any([o.refers for o in os_]), _texts([(o.fail, o.code()) for o in os_]),
-                _texts(borders), _texts([(o.missing, o.note()) for o in os_]))
+        texts[f"{name}_f"] = f"IF({name} = 2, {_texts([(o.fail, o.code()) for o in os_])}, {_EMPTY})"
+        texts[f"{name}_b"] = f"IF({name} = 1, {_texts(borders)}, {_EMPTY})"
+        texts[f"{name}_n"] = f"IF({missing}, {_texts([(o.missing, o.note()) for o in os_])}, {_EMPTY})"
+    base = with_margins(bulbs, packs).selectExpr("*", *[f"{e} AS {n}" for n, e in status.items()])
+    return base.selectExpr(*bulbs.columns, *status, *[f"{e} AS {n}" for n, e in texts.items()])
+
 
-    row = lambda bucket, codes, notes: f"named_struct('bucket', '{bucket}', 'codes', {codes}, 'notes', array_distinct({notes}))"
+def verdict_struct(pack: Pack) -> str:
+    """bucket, codes and notes of a bulb under one pack (needs the columns of ``with_reasons``).
+
+    Codes follow the deciding stage; notes accumulate over every stage that was looked at.
+    """
+    row = lambda bucket, codes, notes: f"named_struct('bucket', '{bucket}', 'codes', {codes}, 'notes', {notes})"
+    joined = lambda xs: _EMPTY if not xs else xs[0] if len(xs) == 1 else f"concat({', '.join(xs)})"
+    notes = lambda xs: f"array_distinct({joined(xs)})"
     low = f"array(concat('LOW_CONFIDENCE_', conf, '_LT_{pack.min_conf}'))"
-    whens = [f"WHEN conf < {pack.min_conf} THEN {row('REFER', low, _EMPTY)}"]
-    fail, refer, fails, borders, seen = stage(pack.reject_rules)
-    whens += [f"WHEN {fail} THEN {row('REJECT', fails, seen)}", f"WHEN {refer} THEN {row('REFER', borders, seen)}"]
-    why: list[str] = []
+    s = _stage_name(pack.reject_rules, pack)
+    whens = [f"WHEN conf < {pack.min_conf} THEN {row('REFER', low, _EMPTY)}", f"WHEN {s} = 2 THEN {row('REJECT', s + '_f', notes([s + '_n']))}",
+             f"WHEN {s} = 1 THEN {row('REFER', s + '_b', notes([s + '_n']))}"]
+    why, seen = [], [s + "_n"]
     for b in pack.buckets:
-        fail, refer, fails, borders, notes = stage(b.rules)
-        seen = f"concat({seen}, {notes})"
-        earlier = f"concat({', '.join(why)})" if why else _EMPTY
-        whens += [f"WHEN NOT {fail} AND {refer} THEN {row('REFER', f'concat({earlier}, {borders})', seen)}",
-                  f"WHEN NOT {fail} THEN {row(b.id, earlier, seen)}"]
-        why.append(fails)
-    final = f"array_distinct(concat({', '.join(why)}))" if why else _EMPTY
-    return f"CASE {' '.join(whens)} ELSE {row('REJECT', final, seen)} END"
+        s = _stage_name(b.rules, pack)
+        seen = [*seen, s + "_n"]
+        whens += [f"WHEN {s} = 0 THEN {row(b.id, joined(why), notes(seen))}", f"WHEN {s} = 1 THEN {row('REFER', joined([*why, s + '_b']), notes(seen))}"]
+        why = [*why, s + "_f"]
+    return f"CASE {' '.join(whens)} ELSE {row('REJECT', f'array_distinct({joined(why)})', notes(seen))} END"
 
 
 def _per_pack(bulbs: DataFrame, packs: Sequence[Pack], keep: Sequence[str], value) -> DataFrame:
@@ -194,7 +211,7 @@ def bucket_verdicts(bulbs: DataFrame, packs: Sequence[Pack],
 
 def adjudicate(bulbs: DataFrame, packs: Sequence[Pack], keep: Sequence[str] = ("lot_id", "bulb_id")) -> DataFrame:
     """Bucket with its reasons of each bulb under each pack: keep..., pack_id, bucket, codes, notes."""
-    return _per_pack(with_margins(bulbs, packs), packs, keep, verdict_struct).selectExpr(*keep, "_v.pack_id", "_v.v.*")
+    return _per_pack(with_reasons(bulbs, packs), packs, keep, verdict_struct).selectExpr(*keep, "_v.pack_id", "_v.v.*")
 
 
 # ---- rule-table form -----------------------------------------------------------------------------------
