@@ -16,6 +16,7 @@ from lotlens.operators import rules as R
 from lotlens.operators import trust as T
 from lotlens.operators.text import search_lots
 from lotlens.plans import grade as G
+from lotlens.plans.session import materialise
 from lotlens.sources import packs as P
 
 shared("o_latest", "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY rev DESC, receipt_no) AS k FROM {receipts}) WHERE k = 1")
@@ -307,7 +308,7 @@ _STORED = ("grade_a", "urs", "reject", "refer", "grade_a_lo", "grade_a_hi", "pro
 
 @query("T11_regrade_receipts", """SELECT l.lot_id, l.lot_id % 11 <> 0 AS pack_known, CASE WHEN l.lot_id % 11 = 0 THEN NULL ELSE l.lot_id % 7 <> 0 END AS headline_ok FROM (SELECT DISTINCT lot_id FROM {bulbs}) l""")
 def _(t):
-    fresh = G.grade_lots(t("bulbs"), P.PACKS, t("overrides"), B_SMALL)
+    fresh = materialise(G.grade_lots(t("bulbs"), P.PACKS, t("overrides"), B_SMALL))
     # Stored receipts: each lot under its default pack; every seventh headline was altered and every eleventh names an unknown pack.
     stored = fresh.where(F.col("pack_id") == P.DEFAULT_PACK_ID).withColumn("grade_a", F.when(F.col("lot_id") % 7 == 0, F.col("grade_a") + 0.5).otherwise(F.col("grade_a")))
     stored = stored.withColumn("pack_hash", F.when(F.col("lot_id") % 11 == 0, "unknown").otherwise(P.pack_hash(P.default_pack()))).select("lot_id", "pack_hash", *_STORED)

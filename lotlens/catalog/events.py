@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -15,15 +14,17 @@ from lotlens.operators import trust as T
 from lotlens.operators.dataset import group_cap
 from lotlens.operators.text import trusted_time
 from lotlens.plans import grade as G
-from lotlens.plans.session import checkpoint_dir
+from lotlens.plans.session import shared_folder
 from lotlens.sources import packs as P
 from lotlens.streaming import streams as S
 
 
 def run_folder(spark) -> str:
-    """A fresh folder for one streaming run, under the cluster's checkpoint folder where one is configured."""
-    base = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="lotlens-")
-    return f"{base.rstrip('/')}/lotlens-stream-{uuid.uuid4().hex}"
+    """A fresh folder for one run, under the cluster's checkpoint folder where one is configured."""
+    base = shared_folder(spark)
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return f"{base}/lotlens-run-{uuid.uuid4().hex}"
 
 
 def stream_of(t, table: str):

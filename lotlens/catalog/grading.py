@@ -9,6 +9,7 @@ from lotlens.functions.numeric import percent, round_half_up
 from lotlens.operators import lots as L
 from lotlens.operators import rules as R
 from lotlens.plans import grade as G
+from lotlens.plans.session import materialise
 from lotlens.sources import packs as P
 
 B_SMALL = 200  # replicates used by the checked queries; packs default to 2000
@@ -329,13 +330,13 @@ def _(t):
 
 @query("A08_cluster_bootstrap", "SELECT lot_id, pack_id, basis, bucket, floor(lo*1e6+0.5)/1e6 AS lo, floor(hi*1e6+0.5)/1e6 AS hi FROM {o_boot}")
 def _(t):
-    b = L.cluster_bootstrap(L.reusable(G.graded_trays(t("bulbs"))), P.PACKS, B_SMALL)
+    b = L.cluster_bootstrap(materialise(G.graded_trays(t("bulbs"))), P.PACKS, B_SMALL)
     return b.select("lot_id", "pack_id", "basis", "bucket", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
 @query("A08_cluster_bootstrap_joined", "SELECT lot_id, pack_id, basis, bucket, floor(lo*1e6+0.5)/1e6 AS lo, floor(hi*1e6+0.5)/1e6 AS hi FROM {o_boot}")
 def _(t):
-    b = L.cluster_bootstrap(L.reusable(G.graded_trays(t("bulbs"))), P.PACKS, B_SMALL, row_trays=4)
+    b = L.cluster_bootstrap(materialise(G.graded_trays(t("bulbs"))), P.PACKS, B_SMALL, row_trays=4)
     return b.select("lot_id", "pack_id", "basis", "bucket", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 

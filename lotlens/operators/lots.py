@@ -50,15 +50,6 @@ def merge_looks(looks: DataFrame, mode: str = "max_nonA") -> DataFrame:
     return looks.groupBy(*keys).agg(best, n_looks).select(*keys, "best.*", "n_looks")
 
 
-def reusable(trays: DataFrame) -> DataFrame:
-    """The same trays behind an exchange keyed on every column.
-
-    Several consumers follow (sizes, sums, resampling) and each would otherwise prune the item-level aggregate
-    differently and run it again; with every column a key, the exchange is identical for all and is reused.
-    """
-    return trays.distinct()
-
-
 def _by_pack(packs: Sequence[Pack], value) -> str:
     """CASE over pack_id giving ``value(pack)``."""
     return "CASE pack_id " + " ".join(f"WHEN '{p.id}' THEN {value(p)}" for p in packs) + " END"
@@ -128,12 +119,13 @@ def quantile_positions(b: int, level: float) -> tuple[int, int]:
 _BOOT = ["n", "w", *dict.fromkeys(x for _, _, x, _ in SELECTORS)]
 
 
-def _bounds_sql(prefix: str, b: int, level: float) -> str:
-    """inline(...) of the ordered replicates' two quantiles for every share; replicates are arrays ``<prefix><column>``."""
+def _with_bounds(replicates: DataFrame, prefix: str, b: int, level: float) -> DataFrame:
+    """Two quantiles of every share's replicates, which are the arrays ``<prefix><column>``: each is sorted once."""
     lo, hi = quantile_positions(b, level)
-    rows = ", ".join(f"named_struct('basis', '{basis}', 'bucket', '{bucket}', 'lo', array_sort({prefix}{x})[{lo}], "
-                     f"'hi', array_sort({prefix}{x})[{hi}])" for basis, bucket, x, _ in SELECTORS)
-    return f"inline(array({rows}))"
+    shares = [x for _, _, x, _ in SELECTORS]
+    ordered = replicates.selectExpr("lot_id", "pack_id", *[f"sort_array({prefix}{x}) AS s_{x}" for x in shares])
+    rows = ", ".join(f"named_struct('basis', '{basis}', 'bucket', '{bucket}', 'lo', s_{x}[{lo}], 'hi', s_{x}[{hi}])" for basis, bucket, x, _ in SELECTORS)
+    return ordered.selectExpr("lot_id", "pack_id", f"inline(array({rows}))")
 
 
 def cluster_bootstrap(trays: DataFrame, packs: Sequence[Pack], b: int = 2000, level: float = 0.95, seed: Column | None = None,
@@ -162,14 +154,15 @@ def _row_bootstrap(small: DataFrame, b: int, level: float, seed: Column | None)
     """Resample inside the lot row: replicates, draws and sums are higher-order functions over the tray array."""
     # Few bytes but much work per row: fix the task count, or adaptive execution would merge it all into one task.
     tasks = int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = small.repartition(tasks, "lot_id", "pack_id").withColumn("_seed", seed if seed is not None else lot_seed())
+    # (hashing an expression of the keys, or an equal existing partitioning would make this exchange vanish).
+    base = small.repartition(tasks, F.xxhash64("lot_id", "pack_id")).withColumn("_seed", seed if seed is not None else lot_seed())
     picks = f"transform(sequence(0, CAST(m AS INT) - 1), j -> trays[CAST({draw_sql('_seed', 'rep', 'j', 'm')} AS INT)])"
     zero = "named_struct(" + ", ".join(f"'{c}', 0.0D" for c in _BOOT) + ")"
     add = "named_struct(" + ", ".join(f"'{c}', acc.{c} + t.{c}" for c in _BOOT) + ")"
     done = "named_struct(" + ", ".join(f"'{x}', {e}" for x, e in _ratios_sql("acc.")) + ")"
     replicate = f"aggregate({picks}, {zero}, (acc, t) -> {add}, acc -> {done})"
     reps = base.selectExpr("lot_id", "pack_id", f"transform(sequence(0, {b - 1}), rep -> {replicate}) AS _r")
-    return reps.selectExpr("lot_id", "pack_id", _bounds_sql("_r.", b, level))
+    return _with_bounds(reps, "_r.", b, level)
 
 
 def _joined_bootstrap(t: DataFrame, b: int, level: float, seed: Column | None) -> DataFrame:
@@ -185,7 +178,7 @@ def _joined_bootstrap(t: DataFrame, b: int, level: float, seed: Column | None) -
     shares = sums.selectExpr("lot_id", "pack_id", *[f"{e} AS {x}" for x, e in _ratios_sql("")])
     # Exactly b numbers per lot and share.
     lists = shares.groupBy("lot_id", "pack_id").agg(*[F.expr(f"collect_list({x}) AS {x}") for _, _, x, _ in SELECTORS])
-    return lists.selectExpr("lot_id", "pack_id", _bounds_sql("", b, level))
+    return _with_bounds(lists, "", b, level)
 
 
 def lot_intervals(shares: DataFrame, bootstrap: DataFrame) -> DataFrame:

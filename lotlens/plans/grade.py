@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lotlens.operators import lots as L
 from lotlens.operators import rules as R
+from lotlens.plans.session import materialise
 from lotlens.sources.packs import PACKS, Pack
 
 
@@ -28,8 +29,11 @@ def graded_trays(bulbs: DataFrame, packs: Sequence[Pack] = PACKS, overrides: Dat
 
 
 def lot_results(trays: DataFrame, packs: Sequence[Pack] = PACKS, b: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(share intervals, decisions) of every lot under every pack."""
-    trays = L.reusable(trays)
+    """(share intervals, decisions) of every lot under every pack.
+
+    Trays are written once: sums, design effects and both resampling forms read them, and the items are scanned once.
+    """
+    trays = materialise(trays)
     totals = L.lot_totals(trays, packs)
     reps = b or packs[0].bootstrap_b
     intervals = L.lot_intervals(L.lot_shares(trays, packs), L.cluster_bootstrap(trays, packs, reps))

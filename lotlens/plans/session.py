@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "lotlens", cpus: int | str | None = None, partitions: int | None = None,
@@ -24,11 +26,24 @@ def local_session(name: str = "lotlens", cpus: int | str | None = None, partitio
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The cluster's shared checkpoint folder; ``fallback`` is set only where none is configured."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        return current
-    if fallback:
-        spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+def shared_folder(spark: SparkSession) -> str | None:
+    """The cluster's checkpoint folder; in local mode a temporary one stands in where none is configured."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    return tempfile.mkdtemp(prefix="lotlens-") if spark.sparkContext.master.startswith("local") else None
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several consumers read, and go on from the written table.
+
+    Lost executors then re-read files instead of repeating the item-level pass. Without a shared folder (a cluster that
+    names none) the plan is returned unchanged.
+    """
+    spark = df.sparkSession
+    base = shared_folder(spark)
+    if base is None:
+        return df
+    path = f"{base}/lotlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
