@@ -122,31 +122,42 @@ def cross_split_leakage(images: DataFrame) -> DataFrame:
     return images.groupBy("hash").agg(F.count_distinct("split").alias("n_splits"), F.count(F.lit(1)).alias("n_images")).where(F.col("n_splits") > 1)
 
 
-def near_duplicates(hashes: DataFrame, distance: int = 5, blocks: int = 8) -> DataFrame:
-    """Pairs of distinct 64-bit hashes (16 hex digits) within a Hamming distance: a, b, distance.
+HOT_BUCKET = 2000
 
-    With 8 blocks and at most 5 differing bits, at least 3 blocks agree, so hashes meet on keys of 3 blocks (24 bits),
-    not on single short bands, and no pair is lost. A pair is kept only under the first three blocks it shares, so it
-    appears once without a distinct. Copies are collapsed first: only distinct hashes are compared.
+
+def near_duplicates(hashes: DataFrame, distance: int = 5, hot: int = HOT_BUCKET) -> DataFrame:
+    """Pairs of distinct 64-bit hashes (16 hex digits) within a Hamming distance of at most 5: a, b, distance.
+
+    Copies are collapsed first: only distinct hashes are compared. Of eight bytes at least three agree, so hashes meet on
+    keys of three bytes and no pair is lost; a pair is kept only under the first three bytes it shares, so it appears once
+    without a distinct. A key shared by more than ``hot`` hashes is split further: of the ten digits outside the key at
+    least five agree, so its hashes meet on five more digits, and a pair is kept under the first five it shares.
     """
-    if 64 % blocks or (64 // blocks) % 4 or blocks <= distance:
-        raise ValueError("blocks must divide 64 into whole hex digits and exceed the distance")
-    width, share = 64 // blocks // 4, blocks - distance
-    h = hashes.select("hash").distinct()
-    parts = [f"substr(hash, {1 + i * width}, {width})" for i in range(blocks)]
-    keys = ", ".join(f"named_struct('c', {n}, 'last', {combo[-1]}, 'k', concat({', '.join(parts[i] for i in combo)}))"
-                     for n, combo in enumerate(combinations(range(blocks), share)))
-    words = "CAST(conv(substr(hash, 1, 8), 16, 10) AS BIGINT) AS hi", "CAST(conv(substr(hash, 9, 8), 16, 10) AS BIGINT) AS lo"
-    k = h.selectExpr("hash", *words).selectExpr("hash", "hi", "lo", f"inline(array({keys}))")
-    a = k.selectExpr("c", "k", "last", "hash AS a", "hi AS ahi", "lo AS alo")
-    b = k.selectExpr("c", "k", "hash AS b", "hi AS bhi", "lo AS blo")
-    d = a.join(b, ["c", "k"]).where("a < b").selectExpr("a", "b", "last", "ahi ^ bhi AS xh", "alo ^ blo AS xl")
-    d = d.withColumn("distance", F.expr("CAST(bit_count(xh) + bit_count(xl) AS INT)")).where(F.col("distance") <= distance)
-    # Under the first combination a pair shares, exactly share - 1 earlier blocks agree before the combination's last one.
-    bits = 64 // blocks
-    word = lambda i: ("xh", 32 - bits * (i + 1)) if i < blocks // 2 else ("xl", 32 - bits * (i + 1 - blocks // 2))
-    agree = " + ".join(f"IF({i} < last AND (shiftright({word(i)[0]}, {word(i)[1]}) & {2**bits - 1}) = 0, 1, 0)" for i in range(blocks - 1))
-    return d.where(F.expr(f"{agree} = {share - 1}")).select("a", "b", "distance")
+    if not 0 <= distance <= 5:
+        raise ValueError("distance must be between 0 and 5")
+    byte = lambda i: f"substr(hash, {1 + 2 * i}, 2)"
+    joined = lambda ids: f"concat({', '.join(byte(i) for i in ids)})"
+    keys = ", ".join(f"named_struct('c', {n}, 'last', {x[-1]}, 'k', {joined(x)}, 'rest', {joined([i for i in range(8) if i not in x])})"
+                     for n, x in enumerate(combinations(range(8), 3)))
+    h = hashes.select("hash").distinct().selectExpr("hash", "CAST(conv(substr(hash, 1, 8), 16, 10) AS BIGINT) AS hi", "CAST(conv(substr(hash, 9, 8), 16, 10) AS BIGINT) AS lo")
+    keyed = h.selectExpr("hash", "hi", "lo", f"inline(array({keys}))")
+    crowded = keyed.groupBy("c", "k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select("c", "k")
+
+    def pairs(rows: DataFrame, on: list[str]) -> DataFrame:
+        a = rows.selectExpr(*on, "last", "hash AS a", "hi AS ahi", "lo AS alo", "rest AS ra")
+        b = rows.selectExpr(*on, "hash AS b", "hi AS bhi", "lo AS blo", "rest AS rb")
+        d = a.join(b, on).where("a < b").selectExpr(*on, "a", "b", "ra", "rb", "last", "ahi ^ bhi AS xh", "alo ^ blo AS xl")
+        d = d.withColumn("distance", F.expr("CAST(bit_count(xh) + bit_count(xl) AS INT)")).where(F.col("distance") <= distance)
+        # Under the first three bytes a pair shares, exactly two earlier bytes agree before the third.
+        word = lambda i: f"shiftright({'xh' if i < 4 else 'xl'}, {24 - 8 * (i % 4)}) & 255"
+        return d.where(F.expr(" + ".join(f"IF({i} < last AND ({word(i)}) = 0, 1, 0)" for i in range(7)) + " = 2"))
+    usual = pairs(keyed.join(crowded, ["c", "k"], "left_anti"), ["c", "k"])
+    picks = ", ".join(f"array({', '.join(map(str, x))})" for x in combinations(range(1, 11), 5))
+    five = "concat(" + ", ".join(f"substr(rest, x[{i}], 1)" for i in range(5)) + ")"
+    split = keyed.join(crowded, ["c", "k"], "left_semi").selectExpr("*", f"posexplode(transform(array({picks}), x -> {five})) AS (c2, k2)")
+    dense = pairs(split, ["c", "k", "c2", "k2"]).withColumn("last2", F.expr(f"array({picks})[c2][4]"))
+    dense = dense.where(F.expr(" + ".join(f"IF({i} < last2 AND substr(ra, {i}, 1) = substr(rb, {i}, 1), 1, 0)" for i in range(1, 10)) + " = 4"))
+    return usual.select("a", "b", "distance").unionByName(dense.select("a", "b", "distance"))
 
 
 def class_balance(boxes: DataFrame, minimum: int = 150) -> DataFrame:

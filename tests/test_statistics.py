@@ -104,7 +104,7 @@ def test_two_proportion(spark):
 
 def test_near_duplicates_equal_brute_force(spark):
     rng = random.Random(11)
-    base = [rng.getrandbits(64) for _ in range(25)]
+    base = [rng.getrandbits(64) for _ in range(12)]
     hs = {b for b in base}
     for b in base:
         for _ in range(6):
@@ -114,8 +114,10 @@ def test_near_duplicates_equal_brute_force(spark):
             hs.add(x)
     rows = [(f"{h:016x}",) for h in hs] * 2
     want = {(f"{a:016x}", f"{b:016x}") for a, b in itertools.combinations(sorted(hs), 2) if bin(a ^ b).count("1") <= 5}
-    got = [(r.a, r.b) for r in D.near_duplicates(spark.createDataFrame(rows, "hash string")).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and want
+    df = spark.createDataFrame(rows, "hash string")
+    for hot in (2000, 4):
+        got = [(r.a, r.b) for r in D.near_duplicates(df, hot=hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
 
 
 def test_greedy_match_equals_sequential(spark):
