@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lotlens.operators.rules import final_bucket
 from lotlens.operators.text import trusted_time
 from lotlens.operators.trust import IDENTITY
 from lotlens.sources.packs import Pack
@@ -153,4 +152,4 @@ def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
 
 
 __all__ = ["sprt_stream", "steady_scan_stream", "lockout_stream", "guard_stream", "first_records", "trusted_stream", "current_actions",
-           "session_stream", "daily_drift_stream", "tail", "drain", "final_bucket"]
+           "session_stream", "daily_drift_stream", "tail", "drain"]

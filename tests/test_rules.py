@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from lotlens.operators import rules as R
 from lotlens.sources import packs as P
@@ -98,4 +97,3 @@ def test_plan_has_one_shuffle(spark):
     from lotlens.plans.grade import graded_looks
     plan = graded_looks(spark.createDataFrame([bulb(0)], COLS), P.PACKS)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
-    assert F is not None

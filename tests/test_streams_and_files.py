@@ -111,3 +111,20 @@ def test_severities_nest(spark):
     rows = W.what_if_bulbs(items, [0.0, 0.2, 0.5, 1.0]).orderBy("severity").collect()
     assert [r.n_degraded for r in rows] == sorted(r.n_degraded for r in rows) and rows[0].n_degraded == 0 and rows[-1].n_defects == 200
     assert all(r.to_rotten == r.n_degraded for r in rows)
+
+
+def test_manifest_tolerates_junk(spark):
+    good = json.dumps([{"look_index": 0, "tray_id": "1", "path": "lot_1/look_0.jpg", "sha256": "ab", "bytes": 3}])
+    df = spark.createDataFrame([(0, good), (1, "not json"), (2, None), (3, "[]")], "i int, s string")
+    got = {r.i: len(r.m) for r in df.select("i", X.parse_manifest("s").alias("m")).collect()}
+    assert got == {0: 1, 1: 0, 2: 0, 3: 0}
+
+
+def test_ledger_tail_writes_every_row_once(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 3, i % 5 == 0) for i in range(50)], "id long, centre_id long, disputed boolean")
+    stream = as_stream(spark, df, str(tmp_path / "in"))
+    seen = []
+    for _ in range(2):  # a second run over the same input adds nothing
+        M.tail(stream, str(tmp_path / "out"), str(tmp_path / "ck"), lambda b, i: seen.append(b.count())).awaitTermination()
+    out = spark.read.schema(df.schema).parquet(str(tmp_path / "out"))
+    assert out.count() == 50 and out.where("disputed").count() == 10 and sum(seen) == 50
