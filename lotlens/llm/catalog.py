@@ -6,17 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.llm import bpe
-from lotlens.llm.common import table
+from lotlens.llm import bpe, langid
+from lotlens.llm.common import held_out, table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from three quarters of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out("doc_id", 4)))
+    return docs.select("doc_id", held_out("doc_id", 4).alias("held_out"), langid.identify(docs, model).alias("s")).select("doc_id", "held_out", "s.*")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of each text's ids, and the digest of what they decode to."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", bpe.coded(F.col("text"), MULTI_RANKS).alias("c")).select("doc_id", "c.*")
 
 
-QUERIES = {f.__name__: f for f in [op4_byte_bpe]}
+QUERIES = {f.__name__: f for f in [op3_language_id, op4_byte_bpe]}
 SQL: dict[str, str] = {}
