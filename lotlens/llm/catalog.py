@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.llm import bpe, langid
+from lotlens.llm import bpe, langid, lattice
 from lotlens.llm.common import held_out, table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +26,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.coded(F.col("text"), MULTI_RANKS).alias("c")).select("doc_id", "c.*")
 
 
-QUERIES = {f.__name__: f for f in [op3_language_id, op4_byte_bpe]}
+def op5_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every text under the lattice model and the add-one word model, learned from six sevenths."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 7).alias("held_out"))
+    return lattice.score(docs, lattice.vocabulary(PIECES))
+
+
+QUERIES = {f.__name__: f for f in [op3_language_id, op4_byte_bpe, op5_lattice_score]}
 SQL: dict[str, str] = {}
