@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.llm import bpe, langid, lattice
+from lotlens.llm import bpe, jaccard, langid, lattice
 from lotlens.llm.common import held_out, table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -32,5 +32,10 @@ def op5_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(docs, lattice.vocabulary(PIECES))
 
 
-QUERIES = {f.__name__: f for f in [op3_language_id, op4_byte_bpe, op5_lattice_score]}
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 85 % Jaccard similarity of 4-word shingles."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in [op3_language_id, op4_byte_bpe, op5_lattice_score, op6_ngram_jaccard]}
 SQL: dict[str, str] = {}
