@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.llm import bpe, jaccard, langid, lattice
+from lotlens.llm import bpe, jaccard, langid, lattice, toxicity
 from lotlens.llm.common import held_out, table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -37,5 +37,18 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in [op3_language_id, op4_byte_bpe, op5_lattice_score, op6_ngram_jaccard]}
+def severity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade 0 for clean labels, 1 for toxic ones, 2 for toxic ones of low quality."""
+    labels = table(spark, sf_dir, "labels").where("toxic is not null")
+    return labels.select("doc_id", F.when(F.col("toxic") == 0, 0).otherwise(F.when(F.col("quality") == 0, 2).otherwise(1)).alias("grade"))
+
+
+def op7_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected toxic severity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, severity_grades(spark, sf_dir))
+    return docs.select("doc_id", toxicity.grade(docs, model).alias("s")).select("doc_id", "s.*")
+
+
+QUERIES = {f.__name__: f for f in [op3_language_id, op4_byte_bpe, op5_lattice_score, op6_ngram_jaccard, op7_toxicity_severity]}
 SQL: dict[str, str] = {}
