@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.llm import bpe, jaccard, langid, lattice, toxicity
+from lotlens.llm import bpe, decontaminate, jaccard, langid, lattice, toxicity
 from lotlens.llm.common import held_out, table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document: how many, the smallest id and the fewest edits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), "found")
+    return found.select("doc_id", (F.size("found") > 0).alias("contaminated"), F.size("found").alias("n_items"),
+                        F.array_min(F.col("found.item_id")).alias("item_id"), F.array_min(F.col("found.edits")).alias("edits"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from three quarters of the documents."""
     docs = table(spark, sf_dir, "documents")
@@ -50,5 +58,5 @@ def op7_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", toxicity.grade(docs, model).alias("s")).select("doc_id", "s.*")
 
 
-QUERIES = {f.__name__: f for f in [op3_language_id, op4_byte_bpe, op5_lattice_score, op6_ngram_jaccard, op7_toxicity_severity]}
+QUERIES = {f.__name__: f for f in [op2_decontaminate, op3_language_id, op4_byte_bpe, op5_lattice_score, op6_ngram_jaccard, op7_toxicity_severity]}
 SQL: dict[str, str] = {}
