@@ -6,13 +6,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.llm import bpe, decontaminate, jaccard, langid, lattice, toxicity
+from lotlens.llm import bpe, chat, decontaminate, jaccard, langid, lattice, toxicity
 from lotlens.llm.common import held_out, table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with a reply as a preference pair against its neighbour's reply."""
+    done = chat.format_preferences(chat.mismatched_replies(table(spark, sf_dir, "conversations")))
+    spans = {f"{c}_spans": F.array_join(F.transform(f"{c}_spans", lambda x: F.concat_ws("-", x.start.cast("string"), x.end.cast("string"))), ",") for c in ("chosen", "rejected")}
+    return done.withColumns(spans)
+
+
+OP1_SQL = """
+WITH rows AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM rows),
+last AS (SELECT conv_id, max(i) AS last FROM numbered WHERE role = 'assistant' GROUP BY 1),
+chosen AS (SELECT n.conv_id, i, role, text FROM numbered n JOIN last l ON n.conv_id = l.conv_id AND n.i <= l.last),
+rejected AS (SELECT n.conv_id, i, role, text FROM numbered n JOIN last l ON n.conv_id = l.conv_id AND n.i < l.last
+  UNION ALL SELECT l.conv_id, l.last, n.role, n.text FROM last l JOIN last o ON o.conv_id = xor(l.conv_id, 1) JOIN numbered n ON n.conv_id = o.conv_id AND n.i = o.last),
+cut AS (SELECT l.conv_id, coalesce(min(c.i) - 1, any_value(l.last)) AS cut_at FROM last l LEFT JOIN
+  (SELECT c.conv_id, c.i FROM chosen c LEFT JOIN rejected r USING (conv_id, i) WHERE r.conv_id IS NULL OR c.role <> r.role OR c.text <> r.text) c USING (conv_id) GROUP BY 1),
+parts AS (SELECT 'c' AS side, * FROM chosen UNION ALL SELECT 'r', * FROM rejected),
+drawn AS (SELECT p.*, cut_at, '<|' || role || '|>' || chr(10) AS head, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS whole FROM parts p JOIN cut USING (conv_id)),
+placed AS (SELECT *, coalesce(sum(length(whole)) OVER (PARTITION BY side, conv_id, i > cut_at ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM drawn),
+done AS (SELECT conv_id, side, cut_at,
+  coalesce(string_agg(whole, '' ORDER BY i) FILTER (WHERE i <= cut_at), '') AS prompt, coalesce(string_agg(whole, '' ORDER BY i) FILTER (WHERE i > cut_at), '') AS body,
+  coalesce(string_agg((before + length(head))::BIGINT::VARCHAR || '-' || (before + length(whole) - 1)::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (WHERE i > cut_at AND role = 'assistant'), '') AS spans
+  FROM placed GROUP BY 1, 2, 3)
+SELECT c.conv_id, CAST(c.cut_at AS INTEGER) AS prompt_turns, c.prompt, c.body AS chosen_text, c.spans AS chosen_spans, coalesce(r.body, '') AS rejected_text, coalesce(r.spans, '') AS rejected_spans,
+  (c.body = '' AND coalesce(r.body, '') = '') AS tie
+FROM (SELECT * FROM done WHERE side = 'c') c LEFT JOIN (SELECT * FROM done WHERE side = 'r') r USING (conv_id)
+"""
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in every document: how many, the smallest id and the fewest edits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,5 +87,5 @@ def op7_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", toxicity.grade(docs, model).alias("s")).select("doc_id", "s.*")
 
 
-QUERIES = {f.__name__: f for f in [op2_decontaminate, op3_language_id, op4_byte_bpe, op5_lattice_score, op6_ngram_jaccard, op7_toxicity_severity]}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in [op1_preference_format, op2_decontaminate, op3_language_id, op4_byte_bpe, op5_lattice_score, op6_ngram_jaccard, op7_toxicity_severity]}
+SQL = {"op1_preference_format": OP1_SQL}
