@@ -5,17 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.llm import bpe
-from lotlens.llm.catalog import MULTI_RANKS
+from lotlens.llm import bpe, decontaminate, jaccard, langid, toxicity
+from lotlens.llm.catalog import MULTI_RANKS, severity_grades
 from lotlens.llm.common import table, written
 
 
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language known from `lang`; rejected go: no letter, or far from every language learned."""
+    model = langid.train(docs)
+    return docs.withColumn("_found", langid.identify(docs, model)).where("not _found.rejected").drop("_found")
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of an expected severity under one half, by a model fitted on `labels`."""
+    model = toxicity.train(docs, severity_grades(spark, sf_dir))
+    return docs.withColumn("_found", toxicity.grade(docs, model)).where("not _found.toxic").drop("_found")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates (five words, 80 % similarity): that with the smallest doc_id.
+
+    Of several rows with that doc_id one stays. Rows without a doc_id can't be named by a component; all of them stay.
+    """
+    ids = jaccard.join(docs, width=5, percent=80).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(ids, docs.doc_id == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return named.union(docs.where("doc_id is null"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of `benchmark`."""
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), "_found").where("size(_found) = 0").drop("_found")
+
+
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the number of its ids and the digests of ids and decoded bytes."""
     return docs.select("doc_id", bpe.coded(F.col("text"), MULTI_RANKS).alias("c")).select("doc_id", "c.*")
 
 
-STAGES = [("byte-level BPE", tokenised)]
+STAGES = [("language ID", in_a_language), ("toxicity", not_toxic), ("n-gram Jaccard join", one_of_each_group),
+          ("benchmark decontamination", decontaminated), ("byte-level BPE", tokenised)]
 
 #: The stages run trained models and alignments, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
