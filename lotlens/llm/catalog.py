@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.llm import bpe, chat, decontaminate, jaccard, langid, lattice, toxicity
-from lotlens.llm.common import held_out, table
+from lotlens.llm import bpe, chat, decontaminate, jaccard, langid, lattice, tokenfile, toxicity
+from lotlens.llm.common import held_out, shared_folder, table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTES_JSON = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -87,5 +88,12 @@ def op7_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", toxicity.grade(docs, model).alias("s")).select("doc_id", "s.*")
 
 
-QUERIES = {f.__name__: f for f in [op1_preference_format, op2_decontaminate, op3_language_id, op4_byte_bpe, op5_lattice_score, op6_ngram_jaccard, op7_toxicity_severity]}
+def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as read back from the files written: where they start, how many, and their crc32."""
+    files = tokenfile.write(table(spark, sf_dir, "documents"), shared_folder(spark), BYTES_JSON)
+    return tokenfile.read(tokenfile.index(files)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in [op1_preference_format, op2_decontaminate, op3_language_id, op4_byte_bpe, op5_lattice_score, op6_ngram_jaccard, op7_toxicity_severity,
+                                  op8_token_frames]}
 SQL = {"op1_preference_format": OP1_SQL}
