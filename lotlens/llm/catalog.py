@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.llm import bpe, chat, decontaminate, jaccard, langid, lattice, tokenfile, toxicity
+from lotlens.llm import bpe, chat, decontaminate, jaccard, langid, lattice, tokenfile, toxicity, warc
 from lotlens.llm.common import held_out, shared_folder, table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -94,6 +94,19 @@ def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(tokenfile.index(files)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the archives written."""
+    return warc.read(warc.write(table(spark, sf_dir, "pages"), shared_folder(spark))).drop("payload", "url")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100
+"""
+
+
 QUERIES = {f.__name__: f for f in [op1_preference_format, op2_decontaminate, op3_language_id, op4_byte_bpe, op5_lattice_score, op6_ngram_jaccard, op7_toxicity_severity,
-                                  op8_token_frames]}
-SQL = {"op1_preference_format": OP1_SQL}
+                                  op8_token_frames, op9_warc]}
+SQL = {"op1_preference_format": OP1_SQL, "op9_warc": OP9_SQL}
