@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.llm import bpe, chat, decontaminate, jaccard, langid, lattice, tokenfile, toxicity, warc
+from lotlens.llm import bpe, chat, decontaminate, jaccard, langid, lattice, neighbours, tokenfile, toxicity, warc
 from lotlens.llm.common import held_out, shared_folder, table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -107,6 +107,12 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 1
 """
 
 
+def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every vector whose id 100 divides."""
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows, rows.where("vec_id % 100 = 0"))
+
+
 QUERIES = {f.__name__: f for f in [op1_preference_format, op2_decontaminate, op3_language_id, op4_byte_bpe, op5_lattice_score, op6_ngram_jaccard, op7_toxicity_severity,
-                                  op8_token_frames, op9_warc]}
+                                  op8_token_frames, op9_warc, op10_cross_polytope]}
 SQL = {"op1_preference_format": OP1_SQL, "op9_warc": OP9_SQL}
