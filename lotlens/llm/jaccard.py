@@ -1,8 +1,9 @@
 """Documents linked by the Jaccard similarity of their word n-gram sets: a blocked sparse product of document by n-gram.
 
 1. Texts with the same set are one node; from here on only nodes are compared.
-2. By size bounds two linked nodes share one of the first n - ceil(t n) + 1 n-grams of each set, in any fixed order. The
-   order puts common n-grams last, as counted over all documents in a hashed counter array of fixed size.
+2. By size bounds two linked nodes share k of the first n - ceil(t n) + k n-grams of each set, in any fixed order and for
+   any k; k grows with n. The order puts common n-grams last, as counted over all documents in a hashed counter array of
+   fixed size. A node with fewer than k shared n-grams there (k of its smallest possible partner) is linked with none.
 3. Every shared n-gram names a leader, its node with the smallest id, and every node follows the smallest leader of its
    n-grams. Nodes of one leader and similar size form blocks of bounded weight: near copies meet in few blocks.
 4. Only block pairs that share an n-gram are multiplied. A product accumulates overlap counts of all its pairs in one
@@ -98,6 +99,11 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
 
+def first_shared(n: int) -> int:
+    """How many n-grams two linked sets, the smaller of n, share among their first ones."""
+    return 1 + n // 20
+
+
 def _prefixes(width: int, seed: int, percent: int, shared: Broadcast):
     """Per document its first n-grams in the common order: as many as a link's size bound asks for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +112,7 @@ def _prefixes(width: int, seed: int, percent: int, shared: Broadcast):
             nodes, sizes, keys = [], [], []
             for _, grams in _sets(batch, width):
                 if 100 * len(grams) >= percent * (len(grams) + 1):  # a smaller set links with no other set
-                    k = len(grams) - -(-percent * len(grams) // 100) + 1
+                    k = len(grams) - -(-percent * len(grams) // 100) + first_shared(len(grams))
                     order = level[(grams & np.uint64(COUNTERS - 1)).astype(np.int64)] << np.uint64(57) | grams >> np.uint64(7)
                     keys.append(grams[np.argpartition(order, k - 1)[:k]].view(np.int64))
                     nodes.append(signature(grams, seed))
@@ -214,6 +220,15 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def _shared(rows: DataFrame, percent: int) -> DataFrame:
+    """Of (gram, node, n) those whose gram another node has, of nodes with enough such grams for a link."""
+    grams = rows.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("gram")
+    met = written(rows.join(grams, "gram").groupBy("gram", "node").agg(F.max("n").alias("n")), "met")
+    least = F.expr(f"1 + int(ceil({percent} * n / 100.0) / 20)")
+    enough = met.groupBy("node").agg(F.count("*").alias("k"), F.max("n").alias("n")).where(F.col("k") >= least).select("node")
+    return met.join(enough, "node").select("gram", "node", "n")
+
+
 def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """Per row of docs (doc_id, text): n_shingles, component_id and n_links, the number of other rows it links with.
 
@@ -235,10 +250,11 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         counts[r.slice] += np.frombuffer(r.counts, np.int64)
     level = np.maximum(0, np.floor(4 * np.log2(np.maximum(counts.ravel(), 1) / max(1.0, counts.mean())))).astype(np.uint64)
     prefixes = rows.mapInArrow(_prefixes(width, seed, percent, spark.sparkContext.broadcast(level)), "gram long, node long, n long")
-    grams = prefixes.groupBy("gram").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other").select("gram", "leader")
-    meetings = written(prefixes.join(written(grams, "grams"), "gram").groupBy("gram", "node").agg(F.min("leader").alias("leader"), F.max("n").alias("n")), "meetings")
+    meetings = written(_shared(prefixes, percent), "meetings")
+    meetings = written(_shared(meetings, percent), "meetings")
+    leaders = meetings.groupBy("gram").agg(F.min("node").alias("leader"))
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9)
-    followers = meetings.groupBy("node").agg(F.min("leader").alias("leader"), F.max("n").alias("n")).withColumn("step", step)
+    followers = meetings.join(leaders, "gram").groupBy("node").agg(F.min("leader").alias("leader"), F.max("n").alias("n")).withColumn("step", step)
     weights = followers.groupBy("leader", "step").agg(F.ceil(F.sum(F.greatest("n", F.lit(SMALL))) / BLOCK_GRAMS).alias("parts"))
     placed = written(followers.join(weights, ["leader", "step"])
                      .select("node", "step", F.xxhash64("leader", "step", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "placed")
