@@ -148,7 +148,7 @@ def _(t):
     return t("observations").select("id", M.class_name().alias("class"))
 
 
-_RAWLABEL = "concat_ws('-', CASE WHEN p_partkey % 3 = 0 THEN 'Black Smut' WHEN p_partkey % 3 = 1 THEN 'SPROUTED_x' ELSE p_name END, CASE WHEN p_partkey % 7 = 0 THEN 'Good Onion' ELSE p_type END)"
+_RAWLABEL = "concat_ws('-', CASE WHEN p_partkey % 3 = 0 THEN 'Black Smut' WHEN p_partkey % 3 = 1 THEN 'SPROUTED_x' ELSE p_name END, CASE WHEN p_partkey % 7 = 0 THEN 'Good Item' ELSE p_type END)"
 
 
 @query("P17_remap_labels", "SELECT p_partkey AS id, CASE " + " ".join(f"WHEN contains(c, '{a.replace('_', '')}') THEN '{b}'" for a, b in X.LABEL_MAP) +

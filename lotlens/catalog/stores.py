@@ -58,8 +58,8 @@ def _(t):
 @query("S05_photo_fields", "SELECT id, label, variety, qty, CASE CAST(floor(id/25) AS BIGINT) % 5 WHEN 0 THEN 'tune' WHEN 4 THEN 'holdout' ELSE 'train' END AS split FROM {photos}")
 def _(t):
     from lotlens.operators.dataset import block_split
-    path = F.concat(F.lit("/data/"), F.when(F.col("label") == 1, "2. Unhealthy").otherwise("1. Healthy"), F.lit("/"), F.when(F.col("variety") == "red", "1. Red Onion").otherwise("2. White Onion"),
-                    F.lit("/"), F.when(F.col("qty") == "single", "1. Single").otherwise("2. Multiple"), F.lit("/Onion"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit(".jpg"))
+    path = F.concat(F.lit("/data/"), F.when(F.col("label") == 1, "2. Unhealthy").otherwise("1. Healthy"), F.lit("/"), F.when(F.col("variety") == "red", "1. Red").otherwise("2. White"),
+                    F.lit("/"), F.when(F.col("qty") == "single", "1. Single").otherwise("2. Multiple"), F.lit("/photo"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit(".jpg"))
     return t("photos").select(path.alias("path")).select(*S.photo_fields(F.col("path"))).withColumn("split", block_split("id"))
 
 

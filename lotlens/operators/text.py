@@ -58,14 +58,14 @@ def finite_or_reject(value) -> list[Column]:
 LABEL_MAP = (("rotten", "rotten"), ("rot", "rotten"), ("sprout", "sprouted"), ("sprouted", "sprouted"),
              ("blacksmut", "black_smut"), ("blacksmutinfected", "black_smut"), ("black_smut", "black_smut"),
              ("damaged", "damaged_skin"), ("discoloured", "damaged_skin"), ("good", "sound"), ("healthy", "sound"),
-             ("onion", "sound"), ("mold", "black_smut"))
+             ("mold", "black_smut"))
 
 
-def remap_label(name) -> Column:
-    """Class of an external label, NULL when nothing matches."""
+def remap_label(name, mapping=LABEL_MAP) -> Column:
+    """Class of an external label, NULL when nothing matches. A data set's own names come as further (name, class) pairs."""
     clean = F.regexp_replace(F.lower(num(name)), r"[-_ ]", "")
     out = None
-    for source, dest in LABEL_MAP:
+    for source, dest in mapping:
         hit = clean.contains(source.replace("_", ""))
         out = F.when(hit, dest) if out is None else out.when(hit, dest)
     return out

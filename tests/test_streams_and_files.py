@@ -64,9 +64,9 @@ def test_readers(spark, tmp_path):
     item = S.receipt_bulbs(b).first()
     assert item.size_min == 550 and item.rot == 4 and item.cut is None and item.is_double is True
 
-    (tmp_path / "t.csv").write_text("image_id,relpath,onions_visible,ambiguous\n a1 , x/y.jpg ,12,0\n\nb2,z.jpg,,1\n")
+    (tmp_path / "t.csv").write_text("image_id,relpath,items_visible,ambiguous\n a1 , x/y.jpg ,12,0\n\nb2,z.jpg,,1\n")
     rows = S.read_truth_csv(spark, str(tmp_path / "t.csv"), schema.COUNT_TRUTH).orderBy("image_id").collect()
-    assert [(x.image_id, x.onions_visible) for x in rows] == [("a1", 12), ("b2", None)]
+    assert [(x.image_id, x.items_visible) for x in rows] == [("a1", 12), ("b2", None)]
     assert S.read_truth_csv(spark, str(tmp_path / "none.csv"), schema.COUNT_TRUTH).count() == 0
 
     (tmp_path / "labels").mkdir()
@@ -74,9 +74,9 @@ def test_readers(spark, tmp_path):
     box = S.read_box_labels(spark, str(tmp_path / "labels"), 100, 100).collect()
     assert len(box) == 1 and box[0].stem == "img7" and (box[0].x0, box[0].y1) == (pytest.approx(40), pytest.approx(70))
 
-    photo = tmp_path / "2. Unhealthy" / "1. Red Onion" / "2. Multiple"
+    photo = tmp_path / "2. Unhealthy" / "1. Red" / "2. Multiple"
     photo.mkdir(parents=True)
-    (photo / "Onion00126.jpg").write_bytes(b"x")
+    (photo / "photo00126.jpg").write_bytes(b"x")
     p = S.read_photo_index(spark, str(tmp_path)).first()
     assert (p.id, p.label, p.variety, p.qty, p.split) == (126, 1, "red", "multiple", "tune")
 
