@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lotlens.catalog.core import query, shared
-from lotlens.catalog.grading import B_SMALL
 from lotlens.catalog.measures import S4, S6, r4, r6
 from lotlens.operators import agreement as A
 from lotlens.operators import fleet as FL
@@ -308,7 +307,7 @@ _STORED = ("grade_a", "urs", "reject", "refer", "grade_a_lo", "grade_a_hi", "pro
 
 @query("T11_regrade_receipts", """SELECT l.lot_id, l.lot_id % 11 <> 0 AS pack_known, CASE WHEN l.lot_id % 11 = 0 THEN NULL ELSE l.lot_id % 7 <> 0 END AS headline_ok FROM (SELECT DISTINCT lot_id FROM {bulbs}) l""")
 def _(t):
-    fresh = materialise(G.grade_lots(t("bulbs"), P.PACKS, t("overrides"), B_SMALL))
+    fresh = materialise(G.grade_lots(t("bulbs"), P.PACKS, t("overrides")))
     # Stored receipts: each lot under its default pack; every seventh headline was altered and every eleventh names an unknown pack.
     stored = fresh.where(F.col("pack_id") == P.DEFAULT_PACK_ID).withColumn("grade_a", F.when(F.col("lot_id") % 7 == 0, F.col("grade_a") + 0.5).otherwise(F.col("grade_a")))
     stored = stored.withColumn("pack_hash", F.when(F.col("lot_id") % 11 == 0, "unknown").otherwise(P.pack_hash(P.default_pack()))).select("lot_id", "pack_hash", *_STORED)

@@ -101,9 +101,8 @@ def _(t):
 
 @query("E16_interval_coverage", f"""SELECT count(*) AS n_lots, {S6('avg(abs(i.est - tr))')} AS mae, {S6('avg(CAST(tr BETWEEN i.ci_lo AND i.ci_hi AS INT))')} AS coverage FROM (SELECT *, CASE WHEN lot_id % 3 = 0 THEN est + 9.5 ELSE est - 0.4 END AS tr FROM {{o_intervals}} WHERE pack_id = 'in-psf-2026-07-30-a-only' AND basis = 'weight' AND bucket = 'GRADE_A') i""")
 def _(t):
-    from lotlens.catalog.grading import B_SMALL
     pack = [P.default_pack()]
-    i, _d = G.lot_results(G.graded_trays(t("bulbs"), pack), pack, B_SMALL)
+    i, _d = G.lot_results(G.graded_trays(t("bulbs"), pack), pack)
     a = i.where("basis = 'weight' AND bucket = 'GRADE_A'").withColumn("tr", F.when(F.col("lot_id") % 3 == 0, F.col("est") + 9.5).otherwise(F.col("est") - 0.4))
     return rounded(A.interval_coverage(a, "tr", "est", "ci_lo", "ci_hi"), "mae", "coverage")
 

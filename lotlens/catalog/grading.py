@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from lotlens.catalog.core import query, shared
@@ -12,7 +14,7 @@ from lotlens.plans import grade as G
 from lotlens.plans.session import materialise
 from lotlens.sources import packs as P
 
-B_SMALL = 200  # replicates used by the checked queries; packs default to 2000
+REPLICATES = P.default_pack().bootstrap_b  # every published pack has as many
 
 
 def r6(c):
@@ -117,7 +119,7 @@ FROM {src} s JOIN (SELECT lot_id, pack_id, basis, bucket, count(*) AS k, sum(x)
 GROUP BY s.lot_id, s.pack_id, s.basis, s.bucket"""
 
 
-def _boot_sql(trays: str, b: int, level: float = 0.95) -> str:
+def _boot_sql(trays: str, b: int, seed: str, level: float = 0.95) -> str:
     lo, hi = L.quantile_positions(b, level)
     sums = ", ".join(f"sum({c}) AS {c}" for c in ["n", "w", *L.COUNTS, *L.WEIGHTS])
     proc = "CASE WHEN p.procured = 'GRADE_A' THEN {0}_a ELSE {0}_a + {0}_u END"
@@ -127,7 +129,7 @@ def _boot_sql(trays: str, b: int, level: float = 0.95) -> str:
     return f"""
 SELECT lot_id, pack_id, basis, bucket, list_sort(list(v))[{lo + 1}] AS lo, list_sort(list(v))[{hi + 1}] AS hi FROM (
  WITH idx AS (SELECT *, row_number() OVER (PARTITION BY lot_id, pack_id ORDER BY tray) - 1 AS i, count(*) OVER (PARTITION BY lot_id, pack_id) AS k FROM {trays}),
- seeds AS (SELECT DISTINCT lot_id, pack_id, k, sha256('lot-bootstrap|' || CAST(lot_id AS VARCHAR)) AS seed FROM idx WHERE k >= 3),
+ seeds AS (SELECT DISTINCT lot_id, pack_id, k, {seed} AS seed FROM idx WHERE k >= 3),
  draws AS (SELECT lot_id, pack_id, rep, CAST('0x' || substr(md5(seed || '|' || rep || '|' || (j // 4)), 1 + 8*(j % 4), 8) AS BIGINT) % k AS i
    FROM seeds, range({b}) r(rep), range(8) d(j) WHERE j < k),
  sums AS (SELECT d.lot_id, d.pack_id, d.rep, {sums} FROM draws d JOIN idx t ON t.lot_id=d.lot_id AND t.pack_id=d.pack_id AND t.i=d.i GROUP BY ALL)
@@ -159,12 +161,21 @@ FROM (SELECT t.lot_id, t.pack_id, count(*) AS n_trays, max(n_looks) AS n_looks,
  GROUP BY t.lot_id, t.pack_id)))"""
 
 
+_OWN_SEED = "sha256('lot-bootstrap|' || CAST(lot_id AS VARCHAR))"
+_SEED = f"CASE WHEN lot_id % 2 = 0 THEN 'recorded-' || CAST(lot_id AS VARCHAR) ELSE {_OWN_SEED} END"
+
+
+def _seeds(t):
+    """Every second lot has a recorded sampling seed."""
+    return t("lots").where("lot_id % 2 = 0").select("lot_id", F.concat(F.lit("recorded-"), F.col("lot_id").cast("string")).alias("sampling_seed"))
+
+
 for suffix, src in (("", "{o_verdicts}"), ("_h", "{o_final}")):  # _h: after human actions
     shared(f"o_looks{suffix}", _looks_sql(src))
     shared(f"o_trays{suffix}", _trays_sql("{o_looks%s}" % suffix))
     shared(f"o_sel{suffix}", _selected_sql("{o_trays%s}" % suffix))
     shared(f"o_shares{suffix}", _shares_sql("{o_sel%s}" % suffix))
-    shared(f"o_boot{suffix}", _boot_sql("{o_trays%s}" % suffix, B_SMALL))
+    shared(f"o_boot{suffix}", _boot_sql("{o_trays%s}" % suffix, REPLICATES, _SEED if suffix else _OWN_SEED))
     shared(f"o_intervals{suffix}", _intervals_sql("{o_shares%s}" % suffix, "{o_boot%s}" % suffix))
     shared(f"o_decisions{suffix}", _decision_sql("{o_trays%s}" % suffix, "{o_shares%s}" % suffix))
 
@@ -318,7 +329,7 @@ def _(t):
 
 @query("A06_lot_intervals", "SELECT lot_id, pack_id, basis, bucket, est, ci_lo, ci_hi, method FROM {o_intervals}")
 def _(t):
-    i, _d = G.lot_results(G.graded_trays(t("bulbs")), P.PACKS, B_SMALL)
+    i, _d = G.lot_results(G.graded_trays(t("bulbs")), P.PACKS)
     return i.select("lot_id", "pack_id", "basis", "bucket", "est", "ci_lo", "ci_hi", "method")
 
 
@@ -330,13 +341,13 @@ def _(t):
 
 @query("A08_cluster_bootstrap", "SELECT lot_id, pack_id, basis, bucket, floor(lo*1e6+0.5)/1e6 AS lo, floor(hi*1e6+0.5)/1e6 AS hi FROM {o_boot}")
 def _(t):
-    b = L.cluster_bootstrap(materialise(G.graded_trays(t("bulbs"))), P.PACKS, B_SMALL)
+    b = L.cluster_bootstrap(materialise(G.graded_trays(t("bulbs"))), P.PACKS)
     return b.select("lot_id", "pack_id", "basis", "bucket", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
 @query("A08_cluster_bootstrap_joined", "SELECT lot_id, pack_id, basis, bucket, floor(lo*1e6+0.5)/1e6 AS lo, floor(hi*1e6+0.5)/1e6 AS hi FROM {o_boot}")
 def _(t):
-    b = L.cluster_bootstrap(materialise(G.graded_trays(t("bulbs"))), P.PACKS, B_SMALL, row_trays=4)
+    b = L.cluster_bootstrap(materialise(G.graded_trays(t("bulbs"))), P.PACKS, row_trays=4)
     return b.select("lot_id", "pack_id", "basis", "bucket", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
@@ -354,19 +365,27 @@ def _(t):
 
 @query("A11_grade_lots", _GRADED)
 def _(t):
-    return G.grade_lots(t("bulbs"), P.PACKS, t("overrides"), B_SMALL)
+    return G.grade_lots(t("bulbs"), P.PACKS, t("overrides"), seeds=_seeds(t))
+
+
+@query("A11_mean_of_looks", """SELECT lot_id, bucket, CAST(floor(sum(x)/sum(m)*10000+0.5) AS BIGINT) AS basis_points FROM (SELECT lot_id, tray, unnest(['GRADE_A', 'URS', 'REJECT', 'REFER']) AS bucket,
+ unnest([avg(w_a), avg(w_u), avg(w_r), avg(w_f)]) AS x, avg(w) AS m FROM {o_looks} WHERE pack_id = 'in-psf-2026-07-30-a-only' GROUP BY lot_id, tray) GROUP BY lot_id, bucket""")
+def _(t):
+    packs = [replace(P.default_pack(), look_merge="mean")]
+    s = L.lot_shares(G.graded_trays(t("bulbs"), packs), packs).where("basis = 'weight' AND bucket <> 'PROCURED'")
+    return s.select("lot_id", "bucket", F.floor(F.col("p") * 10000 + 0.5).alias("basis_points"))
 
 
 @query("A12_headline", "SELECT * FROM {o_headline}")
 def _(t):
-    return L.headline(*G.lot_results(G.graded_trays(t("bulbs")), P.PACKS, B_SMALL))
+    return L.headline(*G.lot_results(G.graded_trays(t("bulbs")), P.PACKS))
 
 
 @query("A13_indicative_value", """SELECT h.lot_id, h.pack_id, CAST(floor(l.declared_kg/100.0*2400*h.procured_lo/100+0.5) AS BIGINT) AS value_low,
  CAST(floor(l.declared_kg/100.0*2400*h.procured/100+0.5) AS BIGINT) AS value_mid, CAST(floor(l.declared_kg/100.0*2400*h.procured_hi/100+0.5) AS BIGINT) AS value_high
 FROM {o_headline} h JOIN {lots} l ON l.lot_id = h.lot_id""")
 def _(t):
-    h = L.headline(*G.lot_results(G.graded_trays(t("bulbs")), P.PACKS, B_SMALL))
+    h = L.headline(*G.lot_results(G.graded_trays(t("bulbs")), P.PACKS))
     j = h.join(t("lots").select("lot_id", "declared_kg"), "lot_id")
     return j.select("lot_id", "pack_id", *L.indicative_value("declared_kg", 2400.0, "procured_lo", "procured", "procured_hi"))
 

@@ -6,9 +6,12 @@ reduced map-side before anything is shuffled.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +53,19 @@ def merge_looks(looks: DataFrame, mode: str = "max_nonA") -> DataFrame:
     return looks.groupBy(*keys).agg(best, n_looks).select(*keys, "best.*", "n_looks")
 
 
+def merge_looks_by_pack(looks: DataFrame, packs: Sequence[Pack]) -> DataFrame:
+    """Looks merged as each pack says."""
+    parts = []
+    for mode in dict.fromkeys(p.look_merge for p in packs):
+        rows = merge_looks(looks.where(F.col("pack_id").isin([p.id for p in packs if p.look_merge == mode])), mode)
+        parts.append(rows)
+    out = parts[0]
+    for rows in parts[1:]:
+        out = out.selectExpr(*[f"CAST({c} AS DOUBLE) AS {c}" if c in TALLY else c for c in out.columns]).unionByName(
+            rows.selectExpr(*[f"CAST({c} AS DOUBLE) AS {c}" if c in TALLY else c for c in rows.columns]))
+    return out
+
+
 def _by_pack(packs: Sequence[Pack], value) -> str:
     """CASE over pack_id giving ``value(pack)``."""
     return "CASE pack_id " + " ".join(f"WHEN '{p.id}' THEN {value(p)}" for p in packs) + " END"
@@ -117,68 +133,73 @@ def quantile_positions(b: int, level: float) -> tuple[int, int]:
 
 
 _BOOT = ["n", "w", *dict.fromkeys(x for _, _, x, _ in SELECTORS)]
+_BOUNDS = "lot_id long, pack_id string, basis string, bucket string, lo double, hi double"
 
 
-def _with_bounds(replicates: DataFrame, prefix: str, b: int, level: float) -> DataFrame:
-    """Two quantiles of every share's replicates, which are the arrays ``<prefix><column>``: each is sorted once."""
-    lo, hi = quantile_positions(b, level)
-    shares = [x for _, _, x, _ in SELECTORS]
-    ordered = replicates.selectExpr("lot_id", "pack_id", *[f"sort_array({prefix}{x}) AS s_{x}" for x in shares])
-    rows = ", ".join(f"named_struct('basis', '{basis}', 'bucket', '{bucket}', 'lo', s_{x}[{lo}], 'hi', s_{x}[{hi}])" for basis, bucket, x, _ in SELECTORS)
-    return ordered.selectExpr("lot_id", "pack_id", f"inline(array({rows}))")
-
-
-def cluster_bootstrap(trays: DataFrame, packs: Sequence[Pack], b: int = 2000, level: float = 0.95, seed: Column | None = None,
+def cluster_bootstrap(trays: DataFrame, packs: Sequence[Pack], b: int | None = None, level: float = 0.95, seeds: DataFrame | None = None,
                       row_trays: int = ROW_TRAYS, min_trays: int = 3) -> DataFrame:
     """Percentile bootstrap over whole trays for every share of every lot: lot_id, pack_id, basis, bucket, lo, hi.
 
-    One resample per replicate serves all shares of the lot (common draws). Lots with up to ``row_trays`` trays carry
-    their trays in one array and are resampled inside the row, without a shuffle; lots with more are resampled by
-    joining drawn positions to trays, spread over (lot, replicate).
+    Each pack's own number of replicates holds unless ``b`` is given; ``seeds`` (lot_id, sampling_seed) has the recorded
+    seeds, where there are any. One resample per replicate serves all shares of a lot and all packs with as many trays.
+    Lots with up to ``row_trays`` trays are resampled as one small group; lots with more by joining drawn positions to
+    trays, spread over (lot, replicate).
     """
     t = add_pack_sums(trays, packs)
     sizes = t.groupBy("lot_id", "pack_id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= min_trays)
-    fields = F.expr("struct(tray, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _BOOT) + ")")
-    small = (t.join(sizes.where(F.col("m") <= row_trays), ["lot_id", "pack_id"]).groupBy("lot_id", "pack_id", "m")
-             .agg(F.array_sort(F.collect_list(fields)).alias("trays")))
-    narrow = _row_bootstrap(small, b, level, seed)
-    wide = _joined_bootstrap(t.join(sizes.where(F.col("m") > row_trays), ["lot_id", "pack_id"]), b, level, seed)
-    return narrow.unionByName(wide)
-
-
-def _ratios_sql(prefix: str) -> list[tuple[str, str]]:
-    return [(x, f"IF({prefix}{n} > 0, {prefix}{x} / {prefix}{n}, 0.0D)") for _, _, x, n in SELECTORS]
-
-
-def _row_bootstrap(small: DataFrame, b: int, level: float, seed: Column | None) -> DataFrame:
-    """Resample inside the lot row: replicates, draws and sums are higher-order functions over the tray array."""
-    # Few bytes but much work per row: fix the task count, or adaptive execution would merge it all into one task.
+    seeded = lambda df: (df.withColumn("_seed", lot_seed()) if seeds is None else
+                         df.join(seeds.select("lot_id", "sampling_seed"), "lot_id", "left").withColumn("_seed", lot_seed("lot_id", "sampling_seed")).drop("sampling_seed"))
+    sized = t.join(sizes, ["lot_id", "pack_id"]).selectExpr("lot_id", "pack_id", "tray", "m", *[f"CAST({c} AS DOUBLE) AS {c}" for c in _BOOT])
+    reps = {p.id: b or p.bootstrap_b for p in packs}
+    small = seeded(sized.where(F.col("m") <= row_trays))
+    # Few bytes but much work per lot: adaptive execution would merge it all into one task.
     tasks = int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # (hashing an expression of the keys, or an equal existing partitioning would make this exchange vanish).
-    base = small.repartition(tasks, F.xxhash64("lot_id", "pack_id")).withColumn("_seed", seed if seed is not None else lot_seed())
-    picks = f"transform(sequence(0, CAST(m AS INT) - 1), j -> trays[CAST({draw_sql('_seed', 'rep', 'j', 'm')} AS INT)])"
-    zero = "named_struct(" + ", ".join(f"'{c}', 0.0D" for c in _BOOT) + ")"
-    add = "named_struct(" + ", ".join(f"'{c}', acc.{c} + t.{c}" for c in _BOOT) + ")"
-    done = "named_struct(" + ", ".join(f"'{x}', {e}" for x, e in _ratios_sql("acc.")) + ")"
-    replicate = f"aggregate({picks}, {zero}, (acc, t) -> {add}, acc -> {done})"
-    reps = base.selectExpr("lot_id", "pack_id", f"transform(sequence(0, {b - 1}), rep -> {replicate}) AS _r")
-    return _with_bounds(reps, "_r.", b, level)
-
-
-def _joined_bootstrap(t: DataFrame, b: int, level: float, seed: Column | None) -> DataFrame:
+    narrow = small.repartition(tasks, "lot_id").groupBy("lot_id").applyInPandas(_resampled(reps, level), _BOUNDS)
+    return narrow.unionByName(_joined_bootstrap(seeded(sized.where(F.col("m") > row_trays)), reps, level))
+
+
+def draws(seed: str, b: int, m: int) -> np.ndarray:
+    """Tray positions of b replicates of m draws, as draw_sql gives them."""
+    blocks = range(-(-m // 4))
+    raw = b"".join(hashlib.md5(f"{seed}|{rep}|{k}".encode()).digest() for rep in range(b) for k in blocks)
+    return np.frombuffer(raw, ">u4").reshape(b, -1)[:, :m].astype(np.int64) % m
+
+
+def _resampled(reps: dict[str, int], level: float):
+    """All packs of one lot, whose few trays are one group."""
+    def run(lot: pd.DataFrame) -> pd.DataFrame:
+        drawn: dict[int, np.ndarray] = {}
+        found = []
+        for pack, own in lot.sort_values("tray").groupby("pack_id", sort=False):
+            m, b = len(own), reps[pack]
+            if m not in drawn or len(drawn[m]) < b:
+                drawn[m] = draws(own["_seed"].iloc[0], b, m)
+            sums = dict(zip(_BOOT, own[_BOOT].to_numpy()[drawn[m][:b]].sum(1).T, strict=True))
+            lo, hi = quantile_positions(b, level)
+            for basis, bucket, x, n in SELECTORS:
+                share = np.sort(np.divide(sums[x], sums[n], out=np.zeros(b), where=sums[n] > 0))
+                found.append((own["lot_id"].iloc[0], pack, basis, bucket, share[lo], share[hi]))
+        return pd.DataFrame(found, columns=["lot_id", "pack_id", "basis", "bucket", "lo", "hi"])
+    return run
+
+
+def _joined_bootstrap(t: DataFrame, reps: dict[str, int], level: float) -> DataFrame:
+    per = lambda f: "CASE pack_id " + " ".join(f"WHEN '{k}' THEN {f(v)}" for k, v in reps.items()) + " END"
     indexed = row_index(t, "tray", ["lot_id", "pack_id"], "_i").withColumn("_i", F.col("_i") - 1)
-    lots = t.select("lot_id", "pack_id", "m").distinct().withColumn("_seed", seed if seed is not None else lot_seed())
-    reps = lots.selectExpr("*", f"explode(sequence(0, {b - 1})) AS rep").repartition("lot_id", "pack_id", "rep")
-    draws = (reps.selectExpr("lot_id", "pack_id", "m", "_seed", "rep", "explode(sequence(0, CAST(m AS INT) - 1)) AS j")
+    lots = t.select("lot_id", "pack_id", "m", "_seed").distinct()
+    rounds = lots.selectExpr("*", f"explode(sequence(0, {per(lambda b: b - 1)})) AS rep").repartition("lot_id", "pack_id", "rep")
+    drawn = (rounds.selectExpr("lot_id", "pack_id", "m", "_seed", "rep", "explode(sequence(0, CAST(m AS INT) - 1)) AS j")
              .selectExpr("lot_id", "pack_id", "rep", draw_sql("_seed", "rep", "j", "m") + " AS _i"))
     # Only how often each tray was drawn in a replicate matters.
-    hits = draws.groupBy("lot_id", "pack_id", "_i", "rep").agg(F.count(F.lit(1)).alias("k"))
+    hits = drawn.groupBy("lot_id", "pack_id", "_i", "rep").agg(F.count(F.lit(1)).alias("k"))
     joined = hits.join(indexed.select("lot_id", "pack_id", "_i", *_BOOT), ["lot_id", "pack_id", "_i"])
-    sums = joined.groupBy("lot_id", "pack_id", "rep").agg(*[F.expr(f"sum(CAST({c} AS DOUBLE) * k) AS {c}") for c in _BOOT])
-    shares = sums.selectExpr("lot_id", "pack_id", *[f"{e} AS {x}" for x, e in _ratios_sql("")])
-    # Exactly b numbers per lot and share.
-    lists = shares.groupBy("lot_id", "pack_id").agg(*[F.expr(f"collect_list({x}) AS {x}") for _, _, x, _ in SELECTORS])
-    return _with_bounds(lists, "", b, level)
+    sums = joined.groupBy("lot_id", "pack_id", "rep").agg(*[F.expr(f"sum({c} * k) AS {c}") for c in _BOOT])
+    shares = sums.selectExpr("lot_id", "pack_id", *[f"IF({n} > 0, {x} / {n}, 0.0D) AS {x}" for _, _, x, n in SELECTORS])
+    # Exactly as many numbers per lot and share as the pack has replicates.
+    lists = shares.groupBy("lot_id", "pack_id").agg(*[F.expr(f"sort_array(collect_list({x})) AS s_{x}") for _, _, x, _ in SELECTORS])
+    lo, hi = (per(lambda b, k=k: quantile_positions(b, level)[k]) for k in (0, 1))
+    rows = ", ".join(f"named_struct('basis', '{basis}', 'bucket', '{bucket}', 'lo', s_{x}[{lo}], 'hi', s_{x}[{hi}])" for basis, bucket, x, _ in SELECTORS)
+    return lists.selectExpr("lot_id", "pack_id", f"inline(array({rows}))")
 
 
 def lot_intervals(shares: DataFrame, bootstrap: DataFrame) -> DataFrame:

@@ -24,26 +24,28 @@ def graded_looks(bulbs: DataFrame, packs: Sequence[Pack] = PACKS, overrides: Dat
 
 
 def graded_trays(bulbs: DataFrame, packs: Sequence[Pack] = PACKS, overrides: DataFrame | None = None,
-                 mode: str = "max_nonA") -> DataFrame:
-    return L.merge_looks(graded_looks(bulbs, packs, overrides), mode)
+                 mode: str | None = None) -> DataFrame:
+    """Trays with their looks merged as each pack says, or all by ``mode``."""
+    looks = graded_looks(bulbs, packs, overrides)
+    return L.merge_looks(looks, mode) if mode else L.merge_looks_by_pack(looks, packs)
 
 
-def lot_results(trays: DataFrame, packs: Sequence[Pack] = PACKS, b: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(share intervals, decisions) of every lot under every pack.
+def lot_results(trays: DataFrame, packs: Sequence[Pack] = PACKS, b: int | None = None,
+                seeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(share intervals, decisions) of every lot under every pack; see cluster_bootstrap for replicates and seeds.
 
     Trays are written once: sums, design effects and both resampling forms read them, and the items are scanned once.
     """
     trays = materialise(trays)
     totals = L.lot_totals(trays, packs)
-    reps = b or packs[0].bootstrap_b
-    intervals = L.lot_intervals(L.lot_shares(trays, packs), L.cluster_bootstrap(trays, packs, reps))
+    intervals = L.lot_intervals(L.lot_shares(trays, packs), L.cluster_bootstrap(trays, packs, b, seeds=seeds))
     return intervals, L.lot_decision(L.sprt(totals, packs), packs)
 
 
 def grade_lots(bulbs: DataFrame, packs: Sequence[Pack] = PACKS, overrides: DataFrame | None = None,
-               b: int | None = None) -> DataFrame:
+               b: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """Headline result of every lot under every pack in one job."""
-    intervals, decisions = lot_results(graded_trays(bulbs, packs, overrides), packs, b)
+    intervals, decisions = lot_results(graded_trays(bulbs, packs, overrides), packs, b, seeds)
     wide = L.headline(intervals, decisions)
     extra = decisions.select("lot_id", "pack_id", "n_trays", "n_looks", F.col("n").cast("bigint").alias("n_items"),
                              "refer_share", "trays_more")
