@@ -276,7 +276,7 @@ SELECT id, k AS perturbation, CAST(greatest(0, n_items - CAST(id % 3 AS INT)) AS
 """)
 # ---- event streams ------------------------------------------------------------------------------------------
 carrier("scans", """
-SELECT event_id, user_id AS key, ts, event_type <> 'error' AS pass, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'sharp' ELSE 'glare' END END AS gate,
+SELECT event_id, user_id AS key, ts, event_type <> 'error' AS pass, CASE WHEN event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN 'sharp' WHEN 1 THEN 'glare' WHEN 2 THEN 'level' ELSE 'tray' END END AS gate,
  event_type = 'purchase' AS shot, event_type = 'signup' AS press FROM {events}
 """)
 carrier("auth_events", "SELECT event_id, user_id, ts, event_type = 'error' OR event_id % 2 = 0 AS failed FROM {events}")

@@ -65,11 +65,12 @@ def _(t):
     return S.drain(S.steady_scan_stream(scans), run_folder(t.spark))
 
 
-_GUARD = """SELECT key, shot_no, count(*) AS scans, count(*) FILTER (WHERE NOT pass) AS failed, least(2, count(*) FILTER (WHERE press AND NOT pass)) AS refused, count(*) FILTER (WHERE press AND NOT pass) > 2 AS forced{extra}
- FROM (SELECT * REPLACE (event_id % 7 = 1 AS press), CAST(sum(CASE WHEN shot THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, event_id) - CASE WHEN shot THEN 1 ELSE 0 END AS BIGINT) AS shot_no FROM {scans}) GROUP BY key, shot_no"""
+_GUARD = """SELECT key, shot_no, count(*) AS scans, count(*) FILTER (WHERE NOT pass) AS failed, concat_ws(',', {gates}) AS failed_gates, least(2, count(*) FILTER (WHERE press AND NOT pass)) AS refused, count(*) FILTER (WHERE press AND NOT pass) > 2 AS forced{extra}
+ FROM (SELECT * REPLACE (event_id % 7 = 1 AS press), CAST(sum(CASE WHEN shot THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, event_id) - CASE WHEN shot THEN 1 ELSE 0 END AS BIGINT) AS shot_no FROM {scans}) GROUP BY key, shot_no""".replace("{gates}", ", ".join(f"CASE WHEN count(*) FILTER (WHERE gate = '{g}') > 0 THEN '{g}:' || count(*) FILTER (WHERE gate = '{g}') END"
+                                                          for g in ("glare", "level", "sharp", "tray")))
 
 
-@query("M03_guard_telemetry", _GUARD.replace("{extra}", ", count(*) FILTER (WHERE gate = 'sharp') AS failed_sharp, count(*) FILTER (WHERE gate = 'glare') AS failed_glare, bool_or(shot) AS closed"))
+@query("M03_guard_telemetry", _GUARD.replace("{extra}", ", bool_or(shot) AS closed"))
 def _(t):
     return Q.guard_telemetry(t("scans").withColumn("press", F.col("event_id") % 7 == 1))
 
@@ -77,7 +78,8 @@ def _(t):
 @query("M03_guard_telemetry_stream", _GUARD.replace("{extra}", "") + " HAVING bool_or(shot)")
 def _(t):
     e = stream_of(t, "events")
-    scans = e.select("event_id", F.col("user_id").alias("key"), "ts", (F.col("event_type") != "error").alias("pass"), (F.col("event_type") == "purchase").alias("shot"), (F.col("event_id") % 7 == 1).alias("press"))
+    scans = e.select("event_id", F.col("user_id").alias("key"), "ts", (F.col("event_type") != "error").alias("pass"), (F.col("event_type") == "purchase").alias("shot"), (F.col("event_id") % 7 == 1).alias("press"),
+                     F.expr("CASE WHEN event_type = 'error' THEN element_at(array('sharp', 'glare', 'level', 'tray'), CAST(event_id % 4 AS INT) + 1) END").alias("gate"))
     return S.drain(S.guard_stream(scans), run_folder(t.spark))
 
 
@@ -121,9 +123,14 @@ def _(t):
     return Q.activity_sessions(t("events"))
 
 
-@query("M09_failure_lockouts", _runs_sql("{auth_events}", "user_id", "failed", 5))
+@query("M09_failure_lockouts", """SELECT key, event_id FROM (WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) AS us, failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM {auth_events}),
+ s AS (SELECT key, event_id, k, CASE WHEN failed THEN 1 ELSE 0 END AS run, CAST(0 AS BIGINT) AS until, false AS fired FROM e WHERE k = 1 UNION ALL
+  SELECT e.key, e.event_id, e.k, CASE WHEN e.us < s.until THEN s.run WHEN e.failed AND s.run < 4 THEN s.run + 1 ELSE 0 END, CASE WHEN e.us >= s.until AND e.failed AND s.run = 4 THEN e.us + 604800000000 ELSE s.until END,
+   e.us >= s.until AND e.failed AND s.run = 4 FROM s JOIN e ON e.key = s.key AND e.k = s.k + 1) SELECT * FROM s) WHERE fired""")
 def _(t):
-    return Q.failure_lockouts(t("auth_events")).select("user_id", "event_id")
+    e = stream_of(t, "events")
+    attempts = e.select("event_id", "user_id", "ts", F.expr("event_type = 'error' OR event_id % 2 = 0").alias("failed"))
+    return S.drain(S.lockout_stream(attempts, cooldown_seconds=7 * 86400), run_folder(t.spark))  # events lie days apart, so the cooldown does too
 
 
 @query("M10_daily_drift", f"""SELECT d.centre_id, d.day, {S6('d.score')} AS score, d.n, {S6('d.score - b.baseline')} AS drift FROM (SELECT centre_id, strftime(run_at, '%Y-%m-%d') AS day, avg(score) AS score, count(*) AS n FROM {{reference_runs}} GROUP BY 1, 2) d

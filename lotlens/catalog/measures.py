@@ -37,7 +37,8 @@ def captures(t):
 
 @query("P01_usable_bulbs", """SELECT lot_id, 'b' || (row_number() OVER (PARTITION BY lot_id ORDER BY shot_at, capture_id, pos) - 1) AS bulb_id, capture_id, pos FROM {raw_items} WHERE excluded IS NULL""")
 def _(t):
-    return M.usable_bulbs(captures(t), "shot_at").select("lot_id", "bulb_id", "capture_id", "pos")
+    text = captures(t).withColumn("at", F.date_format("shot_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))  # as captures store it
+    return M.usable_bulbs(text).select("lot_id", "bulb_id", "capture_id", "pos")
 
 
 _Q = lambda c, k: f"CAST(floor({c}*{k}.0+0.5) AS INT)"
@@ -202,13 +203,18 @@ def _(t):
     return X.shot_counts(lots).join(size, "lot_id", "left").select("lot_id", "n_valid", F.col("n_skipped").cast("bigint"), F.coalesce("total_bytes", F.lit(0).cast("bigint")).alias("total_bytes"))
 
 
-@query("P24_parse_manifest")
+@query("P24_parse_manifest", """SELECT conv_id, turn, CASE WHEN conv_id % 5 IN (0, 4) THEN 0 ELSE 1 END AS n_rows, CASE WHEN conv_id % 5 IN (1, 2) THEN 'lot/' || conv_id END AS path,
+ CASE WHEN conv_id % 5 IN (1, 2, 3) THEN CAST(length(text) AS BIGINT) END AS bytes, CASE WHEN conv_id % 5 IN (1, 2, 3) THEN role END AS tray_id FROM {conversations}""")
 def _(t):
-    text = F.when(F.col("conv_id") % 3 == 0, F.lit("not json")).otherwise(F.to_json(F.array(F.struct(
-        F.col("turn").cast("int").alias("look_index"), F.col("role").alias("tray_id"), F.concat(F.lit("lot/"), F.col("conv_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"),
-        F.length("text").cast("bigint").alias("bytes")))))
+    # Unreadable text, a plain list, a list with a number in it, an object without a path, and an object that is in no list.
+    fields = [F.col("turn").cast("int").alias("look_index"), F.col("role").alias("tray_id"), F.sha2("text", 256).alias("sha256"), F.length("text").cast("bigint").alias("bytes")]
+    whole = F.to_json(F.struct(*fields, F.concat(F.lit("lot/"), F.col("conv_id").cast("string")).alias("path")))
+    kind = F.col("conv_id") % 5
+    text = (F.when(kind == 0, "not json").when(kind == 1, F.concat(F.lit("["), whole, F.lit("]"))).when(kind == 2, F.concat(F.lit(" [1, "), whole, F.lit(", null]")))
+            .when(kind == 3, F.concat(F.lit("["), F.to_json(F.struct(*fields)), F.lit("]"))).otherwise(whole))
     m = t("conversations").select("conv_id", "turn", X.parse_manifest(text).alias("m"))
-    return m.select("conv_id", "turn", F.size("m").alias("n_rows"), F.get("m", F.lit(0))["path"].alias("path"))
+    first = F.get("m", F.lit(0))
+    return m.select("conv_id", "turn", F.size("m").alias("n_rows"), first["path"].alias("path"), first["bytes"].alias("bytes"), first["tray_id"].alias("tray_id"))
 
 
 @query("P25_bulb_snapshot", "SELECT id, lot_id, look_index, class AS cls, confidence, diameter_mm, size_grade, decision, disputed FROM {o_obs}")

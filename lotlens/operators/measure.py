@@ -15,11 +15,16 @@ from lotlens.sources.packs import DEFECTS
 def usable_bulbs(captures: DataFrame, time: str = "at") -> DataFrame:
     """Explode captures(lot_id, capture_id, tray, look, at, bulbs[]), drop excluded items, number the rest b0..bN.
 
-    Numbering follows capture time, then capture id and position inside the capture.
+    Numbering follows capture time, then capture id and position inside the capture. Text times are ISO 8601 in one zone,
+    whose order as text is that in time; those that are no time come first.
     """
     flat = (captures.select("lot_id", "capture_id", "tray", "look", time, F.posexplode("bulbs").alias("pos", "b"))
             .where(F.col("b.excluded").isNull()))
-    numbered = row_index(flat, time, ["lot_id"], "_rn", tie=["capture_id", "pos"])
+    order, tie = time, ["capture_id", "pos"]
+    if flat.schema[time].dataType.typeName() == "string":
+        order, tie = "_time", [time, *tie]
+        flat = flat.withColumn(order, F.try_to_timestamp(F.col(time)))
+    numbered = row_index(flat, order, ["lot_id"], "_rn", tie=tie)
     return numbered.select("lot_id", F.concat(F.lit("b"), (F.col("_rn") - 1).cast("string")).alias("bulb_id"), "capture_id",
                            "pos", "tray", "look", "b.*").drop("excluded")
 

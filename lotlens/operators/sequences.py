@@ -10,7 +10,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotlens.functions.ordered import previous, running_sums
+from lotlens.functions.ordered import running_sums
 from lotlens.sources.packs import Pack
 
 
@@ -49,32 +49,33 @@ def steady_scans(scans: DataFrame, k: int = 3) -> DataFrame:
 
 
 def guard_telemetry(scans: DataFrame, refusals: int = 2) -> DataFrame:
-    """Scan statistics between shots: scans, failing scans per gate, refused presses and whether the shot was forced."""
+    """Scan statistics between shots: scans, failures, refused presses, whether the shot was forced, and every gate's failures.
+
+    failed_gates is "gate:count" of each gate that failed, in order of name, joined by commas.
+    """
     shot = F.col("shot").cast("bigint")
     r = running_sums(scans, "ts", {"_shots": shot}, ["key"], tie=["event_id"]).withColumn("shot_no", F.col("_shots") - shot)
-    bad_press = F.count_if(F.col("press") & ~F.col("pass"))
-    return r.groupBy("key", "shot_no").agg(
-        F.count(F.lit(1)).alias("scans"), F.count_if(~F.col("pass")).alias("failed"), F.count_if(F.col("gate") == "sharp").alias("failed_sharp"),
-        F.count_if(F.col("gate") == "glare").alias("failed_glare"), F.least(F.lit(refusals), bad_press).cast("bigint").alias("refused"),
-        (bad_press > refusals).alias("forced"), F.bool_or("shot").alias("closed"))
+    # A few gates: counts by gate first, then one short list per shot.
+    by_gate = r.groupBy("key", "shot_no", "gate").agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("pass")).alias("_failed"),
+                                                      F.count_if(F.col("press") & ~F.col("pass")).alias("_bad"), F.bool_or("shot").alias("_shot"))
+    bad_press = F.sum("_bad")
+    gates = F.array_join(F.array_sort(F.collect_list(F.when(F.col("_failed") > 0, F.concat("gate", F.lit(":"), F.col("_failed").cast("string"))))), ",")
+    return by_gate.groupBy("key", "shot_no").agg(
+        F.sum("_n").alias("scans"), F.sum("_failed").alias("failed"), gates.alias("failed_gates"), F.least(F.lit(refusals), bad_press).cast("bigint").alias("refused"),
+        (bad_press > refusals).alias("forced"), F.bool_or("_shot").alias("closed"))
 
 
 def activity_sessions(events: DataFrame, gap_minutes: int = 15) -> DataFrame:
-    """Sessions closed by inactivity: user_id, session start and last event (text), number of events."""
-    p = previous(events, "ts", {"_before": "ts"}, ["user_id"], tie=["event_id"])
-    fresh = F.col("_before").isNull() | (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp")) > gap_minutes * 60_000_000)
-    r = running_sums(p, "ts", {"_session": fresh.cast("bigint")}, ["user_id"], tie=["event_id"])
-    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    return r.groupBy("user_id", "_session").agg(text(F.min("ts")).alias("started"), text(F.max("ts")).alias("last_event"), F.count(F.lit(1)).alias("n")).drop("_session")
+    """Sessions closed by more than ``gap_minutes`` without an event: user_id, start and last event (text), number of events.
 
-
-def failure_lockouts(attempts: DataFrame, tries: int = 5) -> DataFrame:
-    """Attempts that complete ``tries`` failures in a row; a success starts the count again.
-
-    Attempts made during the cooldown are not told apart here (the streaming form ignores them).
+    Sessions merge before and after one exchange (set spark.sql.sessionWindow.merge.sessions.in.local.partition for long
+    histories of few users).
     """
-    r = _run_position(attempts, "user_id", "ts", "failed", "event_id")
-    return r.where((F.col("run") > 0) & (F.col("run") % tries == 0)).select("user_id", "event_id", "ts")
+    rows = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    session = F.session_window("ts", f"{gap_minutes} minutes 1 microsecond")
+    return (rows.groupBy("user_id", session).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("n"))
+            .select("user_id", text("a").alias("started"), text("b").alias("last_event"), "n"))
 
 
 def daily_drift(runs: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -112,11 +112,14 @@ def shot_counts(lots: DataFrame, shots: str = "shots", max_shots: int = MAX_SHOT
 
 
 def parse_manifest(text) -> Column:
-    """Evidence list from JSON text; unreadable text gives an empty list and non-object rows are dropped."""
-    rows = F.from_json(num(text), schema.MANIFEST)
-    empty = F.array().cast(schema.MANIFEST)
-    keep = F.filter(F.coalesce(rows, empty), lambda r: r.isNotNull() & r["path"].isNotNull())
-    return F.coalesce(keep, empty)
+    """Evidence list from JSON text: the objects of a JSON array, whatever fields they have.
+
+    Unreadable text, or JSON that is no array, gives an empty list; elements that are no objects are dropped.
+    """
+    body = F.trim(num(text))
+    elements = F.from_json(F.when(body.startswith("["), body), "array<string>")
+    objects = F.filter(F.coalesce(elements, F.array().cast("array<string>")), lambda e: F.coalesce(F.ltrim(e).startswith("{"), F.lit(False)))
+    return F.transform(objects, lambda e: F.from_json(e, schema.MANIFEST.elementType))
 
 
 SNAPSHOT_COLUMNS = ("id", "lot_id", "look_index", "cls", "confidence", "diameter_mm", "size_grade", "decision", "disputed")

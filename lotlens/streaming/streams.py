@@ -6,6 +6,7 @@ State per key is a few numbers. Events of one micro-batch are ordered by time in
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 
@@ -76,23 +77,25 @@ def lockout_stream(attempts: DataFrame, tries: int = 5, cooldown_seconds: int =
 
 
 def guard_stream(scans: DataFrame, refusals: int = 2) -> DataFrame:
-    """Telemetry row at every shot: scans and failures since the one before, refused presses, forced or not."""
+    """Telemetry row at every shot: scans and failures since the one before, by gate too, refused presses, forced or not."""
     def step(key, batches, state: GroupState):
-        scans_, failed, refused, forced, shots = state.get if state.exists else (0, 0, 0, False, 0)
-        rows = []
-        for ok, press, shot in _ordered(batches, "us", "event_id")[["pass", "press", "shot"]].itertuples(index=False):
+        scans_, failed, refused, forced, shots, gates = state.get if state.exists else (0, 0, 0, False, 0, "{}")
+        gates, rows = json.loads(gates), []
+        for ok, press, shot, gate in _ordered(batches, "us", "event_id")[["pass", "press", "shot", "gate"]].itertuples(index=False):
             scans_, failed = scans_ + 1, failed + (not ok)
+            if not ok and gate is not None:
+                gates[gate] = gates.get(gate, 0) + 1
             if press and not ok:
                 forced = forced or refused >= refusals
                 refused = min(refusals, refused + 1)
             if shot:
-                rows.append((key[0], shots, scans_, failed, refused, forced))
-                scans_, failed, refused, forced, shots = 0, 0, 0, False, shots + 1
-        state.update((int(scans_), int(failed), int(refused), bool(forced), int(shots)))
-        yield pd.DataFrame(rows, columns=["key", "shot_no", "scans", "failed", "refused", "forced"])
-    src = scans.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "pass", "press", "shot")
-    return _stateful(src, "key", step, "key long, shot_no long, scans long, failed long, refused long, forced boolean",
-                     "scans long, failed long, refused long, forced boolean, shots long")
+                rows.append((key[0], shots, scans_, failed, ",".join(f"{g}:{n}" for g, n in sorted(gates.items())), refused, forced))
+                scans_, failed, refused, forced, shots, gates = 0, 0, 0, False, shots + 1, {}
+        state.update((int(scans_), int(failed), int(refused), bool(forced), int(shots), json.dumps(gates)))
+        yield pd.DataFrame(rows, columns=["key", "shot_no", "scans", "failed", "failed_gates", "refused", "forced"])
+    src = scans.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "pass", "press", "shot", "gate")
+    return _stateful(src, "key", step, "key long, shot_no long, scans long, failed long, failed_gates string, refused long, forced boolean",
+                     "scans long, failed long, refused long, forced boolean, shots long, gates string")
 
 
 def first_records(lots: DataFrame, event_time: str = "created_ts", delay: str = "24 hours", keys=IDENTITY) -> DataFrame:
