@@ -15,7 +15,7 @@ from lotlens.plans.session import local_session  # noqa: E402
 
 HEADLINE = ["graded_bucket_table", "A01_look_aggregates", "A03_lot_shares", "A08_cluster_bootstrap", "A11_grade_lots", "R02_adjudicate_all_packs",
             "A15_pool_looks", "A21_compare_gradings", "A27_fleet_dashboard", "E06_rater_vs_rest", "E10_subgroup_metrics", "E19_recommend_threshold",
-            "J13_candidate_matches", "J17_near_duplicates", "T01_audit_chain", "T06_merkle_root", "X01_what_if_bulbs", "M08_activity_sessions"]
+            "J13_candidate_matches", "J17_near_duplicates", "T01_audit_chain", "T06_merkle_root", "M08_activity_sessions"]
 
 
 def main() -> None:
@@ -26,7 +26,7 @@ def main() -> None:
     times: dict[str, float] = {}
     for name in [n for n in HEADLINE if not sys.argv[1:] or n in sys.argv[1:]]:
         start = time.perf_counter()
-        QUERIES[name].run(Tables(spark, sf_dir)).write.format("noop").mode("overwrite").save()
+        QUERIES[name].run(Tables(spark, sf_dir, int(cpus))).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
         print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,

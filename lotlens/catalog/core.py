@@ -48,14 +48,16 @@ def query(name: str, sql: str | None = None):
 class Tables:
     """Carrier views over one data folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self._seen = spark, sf_dir.rstrip("/"), {}
+    def __init__(self, spark: SparkSession, sf_dir: str, partitions: int = 0):
+        """partitions: deal the tables' rows round to so many tasks, for files of few row groups; 0 leaves them as read."""
+        self.spark, self.dir, self._partitions, self._seen = spark, sf_dir.rstrip("/"), partitions, {}
         spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION sha256(s STRING) RETURNS STRING RETURN sha2(s, 256)")
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._seen:
             if name in TABLES:
-                df = self._spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
+                df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+                df = df.repartition(self._partitions) if self._partitions else df
             else:
                 sql = CARRIERS[name]
                 df = self.spark.sql(sql, **{n: self(n) for n in dict.fromkeys(_NAME.findall(sql))})
@@ -63,15 +65,6 @@ class Tables:
         return self._seen[name]
 
 
-    def _spread(self, df: DataFrame, worth: int = 2 << 20) -> DataFrame:
-        """Spread a file of few row groups over the cores; tables with enough splits are left alone."""
-        cores = self.spark.sparkContext.defaultParallelism
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        if int(size) < worth or df.rdd.getNumPartitions() >= cores:
-            return df
-        return df.repartition(cores, df.columns[0])
-
-
 def oracle_text(sql: str) -> str:
     """SQL twin with the CTEs it needs, dependencies first."""
     order: list[str] = []

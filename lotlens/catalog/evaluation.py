@@ -331,8 +331,17 @@ _CLS = "CASE cls WHEN 0 THEN 'sound' WHEN 1 THEN 'rotten' WHEN 2 THEN 'sprouted'
 _CAPS = {"rotten": 600, "sprouted": 400, "black_smut": 250, "sound": 500}
 
 
-@query("D07_capped_balance", f"""WITH k AS (SELECT DISTINCT image_id, {_CLS} AS class FROM {{boxes}} WHERE cls IN (0,1,2,3)), c AS (SELECT k.*, d FROM k JOIN (SELECT image_id, count(*) FILTER (WHERE class <> 'sound') AS d FROM k GROUP BY image_id) x ON x.image_id = k.image_id WHERE class <> 'sound' OR d = 0),
- r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY d DESC, image_id) AS rk FROM c) SELECT image_id, max(d) AS n_defects FROM r WHERE rk <= CASE class WHEN 'rotten' THEN 600 WHEN 'sprouted' THEN 400 WHEN 'black_smut' THEN 250 ELSE 500 END GROUP BY image_id""")
+_KEEP = "(s.c1 < 600 AND o.h1 = 1 OR s.c2 < 400 AND o.h2 = 1 OR s.c3 < 250 AND o.h3 = 1)"
+
+
+@query("D07_capped_balance", f"""SELECT image_id, n_defects FROM (WITH RECURSIVE i AS (SELECT image_id, max(CAST(cls = 0 AS INT)) AS h0, max(CAST(cls = 1 AS INT)) AS h1, max(CAST(cls = 2 AS INT)) AS h2, max(CAST(cls = 3 AS INT)) AS h3
+  FROM {{boxes}} WHERE cls IN (0,1,2,3) GROUP BY image_id),
+ o AS (SELECT *, CAST(h1 + h2 + h3 AS BIGINT) AS n_defects, row_number() OVER (ORDER BY h1 + h2 + h3 DESC, image_id) AS k FROM i WHERE h1 + h2 + h3 > 0),
+ s AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS image_id, CAST(0 AS BIGINT) AS n_defects, false AS kept, 0 AS c0, 0 AS c1, 0 AS c2, 0 AS c3 UNION ALL
+  SELECT o.k, o.image_id, o.n_defects, {_KEEP}, s.c0 + CASE WHEN {_KEEP} THEN o.h0 ELSE 0 END, s.c1 + CASE WHEN {_KEEP} THEN o.h1 ELSE 0 END, s.c2 + CASE WHEN {_KEEP} THEN o.h2 ELSE 0 END, s.c3 + CASE WHEN {_KEEP} THEN o.h3 ELSE 0 END
+  FROM s JOIN o ON o.k = s.k + 1 WHERE s.c1 < 600 OR s.c2 < 400 OR s.c3 < 250)
+ SELECT image_id, n_defects FROM s WHERE kept UNION ALL
+ SELECT image_id, 0 FROM (SELECT image_id, row_number() OVER (ORDER BY image_id) AS r FROM i WHERE h1 + h2 + h3 = 0) WHERE r <= (SELECT greatest(0, 500 - max(c0)) FROM s))""")
 def _(t):
     name = F.expr("CASE cls WHEN 0 THEN 'sound' WHEN 1 THEN 'rotten' WHEN 2 THEN 'sprouted' WHEN 3 THEN 'black_smut' END")
     return D.capped_balance(t("boxes").select("image_id", name.alias("class")), _CAPS)

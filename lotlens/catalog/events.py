@@ -20,11 +20,8 @@ from lotlens.streaming import streams as S
 
 
 def run_folder(spark) -> str:
-    """A fresh folder for one run, under the cluster's checkpoint folder where one is configured."""
-    base = shared_folder(spark)
-    if base is None:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return f"{base}/lotlens-run-{uuid.uuid4().hex}"
+    """A fresh folder for one run, under the shared folder."""
+    return f"{shared_folder(spark)}/lotlens-run-{uuid.uuid4().hex}"
 
 
 def stream_of(t, table: str):

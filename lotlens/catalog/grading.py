@@ -363,9 +363,21 @@ def _(t):
     return L.lot_decision(s, P.PACKS).select("lot_id", "pack_id", "refer_share", "decision")
 
 
-@query("A11_grade_lots", _GRADED)
+_R2 = lambda c: f"floor({c}*100+0.5)/100"
+
+
+@query("A11_grade_lots", f"""SELECT g.*, {_R2('d.d')} AS deff, {_R2('d.llr')} AS llr, {_R2('d.upper')} AS llr_reject, {_R2('d.lower')} AS llr_accept, coalesce(a.o, 0) AS overridden, coalesce(a.c, 0) AS contested
+FROM {{o_graded}} g JOIN {{o_decisions_h}} d ON d.lot_id = g.lot_id AND d.pack_id = g.pack_id
+LEFT JOIN (SELECT lot_id, count(*) FILTER (WHERE kind = 'override') AS o, count(*) FILTER (WHERE kind = 'contest') AS c FROM {{overrides}} GROUP BY lot_id) a ON a.lot_id = g.lot_id""")
+def _(t):
+    return G.grade_lots(t("bulbs"), P.PACKS, t("overrides"), seeds=_seeds(t)).drop("shares")
+
+
+@query("A11_all_shares", """SELECT lot_id, pack_id, basis, bucket, CAST(floor(p*n+0.5) AS BIGINT) AS k, est, ci_lo, ci_hi, method, true AS bounded FROM {o_intervals_h}""")
 def _(t):
-    return G.grade_lots(t("bulbs"), P.PACKS, t("overrides"), seeds=_seeds(t))
+    g = G.grade_lots(t("bulbs"), P.PACKS, t("overrides"), seeds=_seeds(t)).select("lot_id", "pack_id", F.inline("shares"))
+    bounded = (F.col("bayes_lo") <= F.col("est") + 0.5) & (F.col("bayes_hi") >= F.col("est") - 0.5)
+    return g.withColumn("bounded", bounded).drop("bayes_lo", "bayes_hi")
 
 
 @query("A11_mean_of_looks", """SELECT lot_id, bucket, CAST(floor(sum(x)/sum(m)*10000+0.5) AS BIGINT) AS basis_points FROM (SELECT lot_id, tray, unnest(['GRADE_A', 'URS', 'REJECT', 'REFER']) AS bucket,

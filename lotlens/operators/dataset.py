@@ -72,19 +72,40 @@ def shard(images: DataFrame, index: int, of: int, order: str = "id") -> DataFram
 
 
 def capped_balance(image_classes: DataFrame, caps: dict[str, int], sound: str = "sound") -> DataFrame:
-    """Images kept so that each class stays within its cap, defect-rich images first; sound-only images fill their own cap.
+    """Images kept by running caps, those with most defect classes first, ties by image_id: (image_id, n_defects).
 
-    image_classes(image_id, class). Caps are filters on a row number, which Spark applies before the shuffle.
+    image_classes(image_id, class). An image is kept while one of its defect classes is below its cap; it then uses up the
+    caps of all its classes. Images without a defect fill what is left of the sound cap, in order of image_id. The rule
+    only changes when a class fills, which happens once per class: each round finds the next place where one does, from
+    at most cap images per class, and no image passes through the driver.
     """
-    known = image_classes.where(F.col("class").isin(*caps)).distinct()
-    defect = F.col("class") != sound
-    rich = known.groupBy("image_id").agg(F.count_if(defect).alias("n_defects"))
-    c = known.join(rich, "image_id").where(defect | (F.col("n_defects") == 0))
-    w = Window.partitionBy("class").orderBy(F.desc("n_defects"), "image_id")
-    cap = F.expr("CASE class " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in caps.items()) + " END")
-    top = max(caps.values())
-    ranked = c.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= top)
-    return ranked.where(F.col("rk") <= cap).groupBy("image_id").agg(F.max("n_defects").alias("n_defects"))
+    images = (image_classes.where(F.col("class").isin(*caps)).groupBy("image_id").agg(F.collect_set("class").alias("has"))
+              .select("image_id", "has", (F.size("has") - F.array_contains("has", sound).cast("int")).cast("long").alias("n_defects")))
+    left, open_, after, kept = {sound: 0} | caps, [c for c in caps if c != sound and caps[c] > 0], F.lit(True), []
+    rich = images.where("n_defects > 0")
+
+    def use(rows: DataFrame) -> None:
+        for r in rows.select(F.explode("has").alias("class")).groupBy("class").agg(F.count("*").alias("n")).collect():  # a row per class
+            left[r["class"]] -= r.n
+    while open_:
+        taken = rich.where(after & F.arrays_overlap("has", F.array(*map(F.lit, open_))))
+        rows = taken.select("image_id", "n_defects", F.explode("has").alias("class")).where(F.col("class").isin(*open_))
+        w = Window.partitionBy("class").orderBy(F.desc("n_defects"), "image_id")
+        limit = F.expr("CASE class " + " ".join(f"WHEN '{c}' THEN {left[c]}" for c in open_) + " END")
+        top = rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max(left[c] for c in open_))
+        full = top.where(F.col("_k") == limit).orderBy(F.desc("n_defects"), "image_id").select("n_defects", "image_id").first()
+        if full is None:
+            kept.append(taken)
+            use(taken)
+            break
+        upto = (F.col("n_defects") > full.n_defects) | (F.col("n_defects") == full.n_defects) & (F.col("image_id") <= F.lit(full.image_id))
+        kept.append(taken.where(upto))
+        use(kept[-1])
+        open_, after = [c for c in open_ if left[c] > 0], ~upto
+    out = images.where("n_defects = 0").orderBy("image_id").limit(max(0, left[sound]))
+    for part in kept:
+        out = out.union(part)
+    return out.select("image_id", "n_defects")
 
 
 def hash_holdout(key, share: float = 0.1) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotlens.functions.numeric import round_half_up
 from lotlens.operators import lots as L
 from lotlens.operators import rules as R
 from lotlens.plans.session import materialise
@@ -44,12 +45,23 @@ def lot_results(trays: DataFrame, packs: Sequence[Pack] = PACKS, b: int | None =
 
 def grade_lots(bulbs: DataFrame, packs: Sequence[Pack] = PACKS, overrides: DataFrame | None = None,
                b: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
-    """Headline result of every lot under every pack in one job."""
+    """Full result of every lot under every pack in one job.
+
+    Beside the headline by weight: sizes, the sequential test (llr and its two limits), the Grade-A design effect, the
+    numbers of overriding and contesting actions, and ``shares``, for each basis and bucket the estimate with its interval
+    and Jeffreys bounds. Non-Grade-A per look stays in rows (graded_looks).
+    """
     intervals, decisions = lot_results(graded_trays(bulbs, packs, overrides), packs, b, seeds)
     wide = L.headline(intervals, decisions)
-    extra = decisions.select("lot_id", "pack_id", "n_trays", "n_looks", F.col("n").cast("bigint").alias("n_items"),
-                             "refer_share", "trays_more")
-    return wide.join(extra, ["lot_id", "pack_id"])
+    extra = decisions.select("lot_id", "pack_id", "n_trays", "n_looks", F.col("n").cast("bigint").alias("n_items"), "refer_share", "trays_more",
+                             *[round_half_up(c, 2).alias(name) for c, name in (("deff_a", "deff"), ("llr", "llr"), ("upper", "llr_reject"), ("lower", "llr_accept"))])
+    entry = F.struct("basis", "bucket", F.expr("CAST(floor(p * n + 0.5) AS BIGINT)").alias("k"), "est", "ci_lo", "ci_hi", "method", "bayes_lo", "bayes_hi")
+    shares = L.with_jeffreys(intervals).groupBy("lot_id", "pack_id").agg(F.sort_array(F.collect_list(entry)).alias("shares"))  # ten per lot and pack
+    out = wide.join(extra, ["lot_id", "pack_id"]).join(shares, ["lot_id", "pack_id"])
+    if overrides is None:
+        return out.select("*", F.lit(0).cast("bigint").alias("overridden"), F.lit(0).cast("bigint").alias("contested"))
+    actions = overrides.groupBy("lot_id").agg(F.count_if(F.col("kind") == "override").alias("overridden"), F.count_if(F.col("kind") == "contest").alias("contested"))
+    return out.join(actions, "lot_id", "left").fillna(0, ["overridden", "contested"])
 
 
 def graded_bucket_table(bulbs: DataFrame, pack: Pack) -> DataFrame:

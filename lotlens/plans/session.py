@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,24 +27,22 @@ def local_session(name: str = "lotlens", cpus: int | str | None = None, partitio
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's checkpoint folder; in local mode a temporary one stands in where none is configured."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names and all executors share; a local session without one gets a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    return tempfile.mkdtemp(prefix="lotlens-") if spark.sparkContext.master.startswith("local") else None
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="lotlens-")
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write an intermediate result that several consumers read, and go on from the written table.
 
-    Lost executors then re-read files instead of repeating the item-level pass. Without a shared folder (a cluster that
-    names none) the plan is returned unchanged.
+    Lost executors then re-read files instead of repeating the item-level pass.
     """
     spark = df.sparkSession
-    base = shared_folder(spark)
-    if base is None:
-        return df
-    path = f"{base}/lotlens-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lotlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
