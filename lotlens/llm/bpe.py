@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
@@ -111,7 +112,7 @@ class BytePairs:
         self.hash = PerfectHash(hashes)
         self.words = np.empty(len(words), object)
         self.words[self.hash.slots(hashes)] = words
-        self.whole = [np.array([self.ranks[w]], np.uint32) for w in self.words]
+        self.whole = [np.uint32(self.ranks[w]).tobytes() for w in self.words]
         by_id = [b""] * (max(self.ranks.values()) + 1)
         for word, rank in self.ranks.items():
             by_id[rank] = word
@@ -121,10 +122,10 @@ class BytePairs:
         self.digits_size = ends - self.digits_at
         self.coder = Coder(self._new)
 
-    def _new(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _new(self, pieces: list[bytes]) -> list[bytes]:
         slots = self.hash.slots(piece_hashes(*bytes_of(pieces)))
         words = self.words[slots]
-        return [self.whole[s] if w == p else np.array(merge(p, self.ranks), np.uint32) for s, w, p in zip(slots, words, pieces, strict=True)]
+        return [self.whole[s] if w == p else array("I", merge(p, self.ranks)).tobytes() for s, w, p in zip(slots, words, pieces, strict=True)]
 
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.coder.ids(data, starts)

@@ -12,7 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 21
+#: Text that one step of a task works on; arrays of about a hundred times this size come and go.
+BLOCK_BYTES = 1 << 19
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -19,7 +19,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotlens.llm.common import BLOCK_BYTES, bytes_of, piece_hashes, ragged, written
+from lotlens.llm.common import bytes_of, piece_hashes, ragged, written
 from lotlens.llm.langid import SortedHashes
 
 END = ""
@@ -213,7 +213,7 @@ def _document_rows(shared: Broadcast):
                     for column, value in zip(columns, (row, None, None, w, k, None, None, None, None), strict=True):
                         column.append(value)
                 size += len(rare) + 1
-                if size > BLOCK_BYTES // 16:
+                if size > 1 << 17:
                     yield _rows(columns)
                     columns, size = [[] for _ in range(9)], 0
         yield _rows(columns)

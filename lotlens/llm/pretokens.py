@@ -72,9 +72,12 @@ def distinct(data: np.ndarray, at: np.ndarray) -> tuple[list[bytes], np.ndarray]
 
 
 class Coder:
-    """Ids of whole texts; each distinct pre-token is encoded once while a memory of bounded size holds it."""
+    """Ids of whole texts; each distinct pre-token is encoded once while a memory of bounded size holds it.
 
-    def __init__(self, encode, room: int = 300_000):
+    encode() gives the ids of each of a list of new pre-tokens, as the bytes of 32-bit numbers.
+    """
+
+    def __init__(self, encode, room: int = 150_000):
         self.encode, self.room, self.known = encode, room, {}
 
     def ids(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +92,8 @@ class Coder:
         new = [i for i, x in enumerate(found) if x is None]
         for i, got in zip(new, self.encode([pieces[i] for i in new]) if new else [], strict=True):
             self.known[pieces[i]] = found[i] = got
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat, first, each = np.concatenate(found), np.cumsum(lengths) - lengths, lengths[which]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, first, each = np.frombuffer(b"".join(found), np.uint32), np.cumsum(lengths) - lengths, lengths[which]
         before = np.zeros(len(which) + 1, np.int64)
         np.cumsum(each, out=before[1:])
         return flat[ragged(first[which], each)], before[rows]

@@ -49,9 +49,9 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _new(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _new(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each pre-token. Line ends keep those that hold more than white space apart in one text."""
-        out: list[np.ndarray] = [None] * len(pieces)
+        out: list[bytes] = [None] * len(pieces)
         solid = [i for i, p in enumerate(pieces) if p.decode().strip()]
         ids = self._ids("\n".join(pieces[i].decode() for i in solid)) if solid else np.zeros(0, np.uint32)
         ends = np.cumsum(self.size[ids])
@@ -60,10 +60,10 @@ class Encoder:
         apart = (last < len(ends)) & (ends[np.minimum(last, len(ends) - 1)] == want - 1) if len(ends) else np.zeros(len(solid), bool)
         for k, i in enumerate(solid):
             if apart[k] and (not k or apart[k - 1]):
-                out[i] = ids[last[k - 1] + 2 if k else 0:last[k] + 1]
+                out[i] = ids[last[k - 1] + 2 if k else 0:last[k] + 1].tobytes()
         for i, p in enumerate(pieces):
             if out[i] is None:
-                out[i] = self._ids(p.decode())
+                out[i] = self._ids(p.decode()).tobytes()
         return out
 
 

@@ -175,7 +175,7 @@ def grade(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5)
                 for w, k in words.items():
                     got = known.get(w)
                     if got is None:
-                        if len(known) > 300_000:
+                        if len(known) > 100_000:
                             known.clear()
                         known[w] = got = sum(weight(f, 0.0) for f in features_of(w))
                     total += got * k
