@@ -94,11 +94,12 @@ def _(t):
     return S.drain(first, run_folder(t.spark)).groupBy("o_custkey", "o_totalprice").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("M05_clock_skew", """SELECT event_id, abs(event_id % 40 - 20) <= 24 AND event_id % 40 - 20 <> 0 OR event_id % 40 = 20 AS kept_client, strftime(CASE WHEN event_id % 3 = 0 THEN ts ELSE ts END, '%Y-%m-%d %H') AS hour FROM {events}""")
+@query("M05_clock_skew", """SELECT event_id, abs(event_id % 80 - 40) <= 24 AS kept_client,
+ strftime(CASE WHEN abs(event_id % 80 - 40) <= 24 THEN ts + to_hours(CAST(event_id % 80 - 40 AS INT)) ELSE ts END, '%Y-%m-%d %H:%M:%S') AS trusted_at FROM {events}""")
 def _(t):
-    e = t("events").withColumn("client", F.date_format(F.col("ts") + F.make_dt_interval(F.lit(0), (F.col("event_id") % 40 - 20).cast("int")), "yyyy-MM-dd HH:mm:ss"))
+    e = t("events").withColumn("client", F.date_format(F.col("ts") + F.make_dt_interval(F.lit(0), (F.col("event_id") % 80 - 40).cast("int")), "yyyy-MM-dd HH:mm:ss"))
     at, reason = trusted_time("client", F.col("ts").cast("timestamp"))
-    return e.select("event_id", reason.isNull().alias("kept_client"), F.date_format("ts", "yyyy-MM-dd HH").alias("hour"))
+    return e.select("event_id", reason.isNull().alias("kept_client"), F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("trusted_at"))
 
 
 @query("M06_current_actions", "SELECT lot_id, bulb_id, kind, to_bucket, who FROM {o_last}")
@@ -106,7 +107,7 @@ def _(t):
     return S.current_actions(t("overrides")).select("lot_id", "bulb_id", "kind", "to_bucket", "who")
 
 
-@query("M07_ledger_tail")
+@query("M07_ledger_tail", "SELECT o_custkey % 6 AS centre_id, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 101 = 0) AS n_disputed FROM {orders} GROUP BY 1")
 def _(t):
     folder = run_folder(t.spark)
     e = stream_of(t, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 6).alias("centre_id"), (F.col("o_orderkey") % 101 == 0).alias("disputed"))

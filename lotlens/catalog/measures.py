@@ -160,9 +160,9 @@ def _(t):
 
 @query("P18_polygon_to_box", f"""SELECT vec_id, n, {S6('CASE WHEN n = 4 THEN e[1] ELSE (list_min(list_transform(range(1, n, 2), lambda i: e[i])) + list_max(list_transform(range(1, n, 2), lambda i: e[i])))/2 END')} AS xc,
  {S6('CASE WHEN n = 4 THEN e[4] ELSE list_max(list_transform(range(2, n+1, 2), lambda i: e[i])) - list_min(list_transform(range(2, n+1, 2), lambda i: e[i])) END')} AS h
-FROM (SELECT vec_id, CAST(n AS INT) AS n, list_transform(embedding[1:n], lambda x: CAST(x AS DOUBLE)) AS e FROM (SELECT *, CASE WHEN vec_id % 2 = 0 THEN 4 ELSE 10 END AS n FROM {{embeddings}}))""")
+FROM (SELECT vec_id, CAST(n AS INT) AS n, list_transform(embedding[1:n], lambda x: CAST(x AS DOUBLE)) AS e FROM (SELECT *, CASE WHEN vec_id % 2 = 0 THEN 4 ELSE len(embedding) END AS n FROM {{embeddings}}))""")
 def _(t):
-    n = F.when(F.col("vec_id") % 2 == 0, 4).otherwise(10)
+    n = F.when(F.col("vec_id") % 2 == 0, 4).otherwise(F.size("embedding"))
     e = t("embeddings").select("vec_id", n.alias("n"), F.slice(F.col("embedding").cast("array<double>"), F.lit(1), n).alias("e"))
     b = e.select("vec_id", "n", X.polygon_to_box("e").alias("b"))
     return b.select("vec_id", "n", r6("b.xc").alias("xc"), r6("b.h").alias("h"))
@@ -296,7 +296,7 @@ def _(t):
     return D.compare_gradings(_pairs(t)).select("a_id", "b_id", r6("z").alias("z"))
 
 
-@query("A20_two_sided_p")
+@query("A20_two_sided_p", f"""SELECT a_id, b_id, {S6('z')} AS z, {S6("greatest(0, 1 - 2*least(abs(z), 8.0)/3000*list_sum(list_transform(range(0, 1001), lambda i: (CASE WHEN i % 1000 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5*pow(least(abs(z), 8.0)*i/1000.0, 2))/sqrt(2*pi()))))")} AS p FROM {{o_compare}}""")
 def _(t):
     return D.compare_gradings(_pairs(t)).select("a_id", "b_id", r6("z").alias("z"), r6(D.two_sided_p("z")).alias("p"))
 

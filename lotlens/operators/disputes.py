@@ -4,22 +4,23 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from lotlens.functions.numeric import half_up, num
 from lotlens.functions.ordered import previous
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
+def erfc(x) -> Column:
+    """Complementary error function of x >= 0 as an expression; below 1e-14 it is 0.
 
-
-@F.pandas_udf(DoubleType())
-def erfc(x: pd.Series) -> pd.Series:
-    """Complementary error function; Spark has none."""
-    return pd.Series(_erfc(x.to_numpy(float))) if len(x) else x
+    1 - 2/sqrt(pi) x exp(-x^2) (1 + 2x^2/3 (1 + 2x^2/5 (1 + ...))), whose terms are all positive.
+    """
+    x = num(x).cast("double")
+    y, nest = x * x * 2.0, F.lit(1.0)
+    for odd in range(181, 1, -2):
+        nest = y / float(odd) * nest + 1.0
+    value = F.lit(1.0) - x * F.exp(-x * x) * nest * (2.0 / math.sqrt(math.pi))
+    return F.when(x.isNull(), x).when(x > 5.6, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), value))
 
 
 def two_proportion_z(ka, na, kb, nb) -> Column:
