@@ -143,42 +143,41 @@ def cross_split_leakage(images: DataFrame) -> DataFrame:
     return images.groupBy("hash").agg(F.count_distinct("split").alias("n_splits"), F.count(F.lit(1)).alias("n_images")).where(F.col("n_splits") > 1)
 
 
-HOT_BUCKET = 2000
+#: Ways to cut 64 bits into groups, coarse to fine, and candidate pairs per hash that ask for the next one.
+GROUPS, PAIRS_PER_HASH = (8, 9, 10, 12), 20
 
 
-def near_duplicates(hashes: DataFrame, distance: int = 5, hot: int = HOT_BUCKET) -> DataFrame:
+def near_duplicates(hashes: DataFrame, distance: int = 5, groups: int | None = None) -> DataFrame:
     """Pairs of distinct 64-bit hashes (16 hex digits) within a Hamming distance of at most 5: a, b, distance.
 
-    Copies are collapsed first: only distinct hashes are compared. Of eight bytes at least three agree, so hashes meet on
-    keys of three bytes and no pair is lost; a pair is kept only under the first three bytes it shares, so it appears once
-    without a distinct. A key shared by more than ``hot`` hashes is split further: of the ten digits outside the key at
-    least five agree, so its hashes meet on five more digits, and a pair is kept under the first five it shares.
+    Copies are collapsed first. With the bits cut into r groups, two hashes within the distance agree in at least
+    r - distance of them, so hashes meet on the bits of every choice of so many groups and no pair is lost; a pair is kept
+    under the first choice it shares only, so it appears once without a distinct. More groups mean longer keys: r grows
+    until the keys, as counted, make few candidates per hash, so that hashes crowded on some bits meet on others.
     """
     if not 0 <= distance <= 5:
         raise ValueError("distance must be between 0 and 5")
-    byte = lambda i: f"substr(hash, {1 + 2 * i}, 2)"
-    joined = lambda ids: f"concat({', '.join(byte(i) for i in ids)})"
-    keys = ", ".join(f"named_struct('c', {n}, 'last', {x[-1]}, 'k', {joined(x)}, 'rest', {joined([i for i in range(8) if i not in x])})"
-                     for n, x in enumerate(combinations(range(8), 3)))
-    h = hashes.select("hash").distinct().selectExpr("hash", "CAST(conv(substr(hash, 1, 8), 16, 10) AS BIGINT) AS hi", "CAST(conv(substr(hash, 9, 8), 16, 10) AS BIGINT) AS lo")
-    keyed = h.selectExpr("hash", "hi", "lo", f"inline(array({keys}))")
-    crowded = keyed.groupBy("c", "k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select("c", "k")
-
-    def pairs(rows: DataFrame, on: list[str]) -> DataFrame:
-        a = rows.selectExpr(*on, "last", "hash AS a", "hi AS ahi", "lo AS alo", "rest AS ra")
-        b = rows.selectExpr(*on, "hash AS b", "hi AS bhi", "lo AS blo", "rest AS rb")
-        d = a.join(b, on).where("a < b").selectExpr(*on, "a", "b", "ra", "rb", "last", "ahi ^ bhi AS xh", "alo ^ blo AS xl")
-        d = d.withColumn("distance", F.expr("CAST(bit_count(xh) + bit_count(xl) AS INT)")).where(F.col("distance") <= distance)
-        # Under the first three bytes a pair shares, exactly two earlier bytes agree before the third.
-        word = lambda i: f"shiftright({'xh' if i < 4 else 'xl'}, {24 - 8 * (i % 4)}) & 255"
-        return d.where(F.expr(" + ".join(f"IF({i} < last AND ({word(i)}) = 0, 1, 0)" for i in range(7)) + " = 2"))
-    usual = pairs(keyed.join(crowded, ["c", "k"], "left_anti"), ["c", "k"])
-    picks = ", ".join(f"array({', '.join(map(str, x))})" for x in combinations(range(1, 11), 5))
-    five = "concat(" + ", ".join(f"substr(rest, x[{i}], 1)" for i in range(5)) + ")"
-    split = keyed.join(crowded, ["c", "k"], "left_semi").selectExpr("*", f"posexplode(transform(array({picks}), x -> {five})) AS (c2, k2)")
-    dense = pairs(split, ["c", "k", "c2", "k2"]).withColumn("last2", F.expr(f"array({picks})[c2][4]"))
-    dense = dense.where(F.expr(" + ".join(f"IF({i} < last2 AND substr(ra, {i}, 1) = substr(rb, {i}, 1), 1, 0)" for i in range(1, 10)) + " = 4"))
-    return usual.select("a", "b", "distance").unionByName(dense.select("a", "b", "distance"))
+    number = "shiftleft(CAST(conv(substr(hash, 1, 8), 16, 10) AS BIGINT), 32) | CAST(conv(substr(hash, 9, 8), 16, 10) AS BIGINT)"
+    h = hashes.select("hash").distinct().selectExpr(f"{number} AS h")
+    for r in GROUPS if groups is None else (groups,):
+        cuts = [64 * i // r for i in range(r + 1)]
+        parts = [((1 << cuts[i + 1]) - (1 << cuts[i])) for i in reversed(range(r))]
+        parts = [m - (1 << 64) if m >> 63 else m for m in parts]
+        choices = list(combinations(range(r), r - distance))
+        masks = ", ".join(f"{sum(parts[i] for i in x)}L" for x in choices)
+        keyed = h.selectExpr("h", f"posexplode(transform(array({masks}), m -> h & m)) AS (c, k)")
+        if groups is not None or r == GROUPS[-1]:
+            break
+        load = keyed.groupBy("c", "k").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("n") / len(choices)).first()
+        if (load[0] or 0) <= PAIRS_PER_HASH * (load[1] or 0):
+            break
+    # Groups before the choice's last one that it leaves out: the first choice of a pair leaves out only groups that differ.
+    out = ", ".join("array(" + ", ".join(f"{parts[i]}L" for i in range(x[-1] if x else 0) if i not in x) + ")" if x and x[-1] >= len(x) else "CAST(array() AS ARRAY<BIGINT>)" for x in choices)
+    pairs = keyed.selectExpr("c", "k", "h AS a").join(keyed.selectExpr("c", "k", "h AS b"), ["c", "k"]).where("a < b").selectExpr("c", "a", "b", "CAST(bit_count(a ^ b) AS INT) AS distance")
+    first = pairs.where(F.col("distance") <= distance).where(F.expr(f"forall(array({out})[c], g -> ((a ^ b) & g) <> 0)"))
+    text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    # Hexadecimal order is that of unsigned numbers.
+    return first.select(F.least(text("a"), text("b")).alias("a"), F.greatest(text("a"), text("b")).alias("b"), "distance")
 
 
 def class_balance(boxes: DataFrame, minimum: int = 150) -> DataFrame:

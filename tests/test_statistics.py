@@ -115,11 +115,22 @@ def test_near_duplicates_equal_brute_force(spark):
     rows = [(f"{h:016x}",) for h in hs] * 2
     want = {(f"{a:016x}", f"{b:016x}") for a, b in itertools.combinations(sorted(hs), 2) if bin(a ^ b).count("1") <= 5}
     df = spark.createDataFrame(rows, "hash string")
-    for hot in (2000, 4):
-        got = [(r.a, r.b) for r in D.near_duplicates(df, hot=hot).collect()]
+    for groups in (None, 8, 9, 10, 12):
+        got = [(r.a, r.b) for r in D.near_duplicates(df, groups=groups).collect()]
         assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_near_duplicates_under_one_prefix(spark):
+    """Hashes that share their first three bytes meet on other bits."""
+    rng = random.Random(12)
+    hs = [0xABCDEF << 40 | rng.getrandbits(40) for _ in range(20_000)]
+    hs += [hs[0] ^ 0b111, hs[1] ^ (1 << 39)]
+    df = spark.createDataFrame([(f"{h:016x}",) for h in hs], "hash string")
+    got = {(r.a, r.b) for r in D.near_duplicates(df).collect()}
+    for a, b in ((hs[0], hs[-2]), (hs[1], hs[-1])):
+        assert (f"{min(a, b):016x}", f"{max(a, b):016x}") in got
+
+
 def test_greedy_match_equals_sequential(spark):
     rng = random.Random(2)
     gts, preds = [], []
