@@ -90,7 +90,7 @@ def _(t):
 @query("M04_first_records_stream", "SELECT o_custkey, o_totalprice, count(DISTINCT o_orderstatus || o_orderpriority) AS n FROM {orders} GROUP BY o_custkey, o_totalprice")
 def _(t):
     o = stream_of(t, "orders").withColumn("created_ts", F.col("o_orderdate").cast("timestamp"))
-    first = S.first_records(o, keys=("o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"), delay="4000 days")
+    first = S.first_records(o, keys=("o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"))
     return S.drain(first, run_folder(t.spark)).groupBy("o_custkey", "o_totalprice").agg(F.count(F.lit(1)).alias("n"))
 
 
