@@ -278,11 +278,14 @@ def _(t):
     return p.select("log", "idx", F.size("proof").alias("n_steps"), F.array_join("proof", "").alias("proof"))
 
 
-@query("T08_verify_inclusion", "SELECT log, idx, true AS ok FROM {log_leaves}")
+@query("T08_verify_inclusion", "SELECT log, idx, idx % 5 = 0 AS ok FROM {log_leaves}")
 def _(t):
     leaves = _leaves(t).select("log", "idx", "node")
-    v = T.verify_inclusion(T.inclusion_proofs(leaves).join(T.merkle_root(leaves), "log"))
-    return v.select("log", "idx", "ok")
+    p = T.inclusion_proofs(leaves).join(T.merkle_root(leaves), "log").withColumn("kind", F.col("idx") % 5).withColumn("own", F.col("idx"))
+    # Only every fifth proof is honest: others have a forged step, the neighbour's index, another root or another leaf.
+    forged = p.withColumns({"proof": F.expr("IF(kind = 1, transform(proof, (h, i) -> IF(i = 0, sha2(h, 256), h)), proof)"), "idx": F.expr("IF(kind = 2, idx ^ 1L, idx)"),
+                            "root": F.expr("IF(kind = 3, sha2(root, 256), root)"), "node": F.expr("IF(kind = 4, sha2(node, 256), node)")})
+    return T.verify_inclusion(forged).select("log", F.col("own").alias("idx"), "ok")
 
 
 @query("T09_head_roots", _merkle_sql("SELECT t.log, t.size, l.idx AS i, " + _LEAF.replace("cert_hash", "l.cert_hash") + " AS h FROM {tree_heads} t JOIN {log_leaves} l ON l.log = t.log AND l.idx < t.size", 20, "log, size"))

@@ -262,7 +262,7 @@ FROM {lineitem}
 """)
 carrier("detections", """
 SELECT image_id, concat('p-', gt_id) AS pred_id, cls, x0 + jitter AS x0, y0 AS y0, x1 + jitter AS x1, y1 + jitter / 2 AS y1, conf FROM (
-SELECT b.*, CAST(length(gt_id) * 7 % 13 AS DOUBLE) / 400.0 AS jitter, CAST(image_id * 17 % 97 AS DOUBLE) / 97.0 AS conf FROM {boxes} b WHERE image_id % 31 <> 0) d
+SELECT b.*, CAST(length(gt_id) * 7 % 13 AS DOUBLE) / 400.0 AS jitter, CAST((image_id * 17 + length(gt_id) * 29 + CAST(x0 * 1000 AS BIGINT) * 7) % 97 AS DOUBLE) / 97.0 AS conf FROM {boxes} b WHERE image_id % 31 <> 0) d
 """)
 # 64-bit picture hashes: groups of eight parts share all but a bit or two, and some are exact copies.
 carrier("picture_hashes", """
