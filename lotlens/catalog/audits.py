@@ -112,7 +112,17 @@ def _(t):
     return J.missing_from(_photos(t, "score"), _photos(t, "score_new").where("id % 5 <> 0"))
 
 
-@query("J13_greedy_match")
+shared("o_greedy", """SELECT pred_id, gt FROM (WITH RECURSIVE c AS (SELECT image_id, cls, pred_id, any_value(conf) AS conf, list(struct_pack(iou := iou, gt := gt_id) ORDER BY iou DESC, gt_id) AS cands FROM (
+  SELECT *, i/(a+b-i) AS iou FROM (SELECT p.image_id, p.cls, p.pred_id, p.conf, g.gt_id, greatest(0, least(p.x1,g.x1)-greatest(p.x0,g.x0))*greatest(0, least(p.y1,g.y1)-greatest(p.y0,g.y0)) AS i,
+   (p.x1-p.x0)*(p.y1-p.y0) AS a, (g.x1-g.x0)*(g.y1-g.y0) AS b FROM {detections} p JOIN {boxes} g ON g.image_id = p.image_id AND g.cls = p.cls)) WHERE iou >= 0.5 GROUP BY image_id, cls, pred_id),
+ o AS (SELECT *, row_number() OVER (PARTITION BY image_id, cls ORDER BY conf DESC, pred_id) AS k FROM c),
+ s AS (SELECT DISTINCT image_id, cls, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS pred_id, CAST(NULL AS VARCHAR) AS gt FROM o UNION ALL
+  SELECT image_id, cls, k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pred_id, pick FROM (
+   SELECT o.image_id, o.cls, o.k, s.used, o.pred_id, list_filter(o.cands, lambda x: NOT list_contains(s.used, x.gt))[1].gt AS pick FROM s JOIN o ON o.image_id = s.image_id AND o.cls = s.cls AND o.k = s.k + 1))
+ SELECT * FROM s WHERE gt IS NOT NULL)""")
+
+
+@query("J13_greedy_match", f"SELECT d.pred_id, g.gt AS gt_id, CASE WHEN g.gt IS NULL THEN 0 ELSE 1 END AS correct, {S6('d.conf')} AS conf FROM {{detections}} d LEFT JOIN {{o_greedy}} g ON g.pred_id = d.pred_id")
 def _(t):
     m = J.greedy_match(t("detections"), t("boxes"), 0.5)
     return m.select("pred_id", "gt_id", "correct", r6("conf").alias("conf"))

@@ -243,7 +243,8 @@ def _(t):
     return rounded(C.fit_temperature(t("conf_pairs")), "temperature", "bce_before", "bce_after", "ece_before", "ece_after")
 
 
-@query("E22_precision_recall")
+@query("E22_precision_recall", f"""SELECT called, tp, n_truth, {S6('tp/called')} AS precision, {S6('tp/n_truth')} AS recall, {S6('2.0*(tp/called)*(tp/n_truth)/(tp/called + tp/n_truth)')} AS f1 FROM (
+ SELECT count(*) FILTER (WHERE conf >= 0.5) AS called, count(*) FILTER (WHERE conf >= 0.5 AND g.gt IS NOT NULL) AS tp, (SELECT count(*) FROM {{boxes}}) AS n_truth FROM {{detections}} d LEFT JOIN {{o_greedy}} g ON g.pred_id = d.pred_id)""")
 def _(t):
     m = J.greedy_match(t("detections"), t("boxes"), 0.5)
     truth = t("boxes").agg(F.count(F.lit(1)).alias("n")).scalar()
