@@ -113,7 +113,7 @@ def _prefixes(width: int, seed: int, percent: int, shared: Broadcast):
             for _, grams in _sets(batch, width):
                 if 100 * len(grams) >= percent * (len(grams) + 1):  # a smaller set links with no other set
                     k = len(grams) - -(-percent * len(grams) // 100) + first_shared(len(grams))
-                    order = level[(grams & np.uint64(COUNTERS - 1)).astype(np.int64)] << np.uint64(57) | grams >> np.uint64(7)
+                    order = level[(grams & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(57) | grams >> np.uint64(7)
                     keys.append(grams[np.argpartition(order, k - 1)[:k]].view(np.int64))
                     nodes.append(signature(grams, seed))
                     sizes.append(len(grams))
@@ -210,7 +210,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).where("a <> b").distinct()
         now = written(small, "edges")
@@ -248,9 +248,11 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     counts = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
     for r in (summary.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_summed, "slice int, counts binary").collect()):
         counts[r.slice] += np.frombuffer(r.counts, np.int64)
-    level = np.maximum(0, np.floor(4 * np.log2(np.maximum(counts.ravel(), 1) / max(1.0, counts.mean())))).astype(np.uint64)
-    prefixes = rows.mapInArrow(_prefixes(width, seed, percent, spark.sparkContext.broadcast(level)), "gram long, node long, n long")
+    level = np.maximum(0, np.floor(4 * np.log2(np.maximum(counts.ravel(), 1) / max(1.0, counts.mean())))).astype(np.uint8)
+    shared = spark.sparkContext.broadcast(level)
+    prefixes = rows.mapInArrow(_prefixes(width, seed, percent, shared), "gram long, node long, n long")
     meetings = written(_shared(prefixes, percent), "meetings")
+    shared.unpersist()
     meetings = written(_shared(meetings, percent), "meetings")
     leaders = meetings.groupBy("gram").agg(F.min("node").alias("leader"))
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9)

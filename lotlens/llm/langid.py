@@ -69,7 +69,7 @@ class SortedHashes:
         hashes = mix(packed)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
-        bits = max(1, int(len(packed)).bit_length() + 1)
+        bits = max(1, int(len(packed)).bit_length())
         self.drop = np.uint64(64 - bits)
         self.begin = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.drop).astype(np.int32)
         counts = np.diff(np.append(self.begin, len(hashes)))
@@ -175,6 +175,7 @@ def fit(langs: list[str], counted: dict[str, tuple[np.ndarray, np.ndarray]]) ->
         for hashes, tables, keys, rows in ((model.keys, model.values, union, level), (model.contexts, model.weights, heads, rest)):
             hashes.append(SortedHashes(keys))
             tables.append(np.log2(rows[hashes[-1].order]).astype(np.float32))
+            hashes[-1].order = None  # the tables have that order now
         lower, lower_keys = level, union
     model.base = np.full(len(langs), np.log2(1.0 / alphabet), np.float32)
     model.limit = np.full(len(langs), np.inf)
@@ -218,6 +219,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_bytes:
     for r in (held.select("lang", _scored(F.col("text"), shared).alias("s")).select("lang", "s.*").where("lang = lang_pred")
               .groupBy("lang").agg(F.percentile_approx("bits", keep, 10000).alias("bits")).collect()):
         model.limit[model.langs.index(r.lang)] = r.bits + slack
+    shared.unpersist()
     return model
 
 

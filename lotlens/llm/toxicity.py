@@ -144,6 +144,7 @@ def train(docs: DataFrame, grades: DataFrame, rows_per_grade: int = 8000, most:
     names = sorted(r.feature for r in counted.withColumn("z", z).where(F.col("z") >= least).orderBy(F.desc("z"), "feature").limit(most).collect())
     shared = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
     got = once.mapInArrow(_places(shared), "grade int, places array<int>, sizes array<double>").toPandas()
+    shared.unpersist()
     present = np.unique(got.grade.to_numpy())
     places = [np.asarray(p, np.int64) for p in got.places]
     lengths = np.fromiter(map(len, places), np.int64, len(places))
