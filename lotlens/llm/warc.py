@@ -92,8 +92,12 @@ SCHEMA = pa.schema([(n, {"string": pa.string(), "long": pa.int64()}[t]) for n, t
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes a record per row of pages into archives in `folder`, shared by all executors; returns the written index."""
-    ordered = marked(pages).repartitionByRange("page_id", F.xxhash64("url", "digest")).sortWithinPartitions("page_id", "url", "digest")
+    """Writes a record per row of pages into archives in `folder`, shared by all executors; returns the written index.
+
+    Rows stay where the search for equal payloads has dealt them, so payloads move once; inside an archive they are in
+    order of page_id, url and digest, so that a repeated task writes the same file.
+    """
+    ordered = marked(pages).sortWithinPartitions("page_id", "url", "digest")
     ordered.mapInArrow(_write(folder), INDEX).write.parquet(f"{folder}/index")
     return index(pages.sparkSession, folder)
 
