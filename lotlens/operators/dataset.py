@@ -143,8 +143,8 @@ def cross_split_leakage(images: DataFrame) -> DataFrame:
     return images.groupBy("hash").agg(F.count_distinct("split").alias("n_splits"), F.count(F.lit(1)).alias("n_images")).where(F.col("n_splits") > 1)
 
 
-#: Ways to cut 64 bits into groups, coarse to fine, and candidate pairs per hash that ask for the next one.
-GROUPS, PAIRS_PER_HASH = (8, 9, 10, 12), 20
+#: Ways to cut 64 bits into groups, coarse to fine, and candidate pairs per hash and choice of groups that ask for the next one.
+GROUPS, PAIRS_PER_HASH = (8, 9, 10, 12), 4
 
 
 def near_duplicates(hashes: DataFrame, distance: int = 5, groups: int | None = None) -> DataFrame:
@@ -169,7 +169,7 @@ def near_duplicates(hashes: DataFrame, distance: int = 5, groups: int | None = N
         if groups is not None or r == GROUPS[-1]:
             break
         load = keyed.groupBy("c", "k").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("n") / len(choices)).first()
-        if (load[0] or 0) <= PAIRS_PER_HASH * (load[1] or 0):
+        if (load[0] or 0) <= PAIRS_PER_HASH * len(choices) * (load[1] or 0):
             break
     # Groups before the choice's last one that it leaves out: the first choice of a pair leaves out only groups that differ.
     out = ", ".join("array(" + ", ".join(f"{parts[i]}L" for i in range(x[-1] if x else 0) if i not in x) + ")" if x and x[-1] >= len(x) else "CAST(array() AS ARRAY<BIGINT>)" for x in choices)
