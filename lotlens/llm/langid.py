@@ -184,42 +184,59 @@ def fit(langs: list[str], counted: dict[str, tuple[np.ndarray, np.ndarray]]) ->
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = batch.column("lang")
-        for lang in names.unique().to_pylist():
-            texts = batch.column("text").filter(pc.equal(names, lang))
+        names, held = batch.column("lang"), batch.column("held")
+        for lang, back in ((x, y) for x in names.unique().to_pylist() for y in (False, True)):
+            texts = batch.column("text").filter(pc.and_(pc.equal(names, lang), pc.equal(held, back)))
             data, starts = flat_text(texts)
             for a, b in blocks(starts):
                 packed, _ = grams(data[starts[a]:starts[b]], starts[a:b + 1] - starts[a])
                 found, count = np.unique(packed, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(count)], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([back] * len(found), pa.bool_()), pa.array(found), pa.array(count)],
+                                                 names=["lang", "held", "gram", "n"])
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_bytes: int = 4_000_000, check_bytes: int = 1_000_000,
-          keep: float = 0.999, slack: float = 1.0) -> Model:
+          keep: float = 0.999, slack: float = 1.0, few: int = 100) -> Model:
     """Fits the models on whole texts, about `sample_bytes` of each language, drawn by a hash of the text.
 
-    Sampling by a share of each language's bytes bounds the model (distinct n-grams of the sample) at any input size;
-    a language with less is used whole. A second, disjoint draw of about `check_bytes` calibrates rejection: a text is
+    Sampling by a share of each language's bytes bounds the model (distinct n-grams of the sample) at any input size.
+    `check_bytes` more, or the same share of a language with less, calibrate rejection by models of the others: a text is
     rejected if its bits per letter exceed the `keep` quantile of its language's own texts by more than `slack`, and by
-    more the shorter it is. Rows without text or language teach nothing; without any, the model knows no language.
+    more the shorter it is. A language with under `few` texts to calibrate on takes the quantile over all languages
+    where that is higher; where no text could be held back at all, a text must do better than letters drawn evenly. The final
+    model of a language drawn whole counts the held texts too. Rows without text or language teach nothing; without any
+    letter, the model knows no language.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     sizes = {r.lang: r.bytes for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect() if r.bytes}
     if not sizes:
         return Model([])
-    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, float(v))])[F.col("lang")]
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 52)) / float(1 << 52) * share
-    drawn = rows.withColumn("draw", draw)
-    counted = (drawn.where(F.col("draw") < sample_bytes).select("lang", "text").mapInArrow(_counts, "lang string, gram bigint, n bigint")
-               .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
-    by_lang = {k: (np.sort(g.gram.to_numpy()), g.n.to_numpy()[np.argsort(g.gram.to_numpy())]) for k, g in counted.groupby("lang")}
-    model = fit(sorted(by_lang), by_lang)
+    whole = sample_bytes + check_bytes
+    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, whole / v)])[F.col("lang")]
+    mark = F.xxhash64("text")
+    drawn = rows.where(F.pmod(mark, F.lit(1 << 52)) / float(1 << 52) < share).withColumn("held", F.pmod(F.xxhash64(mark), F.lit(whole)) < check_bytes)
+    entire = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, v <= whole)])[F.col("lang")]
+    counted = (drawn.where(~F.col("held") | entire).select("lang", "held", "text").mapInArrow(_counts, "lang string, held boolean, gram bigint, n bigint")
+               .groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("held"), 0).otherwise(F.col("n"))).alias("taught")).toPandas())
+    if not len(counted):
+        return Model([])
+    taught, every = {}, {}
+    for k, g in counted.groupby("lang"):
+        gram, n, kept = (x[np.argsort(g.gram.to_numpy())] for x in (g.gram.to_numpy(), g.n.to_numpy(), g.taught.to_numpy()))
+        every[k] = gram, n
+        taught[k] = (gram[kept > 0], kept[kept > 0]) if kept.any() else every[k]
+    del counted
+    model = fit(sorted(taught), taught)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    held = drawn.where(f"draw >= {sample_bytes} and draw < {sample_bytes + check_bytes}")
-    for r in (held.select("lang", _scored(F.col("text"), shared).alias("s")).select("lang", "s.*").where("lang = lang_pred")
-              .groupBy("lang").agg(F.percentile_approx("bits", keep, 10000).alias("bits")).collect()):
-        model.limit[model.langs.index(r.lang)] = r.bits + slack
+    scored = drawn.where("held").select("lang", _scored(F.col("text"), shared).alias("s")).select("lang", "s.*").where("lang = lang_pred")
+    checked = scored.rollup("lang").agg(F.percentile_approx("bits", keep, 10000).alias("bits"), F.count("*").alias("n")).where("n > 0").collect()
     shared.unpersist()
+    limits = {r.lang: r for r in checked}
+    if any((taught[k][1].sum() != every[k][1].sum()) for k in every):
+        model = fit(sorted(every), every)
+    for i, k in enumerate(model.langs):
+        own = [limits[x].bits for x in (k, None) if x in limits and (x == k or k not in limits or limits[k].n < few)]
+        model.limit[i] = max(own) + slack if own else -model.base[i]
     return model
 
 

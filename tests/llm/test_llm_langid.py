@@ -96,3 +96,27 @@ def test_edge_rows(spark):
     none = langid.train(docs.limit(0), lang="lang_pred")
     assert {r.s.lang_pred for r in docs.select(langid.identify(docs, none).alias("s")).collect()} == {"und"}
     assert docs.where(F.lit(False)).select(langid.identify(docs, model)).count() == 0
+
+
+@pytest.mark.parametrize("sample_bytes", [4_000_000, 20_000])
+def test_gibberish_is_rejected_at_any_size(spark, sample_bytes):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = ["xqzw jkvq wzzx qqkj vvxw " * 8, "bcdfg hjklm npqrs tvwxz zxcvb nmlkj " * 4, "щгшзх ждлорпавыф ячсмитьбю " * 5]
+    model = langid.train(docs.where("doc_id % 5 > 0"), sample_bytes=sample_bytes, check_bytes=sample_bytes // 4)
+    assert len(model.langs) == 4 and np.isfinite(model.limit).all()
+    found = spark.createDataFrame([(t,) for t in odd], "text string")
+    assert all(r.s.rejected for r in found.select(langid.identify(found, model).alias("s")).collect())
+    own = docs.where("doc_id % 5 = 0")
+    assert not any(r.s.rejected for r in own.select(langid.identify(own, model).alias("s")).collect())
+
+
+def test_a_language_of_a_few_texts_rejects_gibberish_and_counts_all_of_them(spark):
+    texts = EN[:4]
+    docs = spark.createDataFrame([(t, "en") for t in texts] + [("zażółć gęślą jaźń", "pl")], "text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == ["en", "pl"] and np.isfinite(model.limit).all()
+    whole = langid.fit(["en", "pl"], {k: np.unique(langid.grams(*common.flat_text(pa.array(t)))[0], return_counts=True) for k, t in (("en", texts), ("pl", ["zażółć gęślą jaźń"]))})
+    flat = common.flat_text(pa.array([EN[0], "zażółć gęślą jaźń", "xqzw jkvq"]))
+    assert model.entropies(*flat)[0] == pytest.approx(whole.entropies(*flat)[0])
+    blank = spark.createDataFrame([("12 !?", "en")], "text string, lang string")
+    assert langid.train(blank).langs == []
