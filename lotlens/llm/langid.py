@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lotlens.llm.common import blocks, code_points, flat_text, mix
+from lotlens.llm.common import blocks, code_points, flat_text, mix, written
 
 ORDER = 5
 #: Bits of a character in a packed n-gram; rarer code points share the upper half of the codes.
@@ -197,7 +197,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_bytes: int = 4_000_000, check_bytes: int = 1_000_000,
           keep: float = 0.999, slack: float = 1.0, few: int = 100) -> Model:
-    """Fits the models on whole texts, about `sample_bytes` of each language, drawn by a hash of the text.
+    """Fits the models on whole texts, about `sample_bytes` of each language, drawn by a hash of the text; equal texts count once.
 
     Sampling by a share of each language's bytes bounds the model (distinct n-grams of the sample) at any input size.
     `check_bytes` more, or the same share of a language with less, calibrate rejection by models of the others: a text is
@@ -207,14 +207,17 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_bytes:
     model of a language drawn whole counts the held texts too. Rows without text or language teach nothing; without any
     letter, the model knows no language.
     """
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r.lang: r.bytes for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect() if r.bytes}
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").withColumn("mark", F.xxhash64("text"))
+    once = rows.groupBy("lang", "mark").agg(F.max(F.octet_length("text")).alias("bytes"))
+    sizes = {r.lang: r.bytes for r in once.groupBy("lang").agg(F.sum("bytes").alias("bytes")).collect() if r.bytes}
     if not sizes:
         return Model([])
     whole = sample_bytes + check_bytes
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, whole / v)])[F.col("lang")]
-    mark = F.xxhash64("text")
-    drawn = rows.where(F.pmod(mark, F.lit(1 << 52)) / float(1 << 52) < share).withColumn("held", F.pmod(F.xxhash64(mark), F.lit(whole)) < check_bytes)
+    # Copies of a text have one mark and lie in one draw: once drawn, one of them stays.
+    drawn = (rows.where(F.pmod("mark", F.lit(1 << 52)) / float(1 << 52) < share).dropDuplicates(["lang", "mark"])
+             .withColumn("held", F.pmod(F.xxhash64("mark"), F.lit(whole)) < check_bytes))
+    drawn = written(drawn, "drawn")
     entire = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, v <= whole)])[F.col("lang")]
     counted = (drawn.where(~F.col("held") | entire).select("lang", "held", "text").mapInArrow(_counts, "lang string, held boolean, gram bigint, n bigint")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("held"), 0).otherwise(F.col("n"))).alias("taught")).toPandas())

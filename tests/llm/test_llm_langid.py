@@ -120,3 +120,12 @@ def test_a_language_of_a_few_texts_rejects_gibberish_and_counts_all_of_them(spar
     assert model.entropies(*flat)[0] == pytest.approx(whole.entropies(*flat)[0])
     blank = spark.createDataFrame([("12 !?", "en")], "text string, lang string")
     assert langid.train(blank).langs == []
+
+
+def test_repeated_texts_count_once(spark):
+    own = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang").distinct()
+    often = own.union(own.where("lang = 'en'").orderBy("text").limit(3).crossJoin(spark.range(100)).select("text", "lang"))
+    few, many = (langid.train(x, sample_bytes=40_000, check_bytes=10_000) for x in (own, often))
+    flat = common.flat_text(pa.array([r.text for r in own.limit(40).collect()]))
+    assert few.langs == many.langs and many.limit == pytest.approx(few.limit)
+    assert many.entropies(*flat)[0] == pytest.approx(few.entropies(*flat)[0])
