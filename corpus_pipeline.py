@@ -25,11 +25,15 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates (five words, 80 % similarity): that with the smallest doc_id.
 
-    Of several rows with that doc_id one stays. Rows without a doc_id can't be named by a component; all of them stay.
+    Of several rows with that doc_id the one with the smallest hash stays; rows without a doc_id come last. Rows are told
+    apart by a 64-bit hash of doc_id and text, so rows equal in both are one.
     """
-    ids = jaccard.join(docs, width=5, percent=80).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(ids, docs.doc_id == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null"))
+    row = F.xxhash64("doc_id", "text")
+    found = jaccard.join(docs.select(row.alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id").dropDuplicates(["_row"])
+    named = docs.select(row.alias("_row"), "doc_id").dropDuplicates(["_row"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))
+    kept = found.join(named, "_row").groupBy("component_id").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
+    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,17 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.schema.names == docs.schema.names and stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_groups_are_of_rows_not_of_ids(spark):
+    rng = random.Random(5)
+
+    def prose():
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, c), (3, a + " end"), (None, b), (None, d), (None, d), (None, d + " more"), (None, e), (4, e), (5, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()]
+    own = [r for r in got if r[0] is None]
+    assert len(own) == 1 and own[0][1] in (d, d + " more")
+    assert sorted((r for r in got if r[0] is not None), key=str) == sorted([(1, a), (1, b), (3, c), (4, e), (5, None)], key=str)
