@@ -17,7 +17,7 @@ def conversations(turns: DataFrame, key: str | Column = "conv_id") -> DataFrame:
     key = F.col(key) if isinstance(key, str) else key
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = turns.select(key.alias("conv_id"), turn.alias("t")).where("conv_id is not null and t.turn is not null")
-    ordered = F.array_distinct(F.array_sort(F.collect_list("t")))
+    ordered = F.array_distinct(F.array_sort(F.collect_set("t")))  # a set: repeats go before the exchange
     return rows.groupBy("conv_id").agg(ordered.alias("ordered")).select("conv_id", F.transform("ordered", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"))
 
 

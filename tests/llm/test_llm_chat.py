@@ -47,3 +47,15 @@ def test_conversations_and_replies(spark):
     assert got == {0: ([("user", "Q"), ("assistant", "A")], [("user", "Q"), ("assistant", "B")]), 1: ([("user", "P"), ("assistant", "B")], [("user", "P"), ("assistant", "A")]),
                    4: ([("assistant", "")], []), 7: ([("assistant", "r")], [])}
     assert chat.mismatched_replies(df.limit(0)).count() == 0
+
+
+def test_repeated_turns_leave_before_the_exchange(spark):
+    text = "".join(chr(33 + i * i * 7919 % 90) for i in range(2000))
+    rows = spark.range(20_000, numPartitions=2).selectExpr("1L as conv_id", "id % 2 as turn", "'user' as role", f"concat(hash(id % 2), '{text.translate(str.maketrans("", "", chr(39) + chr(92)))}') as text")
+    spark.sparkContext.setJobGroup("repeats", "")
+    got = chat.conversations(rows).collect()
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("repeats") for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext.setJobGroup("", "")
+    assert [len(r.turns) for r in got] == [2]
+    assert 0 < sum(x.shuffleWriteBytes() for s in stages for x in [store.lastStageAttempt(s)]) < 30_000
