@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.llm import bpe, chat, decontaminate, jaccard, langid, lattice, neighbours, tokenfile, toxicity, warc
+from lotlens.llm import bpe, chat, decontaminate, hardneg, jaccard, langid, lattice, neighbours, spelling, tokenfile, toxicity, warc
 from lotlens.llm.common import held_out, shared_folder, table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -113,6 +113,29 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of `documents` with the spelling it is a variant of."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each positive of every vector whose id 50 divides; every seventh label is moved on by one."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), "embedding")
+    return hardneg.mine(rows, rows.where("vec_id % 50 = 0"))
+
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 QUERIES = {f.__name__: f for f in [op1_preference_format, op2_decontaminate, op3_language_id, op4_byte_bpe, op5_lattice_score, op6_ngram_jaccard, op7_toxicity_severity,
-                                  op8_token_frames, op9_warc, op10_cross_polytope]}
-SQL = {"op1_preference_format": OP1_SQL, "op9_warc": OP9_SQL}
+                                  op8_token_frames, op9_warc, op10_cross_polytope, op12_spelling_variants, op13_hard_negatives]}
+SQL = {"op1_preference_format": OP1_SQL, "op9_warc": OP9_SQL, "op13_hard_negatives": OP13_SQL}
