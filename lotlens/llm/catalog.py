@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.llm import bpe, chat, decontaminate, hardneg, jaccard, langid, lattice, neighbours, spelling, tokenfile, toxicity, warc
+from lotlens.llm import bpe, chat, decontaminate, hardneg, jaccard, langid, lattice, neighbours, spelling, superminhash, tokenfile, toxicity, warc
 from lotlens.llm.common import held_out, shared_folder, table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -113,6 +113,11 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of every document under links of 85 % Jaccard similarity of 5-word shingles, and whether it is the one kept."""
+    return superminhash.groups(table(spark, sf_dir, "documents"), width=5, percent=85)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frequent word of `documents` with the spelling it is a variant of."""
     return spelling.variants(table(spark, sf_dir, "documents"))
@@ -137,5 +142,5 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 
 
 QUERIES = {f.__name__: f for f in [op1_preference_format, op2_decontaminate, op3_language_id, op4_byte_bpe, op5_lattice_score, op6_ngram_jaccard, op7_toxicity_severity,
-                                  op8_token_frames, op9_warc, op10_cross_polytope, op12_spelling_variants, op13_hard_negatives]}
+                                  op8_token_frames, op9_warc, op10_cross_polytope, op11_superminhash, op12_spelling_variants, op13_hard_negatives]}
 SQL = {"op1_preference_format": OP1_SQL, "op9_warc": OP9_SQL, "op13_hard_negatives": OP13_SQL}
