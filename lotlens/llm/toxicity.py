@@ -92,7 +92,7 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     counts: dict[bool, Counter] = {False: Counter(), True: Counter()}
 
     def rows(toxic):
-        return pa.RecordBatch.from_arrays([pa.array(counts[toxic].keys(), pa.string()), pa.array([toxic] * len(counts[toxic])), pa.array(counts[toxic].values(), pa.int64())],
+        return pa.RecordBatch.from_arrays([pa.array(counts[toxic].keys(), pa.string()), pa.array([toxic] * len(counts[toxic]), pa.bool_()), pa.array(counts[toxic].values(), pa.int64())],
                                           names=["feature", "toxic", "k"])
     for batch in batches:
         for text, grade in zip(batch.column("text"), batch.column("grade").to_pylist(), strict=True):

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,11 @@ def test_train_and_grade_rows(spark):
     assert toxicity.train(docs, labels.where("grade = 0")).weights == {}
     assert toxicity.train(docs.limit(0), labels).weights == {}
     assert docs.where(F.lit(False)).select(toxicity.grade(docs, model)).count() == 0
+
+
+def test_tasks_with_labels_of_one_kind(spark):
+    docs = spark.createDataFrame([(i, ("grumble " if i % 2 else "calm ") * 5) for i in range(12)], "doc_id long, text string").repartition(40)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, grade int")
+    one = pa.RecordBatch.from_arrays([pa.array(["grumble"]), pa.array([1], pa.int32())], names=["text", "grade"])
+    assert len({str(b.schema) for b in toxicity._feature_counts(iter([one]))}) == 1
+    assert toxicity.train(docs, labels, least=0.5).weights
