@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lotlens.functions.numeric import num
 from lotlens.functions.ordered import previous
+from lotlens.operators import treelog
 
 GENESIS = "0" * 64
 
@@ -93,7 +94,6 @@ def dedupe_finalised(lots: DataFrame, keys: Sequence[str] = IDENTITY, order: str
 
 # ---- Merkle log -------------------------------------------------------------------------------------------
 
-FAN_BITS = 10
 _NODE = "sha2(concat(unhex('01'), unhex({0}), unhex({1})), 256)"
 _PAIR_UP = ("transform(sequence(0, (size({a}) + 1) DIV 2 - 1), i -> IF(2 * i + 1 < size({a}), "
             + _NODE.format("{a}[2 * i]", "{a}[2 * i + 1]") + ", {a}[2 * i]))")
@@ -110,18 +110,9 @@ def _groups(nodes: DataFrame, bits: int) -> DataFrame:
     return nodes.groupBy("log", F.expr(f"shiftright(idx, {bits})").alias("grp")).agg(members.alias("nodes"))
 
 
-def _stages(leaves: DataFrame, bits: int) -> int:
-    size = leaves.agg(F.max("idx")).first()[0]
-    return max(1, math.ceil(math.log2(size + 1) / bits)) if size else 1
-
-
-def merkle_root(leaves: DataFrame, bits: int = FAN_BITS) -> DataFrame:
-    """Root and size per log from leaves(log, idx, node), pairing level by level and promoting an odd last node."""
-    sizes = leaves.groupBy("log").agg(F.count(F.lit(1)).alias("size"))
-    nodes = leaves.select("log", F.col("idx").cast("bigint").alias("idx"), "node")
-    for _ in range(_stages(leaves, bits)):
-        nodes = _groups(nodes, bits).selectExpr("log", "grp AS idx", f"aggregate(sequence(1, {bits}), nodes, (acc, s) -> {_PAIR_UP.format(a='acc')})[0] AS node")
-    return nodes.select("log", F.col("node").alias("root")).join(sizes, "log")
+def merkle_root(leaves: DataFrame, bits: int = treelog.BITS) -> DataFrame:
+    """Root and size per log from leaves(log, idx, node)."""
+    return treelog.range_roots(treelog.compact_ranges(leaves, bits=bits))
 
 
 def _with_levels(groups: DataFrame, bits: int) -> DataFrame:
@@ -129,22 +120,8 @@ def _with_levels(groups: DataFrame, bits: int) -> DataFrame:
     return groups.selectExpr("log", "grp", f"aggregate(sequence(1, {bits}), array(nodes), (acc, s) -> concat(acc, array({_PAIR_UP.format(a=last)}))) AS levels")
 
 
-def merkle_nodes(leaves: DataFrame, bits: int = FAN_BITS) -> DataFrame:
-    """Every node of every log: log, level, idx, node."""
-    nodes, out, base = leaves.select("log", F.col("idx").cast("bigint").alias("idx"), "node"), None, 0
-    stages = _stages(leaves, bits)
-    for stage in range(stages):
-        lv = _with_levels(_groups(nodes, bits), bits)
-        top = bits + 1 if stage == stages - 1 else bits
-        rows = (lv.selectExpr("log", "grp", f"posexplode(slice(levels, 1, {top})) AS (l, row)").selectExpr("log", "grp", "l", "posexplode(row) AS (i, node)")
-                .selectExpr("log", f"CAST(l + {base} AS INT) AS level", f"shiftleft(grp, {bits} - l) + i AS idx", "node"))
-        out = rows if out is None else out.unionByName(rows)
-        nodes, base = lv.selectExpr("log", "grp AS idx", f"levels[{bits}][0] AS node"), base + bits
-    return out
-
-
-def inclusion_proofs(leaves: DataFrame, bits: int = FAN_BITS) -> DataFrame:
-    """Audit path of every leaf: log, idx, node, proof[] from the leaf level upwards."""
+def inclusion_proofs(leaves: DataFrame, bits: int = treelog.BITS, stages: int = treelog.STAGES) -> DataFrame:
+    """Audit path of every leaf: log, idx, node, proof[] from the leaf level upwards; logs of up to 2^(bits * stages) leaves."""
     def build(nodes: DataFrame, stages: int) -> DataFrame:
         lv = _with_levels(_groups(nodes, bits), bits)
         part = "filter(transform(sequence(0, {b} - 1), l -> get(levels[l], CAST(shiftright(j, l) ^ 1 AS INT))), h -> h IS NOT NULL)".format(b=bits)
@@ -154,7 +131,7 @@ def inclusion_proofs(leaves: DataFrame, bits: int = FAN_BITS) -> DataFrame:
             return own.selectExpr("log", "idx", "node", "part AS proof")
         upper = build(lv.selectExpr("log", "grp AS idx", f"levels[{bits}][0] AS node"), stages - 1)
         return own.join(upper.selectExpr("log", "idx AS grp", "proof AS rest"), ["log", "grp"]).selectExpr("log", "idx", "node", "concat(part, rest) AS proof")
-    return build(leaves.select("log", F.col("idx").cast("bigint").alias("idx"), "node"), _stages(leaves, bits))
+    return build(leaves.select("log", F.col("idx").cast("bigint").alias("idx"), "node"), stages)
 
 
 def verify_inclusion(proofs: DataFrame) -> DataFrame:
@@ -170,18 +147,12 @@ def verify_inclusion(proofs: DataFrame) -> DataFrame:
     return proofs.withColumn("ok", F.expr(step))
 
 
-def head_roots(heads: DataFrame, leaves: DataFrame, bits: int = FAN_BITS) -> DataFrame:
-    """Root of the first ``size`` leaves for every head(log, size), from log2(size) stored subtree nodes each."""
-    nodes = merkle_nodes(leaves, bits)
-    parts = heads.select("log", "size").distinct().selectExpr("log", "size", "explode(filter(sequence(0, 61), b -> shiftright(size, b) % 2 = 1)) AS level")
-    need = parts.selectExpr("log", "size", "level", "2 * shiftright(size, level + 1) AS idx")
-    got = need.join(nodes, ["log", "level", "idx"])
-    # At most one node per bit of the size.
-    lists = got.groupBy("log", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "node"))), lambda x: x["node"]).alias("ns"))
-    return lists.selectExpr("log", "size", f"aggregate(slice(ns, 2, size(ns)), ns[0], (r, n) -> {_NODE.format('n', 'r')}) AS root")
+def head_roots(heads: DataFrame, leaves: DataFrame, bits: int = treelog.BITS) -> DataFrame:
+    """Root of the first ``size`` leaves for every head(log, size), from log2(size) subtree nodes each."""
+    return treelog.prefix_roots(heads, treelog.boundary_nodes(leaves, heads, bits))
 
 
-def tree_head_consistency(heads: DataFrame, leaves: DataFrame, bits: int = FAN_BITS) -> DataFrame:
+def tree_head_consistency(heads: DataFrame, leaves: DataFrame, bits: int = treelog.BITS) -> DataFrame:
     """Does each published head(log, size, root) still match the log's first ``size`` leaves?"""
     now = head_roots(heads, leaves, bits).withColumnRenamed("root", "recomputed")
     return heads.join(now, ["log", "size"], "left").withColumn("consistent", F.coalesce(F.col("root") == F.col("recomputed"), F.lit(False)))

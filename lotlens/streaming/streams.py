@@ -1,101 +1,87 @@
 """Structured Streaming forms of the event-driven operators.
 
-Each function takes and returns a streaming DataFrame (or starts nothing); the caller picks sink, trigger and checkpoint.
-State per key is a few numbers. Events of one micro-batch are ordered by time inside each key.
+Each function takes and returns a streaming DataFrame (or starts nothing); the caller picks sink, trigger and checkpoint
+(``sinks``). Order-dependent operators handle each key's rows in event time across micro-batches (``keyed``).
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lotlens.operators.text import trusted_time
 from lotlens.operators.trust import IDENTITY
 from lotlens.sources.packs import Pack
+from lotlens.streaming.keyed import in_order
+from lotlens.streaming.sinks import drain, feed, tail, upsert
 
 
-def _stateful(df: DataFrame, key: str, fn, out: str, state: str, mode: str = "append") -> DataFrame:
-    return df.groupBy(key).applyInPandasWithState(fn, out, state, mode, GroupStateTimeout.NoTimeout)
+def sprt_stream(trays: DataFrame, pack: Pack, delay: str = "1 hour", idle: str | None = None) -> DataFrame:
+    """One decision row per tray (lot_id, tray, bad, n, at), in order of its time, until the lot's test stops; later trays are ignored.
 
-
-def _ordered(batches: Iterator[pd.DataFrame], *cols: str) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(list(cols))
-
-
-def sprt_stream(trays: DataFrame, pack: Pack) -> DataFrame:
-    """One decision row per tray (lot_id, tray, bad, n) until the lot's test stops; later trays are ignored."""
+    A lot silent for longer than ``idle`` starts a new test.
+    """
     upper, lower = math.log((1 - pack.beta) / pack.alpha), math.log(pack.beta / (1 - pack.alpha))
     l1, l0 = math.log(pack.p1 / pack.p0), math.log((1 - pack.p1) / (1 - pack.p0))
     cap = pack.max_trays
 
-    def step(key, batches, state: GroupState):
-        llr, k, done = state.get if state.exists else (0.0, 0, False)
-        rows = []
-        for tray, bad, n in _ordered(batches, "tray")[["tray", "bad", "n"]].itertuples(index=False):
-            if done:
-                break
-            k, llr = k + 1, llr + bad * l1 + (n - bad) * l0
-            decision = "REJECT_LOT" if llr >= upper else "ACCEPT_LOT" if llr <= lower else "REFER_TO_HUMAN" if k >= cap else "SAMPLE_MORE"
-            done = decision != "SAMPLE_MORE"
-            rows.append((key[0], int(tray), k, float(llr), decision))
-        state.update((float(llr), int(k), bool(done)))
-        yield pd.DataFrame(rows, columns=["lot_id", "tray", "k", "llr", "decision"])
-    return _stateful(trays, "lot_id", step, "lot_id long, tray int, k int, llr double, decision string", "llr double, k int, done boolean")
-
-
-def _streak(df: DataFrame, key: str, good: str, k: int, cooldown_us: int = 0) -> DataFrame:
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        bad, n, k, done = state
+        if done:
+            return state, []
+        tray, bad, n, k = row[1], bad + row[2], n + row[3], k + 1
+        llr = bad * l1 + (n - bad) * l0
+        decision = "REJECT_LOT" if llr >= upper else "ACCEPT_LOT" if llr <= lower else "REFER_TO_HUMAN" if k >= cap else "SAMPLE_MORE"
+        return (bad, n, k, decision != "SAMPLE_MORE"), [(tray, k, llr, decision)]
+    found = in_order(trays, "lot_id", "at", "tray", {"bad": "long", "n": "long"}, step, (0, 0, 0, False), "bad long, n long, k int, done boolean",
+                     "tray int, k int, llr double, decision string", delay, idle)
+    return found.withColumnRenamed("key", "lot_id")
+
+
+def _streak(df: DataFrame, key: str, good: str, k: int, delay: str, idle: str | None, cooldown_us: int = 0) -> DataFrame:
     """Events completing k good events in a row per key; events inside the cooldown after a trigger do not count."""
-    def step(keys, batches, state: GroupState):
-        run, until = state.get if state.exists else (0, 0)
-        rows = []
-        for event, us, ok in _ordered(batches, "us", "event_id")[["event_id", "us", good]].itertuples(index=False):
-            if us < until:
-                continue
-            run = run + 1 if ok else 0
-            if run == k:
-                rows.append((keys[0], int(event)))
-                run, until = 0, us + cooldown_us
-        state.update((int(run), int(until)))
-        yield pd.DataFrame(rows, columns=["key", "event_id"])
-    src = df.select(F.col(key).alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), good)
-    return _stateful(src, "key", step, "key long, event_id long", "run long, until long")
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        run, until = state
+        us, event, ok = row
+        if us < until:
+            return state, []
+        run = run + 1 if ok else 0
+        return ((0, us + cooldown_us), [(event,)]) if run == k else ((run, until), [])
+    return in_order(df, key, "ts", "event_id", {good: "boolean"}, step, (0, 0), "run long, until long", "event_id long", delay, idle)
 
 
-def steady_scan_stream(scans: DataFrame, k: int = 3) -> DataFrame:
-    return _streak(scans, "key", "pass", k)
+def steady_scan_stream(scans: DataFrame, k: int = 3, delay: str = "1 hour", idle: str | None = "1 day") -> DataFrame:
+    """Scans completing k passing scans in a row: key, event_id. A failing scan, a trigger or idle time starts the count again."""
+    return _streak(scans, "key", "pass", k, delay, idle)
 
 
-def lockout_stream(attempts: DataFrame, tries: int = 5, cooldown_seconds: int = 30) -> DataFrame:
-    return _streak(attempts, "user_id", "failed", tries, cooldown_seconds * 1_000_000)
+def lockout_stream(attempts: DataFrame, tries: int = 5, cooldown_seconds: int = 30, delay: str = "1 hour", idle: str | None = "30 days") -> DataFrame:
+    """Attempts that lock a user out: key, event_id. Attempts inside the cooldown do not count; success or idle time resets."""
+    return _streak(attempts, "user_id", "failed", tries, delay, idle, cooldown_seconds * 1_000_000)
 
 
-def guard_stream(scans: DataFrame, refusals: int = 2) -> DataFrame:
+def guard_stream(scans: DataFrame, refusals: int = 2, delay: str = "1 hour", idle: str | None = "30 days") -> DataFrame:
     """Telemetry row at every shot: scans and failures since the one before, by gate too, refused presses, forced or not."""
-    def step(key, batches, state: GroupState):
-        scans_, failed, refused, forced, shots, gates = state.get if state.exists else (0, 0, 0, False, 0, "{}")
-        gates, rows = json.loads(gates), []
-        for ok, press, shot, gate in _ordered(batches, "us", "event_id")[["pass", "press", "shot", "gate"]].itertuples(index=False):
-            scans_, failed = scans_ + 1, failed + (not ok)
-            if not ok and gate is not None:
-                gates[gate] = gates.get(gate, 0) + 1
-            if press and not ok:
-                forced = forced or refused >= refusals
-                refused = min(refusals, refused + 1)
-            if shot:
-                rows.append((key[0], shots, scans_, failed, ",".join(f"{g}:{n}" for g, n in sorted(gates.items())), refused, forced))
-                scans_, failed, refused, forced, shots, gates = 0, 0, 0, False, shots + 1, {}
-        state.update((int(scans_), int(failed), int(refused), bool(forced), int(shots), json.dumps(gates)))
-        yield pd.DataFrame(rows, columns=["key", "shot_no", "scans", "failed", "failed_gates", "refused", "forced"])
-    src = scans.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "pass", "press", "shot", "gate")
-    return _stateful(src, "key", step, "key long, shot_no long, scans long, failed long, failed_gates string, refused long, forced boolean",
-                     "scans long, failed long, refused long, forced boolean, shots long, gates string")
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        scans_, failed, refused, forced, shots, gates = state
+        _, _, ok, press, shot, gate = row
+        scans_, failed = scans_ + 1, failed + (not ok)
+        if not ok and gate is not None:
+            by_gate = json.loads(gates)
+            by_gate[gate] = by_gate.get(gate, 0) + 1
+            gates = json.dumps(by_gate)
+        if press and not ok:
+            forced, refused = forced or refused >= refusals, min(refusals, refused + 1)
+        if not shot:
+            return (scans_, failed, refused, forced, shots, gates), []
+        named = ",".join(f"{g}:{n}" for g, n in sorted(json.loads(gates).items()))
+        return (0, 0, 0, False, shots + 1, "{}"), [(shots, scans_, failed, named, refused, forced)]
+    return in_order(scans, "key", "ts", "event_id", {"pass": "boolean", "press": "boolean", "shot": "boolean", "gate": "string"}, step, (0, 0, 0, False, 0, "{}"),
+                    "scans long, failed long, refused long, forced boolean, shots long, gates string",
+                    "shot_no long, scans long, failed long, failed_gates string, refused long, forced boolean", delay, idle)
 
 
 def first_records(lots: DataFrame, event_time: str = "created_ts", delay: str = "24 hours", keys=IDENTITY) -> DataFrame:
@@ -123,36 +109,11 @@ def session_stream(events: DataFrame, gap: str = "15 minutes", delay: str = "1 h
 
 
 def daily_drift_stream(runs: DataFrame, baseline: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Daily mean score per centre joined to the static baseline."""
+    """Daily mean score per centre joined to the static baseline; a centre without one has no drift."""
     d = runs.withWatermark("run_at", delay).groupBy("centre_id", F.window("run_at", "1 day")).agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n"))
-    j = d.join(baseline, "centre_id")
+    j = d.join(baseline, "centre_id", "left")
     return j.select("centre_id", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "score", "n", (F.col("score") - F.col("baseline")).alias("drift"))
 
 
-def tail(stream: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Append new ledger rows to ``path``, calling ``each`` per micro-batch; processes what is there and stops."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(path)
-        if each:
-            each(batch, batch_id)
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available into ``folder`` and read the result back.
-
-    Update-mode streams are written per batch with the batch number, so the caller can keep the last row per key.
-    """
-    spark: SparkSession = stream.sparkSession
-    out, ck = f"{folder}/out", f"{folder}/checkpoint"
-    w = stream.writeStream.option("checkpointLocation", ck).trigger(availableNow=True)
-    if mode == "append":
-        q = w.format("parquet").option("path", out).outputMode("append").start()
-    else:
-        q = w.outputMode(mode).foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema if mode == "append" else stream.schema.add("batch", "long")).parquet(out)
-
-
 __all__ = ["sprt_stream", "steady_scan_stream", "lockout_stream", "guard_stream", "first_records", "trusted_stream", "current_actions",
-           "session_stream", "daily_drift_stream", "tail", "drain"]
+           "session_stream", "daily_drift_stream", "tail", "drain", "feed", "upsert"]
