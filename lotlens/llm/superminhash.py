@@ -204,7 +204,9 @@ def _rest(buckets: DataFrame, roots: DataFrame, signed: DataFrame, weigh: DataFr
     last = F.when(F.col("own"), F.col("blocks")).otherwise(F.col("blocks") + F.col("main_blocks")) - 1
     spread = placed.withColumn("mine", mine).select("key", "node", "root", F.col("mine"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
     units = written(spread.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "node", "root"), "units")
-    likely = units.join(signed, "node").groupBy("unit").applyInPandas(_partners(least_alike(percent)), "unit long, node long")
+    # As many tasks as a shuffle has: the work goes by pairs, which the size of the rows doesn't tell.
+    tasks = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    likely = units.join(signed, "node").repartition(tasks, "unit").groupBy("unit").applyInPandas(_partners(least_alike(percent)), "unit long, node long")
     likely = written(likely, "likely")
     if likely.isEmpty():
         return None
@@ -216,7 +218,7 @@ def _rest(buckets: DataFrame, roots: DataFrame, signed: DataFrame, weigh: DataFr
     pieces = likely.join(parts, "unit").select("node", F.explode(cut).alias("piece"))
     full = sets(likely.select("node").distinct())
     pieces = pieces.join(full, "node").join(signed, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return written(pieces.groupBy("piece").applyInPandas(_verified(percent, least_alike(percent)), "a long, b long"), "links")
+    return written(pieces.repartition(tasks, "piece").groupBy("piece").applyInPandas(_verified(percent, least_alike(percent)), "a long, b long"), "links")
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -241,7 +243,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     met = written(met, "bands")
     alike = met.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("all")).where("k > 1")
     distinct = alike.groupBy("k", "low", "high", "all").agg(F.min("key").alias("key"), F.count("*").alias("times"))
-    buckets = written(met.join(distinct.select("key", F.col("low").alias("leader"), "times"), "key").select("key", "node", "leader", "times"), "buckets")
+    buckets = written(met.join(distinct.select("key", F.col("low").alias("leader"), "times", "k"), "key").select("key", "node", "leader", "times", "k"), "buckets")
 
     weigh = nodes.select("node", F.greatest("n", F.lit(SMALL)).alias("weight"))
     signed = nodes.where("bytes is not null").select("node", "bytes")
@@ -261,7 +263,8 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     first = asked.union(leaders).join(full, "node").groupBy("leader", "part").applyInPandas(_leader_links(percent), "a long, b long")
     edges = written(first, "links")
     roots = components(edges)
-    more = _rest(buckets.select("key", "node"), roots, signed, weigh, sets, percent)
+    compared = buckets.where("k = 2").join(pairs, ["node", "leader"]).select("key")  # a node and its leader, and no one else
+    more = _rest(buckets.join(compared, "key", "left_anti").select("key", "node"), roots, signed, weigh, sets, percent)
     if more is not None:
         roots = components(edges.union(more))
     named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

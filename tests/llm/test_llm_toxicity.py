@@ -68,8 +68,8 @@ def test_train_and_grade_rows(spark):
 
 
 def test_tasks_with_labels_of_one_kind(spark):
-    docs = spark.createDataFrame([(i, ("grumble " if i % 2 else "calm ") * 5) for i in range(12)], "doc_id long, text string").repartition(40)
-    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, grade int")
+    docs = spark.createDataFrame([(i, ("grumble " if i % 2 else "calm ") + f"word{i}") for i in range(60)], "doc_id long, text string").repartition(100)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, grade int")
     one = pa.RecordBatch.from_arrays([pa.array(["grumble"]), pa.array([1], pa.int32())], names=["text", "grade"])
     assert len({str(b.schema) for b in toxicity._feature_counts(iter([one]))}) == 1
     assert toxicity.train(docs, labels, least=0.5).weights
