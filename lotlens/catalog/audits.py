@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from lotlens import schema
 from lotlens.catalog.core import query, shared
 from lotlens.catalog.events import run_folder
 from lotlens.catalog.measures import S4, S6, r4, r6
+from lotlens.functions.canonical import canonical_digest
 from lotlens.functions.ordered import previous
 from lotlens.operators import agreement as A
 from lotlens.operators import fleet as FL
@@ -19,6 +22,7 @@ from lotlens.operators import treelog as TL
 from lotlens.operators import trust as T
 from lotlens.operators.text import search_lots
 from lotlens.plans import grade as G
+from lotlens.plans import receipts as RC
 from lotlens.plans.session import materialise
 from lotlens.sources import files
 from lotlens.sources import packs as P
@@ -347,28 +351,69 @@ def _(t):
     return TL.range_roots(TL.merged(old.unionByName(new))).select("log", "root")
 
 
-_STORED = ("grade_a", "urs", "reject", "refer", "grade_a_lo", "grade_a_hi", "procured", "procured_lo", "procured_hi", "decision")
+def _receipts_as_issued(t) -> str:
+    """A folder of receipts and item pages: each lot under a pack of its own, a third of the lots with a second revision.
+
+    By (lot_id + rev) % 11: 1 names an unknown pack, 2 and 3 were issued with another headline or result digest, 4 was
+    edited afterwards, and in 5 a second revision names another predecessor.
+    """
+    folder = run_folder(t.spark)
+    docs = P.read_rule_packs(t.spark, _pack_folder(t), lines=True)
+    packs, hashes = RC.published(docs)
+    chosen = t("lots").select("lot_id", F.element_at(F.array(*[F.lit(p.id) for p in packs]), (F.col("lot_id") % len(packs) + 1).cast("int")).alias("pack_id"))
+    pages = RC.item_pages(t("bulbs"), t("overrides"))
+    pages.write.json(f"{folder}/items")
+    results = materialise(G.grade_lots(t("bulbs"), packs, t("overrides"), only=chosen))
+    first = RC.cores(results, hashes, RC.evidence(files.read_receipts(t.spark, f"{folder}/items", lines=True)), F.lit("2026-08-01T08:00:00Z"))
+
+    def issued(rows, rev):
+        m = (F.col("lot_id") + rev) % 11
+        core = F.col("core").withField("rev", F.lit(rev)).withField("pack.hash", F.when(m == 1, F.sha2(F.lit("unknown"), 256)).otherwise(F.col("core.pack.hash")))
+        core = core.withField("headline.gradeA", F.when(m == 2, F.col("core.headline.gradeA") + 0.5).otherwise(F.col("core.headline.gradeA")))
+        core = core.withField("resultHash", F.when(m == 3, F.sha2("core.resultHash", 256)).otherwise(F.col("core.resultHash")))
+        if rev:
+            core = core.withField("prev", F.when(m == 5, F.sha2("before", 256)).otherwise(F.col("before")))
+        signed = materialise(rows.select("lot_id", m.alias("m"), core.alias("core"))).withColumn("hash", RC.core_digest("core"))
+        edited = F.col("core").withField("issuedAt", F.when(F.col("m") == 4, F.lit("2026-08-02T08:00:00Z")).otherwise(F.col("core.issuedAt")))
+        return signed.select("lot_id", F.lit("receipt").alias("kind"), F.struct(edited.alias("core"), "hash").alias("cert"))
+    first = materialise(first)
+    one = materialise(issued(first, 0))
+    one.drop("lot_id").write.json(f"{folder}/first")
+    two = issued(first.where("lot_id % 3 = 0").join(one.select("lot_id", F.col("cert.hash").alias("before")), "lot_id"), 1)
+    two.drop("lot_id").write.json(f"{folder}/second")
+    return folder
+
+
+def _pack_folder(t) -> str:
+    folder = run_folder(t.spark)
+    t.spark.createDataFrame([(json.dumps(P.pack_document(p)),) for p in P.PACKS], "value string").write.text(folder)
+    return folder
 
 
-@query("T11_regrade_receipts", """SELECT l.lot_id, l.lot_id % 11 <> 0 AS pack_known, CASE WHEN l.lot_id % 11 = 0 THEN NULL ELSE l.lot_id % 7 <> 0 END AS headline_ok FROM (SELECT DISTINCT lot_id FROM {bulbs}) l""")
+@query("T11_verify_receipts", """SELECT lot_id, CAST(rev AS INTEGER) AS rev, m <> 4 AS hash_ok, m <> 1 AS pack_known, CASE WHEN m <> 1 THEN m <> 3 END AS regrade_ok, CASE WHEN m <> 1 THEN m <> 2 END AS headline_ok, CASE WHEN rev = 1 THEN m <> 5 END AS chain_ok
+ FROM (SELECT lot_id, rev, (lot_id + rev) % 11 AS m FROM (SELECT DISTINCT lot_id FROM {bulbs}) b, (VALUES (0), (1)) r(rev) WHERE rev = 0 OR lot_id % 3 = 0)""")
 def _(t):
-    fresh = materialise(G.grade_lots(t("bulbs"), P.PACKS, t("overrides")))
-    # Stored receipts: each lot under its default pack; every seventh headline was altered and every eleventh names an unknown pack.
-    stored = fresh.where(F.col("pack_id") == P.DEFAULT_PACK_ID).withColumn("grade_a", F.when(F.col("lot_id") % 7 == 0, F.col("grade_a") + 0.5).otherwise(F.col("grade_a")))
-    stored = stored.withColumn("pack_hash", F.when(F.col("lot_id") % 11 == 0, "unknown").otherwise(P.pack_hash(P.default_pack()))).select("lot_id", "pack_hash", *_STORED)
-    known = J.with_pack_by_hash(stored, t("packs"))
-    return T.regrade_check(known, fresh, _STORED).select("lot_id", "pack_known", "headline_ok")
+    folder = _receipts_as_issued(t)
+    return RC.verify_receipts(files.read_receipts(t.spark, folder, lines=True), P.read_rule_packs(t.spark, _pack_folder(t), lines=True))
+
+
+def _js(c: str) -> str:
+    """ECMAScript text of a number of a few decimals."""
+    return f"coalesce(regexp_replace(CAST({c} AS VARCHAR), '\\.0$', ''), 'null')"
 
 
-def _receipt_bodies(t):
-    core = F.to_json(F.struct("receipt_no", F.struct("lot_id", "centre").alias("lot"), "rev", "parent", "prev", "grade_a", "refer", "procured", "decision"), {"ignoreNullFields": "false"})
-    return t("receipts").select(core.alias("core_json"), "receipt_no")
+_BODY = ("'{\"decision\":' || coalesce('\"' || decision || '\"', 'null') || ',\"grade_a\":' || " + _js("grade_a") + " || ',\"lot\":{\"centre\":' || coalesce('\"' || centre || '\"', 'null') || ',\"lot_id\":' || lot_id || '},\"parent\":' || coalesce('\"' || parent || '\"', 'null')"
+         " || ',\"prev\":' || coalesce('\"' || prev || '\"', 'null') || ',\"procured\":' || " + _js("procured") + " || ',\"receipt_no\":' || receipt_no || ',\"refer\":' || " + _js("refer") + " || ',\"rev\":' || rev || '}'")
 
 
-@query("T12_receipt_digests")
+@query("T12_receipt_digests", f"SELECT receipt_no, sha256({_BODY}) AS digest, receipt_no % 9 <> 0 AS hash_ok FROM {{receipts}}")
 def _(t):
-    b = _receipt_bodies(t).withColumn("hash", F.sha2("core_json", 256))
-    return T.receipt_digests(b).select("hash", "digest", "hash_ok")
+    core = F.struct("receipt_no", F.struct("lot_id", "centre").alias("lot"), "rev", "parent", "prev", "grade_a", "refer", "procured", "decision")
+    bodies = t("receipts").select("receipt_no", core.alias("core"))
+    # Every ninth receipt was edited after its digest was taken.
+    digest = canonical_digest("core", bodies.schema["core"].dataType)
+    stored = bodies.withColumn("hash", F.when(F.col("receipt_no") % 9 == 0, F.sha2(digest, 256)).otherwise(digest))
+    return T.receipt_digests(stored, "core").select("receipt_no", "digest", "hash_ok")
 
 
 @query("T13_evidence_hash", """SELECT lot_id, sha256('[' || string_agg('"' || d || '"', ',' ORDER BY shot_at, capture_id, pos) || ']') AS evidence FROM (SELECT lot_id, shot_at, capture_id, pos, sha256(capture_id || '/' || pos) AS d FROM {raw_items}

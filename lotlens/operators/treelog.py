@@ -136,7 +136,8 @@ def consistency_proofs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     ``nodes`` are boundary_nodes of all m and n. A pair whose nodes are not all there has no proof (null).
     """
-    wanted = pairs.select("log", F.col("m").cast("bigint").alias("m"), F.col("n").cast("bigint").alias("n")).where("m > 0 AND m <= n").distinct().withColumn("parts", F.expr(_INTERVALS))
+    wanted = pairs.select("log", F.col("m").cast("bigint").alias("m"), F.col("n").cast("bigint").alias("n")).where("m > 0 AND m <= n").distinct()
+    wanted = wanted.withColumn("parts", F.expr(f"CASE WHEN m > 0 AND m <= n THEN {_INTERVALS} END"))  # the optimiser may ask before it filters
     steps = wanted.selectExpr("log", "m", "n", "posexplode(parts) AS (place, p)")
     # An interval is the complete subtrees of its length's bits, largest first.
     need = steps.selectExpr("log", "m", "n", "place", "p.lo AS lo", "p.hi - p.lo AS len", "explode(filter(sequence(0, 61), b -> shiftright(p.hi - p.lo, b) % 2 = 1)) AS level")

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotlens.functions.canonical import canonical_digest
 from lotlens.functions.numeric import num
 from lotlens.functions.ordered import previous
 from lotlens.operators import treelog
@@ -212,17 +213,10 @@ def _shortest(x: float) -> str:
     return ("-" if x < 0 else "") + text
 
 
-def receipt_digests(receipts: DataFrame, core: str = "core_json", stored: str = "hash") -> DataFrame:
-    """Canonical digest of each receipt body and whether it equals the stored hash.
-
-    Number formatting differs from to_json, so the bodies go through Arrow batches; the work is one receipt at a time.
-    """
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["digest"] = [hashlib.sha256(canonical(json.loads(t)).encode()).hexdigest() for t in b[core]]
-            yield b[[stored, "digest"]]
-    out = receipts.select(stored, core).mapInPandas(digest, f"{stored} string, digest string")
-    return out.withColumn("hash_ok", F.col(stored) == F.col("digest"))
+def receipt_digests(receipts: DataFrame, core: str = "core", stored: str = "hash", optional: Sequence[str] = ()) -> DataFrame:
+    """Canonical digest of each receipt body, a column of declared type, and whether it equals the stored hash."""
+    return (receipts.withColumn("digest", canonical_digest(core, receipts.schema[core].dataType, optional))
+            .withColumn("hash_ok", F.coalesce(F.col(stored) == F.col("digest"), F.lit(False))))
 
 
 def evidence_hash(pieces: DataFrame, order: Sequence[str] = ("shot_at", "capture_id", "pos"), value: str = "digest") -> DataFrame:
@@ -251,16 +245,3 @@ def evidence_hash(pieces: DataFrame, order: Sequence[str] = ("shot_at", "capture
             yield pd.DataFrame([(lot, state.hexdigest())], columns=["lot_id", "evidence"])
     ordered = pieces.repartition("lot_id").sortWithinPartitions("lot_id", *order)
     return ordered.select("lot_id", value).mapInPandas(fold, "lot_id long, evidence string")
-
-
-def regrade_check(stored: DataFrame, regraded: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Stored headlines against a fresh grading; NULL where the pack is unknown.
-
-    stored(lot_id, receipt_no, pack_known, known_pack_id, <columns>), regraded(lot_id, pack_id, <columns>).
-    """
-    fresh = regraded.select("lot_id", F.col("pack_id").alias("known_pack_id"), *[F.col(c).alias(f"now_{c}") for c in columns])
-    j = stored.join(fresh, ["lot_id", "known_pack_id"], "left")
-    same = F.lit(True)
-    for c in columns:
-        same = same & F.col(c).eqNullSafe(F.col(f"now_{c}"))
-    return j.withColumn("headline_ok", F.when(F.col("pack_known"), same)).drop(*[f"now_{c}" for c in columns])

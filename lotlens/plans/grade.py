@@ -44,14 +44,16 @@ def lot_results(trays: DataFrame, packs: Sequence[Pack] = PACKS, b: int | None =
 
 
 def grade_lots(bulbs: DataFrame, packs: Sequence[Pack] = PACKS, overrides: DataFrame | None = None,
-               b: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
-    """Full result of every lot under every pack in one job.
+               b: int | None = None, seeds: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Full result of every lot under every pack in one job, or of the pairs ``only`` (lot_id, pack_id) names.
 
     Beside the headline by weight: sizes, the sequential test (llr and its two limits), the Grade-A design effect, the
     numbers of overriding and contesting actions, and ``shares``, for each basis and bucket the estimate with its interval
     and Jeffreys bounds. Non-Grade-A per look stays in rows (graded_looks).
     """
-    intervals, decisions = lot_results(graded_trays(bulbs, packs, overrides), packs, b, seeds)
+    trays = graded_trays(bulbs, packs, overrides)
+    trays = trays if only is None else trays.join(only, ["lot_id", "pack_id"], "left_semi")
+    intervals, decisions = lot_results(trays, packs, b, seeds)
     wide = L.headline(intervals, decisions)
     extra = decisions.select("lot_id", "pack_id", "n_trays", "n_looks", F.col("n").cast("bigint").alias("n_items"), "refer_share", "trays_more",
                              *[round_half_up(c, 2).alias(name) for c, name in (("deff_a", "deff"), ("llr", "llr"), ("upper", "llr_reject"), ("lower", "llr_accept"))])
