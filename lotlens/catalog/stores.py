@@ -17,17 +17,35 @@ from lotlens.sources import packs as P
 from lotlens.sources.commits import committed
 
 
-@query("S01_read_receipts", f"SELECT centre, count(*) AS n, {S6('avg(grade_a)')} AS mean_grade_a, max(rev) AS max_rev FROM {{receipts}} GROUP BY centre")
-def _(t):
+def _bundle_texts(t):
     core = F.struct(F.struct(F.col("lot_id").cast("string").alias("id"), "centre").alias("lot"), F.col("rev").cast("int").alias("rev"), "parent", "prev",
                     F.date_format("issued_at", "yyyy-MM-dd'T'HH:mm:ss").alias("issuedAt"), F.struct(F.col("pack_id").alias("id"), F.col("pack_hash").alias("hash")).alias("pack"),
                     F.struct("tier").alias("calib"), F.struct(F.col("grade_a").alias("gradeA"), "refer", "procured", "decision").alias("headline"))
+    return t("receipts").select("receipt_no", F.to_json(F.struct(F.lit("bundle").alias("kind"), F.struct(core.alias("core"), "hash").alias("cert"))).alias("value"))
+
+
+@query("S01_read_receipts", f"SELECT centre, count(*) AS n, {S6('avg(grade_a)')} AS mean_grade_a, max(rev) AS max_rev FROM {{receipts}} GROUP BY centre")
+def _(t):
     folder = run_folder(t.spark)
-    t("receipts").select(F.lit("bundle").alias("kind"), F.struct(core.alias("core"), "hash").alias("cert")).write.json(folder)
-    r = S.receipt_table(S.read_receipts(t.spark, folder, lines=True))
+    _bundle_texts(t).select("value").write.text(folder)
+    r = S.receipt_table(S.read_receipts(t.spark, folder, glob="*", lines=True))
     return r.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("grade_a")).alias("mean_grade_a"), F.max("rev").alias("max_rev"))
 
 
+@query("S01_checked_receipts", """SELECT CASE receipt_no % 10 WHEN 3 THEN 'not JSON' WHEN 5 THEN 'wrong type' WHEN 7 THEN 'no receipt' ELSE 'good' END AS reason, CASE WHEN receipt_no % 10 IN (3, 5, 7) THEN 'bad' ELSE 'whole' END AS folder,
+ count(*) AS n FROM {receipts} GROUP BY 1, 2""")
+def _(t):
+    folder = run_folder(t.spark)
+    kind, text = F.col("receipt_no") % 10, F.col("value")
+    texts = _bundle_texts(t).select((kind.isin(3, 5, 7)).alias("bad"), F.when(kind == 3, F.expr("substr(value, 1, length(value) - 9)")).when(kind == 5, F.regexp_replace("value", '"rev":[0-9]+', '"rev":"one"'))
+                                    .when(kind == 7, F.lit('{"kind":"bundle","captures":[]}')).otherwise(text).alias("value"))
+    texts.where("NOT bad").select("value").write.text(f"{folder}/whole")
+    texts.where("bad").select("value").write.text(f"{folder}/bad")
+    good, left = S.checked_receipts(t.spark, folder, lines=True)
+    left = left.select("reason", F.regexp_extract("file", "/(whole|bad)/[^/]+$", 1).alias("folder"))
+    return good.select(F.lit("good").alias("reason"), F.lit("whole").alias("folder")).unionByName(left).groupBy("reason", "folder").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("S02_read_truth_csv", f"SELECT capture_id AS photo_file, count(*) AS n, {S6('sum(min_equatorial_mm)')} AS min_sum FROM {{size_truth}} GROUP BY capture_id")
 def _(t):
     folder = run_folder(t.spark)

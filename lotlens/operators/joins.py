@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.functions.ordered import previous, row_index, value_ranks
+from lotlens.plans.session import materialise
 
 
 def latest_revision(receipts: DataFrame, by: Sequence[str] = ("lot_id",), rev: str = "rev", seen: str = "receipt_no") -> DataFrame:
@@ -116,44 +116,41 @@ def candidate_matches(predicted: DataFrame, truth: DataFrame, threshold: float =
     return pairs.where(F.col("iou") >= threshold).select("image_id", "cls", "pred_id", "conf", "gt_id", "iou")
 
 
-def _pick_greedily(pairs: pd.DataFrame) -> pd.DataFrame:
-    taken: set = set()
-    hits = []
-    for pred, rows in pairs.sort_values(["conf", "pred_id"], ascending=[False, True]).groupby("pred_id", sort=False):
-        free = rows[~rows["gt_id"].isin(taken)]
-        if len(free):
-            best = free.sort_values(["iou", "gt_id"], ascending=[False, True]).iloc[0]
-            taken.add(best["gt_id"])
-            hits.append((pred, best["gt_id"]))
-    return pd.DataFrame(hits, columns=["pred_id", "gt_id"])
-
-
 def greedy_match(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One-to-one matching, most confident prediction first: pred_id, conf, correct, gt_id.
 
-    Unambiguous pairs (a prediction and a truth box with no other candidate) match in plain SQL. Only contested pairs go
-    to the ordered pick, grouped by image and class.
+    A prediction takes its best free truth box (ties: smaller id) once no more confident one (ties: smaller id, no
+    confidence last) still has that box among its candidates: nothing can change its turn any more. Rounds of such pairs,
+    each two aggregates and a join over the pairs left, end when none are left; no image is ever one group.
     """
-    c = candidate_matches(predicted, truth, threshold)
-    per_pred = c.groupBy("pred_id").agg(F.count(F.lit(1)).alias("np"))
-    per_gt = c.groupBy("gt_id").agg(F.count(F.lit(1)).alias("ng"))
-    marked = c.join(per_pred, "pred_id").join(per_gt, "gt_id").withColumn("alone", (F.col("np") == 1) & (F.col("ng") == 1))
-    sure = marked.where("alone").select("pred_id", "gt_id")
-    contested = (marked.where("NOT alone").groupBy("image_id", "cls")
-                 .applyInPandas(lambda pdf: _pick_greedily(pdf), "pred_id string, gt_id string"))
-    hits = sure.unionByName(contested)
-    return predicted.select("pred_id", "image_id", "cls", "conf").join(hits, "pred_id", "left").withColumn("correct", F.col("gt_id").isNotNull().cast("int"))
+    c = materialise(candidate_matches(predicted, truth, threshold).select("pred_id", "conf", "gt_id", "iou"))
+    left, hits = c, None
+    while hits is None or not left.isEmpty():
+        best = left.groupBy("pred_id").agg(F.min(F.struct((-F.col("iou")).alias("order"), "gt_id")).alias("b")).select("pred_id", "b.gt_id")
+        first = left.groupBy("gt_id").agg(F.min(F.struct(F.col("conf").isNull().alias("none"), (-F.col("conf")).alias("order"), "pred_id")).alias("f")).select("gt_id", "f.pred_id")
+        won = materialise(best.join(first, ["gt_id", "pred_id"]))
+        hits = won if hits is None else hits.unionByName(won)
+        left = materialise(left.join(won.select("pred_id"), "pred_id", "left_anti").join(won.select("gt_id"), "gt_id", "left_anti"))
+    return (predicted.select("pred_id", "image_id", "cls", "conf").join(hits.select("pred_id", "gt_id"), "pred_id", "left")
+            .withColumn("correct", F.col("gt_id").isNotNull().cast("int")))
 
 
 def nearest_centre(queries: DataFrame, targets: DataFrame, cap: Column) -> DataFrame:
-    """Closest target centre within the query's image, if within ``cap``; the pick is an aggregate, not a window.
+    """Closest target centre within the query's image, if within ``cap`` (ties: smaller t_id).
 
-    queries(image_id, q_id, q_x, q_y, ...), targets(image_id, t_id, t_x, t_y).
+    queries(image_id, q_id, q_x, q_y, ...), targets(image_id, t_id, t_x, t_y). Cells are as wide as the cap's next power of
+    two, so a query meets the targets of its own and the eight neighbouring cells only. Targets stand in the grid of every
+    cap that their image's queries have, a few powers of two.
     """
-    d = F.hypot(F.col("q_x") - F.col("t_x"), F.col("q_y") - F.col("t_y"))
-    j = queries.join(targets, "image_id").withColumn("dist", d)
-    best = j.groupBy(*queries.columns).agg(F.min(F.struct("dist", "t_id")).alias("_b")).select(*queries.columns, "_b.*")
-    return best.where(F.col("dist") <= cap)
+    level = F.greatest(F.lit(-30), F.ceil(F.log2(F.greatest(cap.cast("double"), F.lit(2.0**-30)))))
+    cell = lambda x: F.floor(F.col(x) / F.pow(F.lit(2.0), F.col("_level")))
+    around = F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)])
+    q = queries.withColumn("_cap", cap.cast("double")).where("_cap >= 0").withColumn("_level", level)
+    grids = q.select("image_id", "_level").distinct()
+    q = q.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumns({"_cx": cell("q_x") + F.col("_dx"), "_cy": cell("q_y") + F.col("_dy")})
+    t = targets.select("image_id", "t_id", "t_x", "t_y").join(grids, "image_id").withColumns({"_cx": cell("t_x"), "_cy": cell("t_y")})
+    j = q.join(t, ["image_id", "_level", "_cx", "_cy"]).withColumn("dist", F.hypot(F.col("q_x") - F.col("t_x"), F.col("q_y") - F.col("t_y"))).where("dist <= _cap")
+    return j.groupBy(*queries.columns).agg(F.min(F.struct("dist", "t_id")).alias("_b")).select(*queries.columns, "_b.*")
 
 
 def pair_images_with_labels(images: DataFrame, labels: DataFrame) -> DataFrame:
