@@ -74,11 +74,13 @@ def distinct(data: np.ndarray, at: np.ndarray) -> tuple[list[bytes], np.ndarray]
 class Coder:
     """Ids of whole texts; each distinct pre-token is encoded once while a memory of bounded size holds it.
 
-    encode() gives the ids of each of a list of new pre-tokens, as the bytes of 32-bit numbers.
+    The memory has two generations of ``room`` pre-tokens at most: when the younger one is full it becomes the older one,
+    and what is used again comes back from there, so frequent pre-tokens stay. encode() gives the ids of each of a list of
+    new pre-tokens, as the bytes of 32-bit numbers.
     """
 
-    def __init__(self, encode, room: int = 150_000):
-        self.encode, self.room, self.known = encode, room, {}
+    def __init__(self, encode, room: int = 400_000):
+        self.encode, self.room, self.known, self.older = encode, room, {}, {}
 
     def ids(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, one after the other, and the number of ids before each row."""
@@ -87,11 +89,16 @@ class Coder:
             return np.zeros(0, np.uint32), np.zeros(len(starts), np.int64)
         pieces, which = distinct(data, at)
         if len(self.known) > self.room:
-            self.known.clear()
-        found = [self.known.get(x) for x in pieces]
-        new = [i for i, x in enumerate(found) if x is None]
+            self.older, self.known = self.known, {}
+        found = list(map(self.known.get, pieces))
+        missing = [i for i, x in enumerate(found) if x is None]
+        for i in missing:
+            found[i] = self.older.get(pieces[i])
+        new = [i for i in missing if found[i] is None]
         for i, got in zip(new, self.encode([pieces[i] for i in new]) if new else [], strict=True):
-            self.known[pieces[i]] = found[i] = got
+            found[i] = got
+        for i in missing:
+            self.known[pieces[i]] = found[i]
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat, first, each = np.frombuffer(b"".join(found), np.uint32), np.cumsum(lengths) - lengths, lengths[which]
         before = np.zeros(len(which) + 1, np.int64)

@@ -23,12 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.llm.common import blocks, bytes_of, flat_text
+from lotlens.llm.common import blocks, flat_text
 from lotlens.llm.pretokens import Coder
 
 #: Fixed values of the seekable format and of this file's directory frame.
 SEEK_FRAME, SEEK_FOOTER, DIRECTORY_FRAME = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 FRAME_IDS = 1 << 18
+#: Text encoded at once; the more, the fewer lookups of repeated pre-tokens.
+STEP = 1 << 20
 NO_ID = -(1 << 63)
 
 
@@ -52,15 +54,18 @@ class Encoder:
     def _new(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each pre-token. Line ends keep those that hold more than white space apart in one text."""
         out: list[bytes] = [None] * len(pieces)
-        solid = [i for i, p in enumerate(pieces) if p.decode().strip()]
-        ids = self._ids("\n".join(pieces[i].decode() for i in solid)) if solid else np.zeros(0, np.uint32)
+        solid = [i for i, p in enumerate(pieces) if (q := p.strip()) and (32 < q[0] < 128 or q.decode().strip())]
+        ids = self._ids(b"\n".join([pieces[i] for i in solid]).decode()) if solid else np.zeros(0, np.uint32)
         ends = np.cumsum(self.size[ids])
-        _, _, want = bytes_of([pieces[i] + b"\n" for i in solid])
+        want = np.cumsum(np.fromiter((len(pieces[i]) + 1 for i in solid), np.int64, len(solid)))
         last = np.searchsorted(ends, want - 1)
         apart = (last < len(ends)) & (ends[np.minimum(last, len(ends) - 1)] == want - 1) if len(ends) else np.zeros(len(solid), bool)
-        for k, i in enumerate(solid):
-            if apart[k] and (not k or apart[k - 1]):
-                out[i] = ids[last[k - 1] + 2 if k else 0:last[k] + 1].tobytes()
+        whole = apart & np.concatenate([[True], apart[:-1]]) if len(solid) else apart
+        begin = np.concatenate([[0], last[:-1] + 2]) if len(solid) else last
+        raw = ids.tobytes()
+        for i, good, x, y in zip(solid, whole.tolist(), (4 * begin).tolist(), (4 * last + 4).tolist(), strict=True):
+            if good:
+                out[i] = raw[x:y]
         for i, p in enumerate(pieces):
             if out[i] is None:
                 out[i] = self._ids(p.decode()).tobytes()
@@ -157,7 +162,7 @@ def _write(folder: str, path: str, end: int):
         for batch in batches:
             data, starts = flat_text(batch.column("text"))
             docs = batch.column("doc_id").fill_null(NO_ID).to_numpy()
-            for a, b in blocks(starts):
+            for a, b in blocks(starts, STEP):
                 if writer is None:
                     place.create_dir(root)
                     writer = Writer(place.open_output_stream(draft))
