@@ -16,7 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotlens.llm.common import written
+
 ROWS, QUERIES = 4096, 1024
+#: More probes than a table has buckets.
+EVERY = 1 << 30
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -119,29 +123,42 @@ def _search(k: int):
     return run
 
 
-def search(vectors_: DataFrame, queries: DataFrame, k: int = 10, tables: int = 4, count: int = 24, hashes: int = 1) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest of vectors_ found for each of queries, both (vec_id, embedding).
+KEYS = ["dim", "slot", "bucket"]
 
-    Score is the Euclidean distance in double precision, ties go to the smaller vec_id, a query's own id is no candidate.
-    Every vector is stored in `tables` tables and every query probes `count` buckets of each. Vectors that are null or
-    zero, or hold null or non-finite components, and rows without an id take no part; vectors of different lengths never
-    meet. Rows of one vec_id count as one candidate, at its nearest vector, and as one query.
-    """
-    clean = [x.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
-             for x in (vectors_, queries)]
-    keys = ["dim", "slot", "bucket"]
-    stored, asked = (x.mapInArrow(_buckets(tables, hashes, n), STORED) for x, n in zip(clean, (1, count), strict=True))
+
+def _met(rows: DataFrame, queries: DataFrame, k: int, tables: int, count: int, hashes: int) -> DataFrame:
+    """(query_id, vec_id, score): the nearest few of each block of rows that a query's buckets lead to."""
+    stored, asked = (x.mapInArrow(_buckets(tables, hashes, n), STORED) for x, n in ((rows, 1), (queries, count)))
     # One row per bucket: at most tables x (2 x dimension) ** hashes of them.
-    sizes = stored.groupBy(keys).agg(F.ceil(F.count("*") / ROWS).alias("row_blocks"))
-    calls = asked.groupBy(keys).agg(F.ceil(F.count("*") / QUERIES).alias("query_blocks"))
-    plan = F.broadcast(sizes.join(calls, keys))
+    sizes = stored.groupBy(KEYS).agg(F.ceil(F.count("*") / ROWS).alias("row_blocks"))
+    calls = asked.groupBy(KEYS).agg(F.ceil(F.count("*") / QUERIES).alias("query_blocks"))
+    plan = F.broadcast(sizes.join(calls, KEYS))
 
-    def dealt(rows: DataFrame, own: str, other: str, asks: bool) -> DataFrame:
+    def dealt(side: DataFrame, own: str, other: str, asks: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("vec_id"), F.col(own)).alias(f"{own}_id")
-        return (rows.join(plan, keys).select(*keys, "vec_id", "vec", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(f"{other}_id"))
-                .select(*keys, "row_blocks_id", "query_blocks_id", "vec_id", "vec", F.lit(asks).alias("asks")))
+        return (side.join(plan, KEYS).select(*KEYS, "vec_id", "vec", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(f"{other}_id"))
+                .select(*KEYS, "row_blocks_id", "query_blocks_id", "vec_id", "vec", F.lit(asks).alias("asks")))
     met = dealt(stored, "row_blocks", "query_blocks", False).union(dealt(asked, "query_blocks", "row_blocks", True))
-    found = (met.groupBy(*keys, "row_blocks_id", "query_blocks_id").applyInPandas(_search(k), "query_id long, vec_id long, score double")
-             .groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
+    found = met.groupBy(*KEYS, "row_blocks_id", "query_blocks_id").applyInPandas(_search(k), "query_id long, vec_id long, score double")
+    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
+
+def search(vectors_: DataFrame, queries: DataFrame, k: int = 10, tables: int = 4, count: int = 24, hashes: int = 1) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest of vectors_ found for each of queries, both (vec_id, embedding).
+
+    Score is the Euclidean distance in double precision, ties go to the smaller vec_id, a query's own id is no candidate.
+    Every vector is stored in `tables` tables and every query probes `count` buckets of each; a query that meets fewer than
+    k candidates there probes every bucket of one table, so it gets all candidates where there are fewer. Vectors that are
+    null or zero, or hold null or non-finite components, and rows without an id take no part; vectors of different lengths
+    never meet. Rows of one vec_id count as one candidate, at its nearest vector, and as one query.
+    """
+    clean, asked = [x.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
+                    for x in (vectors_, queries)]
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    first = _met(clean, asked, k, tables, count, hashes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    first = written(first, "nearest")
+    enough = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = asked.join(enough, "vec_id", "left_anti")
+    rest = _met(clean, short, k, 1, EVERY, 1).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    kept = first.join(enough.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
+    return kept.unionByName(rest).select("query_id", "rank", "vec_id", "score")

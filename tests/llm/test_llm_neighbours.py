@@ -55,3 +55,17 @@ def test_recall_with_the_query_parameters(spark):
     want = brute(rows, {i for i, _ in rows if i % 100 == 0}, 10)
     got = {(r.query_id, r.vec_id) for r in catalog.op10_cross_polytope(spark, "/root/testdata/sf0.1").collect()}
     assert sum((q, i) in got for q, near in want.items() for _, i in near) / sum(map(len, want.values())) >= 0.9
+
+
+@pytest.mark.parametrize("size", [1, 4, 12, 25])
+def test_small_tables_give_all_candidates_with_the_query_parameters(spark, size):
+    rng = np.random.default_rng(size)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(size)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = {q: [i for _, i in near] for q, near in brute(rows, {i for i, _ in rows}, 10).items() if near}
+    assert {q: len(x) for q, x in got.items()} == {q: len(x) for q, x in want.items()}
+    if size <= 11:
+        assert got == want
