@@ -23,10 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lotlens-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+def written(df: DataFrame, name: str = "table", **options: str | int) -> DataFrame:
     """df as a Parquet table in the shared folder: later readers don't repeat its work and lost executors lose nothing."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
