@@ -57,5 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each stage's result is written and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # Whole texts pass through the writers; small row groups keep what an executor buffers small.
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), **{"parquet.block.size": 16 << 20})
     return STAGES[-1][1](spark, docs, sf_dir)
