@@ -291,7 +291,15 @@ def _(t):
     return T.merkle_root(_leaves(t).select("log", "idx", "node")).select("log", "root")
 
 
-@query("T07_inclusion_proofs")
+def _proof_sql(levels: int) -> str:
+    """Each leaf's siblings from its own level upwards; a promoted node has none on its level."""
+    tree = _merkle_sql(f"SELECT log, idx AS i, {_LEAF} AS h FROM {{log_leaves}}", levels, "log")
+    joins = " ".join(f"LEFT JOIN m{k} s{k} ON s{k}.log = l.log AND s{k}.i = xor(l.i >> {k}, 1)" for k in range(levels))
+    steps, text = " + ".join(f"(s{k}.h IS NOT NULL)::INTEGER" for k in range(levels)), " || ".join(f"coalesce(s{k}.h, '')" for k in range(levels))
+    return f"{tree[:tree.rindex(' SELECT ')]} SELECT l.log, l.i AS idx, {steps} AS n_steps, {text} AS proof FROM m0 l {joins}"
+
+
+@query("T07_inclusion_proofs", _proof_sql(20))
 def _(t):
     p = T.inclusion_proofs(_leaves(t).select("log", "idx", "node"))
     return p.select("log", "idx", F.size("proof").alias("n_steps"), F.array_join("proof", "").alias("proof"))
@@ -351,6 +359,19 @@ def _(t):
     return TL.range_roots(TL.merged(old.unionByName(new))).select("log", "root")
 
 
+_STORED = ("grade_a", "urs", "reject", "refer", "grade_a_lo", "grade_a_hi", "procured", "procured_lo", "procured_hi", "decision")
+
+
+@query("T11_regrade_receipts", """SELECT l.lot_id, l.lot_id % 11 <> 0 AS pack_known, CASE WHEN l.lot_id % 11 = 0 THEN NULL ELSE l.lot_id % 7 <> 0 END AS headline_ok FROM (SELECT DISTINCT lot_id FROM {bulbs}) l""")
+def _(t):
+    fresh = materialise(G.grade_lots(t("bulbs"), P.PACKS, t("overrides")))
+    # Stored receipts: each lot under its default pack; every seventh headline was altered and every eleventh names an unknown pack.
+    stored = fresh.where(F.col("pack_id") == P.DEFAULT_PACK_ID).withColumn("grade_a", F.when(F.col("lot_id") % 7 == 0, F.col("grade_a") + 0.5).otherwise(F.col("grade_a")))
+    stored = stored.withColumn("pack_hash", F.when(F.col("lot_id") % 11 == 0, "unknown").otherwise(P.pack_hash(P.default_pack()))).select("lot_id", "pack_hash", *_STORED)
+    known = J.with_pack_by_hash(stored, t("packs"))
+    return T.regrade_check(known, fresh, _STORED).select("lot_id", "pack_known", "headline_ok")
+
+
 def _receipts_as_issued(t) -> str:
     """A folder of receipts and item pages: each lot under a pack of its own, a third of the lots with a second revision.
 
