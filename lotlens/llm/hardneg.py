@@ -107,8 +107,13 @@ POSITIVES = "anchor_id long, vec_id long, score long"
 NEGATIVES = "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
 
 
-def _frame(found: list[pd.DataFrame], schema: str) -> pd.DataFrame:
-    return pd.concat(found) if found else pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in schema.split(", ")})
+def _frame(found: list[tuple], schema: str) -> pd.DataFrame:
+    """Rows of (values that repeat..., ids, scores), one tuple per list of ids."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    times = [len(f[-1]) for f in found]
+    columns = [np.repeat(np.array([f[i] for f in found], np.int64), times) for i in range(len(names) - 2)]
+    columns += [np.concatenate([np.zeros(0, np.int64), *[f[i] for f in found]]) for i in (-2, -1)]
+    return pd.DataFrame(dict(zip(names, columns, strict=True)))
 
 
 def _positives(k: int):
@@ -117,8 +122,8 @@ def _positives(k: int):
         ids, found = stored.vec_id.to_numpy(), []
         for part, score in _strips(asked, a, r):
             own = part.vec_id.to_numpy()
-            for anchor, s, top in zip(own, score, best(score, own[:, None] != ids[None, :], k), strict=True):
-                found.append(pd.DataFrame({"anchor_id": anchor, "vec_id": ids[top], "score": s[top]}))
+            tops = best(score, own[:, None] != ids[None, :], k)
+            found.extend((anchor, ids[top], s[top]) for anchor, s, top in zip(own, score, tops, strict=True))
         return _frame(found, POSITIVES)
     return run
 
@@ -139,7 +144,7 @@ def _negatives(k: int, low: int, high: int):
                 fits = other[has] & (low * limit <= hundred).astype(bool) & (hundred <= high * limit).astype(bool)
                 for anchor, p, s, top in zip(part.vec_id[has], positive, here, best(here, fits, k), strict=True):
                     if len(top):
-                        found.append(pd.DataFrame({"anchor_id": anchor, "positive_id": p["vec_id"], "positive_score": p["score"], "negative_id": ids[top], "negative_score": s[top]}))
+                        found.append((anchor, p["vec_id"], p["score"], ids[top], s[top]))
         return _frame(found, NEGATIVES)
     return run
 
@@ -173,12 +178,15 @@ def mine(vectors: DataFrame, anchors: DataFrame, positives: int = 5, negatives:
     rows = rows.where("vec_id is not null and label is not null and vec is not null").where(finite)
     rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "vec")).alias("x")).select("vec_id", "x.*", F.size("x.vec").alias("dim"))
     asked = rows.join(anchors.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    found = _met(rows, asked, ["dim", "label"]).groupBy("dim", "label", "row_blocks_id", "anchor_blocks_id").applyInPandas(_positives(positives), POSITIVES)
+    # As many tasks as a shuffle has: the work goes by pairs, which the size of the rows doesn't tell.
+    tasks, keys = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["dim", "label", "row_blocks_id", "anchor_blocks_id"]
+    found = _met(rows, asked, keys[:2]).repartition(tasks, *keys).groupBy(keys).applyInPandas(_positives(positives), POSITIVES)
     order = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id")
     chosen = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= positives)
     chosen = chosen.groupBy("anchor_id").agg(F.collect_list(F.struct("vec_id", "score")).alias("positives"))  # `positives` of them at most
     asked = asked.join(chosen, asked.vec_id == chosen.anchor_id).drop("anchor_id")
-    found = _met(rows, asked, ["dim"]).groupBy("dim", "row_blocks_id", "anchor_blocks_id").applyInPandas(_negatives(negatives, low, high), NEGATIVES)
+    keys.remove("label")
+    found = _met(rows, asked, keys[:1]).repartition(tasks, *keys).groupBy(keys).applyInPandas(_negatives(negatives, low, high), NEGATIVES)
     order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
     return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
