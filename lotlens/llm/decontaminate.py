@@ -23,6 +23,7 @@ from lotlens.llm.langid import SortedHashes
 
 Q = 8
 FILTER_BITS = 22
+NO_ID = -(1 << 63)
 
 
 @cache
@@ -77,7 +78,7 @@ class Index:
     place: np.ndarray = None
 
     @classmethod
-    def of(cls, ids: list[int], texts: list[str], window: int, share: float, least: int, common: int = 64) -> Index:
+    def of(cls, ids: list[int], texts: list[str], window: int, stride: int, share: float, least: int, common: int = 64) -> Index:
         codes, starts = normal(*flat_text(pa.array(texts, pa.string())))
         index = cls(np.array(ids, np.int64), codes, starts)
         grams, owner, place = [], [], []
@@ -94,9 +95,9 @@ class Index:
         at = np.searchsorted(owner, np.arange(len(ids) + 1))
         for i, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
             n, found = int(b - a), []
-            spans = [(0, n)] if n <= window else [(s, window) for s in sorted({*range(0, n - window, window // 2), n - window})]
-            for s, m in spans if n >= least else ():
-                k = min(int(share * m), (m - Q) // Q)
+            spans = [(0, n)] if n <= window else [(s, window) for s in sorted({*range(0, n - window, stride), n - window})]
+            for s, m in spans if n >= Q else ():
+                k = min(int(share * m), (m - Q) // Q) if n >= least else 0
                 own = slice(at[i] + s, at[i] + s + m - Q + 1)
                 rare = int((~frequent[own]).sum())
                 if rare - k * Q < 3:
@@ -207,32 +208,35 @@ def _search(text: Column, shared: Broadcast) -> Column:
                     items.append(index.ids[o])
                     edits.append(e)
                     counts[a + r + 1] += 1
-            found = pa.StructArray.from_arrays([pa.array(np.array(items, np.int64)), pa.array(np.array(edits, np.int32))], names=["item_id", "edits"])
+            items = np.array(items, np.int64)
+            found = pa.StructArray.from_arrays([pa.array(items, mask=items == NO_ID), pa.array(np.array(edits, np.int32))], names=["item_id", "edits"])
             yield pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), found)
     return run(text)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, into: str, text: str = "text", window: int = 100, share: float = 0.1, least: int = 40,
+def contamination(docs: DataFrame, benchmark: DataFrame, into: str, text: str = "text", window: int = 100, stride: int = 20, share: float = 0.1, least: int = 40,
                   block_bytes: int = 1 << 23) -> DataFrame:
     """docs with a column `into`: the benchmark texts (item_id, text) each document holds, and the fewest edits of a window.
 
     Compared are letters (in lower case) and digits, with single gaps. A benchmark text of at most `window` characters is
-    one window, a longer one has one every half window; a document holds it if some region is within `share` edits per
-    character of a window. Benchmark texts under `least` characters, and null or empty ones, are not looked for; equal
-    benchmark texts count once, under the smallest item_id. Null or empty documents hold none.
+    one window, a longer one has one every `stride` characters; a document holds it if some region is within `share` edits
+    per character of a window. With a stride of twice the edits, every verbatim excerpt of `window` characters is found,
+    wherever it begins. Benchmark texts under `least` characters are looked for verbatim; those under Q characters, and
+    null ones, are not. Equal benchmark texts count once, under the smallest item_id, which is null if none has one. Null
+    or empty documents hold none.
 
     The benchmark goes to the executors in blocks of about `block_bytes` of text; with more than one block, documents are
     searched once for each and written in between.
     """
     spark = docs.sparkSession
-    texts = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    texts = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
              .groupBy("text").agg(F.min("item_id").alias("item_id")))
     parts = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     docs = docs.withColumn(into, F.expr(f"cast(array() as {FOUND})"))
     for part in range(parts):
         rows = texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()
-        rows.sort(key=lambda r: r.item_id)
-        index = Index.of([r.item_id for r in rows], [r.text for r in rows], window, share, least)
+        rows.sort(key=lambda r: (r.item_id is not None, r.item_id or 0, r.text))
+        index = Index.of([NO_ID if r.item_id is None else r.item_id for r in rows], [r.text for r in rows], window, stride, share, least)
         docs = docs.withColumn(into, F.concat(into, _search(F.col(text), spark.sparkContext.broadcast(index))) if part else _search(F.col(text), spark.sparkContext.broadcast(index)))
         if part + 1 < parts:
             docs = written(docs, "searched")
