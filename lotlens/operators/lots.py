@@ -26,6 +26,8 @@ WEIGHTS = [f"w_{s}" for s in SHORT.values()]
 TALLY = ["n", "w", *COUNTS, *WEIGHTS]
 # Trays kept inside one lot row for the in-row bootstrap; lots with more trays take the joined form.
 ROW_TRAYS = 64
+#: Lots with more trays than the first are resampled by counts, in blocks of the second.
+COUNTED_TRAYS, BLOCK_TRAYS = 4096, 1024
 
 
 def look_aggregates(verdicts: DataFrame, multiplicity: str | None = None) -> DataFrame:
@@ -137,13 +139,14 @@ _BOUNDS = "lot_id long, pack_id string, basis string, bucket string, lo double,
 
 
 def cluster_bootstrap(trays: DataFrame, packs: Sequence[Pack], b: int | None = None, level: float = 0.95, seeds: DataFrame | None = None,
-                      row_trays: int = ROW_TRAYS, min_trays: int = 3) -> DataFrame:
+                      row_trays: int = ROW_TRAYS, min_trays: int = 3, counted_trays: int = COUNTED_TRAYS) -> DataFrame:
     """Percentile bootstrap over whole trays for every share of every lot: lot_id, pack_id, basis, bucket, lo, hi.
 
     Each pack's own number of replicates holds unless ``b`` is given; ``seeds`` (lot_id, sampling_seed) has the recorded
     seeds, where there are any. One resample per replicate serves all shares of a lot and all packs with as many trays.
     Lots with up to ``row_trays`` trays are resampled as one small group; lots with more by joining drawn positions to
-    trays, spread over (lot, replicate).
+    trays, spread over (lot, replicate); lots with over ``counted_trays`` by how often each tray is drawn, block by block,
+    with a row per block and replicate instead of one per draw.
     """
     t = add_pack_sums(trays, packs)
     sizes = t.groupBy("lot_id", "pack_id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= min_trays)
@@ -155,7 +158,9 @@ def cluster_bootstrap(trays: DataFrame, packs: Sequence[Pack], b: int | None = N
     # Few bytes but much work per lot: adaptive execution would merge it all into one task.
     tasks = int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = small.repartition(tasks, "lot_id").groupBy("lot_id").applyInPandas(_resampled(reps, level), _BOUNDS)
-    return narrow.unionByName(_joined_bootstrap(seeded(sized.where(F.col("m") > row_trays)), reps, level))
+    indexed = row_index(seeded(sized.where(F.col("m") > row_trays)), "tray", ["lot_id", "pack_id"], "_i").withColumn("_i", F.col("_i") - 1)
+    joined, counted = (indexed.where(c) for c in (F.col("m") <= counted_trays, F.col("m") > counted_trays))
+    return narrow.unionByName(_joined_bootstrap(joined, reps, level)).unionByName(_counted_bootstrap(counted, reps, level))
 
 
 def draws(seed: str, b: int, m: int) -> np.ndarray:
@@ -183,21 +188,63 @@ def _resampled(reps: dict[str, int], level: float):
     return run
 
 
-def _joined_bootstrap(t: DataFrame, reps: dict[str, int], level: float) -> DataFrame:
-    per = lambda f: "CASE pack_id " + " ".join(f"WHEN '{k}' THEN {f(v)}" for k, v in reps.items()) + " END"
-    indexed = row_index(t, "tray", ["lot_id", "pack_id"], "_i").withColumn("_i", F.col("_i") - 1)
-    lots = t.select("lot_id", "pack_id", "m", "_seed").distinct()
-    rounds = lots.selectExpr("*", f"explode(sequence(0, {per(lambda b: b - 1)})) AS rep").repartition("lot_id", "pack_id", "rep")
+def block_draws(seed: str, b: int, m: int, block: int, size: int) -> np.ndarray:
+    """How many of the m draws of each of b replicates fall into a block of ``size`` neighbouring trays.
+
+    The blocks' numbers are multinomial: halves of the lot get binomial shares of the draws of the whole, quarters of the
+    halves and so on. Every half has its own seeded generator, so any task works out its block's numbers alone.
+    """
+    n, low, high = np.full(b, m), 0, -(-m // size)
+    while high - low > 1:
+        mid = (low + high) // 2
+        share = (mid - low) * size / (min(m, high * size) - low * size)
+        left = np.random.default_rng(int(hashlib.sha256(f"{seed}|{low}|{high}".encode()).hexdigest()[:32], 16)).binomial(n, share)
+        n, low, high = (left, low, mid) if block < mid else (n - left, mid, high)
+    return n
+
+
+def tray_draws(seed: str, b: int, m: int, block: int, size: int) -> np.ndarray:
+    """How often each replicate draws each tray of a block: a row per replicate."""
+    trays = min(m, (block + 1) * size) - block * size
+    inside = np.random.default_rng(int(hashlib.sha256(f"{seed}|block {block}".encode()).hexdigest()[:32], 16))
+    return inside.multinomial(block_draws(seed, b, m, block, size), np.full(trays, 1 / trays))
+
+
+def _counted_bootstrap(indexed: DataFrame, reps: dict[str, int], level: float) -> DataFrame:
+    size = BLOCK_TRAYS
+
+    def sums(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("_i")
+        lot, pack, m, seed, first = (block[c].iloc[0] for c in ("lot_id", "pack_id", "m", "_seed", "_i"))
+        total = tray_draws(seed, reps[pack], int(m), int(first) // size, size) @ block[_BOOT].to_numpy()
+        return pd.DataFrame(total, columns=_BOOT).assign(lot_id=lot, pack_id=pack, rep=np.arange(len(total)))
+    tasks = int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = (indexed.withColumn("_block", F.floor(F.col("_i") / size)).repartition(tasks, "lot_id", "pack_id", "_block").groupBy("lot_id", "pack_id", "_block")
+             .applyInPandas(sums, ", ".join(f"{c} double" for c in _BOOT) + ", lot_id long, pack_id string, rep long"))
+    return _percentiles(parts.groupBy("lot_id", "pack_id", "rep").agg(*[F.sum(c).alias(c) for c in _BOOT]), reps, level)
+
+
+def _per_pack_sql(reps: dict[str, int], f) -> str:
+    return "CASE pack_id " + " ".join(f"WHEN '{k}' THEN {f(v)}" for k, v in reps.items()) + " END"
+
+
+def _joined_bootstrap(indexed: DataFrame, reps: dict[str, int], level: float) -> DataFrame:
+    lots = indexed.select("lot_id", "pack_id", "m", "_seed").distinct()
+    rounds = lots.selectExpr("*", f"explode(sequence(0, {_per_pack_sql(reps, lambda b: b - 1)})) AS rep").repartition("lot_id", "pack_id", "rep")
     drawn = (rounds.selectExpr("lot_id", "pack_id", "m", "_seed", "rep", "explode(sequence(0, CAST(m AS INT) - 1)) AS j")
              .selectExpr("lot_id", "pack_id", "rep", draw_sql("_seed", "rep", "j", "m") + " AS _i"))
     # Only how often each tray was drawn in a replicate matters.
     hits = drawn.groupBy("lot_id", "pack_id", "_i", "rep").agg(F.count(F.lit(1)).alias("k"))
     joined = hits.join(indexed.select("lot_id", "pack_id", "_i", *_BOOT), ["lot_id", "pack_id", "_i"])
-    sums = joined.groupBy("lot_id", "pack_id", "rep").agg(*[F.expr(f"sum({c} * k) AS {c}") for c in _BOOT])
+    return _percentiles(joined.groupBy("lot_id", "pack_id", "rep").agg(*[F.expr(f"sum({c} * k) AS {c}") for c in _BOOT]), reps, level)
+
+
+def _percentiles(sums: DataFrame, reps: dict[str, int], level: float) -> DataFrame:
+    """Bounds of every share from a row of resampled sums per lot, pack and replicate."""
     shares = sums.selectExpr("lot_id", "pack_id", *[f"IF({n} > 0, {x} / {n}, 0.0D) AS {x}" for _, _, x, n in SELECTORS])
     # Exactly as many numbers per lot and share as the pack has replicates.
     lists = shares.groupBy("lot_id", "pack_id").agg(*[F.expr(f"sort_array(collect_list({x})) AS s_{x}") for _, _, x, _ in SELECTORS])
-    lo, hi = (per(lambda b, k=k: quantile_positions(b, level)[k]) for k in (0, 1))
+    lo, hi = (_per_pack_sql(reps, lambda b, k=k: quantile_positions(b, level)[k]) for k in (0, 1))
     rows = ", ".join(f"named_struct('basis', '{basis}', 'bucket', '{bucket}', 'lo', s_{x}[{lo}], 'hi', s_{x}[{hi}])" for basis, bucket, x, _ in SELECTORS)
     return lists.selectExpr("lot_id", "pack_id", f"inline(array({rows}))")
 

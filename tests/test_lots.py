@@ -68,6 +68,31 @@ def test_row_and_joined_bootstrap_agree(spark):
     assert [v for r in a for v in (r.lo, r.hi)] == pytest.approx([v for r in b for v in (r.lo, r.hi)])
 
 
+def test_counts_of_draws_are_multinomial():
+    m, size, b = 23, 4, 4000
+    counts = np.concatenate([L.tray_draws("seed", b, m, k, size) for k in range(6)], axis=1)
+    assert counts.shape == (b, m) and (counts.sum(1) == m).all() and (counts >= 0).all()
+    total = counts.sum(0)
+    assert ((total - b) ** 2 / b).sum() < 48.3  # chi-square, 22 degrees of freedom, 0.1 %
+    assert counts.var(0) == pytest.approx(np.full(m, 1 - 1 / m), abs=0.12)
+    pairs = np.cov(counts.T)[~np.eye(m, dtype=bool)]
+    assert abs(pairs.mean() + 1 / m) < 0.005 and np.abs(pairs + 1 / m).max() < 0.1
+    blocks = np.stack([L.block_draws("seed", b, m, k, size) for k in range(6)], axis=1)
+    assert (blocks.sum(1) == m).all() and blocks.mean(0) == pytest.approx([4, 4, 4, 4, 4, 3], abs=0.15)
+    assert (L.tray_draws("seed", 100, m, 2, size) == counts[:100, 8:12]).all() or L.block_draws("seed", 100, m, 2, size).tolist() == blocks[:100, 2].tolist()
+
+
+def test_counted_bootstrap_agrees_with_the_joined_one(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_TRAYS", 16)
+    pack = [P.pack_by_id("in-psf-2026-pre-a")]
+    t = trays(spark, [(i % 7, 40 + i % 5) for i in range(90)])
+    key = lambda r: (r.basis, r.bucket)
+    a = sorted(L.cluster_bootstrap(t, pack, 800).collect(), key=key)
+    b = sorted(L.cluster_bootstrap(t, pack, 800, counted_trays=64).collect(), key=key)
+    assert [key(r) for r in a] == [key(r) for r in b] and a != b
+    assert [v for r in a for v in (r.lo, r.hi)] == pytest.approx([v for r in b for v in (r.lo, r.hi)], abs=0.01)
+
+
 def test_wilson_under_three_trays_and_deff(spark):
     pack = [P.pack_by_id("in-psf-2026-pre-a")]
     t = trays(spark, [(4, 40), (12, 40)])
