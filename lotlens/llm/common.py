@@ -18,8 +18,11 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder inside the one that spark.checkpoint.dir names; only where that is unset, a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='lotlens-')}"
+    """A new folder inside the one that spark.checkpoint.dir names; a local session without one gets a temporary one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or f"file://{tempfile.mkdtemp(prefix='lotlens-')}"
     return f"{root.rstrip('/')}/lotlens-{uuid.uuid4().hex}"
 
 
