@@ -10,16 +10,25 @@ from lotlens.llm.catalog import MULTI_RANKS, severity_grades
 from lotlens.llm.common import table, written
 
 
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language known from `lang`; rejected go: no letter, or far from every language learned."""
     model = langid.train(docs)
-    return docs.withColumn("_found", langid.identify(docs, model)).where("not _found.rejected").drop("_found")
+    found = spare(docs, "_found")
+    return docs.withColumn(found, langid.identify(docs, model)).where(f"not {found}.rejected").drop(found)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of an expected severity under one half, by a model fitted on `labels`."""
     model = toxicity.train(docs, severity_grades(spark, sf_dir))
-    return docs.withColumn("_found", toxicity.grade(docs, model)).where("not _found.toxic").drop("_found")
+    found = spare(docs, "_found")
+    return docs.withColumn(found, toxicity.grade(docs, model)).where(f"not {found}.toxic").drop(found)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +42,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     named = docs.select(row.alias("_row"), "doc_id").dropDuplicates(["_row"])
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))
     kept = found.join(named, "_row").groupBy("component_id").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
-    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    own = spare(docs, "_row")
+    return docs.withColumn(own, row).join(kept.withColumnRenamed("_row", own), own, "left_semi").dropDuplicates([own]).drop(own)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of `benchmark`."""
-    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), "_found").where("size(_found) = 0").drop("_found")
+    found = spare(docs, "_found")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), found).where(f"size({found}) = 0").drop(found)
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
