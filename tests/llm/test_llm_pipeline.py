@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lotlens.llm.common import shared_folder
@@ -40,9 +41,10 @@ def test_stages_keep_what_they_should(spark):
 
 
 def test_stages_keep_the_columns(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns({"_found": F.lit("own"), "_ROW": F.col("doc_id") + 1})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.where("_found <> 'own' or _ROW <> doc_id + 1").count() == 0
         assert out.schema.names == docs.schema.names and stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
 
 
