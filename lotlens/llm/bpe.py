@@ -120,7 +120,7 @@ class BytePairs:
         self.text_size = ends - self.text_at
         self.digits, self.digits_at, ends = bytes_of([b"%d," % i for i in range(len(by_id))])
         self.digits_size = ends - self.digits_at
-        self.coder = Coder(self._new)
+        self.coder = Coder(self._new, room=100_000)
 
     def _new(self, pieces: list[bytes]) -> list[bytes]:
         slots = self.hash.slots(piece_hashes(*bytes_of(pieces)))
