@@ -24,10 +24,19 @@ _PARENTS = ("transform(filter(transform(c, (x, i) -> IF(" + _LEFT + ", i, NULL))
 _ALONE = f"transform(filter(c, (x, i) -> NOT ({_LEFT} OR {_RIGHT})), x -> named_struct('level', l, 'idx', x.idx, 'node', x.node))"
 
 
+_EMPTY = "CAST(array() AS ARRAY<STRUCT<level: INT, idx: BIGINT, node: STRING>>)"
+
+
+def _top(nodes: DataFrame, level: str) -> DataFrame:
+    """nodes, of which those of the last level must be the only ones of their group."""
+    fits = F.expr(f"level < {level} OR idx = 0")
+    return nodes.withColumn("idx", F.when(fits, F.col("idx")).otherwise(F.raise_error("log of too many leaves").cast("bigint")))
+
+
 def _fold(nodes: DataFrame, keys: Sequence[str], kept: str, bits: int, stages: int) -> DataFrame:
     """Pair siblings of nodes(keys, level, idx, node) up to the top; ``kept`` says which nodes of a level become rows.
 
-    Nodes of a group of keys do not overlap. The level above the last round holds at most one node per group.
+    Nodes of a group of keys do not overlap.
     """
     out, tops = None, None
     for stage in range(stages):
@@ -37,13 +46,30 @@ def _fold(nodes: DataFrame, keys: Sequence[str], kept: str, bits: int, stages: i
         groups = here.groupBy(*keys, F.expr(f"shiftright(idx, {high} - level)").alias("grp")).agg(F.collect_list(F.struct("level", "idx", "node")).alias("ns"))
         step = ("transform(array(array_sort(concat(a.cur, transform(filter(ns, n -> n.level = l), n -> named_struct('idx', n.idx, 'node', n.node))))), c -> "
                 f"named_struct('cur', {_PARENTS}, 'out', concat(a.out, {kept})))[0]")
-        empty = "named_struct('cur', CAST(array() AS ARRAY<STRUCT<idx: BIGINT, node: STRING>>), 'out', CAST(array() AS ARRAY<STRUCT<level: INT, idx: BIGINT, node: STRING>>))"
-        done = groups.selectExpr(*keys, f"aggregate(sequence({low}, {high - 1}), {empty}, (a, l) -> {step}) AS r")
+        start = f"named_struct('cur', CAST(array() AS ARRAY<STRUCT<idx: BIGINT, node: STRING>>), 'out', {_EMPTY})"
+        done = groups.selectExpr(*keys, f"aggregate(sequence({low}, {high - 1}), {start}, (a, l) -> {step}) AS r")
         rows = done.selectExpr(*keys, "inline(r.out)")
         out = rows if out is None else out.unionByName(rows)
         tops = done.selectExpr(*keys, "inline(r.cur)").selectExpr(*keys, f"CAST({high} AS INT) AS level", "idx", "node")
     rest = nodes.where(f"level >= {bits * stages}").select(*keys, "level", "idx", "node").unionByName(tops)
-    return out.unionByName(rest.withColumn("idx", F.when(F.col("idx") == 0, F.col("idx")).otherwise(F.raise_error("log of too many leaves").cast("bigint"))))
+    return out.unionByName(_top(rest, str(bits * stages)))
+
+
+def _fold_leaves(nodes: DataFrame, keys: Sequence[str], bits: int, stages: int) -> DataFrame:
+    """The largest complete subtrees over leaves(keys, level 0, idx, node), in one chain of rounds.
+
+    Nodes that stay alone, a few per group, travel with the group's other nodes, so no round is worked out twice.
+    """
+    for stage in range(stages):
+        low, high = stage * bits, (stage + 1) * bits
+        groups = nodes.groupBy(*keys, F.expr(f"shiftright(idx, {high} - level)").alias("grp")).agg(F.collect_list(F.struct("level", "idx", "node")).alias("ns"))
+        here = "ns" if not stage else f"filter(ns, n -> n.level = {low})"
+        start = (f"named_struct('cur', transform(array_sort({here}), n -> named_struct('idx', n.idx, 'node', n.node)), 'out', "
+                 + (_EMPTY if not stage else f"filter(ns, n -> n.level < {low})") + ")")
+        step = f"transform(array(a.cur), c -> named_struct('cur', {_PARENTS}, 'out', concat(a.out, {_ALONE})))[0]"
+        every = f"concat(a.out, transform(a.cur, x -> named_struct('level', {high}, 'idx', x.idx, 'node', x.node)))"
+        nodes = groups.selectExpr(*keys, f"inline(aggregate(sequence({low}, {high - 1}), {start}, (a, l) -> {step}, a -> {every}))")
+    return _top(nodes, str(bits * stages))
 
 
 def _leaf_nodes(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -53,7 +79,7 @@ def _leaf_nodes(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
 def compact_ranges(leaves: DataFrame, by: Sequence[str] = (), bits: int = BITS, stages: int = STAGES) -> DataFrame:
     """(log, by..., level, idx, node): the compact range of each group of leaves(log, by..., idx, node)."""
     keys = ["log", *by]
-    return _fold(_leaf_nodes(leaves, keys), keys, _ALONE, bits, stages)
+    return _fold_leaves(_leaf_nodes(leaves, keys), keys, bits, stages)
 
 
 def merged(ranges: DataFrame, by: Sequence[str] = (), bits: int = BITS, stages: int = STAGES) -> DataFrame:
