@@ -115,3 +115,16 @@ def test_sequential_decision_stops(spark):
     got = {r.lot_id: r for r in sequential_sprt(spark.createDataFrame(rows, "lot_id long, tray int, bad long, n long"), pack).collect()}
     assert got[1].decision == "REJECT_LOT" and got[1].decided_at == 3
     assert got[2].decision == "SAMPLE_MORE" and got[2].decided_at == 1
+
+
+def test_joined_bootstrap_makes_no_row_per_draw(spark, monkeypatch):
+    monkeypatch.setattr(L, "ROUND_DRAWS", 100)  # several rounds of replicates
+    pack = [P.pack_by_id("in-psf-2026-pre-a")]
+    t = trays(spark, [(i % 7, 40 + i) for i in range(12)])
+    key = lambda r: (r.basis, r.bucket)
+    a = sorted(L.cluster_bootstrap(t, pack, 101).collect(), key=key)
+    joined = L.cluster_bootstrap(t, pack, 101, row_trays=5)
+    b = sorted(joined.collect(), key=key)
+    assert [v for r in a for v in (r.lo, r.hi)] == pytest.approx([v for r in b for v in (r.lo, r.hi)])
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 0
+    assert (L.draws("seed", 5, 9, 3) == L.draws("seed", 8, 9)[3:]).all()
