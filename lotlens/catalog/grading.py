@@ -226,7 +226,7 @@ def _(t):
 @query("R02_verdicts_from_rule_table", "SELECT lot_id, pack_id, bucket, count(*) AS n FROM {o_verdicts} GROUP BY ALL")
 def _(t):
     outcomes = R.eval_rules(t("bulbs"), t("pack_rules"), t("packs"))
-    v = R.verdicts_from_outcomes(outcomes, t("bulbs"), t("packs"))
+    v = R.verdicts_from_outcomes(outcomes, t("bulbs"), t("packs"), t("pack_rules"))
     return v.groupBy("lot_id", "pack_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 

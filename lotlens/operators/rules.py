@@ -250,19 +250,48 @@ def eval_rules(bulbs: DataFrame, pack_rules: DataFrame, packs: DataFrame,
                     outcome.alias("outcome"))
 
 
-def verdicts_from_outcomes(outcomes: DataFrame, bulbs: DataFrame, packs: DataFrame) -> DataFrame:
-    """Bucket per bulb and pack from a rule-outcome table: the first deciding stage wins."""
+#: Bits of a (pack, stage, bucket): some outcome, some failed, some referred; and how many such slots a whole number holds.
+SEEN, FAILED, REFERS, SLOTS = 1, 2, 4, 21
+
+
+def verdicts_from_outcomes(outcomes: DataFrame, bulbs: DataFrame, packs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Bucket per bulb and pack from a rule-outcome table: the first deciding stage wins.
+
+    A bulb's outcomes under all packs meet as bits of a whole number (more for many packs), so one short row per bulb is
+    shuffled however many rules there are. ``rules``, the table behind the outcomes, saves looking its stages up in them.
+    """
     key = ["lot_id", "bulb_id", "pack_id"]
-    refers = (F.col("outcome") == "borderline") | ((F.col("outcome") == "na") & (F.col("na") == "refer"))
-    stage = outcomes.groupBy(*key, "stage", "bucket").agg(
-        F.bool_or(F.col("outcome") == "fail").alias("failed"), F.bool_or(refers).alias("refers"))
-    decided = (F.when((F.col("stage") == 0) & F.col("failed"), "REJECT").when((F.col("stage") == 0) & F.col("refers"), "REFER")
-               .when((F.col("stage") > 0) & ~F.col("failed") & F.col("refers"), "REFER")
-               .when((F.col("stage") > 0) & ~F.col("failed"), F.col("bucket")))
-    first = (stage.withColumn("decided", decided).groupBy(*key)
-             .agg(F.min(F.when(F.col("decided").isNotNull(), F.struct("stage", "decided"))).alias("d")))
-    conf = bulbs.select("lot_id", "bulb_id", "conf")
-    return (first.join(conf, ["lot_id", "bulb_id"]).join(packs.select("pack_id", "min_conf"), "pack_id")
+    source = outcomes if rules is None else rules
+    kinds = [tuple(r) for r in source.select("pack_id", "stage", "bucket", "na").distinct().collect() if r.pack_id is not None]  # configuration, a few rows per pack
+    slots = sorted({k[:3] for k in kinds}, key=lambda s: tuple((v is not None, v) for v in s))
+    slots = [(*s, i) for i, s in enumerate(slots)]
+    place = {s[:3]: s[3] for s in slots}
+    # One lookup gives an outcome's bits; a reference to the outcome's expression in each of several conditions would evaluate it as often.
+    bits = lambda o, na: SEEN | (FAILED if o == "fail" else REFERS if o == "borderline" or (o == "na" and na == "refer") else 0)
+    table = [(*k, o, place[k[:3]] // SLOTS, bits(o, k[3]) << 3 * (place[k[:3]] % SLOTS)) for k in kinds for o in ("pass", "fail", "borderline", "na")]
+    lookup = ("pack_id", "stage", "bucket", "na")
+    lit = lambda c, v: F.lit(v).cast(source.schema[c].dataType)
+    names = ("m_outcome", "word", "bits")
+    rows = [F.struct(*[lit(c, v).alias(f"m_{c}") for c, v in zip(lookup, row)], *[F.lit(v).cast(kind).alias(c) for c, v, kind in zip(names, row[len(lookup):], ("string", "int", "bigint"), strict=True)]) for row in table]
+    marks = source.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("m")).select("m.*") if rows else None
+    same = (F.col("outcome") == F.col("m_outcome")) & (F.col("pack_id") == F.col("m_pack_id"))
+    for c in lookup[1:]:
+        whole = all(k[lookup.index(c)] is not None for k in kinds)
+        same = same & (F.col(c) == F.col(f"m_{c}") if whole else F.col(c).eqNullSafe(F.col(f"m_{c}")))
+    if marks is None:
+        return outcomes.limit(0).select(*key, "bucket")
+    placed = outcomes.select(*key, "stage", "bucket", "na", "outcome").join(marks, same)
+    words = placed.groupBy("lot_id", "bulb_id").agg(F.array(*[F.expr(f"bit_or(IF(word = {w}, bits, 0L))") for w in range(-(-len(slots) // SLOTS))]).alias("words"))
+    by_pack = F.array(*[F.struct(lit("pack_id", pack).alias("pack_id"), F.array(*[F.struct(lit("stage", stage).alias("stage"), lit("bucket", bucket).alias("bucket"), F.lit(i).alias("place"))
+                        for p, stage, bucket, i in slots if p == pack]).alias("slots")) for pack in {s[0]: None for s in slots}])
+    found = words.join(bulbs.select("lot_id", "bulb_id", "conf"), ["lot_id", "bulb_id"])
+    found = found.select("*", F.explode(by_pack).alias("p")).select("lot_id", "bulb_id", "conf", "words", "p.*")
+    marked = f"filter(transform(slots, s -> named_struct('stage', s.stage, 'bucket', s.bucket, 'b', shiftright(words[s.place DIV {SLOTS}], 3 * (s.place % {SLOTS})))), s -> s.b & {SEEN} <> 0)"
+    decided = f"""transform(marked, s -> named_struct('stage', s.stage, 'decided', CASE WHEN s.stage = 0 AND s.b & {FAILED} <> 0 THEN 'REJECT' WHEN s.stage = 0 AND s.b & {REFERS} <> 0 THEN 'REFER'
+      WHEN s.stage > 0 AND s.b & {FAILED} = 0 AND s.b & {REFERS} <> 0 THEN 'REFER' WHEN s.stage > 0 AND s.b & {FAILED} = 0 THEN s.bucket END))"""
+    found = found.withColumn("marked", F.expr(marked)).where(F.size("marked") > 0)
+    first = found.select(*key, "conf", F.expr(f"array_min(filter({decided}, s -> s.decided IS NOT NULL))").alias("d"))
+    return (first.join(packs.select("pack_id", "min_conf"), "pack_id")
             .select(*key, F.when(F.col("conf") < F.col("min_conf"), "REFER")
                     .otherwise(F.coalesce("d.decided", F.lit("REJECT"))).alias("bucket")))
 

@@ -97,3 +97,22 @@ def test_plan_has_one_shuffle(spark):
     from lotlens.plans.grade import graded_looks
     plan = graded_looks(spark.createDataFrame([bulb(0)], COLS), P.PACKS)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_verdicts_from_outcomes_shuffle_a_row_per_item(spark):
+    """Outcomes meet as bits; without the rule table, with repeated items and with more slots than one number holds."""
+    outcomes = [(lot, f"b{lot}", f"p{p}", stage, None if stage == 0 else f"B{stage}", na, o) for lot in (1, 2) for p in range(9) for stage, na, o in (
+        (0, "skip", "pass"), (0, "refer", "na" if p == 8 else "pass"), (1, "skip", "fail" if p % 3 else "na"), (2, "skip", "borderline" if p == 4 else "fail" if p == 5 else "pass"))]
+    outcomes.append((1, "b1", "p7", 0, None, "skip", "fail"))
+    df = spark.createDataFrame(outcomes, "lot_id long, bulb_id string, pack_id string, stage int, bucket string, na string, outcome string")
+    bulbs = spark.createDataFrame([(1, "b1", 900), (2, "b2", 900), (2, "b2", 100), (3, "b3", 900)], "lot_id long, bulb_id string, conf int")
+    packs = spark.createDataFrame([(f"p{p}", 500) for p in range(10)], "pack_id string, min_conf int")
+
+    def want(lot, p):
+        return "REJECT" if p == 7 and lot == 1 else "REFER" if p in (8, 4) else "B1" if p % 3 == 0 else "REJECT" if p == 5 else "B2"
+    expected = sorted([(lot, f"b{lot}", f"p{p}", want(lot, p)) for lot in (1, 2) for p in range(9)] + [(2, "b2", f"p{p}", "REFER") for p in range(9)])
+    for rules in (None, df.select("pack_id", "stage", "bucket", "na").distinct()):
+        v = R.verdicts_from_outcomes(df, bulbs, packs, rules)
+        assert sorted(tuple(r) for r in v.collect()) == expected
+        plan = v._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(line.strip(" :+-").startswith("Aggregate") and "[lot_id" in line and "pack_id" in line for line in plan.splitlines())
