@@ -90,7 +90,9 @@ def dedupe_finalised(lots: DataFrame, keys: Sequence[str] = IDENTITY, order: str
     """First stored row per identity key; missing names count as empty."""
     named = [F.coalesce(F.col(k), F.lit("")).alias(k) if k in ("farmer_name", "officer_name") else F.col(k) for k in keys]
     rest = [c for c in lots.columns if c not in keys]
-    return lots.select(*named, *rest).groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r"), F.count(F.lit(1)).alias("n_copies")).select(*keys, "_r.*", "n_copies")
+    # A plain minimum is hashed where whole rows are sorted.
+    first = F.struct(F.min(order).alias(order)) if rest == [order] else F.min_by(F.struct(*rest), order)
+    return lots.select(*named, *rest).groupBy(*keys).agg(first.alias("_r"), F.count(F.lit(1)).alias("n_copies")).select(*keys, "_r.*", "n_copies")
 
 
 # ---- Merkle log -------------------------------------------------------------------------------------------
