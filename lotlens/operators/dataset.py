@@ -173,7 +173,8 @@ def near_duplicates(hashes: DataFrame, distance: int = 5, groups: int | None = N
             break
     # Groups before the choice's last one that it leaves out: the first choice of a pair leaves out only groups that differ.
     out = ", ".join("array(" + ", ".join(f"{parts[i]}L" for i in range(x[-1] if x else 0) if i not in x) + ")" if x and x[-1] >= len(x) else "CAST(array() AS ARRAY<BIGINT>)" for x in choices)
-    pairs = keyed.selectExpr("c", "k", "h AS a").join(keyed.selectExpr("c", "k", "h AS b"), ["c", "k"]).where("a < b").selectExpr("c", "a", "b", "CAST(bit_count(a ^ b) AS INT) AS distance")
+    # The planner does not know how many keys a hash has and would broadcast them all.
+    pairs = keyed.selectExpr("c", "k", "h AS a").join(keyed.selectExpr("c", "k", "h AS b").hint("merge"), ["c", "k"]).where("a < b").selectExpr("c", "a", "b", "CAST(bit_count(a ^ b) AS INT) AS distance")
     first = pairs.where(F.col("distance") <= distance).where(F.expr(f"forall(array({out})[c], g -> ((a ^ b) & g) <> 0)"))
     text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     # Hexadecimal order is that of unsigned numbers.

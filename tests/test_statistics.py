@@ -165,3 +165,10 @@ def test_sack_draws_are_distinct_and_seeded(spark):
     a = D.draw_sacks(df, 7).collect()
     assert len({(r.lot_id, r.sack) for r in a}) == len(a) == 10 and all(1 <= r.sack <= 40 for r in a)
     assert a == D.draw_sacks(df, 7).collect()
+
+
+def test_near_duplicate_keys_are_not_broadcast(spark):
+    df = spark.createDataFrame([(f"{h:016x}",) for h in range(8)], "hash string")
+    pairs = D.near_duplicates(df)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 28
