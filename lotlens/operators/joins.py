@@ -138,17 +138,18 @@ def greedy_match(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5)
 def nearest_centre(queries: DataFrame, targets: DataFrame, cap: Column) -> DataFrame:
     """Closest target centre within the query's image, if within ``cap`` (ties: smaller t_id).
 
-    queries(image_id, q_id, q_x, q_y, ...), targets(image_id, t_id, t_x, t_y). Cells are as wide as the cap's next power of
-    two, so a query meets the targets of its own and the eight neighbouring cells only. Targets stand in the grid of every
-    cap that their image's queries have, a few powers of two.
+    queries(image_id, q_id, q_x, q_y, ...), targets(image_id, t_id, t_x, t_y). Cells are as wide as four times the cap's next
+    power of two and a query goes to those that its circle's box touches, four at most and one or two as a rule. Targets
+    stand in the grid of every cap that their image's queries have, a few powers of two.
     """
     level = F.greatest(F.lit(-30), F.ceil(F.log2(F.greatest(cap.cast("double"), F.lit(2.0**-30)))))
-    cell = lambda x: F.floor(F.col(x) / F.pow(F.lit(2.0), F.col("_level")))
-    around = F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)])
+    cell = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("_level") + 2))
+    reach = lambda c: F.col("_cap") * (1 + 1e-9) + F.abs(c) * 1e-15  # noqa: E731  # a rounded distance may reach a little further
+    touched = lambda c: F.explode(F.sequence(cell(F.col(c) - reach(c)), cell(F.col(c) + reach(c))))
     q = queries.withColumn("_cap", cap.cast("double")).where("_cap >= 0").withColumn("_level", level)
     grids = q.select("image_id", "_level").distinct()
-    q = q.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumns({"_cx": cell("q_x") + F.col("_dx"), "_cy": cell("q_y") + F.col("_dy")})
-    t = targets.select("image_id", "t_id", "t_x", "t_y").join(grids, "image_id").withColumns({"_cx": cell("t_x"), "_cy": cell("t_y")})
+    q = q.withColumn("_cx", touched("q_x")).withColumn("_cy", touched("q_y"))
+    t = targets.select("image_id", "t_id", "t_x", "t_y").join(grids, "image_id").withColumns({"_cx": cell(F.col("t_x")), "_cy": cell(F.col("t_y"))})
     j = q.join(t, ["image_id", "_level", "_cx", "_cy"]).withColumn("dist", F.hypot(F.col("q_x") - F.col("t_x"), F.col("q_y") - F.col("t_y"))).where("dist <= _cap")
     return j.groupBy(*queries.columns).agg(F.min(F.struct("dist", "t_id")).alias("_b")).select(*queries.columns, "_b.*")
 

@@ -53,6 +53,18 @@ def test_nearest_centre_meets_neighbouring_cells_only(spark):
     assert {r.q_id: r.t_id for r in J.nearest_centre(q, t, F.col("far")).collect()} == want and len(want) > 20
 
 
+def test_nearest_centre_at_exactly_the_cap(spark):
+    """Targets on cell borders at the cap's distance are met, by a query that goes to four cells at most."""
+    queries = [(0, i, 8.0 * (i % 9) - 32, 8.0 * (i // 9) - 32, 2.0 ** (i % 3)) for i in range(81)]
+    targets = [(0, 4 * q[1] + k, q[2] + dx * q[4], q[3] + dy * q[4]) for q in queries for k, (dx, dy) in enumerate([(1, 0), (-1, 0), (0, 1), (0, -1)])]
+    q = spark.createDataFrame(queries, "image_id int, q_id int, q_x double, q_y double, far double")
+    t = spark.createDataFrame(targets, "image_id int, t_id int, t_x double, t_y double")
+    for k in range(4):
+        near = J.nearest_centre(q, t.where(f"t_id % 4 = {k}"), F.col("far"))
+        assert near.where("dist <= far").count() == 81
+    assert "[-1,0,1]" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_broken_receipts_are_set_aside(spark, tmp_path):
     good = {"kind": "bundle", "cert": {"hash": "aa", "core": {"lot": {"id": "L1"}, "rev": 2}}}
     texts = {"good": json.dumps(good, indent=1), "cut": json.dumps(good)[:-7], "type": json.dumps(good).replace('"rev": 2', '"rev": "two"'), "none": "{}", "list": "[1, 2]", "text": "hello"}
