@@ -62,9 +62,10 @@ def audit_chain(lots: DataFrame) -> DataFrame:
 
     A bad row does not fail its successors: they are checked against the hash that is stored.
     """
-    linked = previous(lots, "id", {"_before": "row_hash"}, ["centre_id"])
+    # Digests are checked first: the stored texts then need not be sorted with their rows.
+    linked = previous(result_integrity(lots), "id", {"_before": "row_hash"}, ["centre_id"])
     before = F.coalesce(F.col("_before"), F.lit(GENESIS))
-    x = result_integrity(linked).withColumn("link_ok", F.col("prev_hash") == before)
+    x = linked.withColumn("link_ok", F.col("prev_hash") == before)
     x = x.withColumn("hash_ok", F.sha2(F.concat(ledger_payload(), before), 256) == F.col("row_hash"))
     ok = F.col("link_ok") & F.col("hash_ok") & F.coalesce(F.col("digest_ok"), F.lit(True))
     return x.withColumn("ok", ok).drop("_before")
