@@ -73,15 +73,25 @@ def youden_threshold(scored: DataFrame, digits: int | None = 3) -> DataFrame:
 def threshold_grid(items: DataFrame, gates: Sequence[float]) -> DataFrame:
     """Photo hit rates and healthy-item failures for each gate: items(photo, label, p, rot, blackening, fails).
 
-    Items under the gate count as clean. Rows are multiplied by the short gate list, then reduced per photo.
+    Items under the gate count as clean. Items are reduced once per photo to one value and count per gate; only the photos'
+    tallies go on to the gates.
     """
-    g = items.select("photo", "label", "p", "rot", "blackening", "fails", F.explode(F.array(*[F.lit(float(x)) for x in gates])).alias("gate"))
-    open_ = F.col("p") >= F.col("gate")
-    per = g.groupBy("gate", "photo", "label").agg(
-        F.max(F.when(open_, F.col("rot") + F.col("blackening")).otherwise(F.lit(0.0))).alias("worst"), F.count(F.lit(1)).alias("n"), F.count_if(open_ & F.col("fails")).alias("f"))
-    hit, sick = F.col("worst") > 0.03, F.col("label") == 1
-    s = per.groupBy("gate").agg((F.count_if(sick & hit) / F.count_if(sick)).alias("tpr"), (F.count_if(~sick & hit) / F.count_if(~sick)).alias("fpr"),
-                                (F.sum(F.when(~sick, F.col("f"))) / F.sum(F.when(~sick, F.col("n")))).alias("healthy_fail"))
+    gates = list(dict.fromkeys(float(x) for x in gates))
+    spots, worst, failed = F.col("rot") + F.col("blackening"), [], []
+    for i, gate in enumerate(gates):
+        open_ = F.col("p") >= F.lit(gate)
+        worst.append(F.max(F.when(open_, spots).otherwise(F.lit(0.0))).alias(f"w{i}"))
+        failed.append(F.count_if(open_ & F.col("fails")).alias(f"f{i}"))
+    per = items.select("photo", "label", "p", "rot", "blackening", "fails").groupBy("photo", "label").agg(*worst, F.count(F.lit(1)).alias("n"), *failed)
+    sick = F.col("label") == 1
+    sums = [F.count_if(sick).alias("sick"), F.count_if(~sick).alias("well"), F.sum(F.when(~sick, F.col("n"))).alias("n")]
+    for i in range(len(gates)):
+        hit = F.col(f"w{i}") > 0.03
+        sums += [F.count_if(sick & hit).alias(f"t{i}"), F.count_if(~sick & hit).alias(f"h{i}"), F.sum(F.when(~sick, F.col(f"f{i}"))).alias(f"f{i}")]
+    total = per.agg(F.count(F.lit(1)).alias("photos"), *sums).where("photos > 0")
+    each = [F.struct(F.lit(gate).alias("gate"), F.col(f"t{i}").alias("t"), F.col(f"h{i}").alias("h"), F.col(f"f{i}").alias("f")) for i, gate in enumerate(gates)]
+    s = total.select("sick", "well", "n", F.inline(F.array(*each)))
+    s = s.select("gate", (F.col("t") / F.col("sick")).alias("tpr"), (F.col("h") / F.col("well")).alias("fpr"), (F.col("f") / F.col("n")).alias("healthy_fail"))
     return s.withColumn("objective", F.col("tpr") - F.col("fpr") - F.col("healthy_fail"))
 
 

@@ -1,10 +1,15 @@
 """Steps that once grew faster than their input: chains by centre, gates by item, photos by slices, captures by lot."""
 
+from collections import defaultdict
+
 import pytest
 
 from lotlens.catalog import Tables
 from lotlens.catalog.carriers import chained_ledger
+from lotlens.operators import classify as Y
+from lotlens.operators import joins as J
 from lotlens.operators import trust as T
+from lotlens.sources import files as S
 
 
 def plan(df):
@@ -29,3 +34,23 @@ def test_chained_blocks_equal_the_ledger(ledger, block):
 def test_no_window_holds_a_whole_centre(ledger):
     lags = [line for line in plan(T.audit_chain(chained_ledger(ledger))).splitlines() if "Window" in line and "lag(" in line]
     assert lags and all("_block" in line or "_slice" in line for line in lags)
+
+
+def test_gates_multiply_no_items(spark):
+    items = spark.sql("SELECT id, id DIV 3 AS photo, CAST(id DIV 3 % 2 AS INT) AS label, id % 10 / 10D AS p, IF(id % 7 = 0, NULL, id % 5 / 100D) AS rot, id % 4 / 100D AS blackening, id % 3 = 0 AS fails FROM range(120)")
+    gates = [0.0, 0.3, 0.75]
+    grid = Y.threshold_grid(items.drop("id"), gates)
+    assert "explode(" not in plan(grid)
+    photos = defaultdict(list)
+    for r in items.collect():
+        photos[r.photo, r.label].append(r)
+    got = {r.gate: (r.tpr, r.fpr, r.healthy_fail) for r in grid.collect()}
+    for g in gates:
+        hits, n, failed, well = [0, 0], [0, 0], 0, 0
+        for (_, label), rows in photos.items():
+            worst = max((r.rot + r.blackening if r.p >= g else 0.0) for r in rows if r.rot is not None or r.p < g)
+            hits[label] += worst > 0.03
+            n[label] += 1
+            failed += 0 if label else sum(r.p >= g and r.fails for r in rows)
+            well += 0 if label else len(rows)
+        assert got[g] == (hits[1] / n[1], hits[0] / n[0], failed / well)
