@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotlens.functions.ordered import previous, row_index, value_ranks
+from lotlens.functions.ordered import previous
 from lotlens.plans.session import materialise
 
 
@@ -26,20 +26,29 @@ def with_truth(truth: DataFrame, latest: DataFrame, on: str = "lot_id") -> DataF
 def positional_join(truth: DataFrame, detected: DataFrame, by: str, truth_order: str, detected_order: str,
                     detected_tie: Sequence[str] = ()) -> DataFrame:
     """The n-th truth row of a photo against its n-th detection."""
-    a = row_index(truth, truth_order, [by], "rn")
-    b = row_index(detected, detected_order, [by], "rn", tie=detected_tie)
+    a = _numbered(truth, by, [truth_order], "rn")
+    b = _numbered(detected, by, [detected_order, *detected_tie], "rn")
     return a.join(b, [by, "rn"])
 
 
+def _numbered(rows: DataFrame, by: str, order: Sequence[str], name: str) -> DataFrame:
+    """1-based position within a photo. A photo's rows are one small group, so a window by photo does, without slices."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*[F.col(c) for c in order])).cast("bigint")
+    return rows.select(*[c for c in rows.columns if c != name], place.alias(name))
+
+
 def reading_order(items: DataFrame, by: str = "capture_id", x: str = "x", y: str = "y", height: str = "h") -> DataFrame:
     """Rows top to bottom, then left to right; rows are bands of 0.6 median heights.
 
-    The original comparator is not transitive, so rows are banded instead. Adds ``row`` and 1-based ``ord``.
+    The original comparator is not transitive, so rows are banded instead. Adds ``row`` and 1-based ``ord``. Photos
+    without any height are left out. All windows are by photo, so the items are shuffled once.
     """
-    mid = value_ranks(items, height, [by])
-    median = mid.groupBy(by).agg(F.min(F.when(F.col("cum") >= F.floor(F.col("total") / 2) + 1, F.col(height))).alias("_h"))
-    banded = items.join(median, by).withColumn("row", F.floor(F.col(y) / (F.col("_h") * 0.6))).drop("_h")
-    return row_index(banded, "row", [by], "ord", tie=[x, *[c for c in ("pos",) if c in items.columns]])
+    photo = Window.partitionBy(by)
+    ranked = items.where(F.col(by).isNotNull()).select(by, *[c for c in items.columns if c != by],
+                                                       F.row_number().over(photo.orderBy(F.col(height).asc_nulls_last())).alias("_k"), F.count(height).over(photo).alias("_n"))
+    middle = F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2) + 1, F.col(height))).over(photo)
+    banded = ranked.withColumn("_h", middle).where("_n > 0").withColumn("row", F.floor(F.col(y) / (F.col("_h") * 0.6))).drop("_h", "_k", "_n")
+    return _numbered(banded, by, ["row", x, *[c for c in ("pos",) if c in items.columns]], "ord")
 
 
 def rated_by_all(ratings: DataFrame, model: DataFrame, raters: int) -> DataFrame:

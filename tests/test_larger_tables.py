@@ -54,3 +54,18 @@ def test_gates_multiply_no_items(spark):
             failed += 0 if label else sum(r.p >= g and r.fails for r in rows)
             well += 0 if label else len(rows)
         assert got[g] == (hits[1] / n[1], hits[0] / n[0], failed / well)
+
+
+def test_reading_order_slices_no_photo(spark):
+    rows = [("a", i, float(i * 7 % 5), float(i * 11 % 9), float(3 + i % 4) if i % 5 else None) for i in range(12)] + [("b", 0, 1.0, 2.0, None), (None, 0, 1.0, 1.0, 1.0)]
+    items = spark.createDataFrame(rows, "capture_id string, pos int, x double, y double, h double")
+    order = J.reading_order(items)
+    assert "percentile_approx" not in plan(order)
+    heights = sorted(r[4] for r in rows[:12] if r[4] is not None)
+    band = lambda r: r[3] // (heights[len(heights) // 2] * 0.6)
+    want = {r[1]: (int(band(r)), i + 1) for i, r in enumerate(sorted(rows[:12], key=lambda r: (band(r), r[2], r[1])))}
+    assert {r.pos: (r.row, r.ord) for r in order.collect()} == want  # photos without a height have no order
+    truth = spark.createDataFrame([("a", b) for b in (5, 2, 9)], "capture_id string, bulb_no int")
+    pairs = J.positional_join(truth, order, "capture_id", "bulb_no", "ord")
+    assert "percentile_approx" not in plan(pairs)
+    assert {(r.bulb_no, r.rn, r.ord) for r in pairs.collect()} == {(2, 1, 1), (5, 2, 2), (9, 3, 3)}
