@@ -69,3 +69,22 @@ def test_reading_order_slices_no_photo(spark):
     pairs = J.positional_join(truth, order, "capture_id", "bulb_no", "ord")
     assert "percentile_approx" not in plan(pairs)
     assert {(r.bulb_no, r.rn, r.ord) for r in pairs.collect()} == {(2, 1, 1), (5, 2, 2), (9, 3, 3)}
+
+
+@pytest.mark.parametrize("per_lot", [1, 6, 100])
+def test_evidence_of_small_and_large_lots(spark, per_lot):
+    caps = spark.sql("SELECT CAST(IF(id % 20 = 19, NULL, id % 3 * (id % 2)) AS BIGINT) AS lot_id, id * 17 % 40 AS shot_at, concat('c', CAST(id AS STRING)) AS capture_id FROM range(40)")
+    receipts = spark.createDataFrame([(0, "h"), (1, "g"), (1, "g2"), (2, "f"), (7, "e"), (None, "d")], "lot_id long, hash string")
+    bundle = S.evidence_bundle(receipts, caps, per_page=4, per_lot=per_lot)
+    assert bundle.columns == ["lot_id", "hash", "page", "captures"]
+    lots = defaultdict(list)
+    for r in sorted(caps.collect(), key=lambda r: (r.shot_at, r.capture_id)):
+        lots[r.lot_id].append(r.capture_id)
+    want = [(h, p, [(p * 4 + i + 1, c) for i, c in enumerate(own[p * 4:p * 4 + 4])]) for lot, h in [(0, "h"), (1, "g"), (1, "g2"), (2, "f"), (7, "e"), (None, "d")]
+            for own in [lots[lot] if lot is not None else []] for p in range(max(1, -(-len(own) // 4)))]
+    assert sorted((r.hash, r.page, [(c.ord, c.capture_id) for c in r.captures]) for r in bundle.collect()) == sorted(want)
+
+
+def test_captures_of_small_lots_need_no_numbers(spark):
+    caps = spark.sql("SELECT id % 3 AS lot_id, id AS shot_at, concat('c', CAST(id AS STRING)) AS capture_id FROM range(40)")
+    assert "percentile_approx" not in plan(S.evidence_bundle(spark.createDataFrame([(1, "g")], "lot_id long, hash string"), caps))
