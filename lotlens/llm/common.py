@@ -92,6 +92,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SALT = np.random.default_rng(20240521).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _POWERS = np.ones(1, np.uint64)
+_LENGTH = np.uint64(0xA24BAED4963EE407)
 
 
 def _powers(n: int) -> np.ndarray:
@@ -118,7 +119,24 @@ def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         some = lengths > 0
         if some.any():
             total[some] = np.add.reduceat(symbols, first[some])
-        return mix(total + lengths.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        return mix(total + lengths.astype(np.uint64) * _LENGTH)
+
+
+def symbols_of(data: np.ndarray) -> np.ndarray:
+    """The salted bytes that piece_hashes sums."""
+    return _SALT[data]
+
+
+def longer_hashes(shorter: np.ndarray, symbols: np.ndarray, length: int) -> np.ndarray:
+    """Unfinished hashes of pieces of that length from those one byte shorter (0 for length 1) and their last symbols."""
+    with np.errstate(over="ignore"):
+        return shorter + symbols * _powers(length)[length - 1]
+
+
+def finished_hashes(total: np.ndarray, length: int) -> np.ndarray:
+    """piece_hashes of pieces of that length."""
+    with np.errstate(over="ignore"):
+        return mix(total + np.uint64(length) * _LENGTH)
 
 
 def bytes_of(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

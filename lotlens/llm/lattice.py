@@ -19,7 +19,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotlens.llm.common import bytes_of, piece_hashes, ragged, written
+from lotlens.llm.common import bytes_of, finished_hashes, longer_hashes, piece_hashes, ragged, symbols_of, written
 from lotlens.llm.langid import SortedHashes
 
 END = ""
@@ -55,11 +55,10 @@ class Pieces:
         """For each length the places of the pieces that begin at each byte of each of the equally long words (or -1)."""
         n, size = words.shape
         found = []
+        symbols, hashes = symbols_of(words), np.zeros((n, size + 1), np.uint64)
         for length in range(1, min(self.longest, size) + 1):
-            starts = (np.arange(n)[:, None] * size + np.arange(size - length + 1)[None, :]).ravel()
-            flat = words.ravel()[(starts[:, None] + np.arange(length)).ravel()]
-            ends = np.arange(1, len(starts) + 1) * length
-            found.append(self.table.find(piece_hashes(flat, ends - length, ends).view(np.int64)).reshape(n, -1))
+            hashes = longer_hashes(hashes[:, :-1], symbols[:, length - 1:], length)
+            found.append(self.table.find(finished_hashes(hashes, length).ravel().view(np.int64)).reshape(n, -1))
         return found
 
     def forward(self, found: list[np.ndarray], reverse: bool = False) -> np.ndarray:
@@ -142,25 +141,24 @@ def vocabulary(path: str) -> dict[bytes, float]:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, room = {}, 400_000
+    counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    room = 400_000
 
     def rows():
-        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()),
-                                           pa.array([c[1] for c in counts.values()], pa.int64())], names=["word", "c", "used"])
+        taught, others = counts[True], counts[False]
+        known = [others.pop(w, 0) for w in taught]
+        c = np.concatenate([np.fromiter(taught.values(), np.int64, len(taught)), np.zeros(len(others), np.int64)])
+        used = c + np.concatenate([np.array(known, np.int64), np.fromiter(others.values(), np.int64, len(others))])
+        return pa.RecordBatch.from_arrays([pa.array([*taught, *others], pa.binary()).cast(pa.string()), pa.array(c), pa.array(used)], names=["word", "c", "used"])
     for batch in batches:
-        for text, teaches in zip(batch.column("text"), batch.column("teaches").to_pylist(), strict=True):
-            tokens = Counter(words_of(text.as_py()))
-            tokens[b""] = 1
-            for w, k in tokens.items():
-                got = counts.get(w)
-                if got is None:
-                    counts[w] = got = [0, 0]
-                got[1] += k
-                if teaches:
-                    got[0] += k
-            if len(counts) > room:
+        for text, teaches in zip(batch.column("text").to_pylist(), batch.column("teaches").to_pylist(), strict=True):
+            own = counts[teaches]
+            own.update(words_of(text))
+            own[b""] += 1
+            if len(counts[True]) + len(counts[False]) > room:
                 yield rows()
-                counts.clear()
+                for own in counts.values():
+                    own.clear()
     yield rows()
 
 
@@ -191,38 +189,47 @@ def _document_rows(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         row = TaskContext.get().partitionId() << 33
-        columns = [[] for _ in range(9)]
-        size = 0
+        docs, words, times, rare = [], [], [], []
         for batch in batches:
             for text, doc, held in zip(batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
                 tokens = Counter(words_of(text.as_py()))
                 tokens[b""] = 1
                 row += 1
-                known, base, score, rare = 0, 0.0, 0.0, []
+                known, base, score, before = 0, 0.0, 0.0, len(words)
                 for w, k in tokens.items():
                     got = frequent.get(w)
                     if got is None:
-                        rare.append((w.decode(), k))
+                        words.append(w)
+                        times.append(k)
                     else:
                         known += got[0] * k
                         base += got[1] * k
                         score += got[2] * k
-                for column, value in zip(columns, (row, doc, held, None, None, sum(tokens.values()), known, base, score), strict=True):
-                    column.append(value)
-                for w, k in rare:
-                    for column, value in zip(columns, (row, None, None, w, k, None, None, None, None), strict=True):
-                        column.append(value)
-                size += len(rare) + 1
-                if size > 1 << 17:
-                    yield _rows(columns)
-                    columns, size = [[] for _ in range(9)], 0
-        yield _rows(columns)
+                docs.append((row, doc, held, tokens.total(), known, base, score))
+                rare.append(len(words) - before)
+                if len(words) + len(docs) > 1 << 17:
+                    yield _rows(docs, words, times, rare)
+                    docs, words, times, rare = [], [], [], []
+        yield _rows(docs, words, times, rare)
     return run
 
 
-def _rows(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in DOC_ROWS.split(", ")])
+def _rows(docs: list[tuple], words: list[bytes], times: list[int], rare: list[int]) -> pa.RecordBatch:
+    """Rows of DOC_ROWS: the documents, then their rare words, of which each document has so many."""
+    row, doc, held, *sums = zip(*docs, strict=True) if docs else [()] * 7
+    row = np.array(row, np.int64)
+    own = {"row": np.concatenate([row, np.repeat(row, rare)]), "doc_id": doc, "held_out": held, "n_tokens": sums[0], "n_known": sums[1], "base_score": sums[2], "score": sums[3]}
+    of_words = {"word": pa.array(words, pa.binary()).cast(pa.string()), "k": pa.array(times, pa.int64())}
+    kinds = {"held_out": pa.bool_(), "word": pa.string(), "base_score": pa.float64(), "score": pa.float64()}
+    columns = []
+    for name in (x.split()[0] for x in DOC_ROWS.split(", ")):
+        kind = kinds.get(name, pa.int64())
+        if name == "row":
+            columns.append(pa.array(own[name], kind))
+        else:
+            parts = [pa.nulls(len(docs), kind), of_words[name]] if name in of_words else [pa.array(own[name], kind), pa.nulls(len(words), kind)]
+            columns.append(pa.concat_arrays(parts))
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in DOC_ROWS.split(", ")])
 
 
 def fit(words: DataFrame, scores: dict[bytes, float], rounds: int = 2, prior: float = 100.0) -> Pieces:

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lotlens.llm import lattice
@@ -68,3 +69,29 @@ def test_probabilities_of_short_words_sum_below_one(spark):
     end = lattice.score(docs.union(spark.createDataFrame([(1, "", True)], docs.schema)), SCORES).where("held_out").first().score
     assert 0.5 < sum(10 ** (r.score - end) for r in got) <= 1
     assert zlib.crc32(b"1") >= 0
+
+
+def test_matches_extend_the_hashes_of_shorter_pieces(monkeypatch):
+    """Every piece that begins anywhere is found, and no byte is hashed again for each length."""
+    pieces = lattice.Pieces.of(SCORES, -1.0)
+    names = [*({bytes([b]): 0 for b in range(256)} | SCORES)]
+    places = {names[i]: at for at, i in enumerate(lattice.SortedHashes(lattice.piece_hashes(*lattice.bytes_of(names)).view(np.int64)).order)}
+    words = [b" ababba", b" bab\xc3\xa9a", b" zz\xffaba"]
+    monkeypatch.setattr(lattice, "piece_hashes", None)
+    found = pieces.matches(np.frombuffer(b"".join(words), np.uint8).reshape(3, 7))
+    assert len(found) == pieces.longest
+    for length, at in enumerate(found, 1):
+        assert at.tolist() == [[places.get(w[i:i + length], -1) for i in range(7 - length + 1)] for w in words]
+
+
+def test_word_counts_and_rows_of_mixed_batches():
+    batch = pa.RecordBatch.from_pydict({"text": ["a b a", None, "b é", "c"], "teaches": [True, True, False, False]})
+    got = Counter()
+    for out in lattice._word_counts(iter([batch, batch])):
+        for r in out.to_pylist():
+            got[r["word"], "c"] += r["c"]
+            got[r["word"], "used"] += r["used"]
+    assert +got == Counter({("a", "c"): 4, ("a", "used"): 4, ("b", "c"): 2, ("b", "used"): 4, ("é", "used"): 2, ("c", "used"): 2, ("", "c"): 4, ("", "used"): 8})
+    rows = lattice._rows([(1, 7, True, 3, 1, -1.0, -2.0), (2, None, False, 1, 1, 0.0, 0.0), (3, 9, False, 2, 0, 0.0, 0.0)], [b"x", b"y", "é".encode()], [2, 1, 5], [2, 0, 1])
+    assert [(r["row"], r["doc_id"], r["word"], r["k"], r["n_tokens"]) for r in rows.to_pylist()] == [
+        (1, 7, None, None, 3), (2, None, None, None, 1), (3, 9, None, None, 2), (1, None, "x", 2, None), (1, None, "y", 1, None), (3, None, "é", 5, None)]
