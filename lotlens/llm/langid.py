@@ -158,9 +158,10 @@ def fit(langs: list[str], counted: dict[str, tuple[np.ndarray, np.ndarray]]) ->
     for order in range(1, ORDER + 1):
         union = np.unique(np.concatenate([levels[order - 1][0] for levels in own]))
         heads = np.unique(union >> BITS)
-        seen = np.zeros((len(union), len(langs)))
+        head_of, below = np.searchsorted(heads, union >> BITS), np.zeros(len(union), np.int64) if lower_keys is None else np.searchsorted(lower_keys, low(union, order - 1))
+        level = np.empty((len(union), len(langs)))
         rest = np.ones((len(heads), len(langs)))
-        for k, levels in enumerate(own):
+        for k, levels in enumerate(own):  # a language at a time: the driver holds one table of this order, not its parts
             packed, count = levels[order - 1]
             ones, twos = (count == 1).sum(), (count == 2).sum()
             discount = min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
@@ -169,12 +170,14 @@ def fit(langs: list[str], counted: dict[str, tuple[np.ndarray, np.ndarray]]) ->
             kinds = np.bincount(head, minlength=len(heads))
             some = total > 0
             rest[some, k] = discount * kinds[some] / total[some]
-            seen[np.searchsorted(union, packed), k] = np.maximum(count - discount, 0) / total[head]
-        below = lower[[0] * len(union)] if lower_keys is None else lower[np.searchsorted(lower_keys, low(union, order - 1))]
-        level = seen + rest[np.searchsorted(heads, union >> BITS)] * below
+            column = rest[head_of, k] * lower[below, k]
+            column[np.searchsorted(union, packed)] += np.maximum(count - discount, 0) / total[head]
+            level[:, k] = column
         for hashes, tables, keys, rows in ((model.keys, model.values, union, level), (model.contexts, model.weights, heads, rest)):
             hashes.append(SortedHashes(keys))
-            tables.append(np.log2(rows[hashes[-1].order]).astype(np.float32))
+            tables.append(np.empty(rows.shape, np.float32))
+            for k in range(len(langs)):
+                tables[-1][:, k] = np.log2(rows[hashes[-1].order, k])
             hashes[-1].order = None  # the tables have that order now
         lower, lower_keys = level, union
     model.base = np.full(len(langs), np.log2(1.0 / alphabet), np.float32)
@@ -195,6 +198,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                  names=["lang", "held", "gram", "n"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams and counts of a batch as one row of bytes per language: the driver gets no row per n-gram."""
+    for batch in batches:
+        for lang in batch.column("lang").unique().to_pylist():
+            own = batch.filter(pc.equal(batch.column("lang"), lang))
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), *[pa.array([own.column(c).to_numpy().tobytes()], pa.binary()) for c in ("gram", "n", "taught")]],
+                                             names=["lang", "gram", "n", "taught"])
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_bytes: int = 4_000_000, check_bytes: int = 1_000_000,
           keep: float = 0.999, slack: float = 1.0, few: int = 100) -> Model:
     """Fits the models on whole texts, about `sample_bytes` of each language, drawn by a hash of the text; equal texts count once.
@@ -220,15 +232,18 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_bytes:
     drawn = written(drawn, "drawn")
     entire = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, v <= whole)])[F.col("lang")]
     counted = (drawn.where(~F.col("held") | entire).select("lang", "held", "text").mapInArrow(_counts, "lang string, held boolean, gram bigint, n bigint")
-               .groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("held"), 0).otherwise(F.col("n"))).alias("taught")).toPandas())
-    if not len(counted):
+               .groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("held"), 0).otherwise(F.col("n"))).alias("taught"))
+               .mapInArrow(_packed, "lang string, gram binary, n binary, taught binary").collect())
+    if not counted:
         return Model([])
     taught, every = {}, {}
-    for k, g in counted.groupby("lang"):
-        gram, n, kept = (x[np.argsort(g.gram.to_numpy())] for x in (g.gram.to_numpy(), g.n.to_numpy(), g.taught.to_numpy()))
+    for k in {r.lang for r in counted}:
+        gram, n, kept = (np.concatenate([np.frombuffer(r[c], np.int64) for r in counted if r.lang == k]) for c in ("gram", "n", "taught"))
+        order = np.argsort(gram)
+        gram, n, kept = gram[order], n[order], kept[order]
         every[k] = gram, n
         taught[k] = (gram[kept > 0], kept[kept > 0]) if kept.any() else every[k]
-    del counted
+    del counted, gram, n, kept, order
     model = fit(sorted(taught), taught)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scored = drawn.where("held").select("lang", _scored(F.col("text"), shared).alias("s")).select("lang", "s.*").where("lang = lang_pred")

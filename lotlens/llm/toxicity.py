@@ -110,8 +110,8 @@ def _places(shared: Broadcast):
         place = shared.value
         for batch in batches:
             found = [values_of(words_of(t.as_py()), place) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([list(x) for x in found], pa.list_(pa.int32())),
-                                              pa.array([list(x.values()) for x in found], pa.list_(pa.float64()))], names=["grade", "places", "sizes"])
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([np.fromiter(x, np.int32, len(x)).tobytes() for x in found], pa.binary()),
+                                              pa.array([np.fromiter(x.values(), np.float64, len(x)).tobytes() for x in found], pa.binary())], names=["grade", "places", "sizes"])
     return run
 
 
@@ -143,12 +143,14 @@ def train(docs: DataFrame, grades: DataFrame, rows_per_grade: int = 8000, most:
     z = F.abs((F.col("a") + 0.5) / float(n1 + 1) - (F.col("b") + 0.5) / float(n0 + 1)) / F.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
     names = sorted(r.feature for r in counted.withColumn("z", z).where(F.col("z") >= least).orderBy(F.desc("z"), "feature").limit(most).collect())
     shared = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
-    got = once.mapInArrow(_places(shared), "grade int, places array<int>, sizes array<double>").toPandas()
+    got = once.mapInArrow(_places(shared), "grade int, places binary, sizes binary").collect()
     shared.unpersist()
-    present = np.unique(got.grade.to_numpy())
-    places = [np.asarray(p, np.int64) for p in got.places]
-    lengths = np.fromiter(map(len, places), np.int64, len(places))
-    weights, thresholds = fit_weights(np.repeat(np.arange(len(places)), lengths), np.concatenate(places), np.concatenate(list(got.sizes)), np.searchsorted(present, got.grade.to_numpy()), len(names))
+    grade_of = np.array([r.grade for r in got])
+    present = np.unique(grade_of)
+    lengths = np.array([len(r.places) // 4 for r in got])
+    columns, values = np.frombuffer(b"".join(r.places for r in got), np.int32).astype(np.int64), np.frombuffer(b"".join(r.sizes for r in got), np.float64)
+    del got
+    weights, thresholds = fit_weights(np.repeat(np.arange(len(lengths)), lengths), columns, values, np.searchsorted(present, grade_of), len(names))
     # A grade nobody has shares the threshold of the next one that somebody has.
     every = np.array([thresholds[np.searchsorted(present, g) - 1] for g in range(1, int(present.max()) + 1)])
     return Model({f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-4}, every)

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -6,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lotlens.llm import common, langid
+from lotlens.llm import common, langid, toxicity
 
 EN = ["the cat sat on the mat", "a dog and the other dog ran", "this is the house that they built", "The end of the road"] * 3
 DE = ["der hund und die katze schlafen", "das ist ein schönes haus", "wir gehen über die straße", "Ende der Straße"] * 3
@@ -129,3 +130,25 @@ def test_repeated_texts_count_once(spark):
     flat = common.flat_text(pa.array([r.text for r in own.limit(40).collect()]))
     assert few.langs == many.langs and many.limit == pytest.approx(few.limit)
     assert many.entropies(*flat)[0] == pytest.approx(few.entropies(*flat)[0])
+
+
+def test_training_holds_little_on_the_driver(spark, monkeypatch):
+    """The driver gets no row per n-gram or feature, and the fit holds about one table of the highest order."""
+    docs = spark.createDataFrame([(i, t, lang) for lang, texts in (("en", EN), ("de", DE)) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    sent = []
+    kind, collect = type(docs), type(docs).collect
+    monkeypatch.setattr(kind, "toPandas", None)
+    monkeypatch.setattr(kind, "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    langid.train(docs)
+    toxicity.train(docs, spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 1)], "doc_id long, grade int"))
+    assert max(map(len, sent)) <= 40  # blocks of n-grams of 4 shuffle partitions, or features
+    rng = np.random.default_rng(0)
+    counted = {lang: (grams, rng.integers(1, 9, len(grams))) for lang in "abcdefgh" for grams in [np.unique(rng.integers(0, 1 << 60, 50_000))]}
+    tracemalloc.start()
+    try:
+        model = langid.fit(sorted(counted), counted)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    table = sum(v.nbytes for v in model.values)
+    assert peak < 5.8 * table
