@@ -1,8 +1,10 @@
 """Estimation, intervals, sequential tests."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from lotlens.functions import beta
 from lotlens.functions.beta import beta_cdf, beta_quantile
 from lotlens.functions.numeric import half_up, wilson
 from lotlens.operators import lots as L
@@ -128,3 +130,43 @@ def test_joined_bootstrap_makes_no_row_per_draw(spark, monkeypatch):
     assert [v for r in a for v in (r.lo, r.hi)] == pytest.approx([v for r in b for v in (r.lo, r.hi)])
     assert "explode(" not in joined._jdf.queryExecution().optimizedPlan().toString()
     assert (L.draws("seed", 5, 9, 3) == L.draws("seed", 8, 9)[3:]).all()
+
+
+def test_lots_are_resampled_many_at_a_time(spark):
+    """Parts that end within a lot give what a group per lot gives, and no lot is a call of its own."""
+    rng, reps = np.random.default_rng(7), {"a": 300, "b": 200}
+    rows = [(lot, pack, f"seed {lot}", *map(float, rng.integers(0, 9, len(L._BOOT)))) for lot in range(9) for pack in reps for _ in range(3 + lot % 3)]
+    df = pd.DataFrame(rows, columns=["lot_id", "pack_id", "_seed", *L._BOOT])
+    run, key = L._resampled(reps, 0.9), ["lot_id", "pack_id", "basis", "bucket"]
+    got = pd.concat(run(iter([df.iloc[i:i + 7] for i in range(0, len(df), 7)])))
+    assert not list(run(iter([df.iloc[:0]]))) and len(got) == 9 * 2 * len(L.SELECTORS)
+    for (lot, pack), own in df.groupby(["lot_id", "pack_id"]):
+        sums = dict(zip(L._BOOT, own[L._BOOT].to_numpy()[L.draws(f"seed {lot}", reps[pack], len(own))].sum(1).T, strict=True))
+        lo, hi = L.quantile_positions(reps[pack], 0.9)
+        for basis, bucket, x, n in L.SELECTORS:
+            share = np.sort(np.divide(sums[x], sums[n], out=np.zeros(reps[pack]), where=sums[n] > 0))
+            r = got.set_index(key).loc[(lot, pack, basis, bucket)]
+            assert (r.lo, r.hi) == (share[lo], share[hi])
+    found = L.cluster_bootstrap(trays(spark, [(1, 9), (2, 9), (3, 9)]), [P.pack_by_id("in-psf-2026-pre-a")], 50)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 2  # those of lots of many trays
+
+
+def test_beta_series_of_few_successes_is_short(monkeypatch):
+    """With k = 0 of a lot of items the series of the other tail is taken, some ten terms instead of thousands."""
+    terms = []
+    series = beta._series
+    monkeypatch.setattr(beta, "_series", lambda p, q, z: terms.append(beta._terms(p, q, z).max()) or series(p, q, z))
+    x = beta_cdf(np.array([0.00418, 1 - 0.00418]), np.array([0.5, 600.5]), np.array([600.5, 0.5]))
+    assert max(terms) < 500 and x.sum() == pytest.approx(1, abs=1e-13) and x[0] == pytest.approx(0.975, abs=0.001)
+    a, b = np.array([0.5, 600.5, 30.0]), np.array([600.5, 0.5, 50.0])
+    assert np.allclose(beta_cdf(beta_quantile(np.array([0.975, 0.025, 0.975]), a, b), a, b), [0.975, 0.025, 0.975], atol=1e-12)
+
+
+def test_headline_and_shares_read_the_intervals_once(spark):
+    t = trays(spark, [(1, 9), (2, 9), (3, 9)])
+    pack = [P.pack_by_id("in-psf-2026-pre-a")]
+    i = L.lot_intervals(L.lot_shares(t, pack), L.cluster_bootstrap(t, pack, 50))
+    wide = L.headline(i, L.lot_decision(L.sprt(L.lot_totals(t, pack), pack), pack), F.count("*").alias("shares"))
+    r = wide.first()
+    assert r.shares == len(L.SELECTORS) and r.grade_a == i.where("basis = 'weight' AND bucket = 'GRADE_A'").first().est
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
