@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,9 +96,13 @@ def missing_from(a: DataFrame, b: DataFrame, on: str = "id") -> DataFrame:
 
 def iou(a: str, b: str) -> Column:
     """Intersection over union of two x0,y0,x1,y1 column groups."""
-    w = F.greatest(F.lit(0.0), F.least(F.col(f"{a}x1"), F.col(f"{b}x1")) - F.greatest(F.col(f"{a}x0"), F.col(f"{b}x0")))
-    h = F.greatest(F.lit(0.0), F.least(F.col(f"{a}y1"), F.col(f"{b}y1")) - F.greatest(F.col(f"{a}y0"), F.col(f"{b}y0")))
-    area = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
+    return _overlap(lambda c: F.col(f"{a}{c}"), lambda c: F.col(f"{b}{c}"))
+
+
+def _overlap(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    w = F.greatest(F.lit(0.0), F.least(a("x1"), b("x1")) - F.greatest(a("x0"), b("x0")))
+    h = F.greatest(F.lit(0.0), F.least(a("y1"), b("y1")) - F.greatest(a("y0"), b("y0")))
+    area = lambda p: (p("x1") - p("x0")) * (p("y1") - p("y0"))
     inter = w * h
     union = area(a) + area(b) - inter
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
@@ -125,9 +129,61 @@ def candidate_matches(predicted: DataFrame, truth: DataFrame, threshold: float =
     return pairs.where(F.col("iou") >= threshold).select("image_id", "cls", "pred_id", "conf", "gt_id", "iou")
 
 
+#: Images with more boxes than this, predictions and truth together, are matched by joins on cells.
+IMAGE_BOXES = 512
+
+
+def _crowded(a: DataFrame, b: DataFrame) -> DataFrame | None:
+    """(image_id) of the images with over IMAGE_BOXES rows in both tables together; None without any."""
+    images = a.select("image_id").unionByName(b.select("image_id")).where(F.col("image_id").isNotNull())
+    found = materialise(images.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > IMAGE_BOXES).select("image_id"))
+    return None if found.isEmpty() else found
+
+
+def _together(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by..., as, bs: the other columns' rows of both tables per group, which a count has shown to be small. One shuffle of both."""
+    row = lambda df: F.struct(*[c for c in df.columns if c not in by])
+    none = lambda df: F.lit(None).cast(df.select(row(df).alias("r")).schema["r"].dataType)
+    both = a.select(*by, row(a).alias("a"), none(b).alias("b")).unionByName(b.select(*by, none(a).alias("a"), row(b).alias("b")))
+    return both.repartition(*by).groupBy(*by).agg(F.collect_list("a").alias("as"), F.collect_list("b").alias("bs"))
+
+
 def greedy_match(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One-to-one matching, most confident prediction first: pred_id, conf, correct, gt_id.
 
+    A prediction takes its best free truth box (ties: smaller id) among those of its image and class. Images of up to
+    IMAGE_BOXES boxes are small groups whose pairs are walked in order; both tables are shuffled once for them. The boxes of
+    larger ones meet on grid cells (``_greedy_rounds``), so no group grows beyond that. Ids are those of an image and class.
+    """
+    p, g, crowded = _boxes(predicted, "pred_id", "conf"), _boxes(truth, "gt_id"), _crowded(predicted, truth)
+    out = ["pred_id", "image_id", "cls", "conf", "gt_id"]
+    hit = lambda df: df.withColumn("gt_id", F.lit(None).cast(truth.schema["gt_id"].dataType)).select(*out)
+    placed = F.col("image_id").isNotNull() & F.col("cls").isNotNull()
+    found = hit(p.where(~placed))
+    p, g = p.where(placed), g.where(placed)
+    if crowded is not None:
+        found = found.unionByName(_greedy_rounds(p.join(crowded, "image_id", "left_semi"), g.join(crowded, "image_id", "left_semi"), threshold).select(*out))
+        p, g = p.join(crowded, "image_id", "left_anti"), g.join(crowded, "image_id", "left_anti")
+    pairs = F.flatten(F.transform(F.array_distinct("as"), lambda a: F.transform(F.array_distinct("bs"), lambda b: F.struct(
+        a.conf.isNull().alias("none"), (-a.conf).alias("first"), a.pred_id.alias("pred_id"), (-_overlap(a.getField, b.getField)).alias("worse"), b.gt_id.alias("gt_id")))))
+    pairs = F.array_sort(F.filter(pairs, lambda x: (-x.worse >= threshold) & x.pred_id.isNotNull() & x.gt_id.isNotNull()))
+    none = lambda of, c: F.array().cast(f"array<{of.schema[c].dataType.simpleString()}>")
+    matched = F.aggregate("pairs", F.struct(none(p, "pred_id").alias("p"), none(g, "gt_id").alias("g")), lambda s, x: F.when(
+        F.array_contains(s.p, x.pred_id) | F.array_contains(s.g, x.gt_id), s).otherwise(F.struct(F.array_append(s.p, x.pred_id).alias("p"), F.array_append(s.g, x.gt_id).alias("g"))))
+    groups = _together(p, g, ["image_id", "cls"]).where(F.size("as") > 0).withColumn("pairs", pairs).select("image_id", "cls", "as", matched.alias("m"))
+    each = groups.select("image_id", "cls", F.explode("as").alias("a"), "m")
+    place = F.array_position("m.p", F.col("a.pred_id")).cast("int")
+    small = each.select("a.pred_id", "image_id", "cls", "a.conf", F.when(place > 0, F.get("m.g", place - 1)).alias("gt_id"))
+    return small.unionByName(found).withColumn("correct", F.col("gt_id").isNotNull().cast("int"))
+
+
+def _boxes(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select("image_id", "cls", *columns, "x0", "y0", "x1", "y1")
+
+
+def _greedy_rounds(predicted: DataFrame, truth: DataFrame, threshold: float) -> DataFrame:
+    """``greedy_match`` for images of any number of boxes.
+
     A prediction takes its best free truth box (ties: smaller id) once no more confident one (ties: smaller id, no
     confidence last) still has that box among its candidates: nothing can change its turn any more. Rounds of such pairs,
     each two aggregates and a join over the pairs left, end when none are left; no image is ever one group.
@@ -140,8 +196,7 @@ def greedy_match(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5)
         won = materialise(best.join(first, ["gt_id", "pred_id"]))
         hits = won if hits is None else hits.unionByName(won)
         left = materialise(left.join(won.select("pred_id"), "pred_id", "left_anti").join(won.select("gt_id"), "gt_id", "left_anti"))
-    return (predicted.select("pred_id", "image_id", "cls", "conf").join(hits.select("pred_id", "gt_id"), "pred_id", "left")
-            .withColumn("correct", F.col("gt_id").isNotNull().cast("int")))
+    return predicted.select("pred_id", "image_id", "cls", "conf").join(hits.select("pred_id", "gt_id"), "pred_id", "left")
 
 
 def nearest_centre(queries: DataFrame, targets: DataFrame, cap: Column) -> DataFrame:

@@ -74,3 +74,28 @@ def test_broken_receipts_are_set_aside(spark, tmp_path):
     assert [r.cert.core.rev for r in kept.collect()] == [2]
     got = {r.file.rsplit("/", 1)[1]: r.reason for r in left.collect()}
     assert got["cut.json"] == got["text.json"] == "not JSON" and got["type.json"] == "wrong type" and got["none.json"] == "no receipt" and "list.json" in got
+
+
+def odd_boxes(rng):
+    """Rows of four images, some twice, some with nulls."""
+    box = lambda: [v if rng.random() < 0.97 else None for v in (lambda x, y: (x, y, x + 0.25, y + 0.25))(rng.randint(0, 9) / 16, rng.randint(0, 9) / 16)]
+    key = lambda: (rng.choice([1, 1, 2, 3, 4, None]), rng.choice([0, 1, 1, None]))
+    truth = [(*key(), f"g{i}", *box()) for i in range(90)]
+    predicted = [(*key(), f"p{i}", rng.choice([0.5, 0.75, None, 0.9]), *box()) for i in range(120)]
+    return predicted + predicted[::5], truth + truth[::4]
+
+
+def test_small_images_are_matched_as_crowded_ones(spark, monkeypatch):
+    predicted, truth = odd_boxes(random.Random(8))
+    names = "x0 double, y0 double, x1 double, y1 double"
+    p = spark.createDataFrame(predicted, "image_id int, cls int, pred_id string, conf double, " + names)
+    g = spark.createDataFrame(truth, "image_id int, cls int, gt_id string, " + names)
+    key = lambda r: tuple((v is None, v) for v in r)
+    found = {}
+    for most in (0, 60, 512):  # all, some, none by joins on cells
+        monkeypatch.setattr(J, "IMAGE_BOXES", most)
+        m = J.greedy_match(p, g)
+        found[most] = sorted(m.collect(), key=key)
+    assert found[0] == found[60] == found[512] and len(found[0]) == len(predicted) and sum(r.correct for r in found[0]) > 10
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 1
