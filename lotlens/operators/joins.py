@@ -202,20 +202,40 @@ def _greedy_rounds(predicted: DataFrame, truth: DataFrame, threshold: float) ->
 def nearest_centre(queries: DataFrame, targets: DataFrame, cap: Column) -> DataFrame:
     """Closest target centre within the query's image, if within ``cap`` (ties: smaller t_id).
 
-    queries(image_id, q_id, q_x, q_y, ...), targets(image_id, t_id, t_x, t_y). Cells are as wide as four times the cap's next
-    power of two and a query goes to those that its circle's box touches, four at most and one or two as a rule. Targets
-    stand in the grid of every cap that their image's queries have, a few powers of two.
+    queries(image_id, q_id, q_x, q_y, ...), targets(image_id, t_id, t_x, t_y). Images of up to IMAGE_BOXES centres are small
+    groups, and both tables are shuffled once for them; the centres of larger ones meet on grid cells (``_nearest_by_cells``).
     """
-    level = F.greatest(F.lit(-30), F.ceil(F.log2(F.greatest(cap.cast("double"), F.lit(2.0**-30)))))
+    q = queries.withColumn("_cap", cap.cast("double")).where("_cap >= 0 AND image_id IS NOT NULL AND q_x IS NOT NULL AND q_y IS NOT NULL")
+    t = targets.select("image_id", "t_id", "t_x", "t_y").where(F.col("image_id").isNotNull())
+    crowded, found = _crowded(q, t), None
+    if crowded is not None:
+        found = _nearest_by_cells(q.join(crowded, "image_id", "left_semi"), t.join(crowded, "image_id", "left_semi"), queries.columns)
+        q, t = q.join(crowded, "image_id", "left_anti"), t.join(crowded, "image_id", "left_anti")
+    groups = _together(q, t, ["image_id"]).select("image_id", F.explode(F.array_distinct("as")).alias("a"), "bs")
+    near = F.array_min(F.filter(F.transform("bs", lambda b: F.struct(F.hypot(F.col("a.q_x") - b.t_x, F.col("a.q_y") - b.t_y).alias("dist"), b.t_id.alias("t_id"))),
+                                lambda x: x.dist <= F.col("a._cap")))
+    near = groups.select("image_id", "a", near.alias("_b")).where(F.col("_b").isNotNull())
+    out = near.select(*[F.col(c) if c == "image_id" else F.col("a")[c].alias(c) for c in queries.columns], "_b.*")
+    return out if found is None else out.unionByName(found)
+
+
+def _nearest_by_cells(q: DataFrame, targets: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``nearest_centre`` for images of any number of centres, with the cap as ``_cap``.
+
+    Cells are as wide as four times the cap's next power of two and a query goes to those that its circle's box touches,
+    four at most and one or two as a rule. Targets stand in the grid of every cap that their image's queries have, a few
+    powers of two.
+    """
+    level = F.greatest(F.lit(-30), F.ceil(F.log2(F.greatest(F.col("_cap"), F.lit(2.0**-30)))))
     cell = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("_level") + 2))
     reach = lambda c: F.col("_cap") * (1 + 1e-9) + F.abs(c) * 1e-15  # noqa: E731  # a rounded distance may reach a little further
     touched = lambda c: F.explode(F.sequence(cell(F.col(c) - reach(c)), cell(F.col(c) + reach(c))))
-    q = queries.withColumn("_cap", cap.cast("double")).where("_cap >= 0").withColumn("_level", level)
+    q = q.withColumn("_level", level)
     grids = q.select("image_id", "_level").distinct()
     q = q.withColumn("_cx", touched("q_x")).withColumn("_cy", touched("q_y"))
-    t = targets.select("image_id", "t_id", "t_x", "t_y").join(grids, "image_id").withColumns({"_cx": cell(F.col("t_x")), "_cy": cell(F.col("t_y"))})
+    t = targets.join(grids, "image_id").withColumns({"_cx": cell(F.col("t_x")), "_cy": cell(F.col("t_y"))})
     j = q.join(t, ["image_id", "_level", "_cx", "_cy"]).withColumn("dist", F.hypot(F.col("q_x") - F.col("t_x"), F.col("q_y") - F.col("t_y"))).where("dist <= _cap")
-    return j.groupBy(*queries.columns).agg(F.min(F.struct("dist", "t_id")).alias("_b")).select(*queries.columns, "_b.*")
+    return j.groupBy(*columns).agg(F.min(F.struct("dist", "t_id")).alias("_b")).select(*columns, "_b.*")
 
 
 def pair_images_with_labels(images: DataFrame, labels: DataFrame) -> DataFrame:

@@ -99,3 +99,20 @@ def test_small_images_are_matched_as_crowded_ones(spark, monkeypatch):
     assert found[0] == found[60] == found[512] and len(found[0]) == len(predicted) and sum(r.correct for r in found[0]) > 10
     plan = m._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Repartition") == 1
+
+
+def test_nearest_centre_of_small_images_needs_no_join(spark, monkeypatch):
+    rng = random.Random(9)
+    some = lambda v: v if rng.random() < 0.95 else None
+    queries = [(rng.choice([1, 1, 2, 3, None]), i, some(rng.uniform(0, 9)), some(rng.uniform(0, 9)), some(1.5), i % 3) for i in range(80)]
+    targets = [(rng.choice([1, 1, 2, 4, None]), i % 100, some(rng.uniform(0, 9)), some(rng.uniform(0, 9))) for i in range(120)]
+    q = spark.createDataFrame(queries + queries[::6], "image_id int, q_id int, q_x double, q_y double, far double, kind int")
+    t = spark.createDataFrame(targets + targets[::5], "image_id int, t_id int, t_x double, t_y double")
+    found = {}
+    for most in (0, 60, 512):  # all, some, none by joins on cells
+        monkeypatch.setattr(J, "IMAGE_BOXES", most)
+        near = J.nearest_centre(q, t, F.col("far"))
+        found[most] = sorted(map(tuple, near.collect()))
+    assert found[0] == found[60] == found[512] and len(found[0]) > 20
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 1
