@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lotlens.plans.session import materialise
 from lotlens.sources.commits import commit, committed
 from lotlens.streaming.keyed import STATE_STORE
 
@@ -61,7 +62,7 @@ def feed(rows: DataFrame, folder: str, time: str, slices: int = 4, disorder: str
     slice, too late for any watermark before it. A last row of nulls but for a time ``until`` after all others moves the
     watermark beyond them; keyed operators ignore it.
     """
-    spark = rows.sparkSession
+    spark, rows = rows.sparkSession, materialise(rows)  # every slice reads them
     at = F.unix_micros(F.col(time).cast("timestamp"))
     low, high, n = rows.agg(F.min(at), F.max(at), F.count("*")).first()
     if not n:
