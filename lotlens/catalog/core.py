@@ -64,6 +64,10 @@ class Tables:
             self._seen[name] = df
         return self._seen[name]
 
+    def over(self, name: str, **tables: DataFrame) -> DataFrame:
+        """A carrier view over other rows of the tables it reads."""
+        return self.spark.sql(CARRIERS[name], **tables)
+
 
 def oracle_text(sql: str) -> str:
     """SQL twin with the CTEs it needs, dependencies first."""

@@ -27,17 +27,28 @@ S4 = "floor(({})*1e4+0.5)/1e4".format
 ITEM_KEY = ["capture_id", "pos"]
 
 
-def captures(t):
-    """Nested captures as stored: one row per photo with its items in order."""
-    raw = t("raw_items")
-    body = [c for c in raw.columns if c not in ("capture_id", "lot_id", "tray", "look", "shot_at", "pos")]
+def captures(t, *fields):
+    """Nested captures as stored: one row per photo with its items in order; with ``fields`` of items, these alone are read.
+
+    Items of one photo have places of their own, so other fields need not be carried to order them. Rows without a photo's
+    id meet in groups where places repeat, and there all fields decide the order.
+    """
+    body = [c for c in t("raw_items").columns if c not in ("capture_id", "lot_id", "tray", "look", "shot_at", "pos")]
+    if not fields:
+        return _nested(t("raw_items"), body)
+    named = F.col("l_suppkey").isNotNull() & F.col("l_orderkey").isNotNull()  # a photo's id is made of both
+    known, lost = (t.over("raw_items", lineitem=t("lineitem").where(rows)) for rows in (named, ~named))
+    return _nested(known, fields).unionByName(_nested(lost, body).withColumn("bulbs", F.transform("bulbs", lambda b: F.struct(*[b[c].alias(c) for c in fields]))))
+
+
+def _nested(raw, body):
     nested = raw.groupBy("capture_id", "lot_id", "tray", "look", "shot_at").agg(F.array_sort(F.collect_list(F.struct("pos", *body))).alias("bulbs"))
     return nested.withColumn("bulbs", F.transform("bulbs", lambda b: b.dropFields("pos")))
 
 
 @query("P01_usable_bulbs", """SELECT lot_id, 'b' || (row_number() OVER (PARTITION BY lot_id ORDER BY shot_at, capture_id, pos) - 1) AS bulb_id, capture_id, pos FROM {raw_items} WHERE excluded IS NULL""")
 def _(t):
-    text = captures(t).withColumn("at", F.date_format("shot_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))  # as captures store it
+    text = captures(t, "excluded").withColumn("at", F.date_format("shot_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))  # as captures store it
     return M.usable_bulbs(text).select("lot_id", "bulb_id", "capture_id", "pos")
 
 
