@@ -3,13 +3,16 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from lotlens.catalog import Tables
+from lotlens.catalog import QUERIES, Tables, measures
 from lotlens.catalog.carriers import chained_ledger
 from lotlens.operators import classify as Y
 from lotlens.operators import joins as J
 from lotlens.operators import trust as T
+from lotlens.plans import receipts
 from lotlens.sources import files as S
+from lotlens.streaming import sinks
 
 
 def plan(df):
@@ -88,3 +91,49 @@ def test_evidence_of_small_and_large_lots(spark, per_lot):
 def test_captures_of_small_lots_need_no_numbers(spark):
     caps = spark.sql("SELECT id % 3 AS lot_id, id AS shot_at, concat('c', CAST(id AS STRING)) AS capture_id FROM range(40)")
     assert "percentile_approx" not in plan(S.evidence_bundle(spark.createDataFrame([(1, "g")], "lot_id long, hash string"), caps))
+
+
+def test_captures_carry_only_the_fields_asked_for(spark, monkeypatch):
+    """Items without a photo's id share places, which all their fields order; the others bring only what is asked for."""
+    t = Tables(spark, "/nowhere")
+    rows = "SELECT id % 6 AS l_orderkey, IF(id % 4 = 0, NULL, id % 3) AS l_suppkey, id * 23 % 31 AS l_partkey, CAST(id % 2 AS INT) AS l_linenumber, 1.0D + id % 5 AS l_quantity, 90.0D + id AS l_extendedprice, 0.05D AS l_discount, 0.02D AS l_tax FROM range(120)"
+    t._seen["lineitem"] = spark.sql(rows).unionByName(spark.sql(rows).where("l_extendedprice < 110"))
+    whole, some = (c.withColumn("bulbs", F.transform("bulbs", lambda b: b["excluded"])) for c in (measures.captures(t), measures.captures(t, "excluded")))
+    key = lambda r: str(tuple(r))
+    assert sorted(whole.collect(), key=key) == sorted(some.collect(), key=key) and some.where("capture_id IS NULL").count()
+    nested, asked = measures._nested, []
+    monkeypatch.setattr(measures, "_nested", lambda raw, body: asked.append(body) or nested(raw, body))
+    QUERIES["P01_usable_bulbs"].run(t)
+    assert asked[0] == ("excluded",) and len(asked) == 2
+
+
+def test_a_feed_works_its_rows_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+    rows = spark.range(20, numPartitions=2).mapInPandas(count, "id long").selectExpr("id", "timestamp_seconds(1750000000 + id * 3600) AS at")
+    sinks.feed(rows, str(tmp_path), "at")
+    assert seen.value == 20 and spark.read.parquet(f"{tmp_path}/in").where("id IS NOT NULL").count() == 20
+
+
+def test_items_and_actions_meet_in_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(receipts, "PAGE", 4)
+    t = Tables(spark, "/nowhere")
+    t._seen["lineitem"] = spark.sql("SELECT id % 40 AS l_orderkey, id * 37 % 74 AS l_partkey, IF(id = 7, NULL, id % 3) AS l_suppkey, CAST(id % 4 AS INT) AS l_linenumber, 5.0D AS l_quantity, 90.0D + id AS l_extendedprice, 0.05D AS l_discount, 0.02D AS l_tax, "
+                                    "DATE '1996-01-02' AS l_shipdate FROM range(60)")
+    bulbs = t("bulbs").unionByName(t("bulbs").limit(5))  # some items twice
+    acts = t("overrides").unionByName(t("overrides").limit(1).withColumn("bulb_id", F.lit("gone"))).unionByName(t("overrides").limit(1).withColumn("bulb_id", F.lit(None).cast("string")))
+    pages = receipts.item_pages(bulbs, acts)
+    per_item = {}
+    for a in acts.collect():
+        per_item.setdefault((a.lot_id, a.bulb_id), []).append((a.seq, a.who, a.kind, a.to_bucket, a.reason))
+    want_items = sorted((b.lot_id, b.bulb_id) for b in bulbs.collect() if b.lot_id is not None)
+    want_acts = sorted((k, *[str(x) for x in a[1:]]) for k in want_items for a in per_item.get(k, []))
+    got = [(int(r.cert.core.lot.id), r.cert.core) for r in pages.collect()]
+    assert sorted((lot, b.id) for lot, c in got for b in c.bulbs) == want_items and len(got) > 9
+    assert sorted(((lot, o.bulb), *[str(o[f]) for f in ("by", "kind", "to", "reason")]) for lot, c in got for o in c.overrides) == want_acts and want_acts
+    assert all([b.id for b in c.bulbs] == sorted(b.id for b in c.bulbs) for _, c in got)
+    assert "LeftOuter" not in pages._jdf.queryExecution().optimizedPlan().toString()
